@@ -62,3 +62,16 @@ def one_decimal(c: Column | str) -> Column:
 def zero_as_null(c: Column | str) -> Column:
     """Stored zeros that the reference treats as 'absent' (falsy) become NULL."""
     return F.nullif(col_(c), F.lit(0))
+
+
+def round_dp(c: Column | str, d: int) -> Column:
+    """ROUND(double, d) as round-half-away-from-zero of x * 10^d, then / 10^d.
+
+    Spark's ``round`` on a double rounds the shortest decimal text of the value
+    (5123.235 -> 5123.24) although the binary value is below the tie; Python's
+    ``round`` and DuckDB's ROUND both give 5123.23.  Scaling first keeps the
+    binary value: rounding a double to 0 places is exact, so this agrees with
+    the other engines except where the scaling itself rounds onto a tie.
+    """
+    k = float(10 ** d)
+    return F.round(col_(c) * k, 0) / k

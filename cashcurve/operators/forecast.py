@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashcurve.functions.exprs import dbl, ratio
+from cashcurve.functions.exprs import round_dp, dbl, ratio
 
 
 def forecast_details(entries: DataFrame, products: DataFrame) -> DataFrame:
@@ -71,9 +71,9 @@ def financial_health_exact(details: DataFrame, fixed_expenses: DataFrame, leads:
         "company_id", "forecast_month", "revenue", "variable_costs", "gross_profit",
         fixed.alias("fixed_costs"),
         (gp - fixed).alias("net_profit"),
-        F.round(margin * 100, 2).alias("gross_margin_percent"),
+        round_dp(margin * 100, 2).alias("gross_margin_percent"),
         # Fixed / (gp / rev) when gp > 0 else 0; rev = 0 -> NULL
-        F.when(gp > 0, F.round(dbl(fixed) / margin, 2)).otherwise(F.lit(0.0)).alias("revenue_needed_to_break_even"),
+        F.when(gp > 0, round_dp(dbl(fixed) / margin, 2)).otherwise(F.lit(0.0)).alias("revenue_needed_to_break_even"),
         F.coalesce(F.col("weighted_pipeline_value"), F.lit(0)).alias("weighted_pipeline_value"),
     ).withColumn("ytd_net_profit", F.sum("net_profit").over(w)))
 
@@ -127,7 +127,7 @@ def unit_margin(details: DataFrame) -> DataFrame:
     return details.select(
         "company_id", "forecast_id", "product_name", "forecast_month", "units_forecasted",
         dbl(price).alias("final_price"), dbl(cogs).alias("final_cogs"), dbl(price - cogs).alias("cm_per_unit"),
-        F.when(price > 0, F.round(ratio(price - cogs, price) * 100.0, 2)).alias("cm_ratio_percent"))
+        F.when(price > 0, round_dp(ratio(price - cogs, price) * 100.0, 2)).alias("cm_ratio_percent"))
 
 
 def trend_series(health: DataFrame) -> DataFrame:

@@ -28,8 +28,6 @@ TUNING_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -39,7 +37,8 @@ TUNING_CONF = {
 def build_session(master: str | None = None, app: str = "cashcurve",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Get or create a session with the engine's semantic settings applied."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+               .config("spark.driver.memory", os.environ.get("CASHCURVE_DRIVER_MEMORY", "6g")))
     if master:
         builder = builder.master(master)
     for k, v in {**TUNING_CONF, **SEMANTIC_CONF, **(extra or {})}.items():
