@@ -75,3 +75,13 @@ def round_dp(c: Column | str, d: int) -> Column:
     """
     k = float(10 ** d)
     return F.round(col_(c) * k, 0) / k
+
+
+def round_even_dp(c: Column | str, d: int) -> Column:
+    """Python's round(x, d): half-to-even, for metrics the reference computes in Python.
+
+    Same scaling as ``round_dp`` (so it agrees with DuckDB's ``round_even``);
+    exact binary ties such as 103.125 go to the even neighbour (103.12).
+    """
+    k = float(10 ** d)
+    return F.bround(col_(c) * k, 0) / k

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashcurve.functions.exprs import round_dp, MONEY, RATE, dbl, first_of_month, money
+from cashcurve.functions.exprs import round_dp, round_even_dp, MONEY, RATE, dbl, first_of_month, money
 
 METRIC_COLUMNS = ["mau", "cac", "churn_rate", "ltv", "revenue_per_employee", "mrr", "expansion_mrr",
                   "contraction_mrr", "churned_mrr", "starting_mrr", "new_customers", "sm_spend",
@@ -110,17 +110,17 @@ def saas_kpis(metrics_out: DataFrame, gm: DataFrame) -> DataFrame:
     j = metrics_out.join(gm, ["company_id", "month_date"], "left")
     mrr, sm = F.col("mrr"), F.col("starting_mrr")
     z = F.lit(0.0)
-    nrr = F.when(sm > 0, round_dp((sm + F.coalesce("expansion_mrr", z) - F.coalesce("churned_mrr", z)
+    nrr = F.when(sm > 0, round_even_dp((sm + F.coalesce("expansion_mrr", z) - F.coalesce("churned_mrr", z)
                                   - F.coalesce("contraction_mrr", z)) / sm * 100, 2))
     nc = F.col("new_customers")
-    cac_inputs = F.when(F.col("sm_spend").isNotNull() & (nc > 0), round_dp(F.col("sm_spend") / nc, 2))
+    cac_inputs = F.when(F.col("sm_spend").isNotNull() & (nc > 0), round_even_dp(F.col("sm_spend") / nc, 2))
     cac_used = F.coalesce(cac_inputs, F.when(F.col("cac") != 0, F.col("cac")))
-    ltv_cac = F.when(F.col("ltv").isNotNull() & (cac_used > 0), round_dp(F.col("ltv") / cac_used, 2))
+    ltv_cac = F.when(F.col("ltv").isNotNull() & (cac_used > 0), round_even_dp(F.col("ltv") / cac_used, 2))
     denom = mrr * (F.col("gross_margin_percent") / 100.0)
     payback = F.when((cac_used > 0) & mrr.isNotNull() & F.col("gross_margin_percent").isNotNull() & (denom > 0),
-                     round_dp(cac_used / denom, 2))
+                     round_even_dp(cac_used / denom, 2))
     start = F.col("customers_start_of_month")
-    churn = F.when(start > 0, round_dp(F.coalesce(F.col("customers_lost"), F.lit(0)) / start * 100, 4))
+    churn = F.when(start > 0, round_even_dp(F.coalesce(F.col("customers_lost"), F.lit(0)) / start * 100, 4))
     return j.select(
         "company_id", "month_date", mrr.alias("mrr"), (mrr * 12).alias("arr"), nrr.alias("nrr_percent"),
         cac_inputs.alias("cac_from_inputs"), F.col("cac").alias("cac_stored"), ltv_cac.alias("ltv_cac_ratio"),

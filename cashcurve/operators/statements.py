@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashcurve.functions.exprs import round_dp, dbl, first_of_month
+from cashcurve.functions.exprs import round_dp, round_even_dp, dbl, first_of_month
 
 # P&L line keys and labels, in display order.
 PL_LINES = [
@@ -44,7 +44,7 @@ def dol(health: DataFrame) -> DataFrame:
     gp = F.coalesce(F.col("gross_profit"), F.lit(0.0))
     np_ = F.coalesce(F.col("net_profit"), F.lit(0.0))
     return health.select("company_id", "forecast_month", "gross_profit", "net_profit",
-                         F.when(np_ != 0, round_dp(gp / np_, 4)).alias("dol"))
+                         F.when(np_ != 0, round_even_dp(gp / np_, 4)).alias("dol"))
 
 
 def rule_of_40(health: DataFrame) -> DataFrame:
@@ -54,14 +54,14 @@ def rule_of_40(health: DataFrame) -> DataFrame:
     np_ = F.coalesce(F.col("net_profit"), F.lit(0.0))
     pos = F.row_number().over(w)
     prev = F.coalesce(F.lag("revenue", 12).over(w), F.lit(0.0))
-    yoy = F.when((pos > 12) & (prev > 0), round_dp((rev - prev) / prev * 100, 2))
-    margin = F.when(rev > 0, round_dp(np_ / rev * 100, 2))
+    yoy = F.when((pos > 12) & (prev > 0), round_even_dp((rev - prev) / prev * 100, 2))
+    margin = F.when(rev > 0, round_even_dp(np_ / rev * 100, 2))
     out = health.select("company_id", "forecast_month", "revenue", "net_profit",
                         yoy.alias("yoy_growth_percent"), margin.alias("net_margin_percent"))
     return out.withColumn(
         "rule_of_40",
         F.when(F.col("yoy_growth_percent").isNotNull() & F.col("net_margin_percent").isNotNull(),
-               round_dp(F.col("yoy_growth_percent") + F.col("net_margin_percent"), 2)))
+               round_even_dp(F.col("yoy_growth_percent") + F.col("net_margin_percent"), 2)))
 
 
 def pl_matrix_long(health: DataFrame) -> DataFrame:

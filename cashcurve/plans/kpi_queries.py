@@ -63,19 +63,19 @@ METRIC_NEEDS = ["one_off_expenses"]
 
 KPI_SELECT = """
     SELECT company_id, month_date, mrr, mrr * 12 AS arr,
-           CASE WHEN starting_mrr > 0 THEN ROUND((starting_mrr + COALESCE(expansion_mrr, 0) - COALESCE(churned_mrr, 0)
+           CASE WHEN starting_mrr > 0 THEN round_even((starting_mrr + COALESCE(expansion_mrr, 0) - COALESCE(churned_mrr, 0)
                 - COALESCE(contraction_mrr, 0)) / starting_mrr * 100, 2) END AS nrr_percent,
            cac_from_inputs, cac AS cac_stored,
-           CASE WHEN ltv IS NOT NULL AND cac_used > 0 THEN ROUND(ltv / cac_used, 2) END AS ltv_cac_ratio,
+           CASE WHEN ltv IS NOT NULL AND cac_used > 0 THEN round_even(ltv / cac_used, 2) END AS ltv_cac_ratio,
            CASE WHEN cac_used > 0 AND mrr IS NOT NULL AND gross_margin_percent IS NOT NULL
                  AND mrr * (gross_margin_percent / 100.0) > 0
-                THEN ROUND(cac_used / (mrr * (gross_margin_percent / 100.0)), 2) END AS cac_payback_months,
+                THEN round_even(cac_used / (mrr * (gross_margin_percent / 100.0)), 2) END AS cac_payback_months,
            CASE WHEN customers_start_of_month > 0
-                THEN ROUND(COALESCE(customers_lost, 0) / customers_start_of_month * 100, 4) END AS monthly_churn_percent,
+                THEN round_even(COALESCE(customers_lost, 0) / customers_start_of_month * 100, 4) END AS monthly_churn_percent,
            churn_rate AS churn_rate_stored, ltv AS ltv_stored, gross_margin_percent
     FROM (SELECT *, COALESCE(cac_from_inputs, CASE WHEN cac <> 0 THEN cac END) AS cac_used
           FROM (SELECT *, CASE WHEN sm_spend IS NOT NULL AND new_customers > 0
-                               THEN ROUND(sm_spend / new_customers, 2) END AS cac_from_inputs
+                               THEN round_even(sm_spend / new_customers, 2) END AS cac_from_inputs
                 FROM kpi_in) a) b"""
 
 

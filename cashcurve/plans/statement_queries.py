@@ -10,15 +10,15 @@ from cashcurve.sources.model import ModelTables
 
 R40_CTE = ("r40", """
     SELECT company_id, forecast_month, revenue, net_profit, yoy AS yoy_growth_percent, margin AS net_margin_percent,
-           CASE WHEN yoy IS NOT NULL AND margin IS NOT NULL THEN ROUND(yoy + margin, 2) END AS rule_of_40
-    FROM (SELECT *, CASE WHEN pos > 12 AND prev > 0 THEN ROUND((revenue - prev) / prev * 100, 2) END AS yoy,
-                 CASE WHEN revenue > 0 THEN ROUND(net_profit / revenue * 100, 2) END AS margin
+           CASE WHEN yoy IS NOT NULL AND margin IS NOT NULL THEN round_even(yoy + margin, 2) END AS rule_of_40
+    FROM (SELECT *, CASE WHEN pos > 12 AND prev > 0 THEN round_even((revenue - prev) / prev * 100, 2) END AS yoy,
+                 CASE WHEN revenue > 0 THEN round_even(net_profit / revenue * 100, 2) END AS margin
           FROM (SELECT *, row_number() OVER w AS pos, COALESCE(lag(revenue, 12) OVER w, 0) AS prev
                 FROM health WINDOW w AS (PARTITION BY company_id ORDER BY forecast_month)) a) b""")
 DOL_CTE = ("dol_t", """
     SELECT company_id, forecast_month, gross_profit, net_profit,
            CASE WHEN COALESCE(net_profit, 0) <> 0
-                THEN ROUND(COALESCE(gross_profit, 0) / COALESCE(net_profit, 0), 4) END AS dol
+                THEN round_even(COALESCE(gross_profit, 0) / COALESCE(net_profit, 0), 4) END AS dol
     FROM health""")
 LATEST_CASH_CTE = ("latest_cash", """
     SELECT company_id, balance_date, total_cash FROM (
