@@ -11,7 +11,7 @@ DataFrame of many keys for many companies and every update is
   so a key holding a third of all rows is combined map-side; there is no
   full outer join and no per-key collect.
 * deletes are ``left_anti`` joins, SET NULL is a left join + ``when``.
-* validation (lead must exist for the company) is ``left_semi`` / ``left_anti``.
+* validation (lead must exist for the company) is one left join that flags each patch.
 * new snapshots are written as new version directories (``SnapshotTable``):
   parquet has no MERGE, and overwriting a path that is being read fails.
 """
@@ -70,22 +70,32 @@ def set_null(child: DataFrame, surviving_parent: DataFrame, fk: str, pk: str = "
     return j.select(*[F.when(F.col("_alive"), F.col(fk)).alias(fk) if c == fk else F.col(c) for c in child.columns])
 
 
+def annotate_lead_patches(patches: DataFrame, leads: DataFrame) -> DataFrame:
+    """Mark each (company, line, lead) patch accepted when it clears the lead (NULL) or the
+    lead exists *for that company*; otherwise it is rejected ("Lead not found for this company")."""
+    ld = leads.select(F.col("id").alias("lead_id"), "company_id", F.lit(True).alias("_lead_ok"))
+    j = patches.join(ld, ["lead_id", "company_id"], "left")
+    return j.select(*patches.columns,
+                    (F.col("lead_id").isNull() | F.coalesce(F.col("_lead_ok"), F.lit(False))).alias("accepted"))
+
+
 def validate_lead_patches(patches: DataFrame, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A patch may set a lead only if the lead exists *for that company* (clearing is always allowed)."""
-    ld = leads.select(F.col("id").alias("lead_id"), "company_id")
-    setting = patches.filter(F.col("lead_id").isNotNull())
-    clearing = patches.filter(F.col("lead_id").isNull())
-    ok = setting.join(ld, ["lead_id", "company_id"], "left_semi").unionByName(clearing)
-    bad = setting.join(ld, ["lead_id", "company_id"], "left_anti")
-    return ok, bad
-
-
-def patch_lines_lead(lines: DataFrame, accepted_patches: DataFrame) -> DataFrame:
-    """UPDATE lines SET lead_id = patch WHERE (company, line key) matches (set or clear)."""
-    p = accepted_patches.select("company_id", "idempotency_key", F.col("lead_id").alias("_new_lead"),
-                                F.lit(True).alias("_patched"))
+    """C9 split form: (accepted patches, rejected patches)."""
+    a = annotate_lead_patches(patches, leads)
+    return a.filter("accepted").drop("accepted"), a.filter(~F.col("accepted")).drop("accepted")
+
+
+def patch_lines_lead(lines: DataFrame, patches: DataFrame) -> DataFrame:
+    """UPDATE lines SET lead_id = patch WHERE (company, line key) matches (set or clear).
+
+    ``patches`` may carry an ``accepted`` flag (from ``annotate_lead_patches``);
+    rejected patches leave the line unchanged.
+    """
+    ok = F.col("accepted") if "accepted" in patches.columns else F.lit(True)
+    p = patches.select("company_id", "idempotency_key", F.col("lead_id").alias("_new_lead"), ok.alias("_patched"))
     j = lines.join(p, ["company_id", "idempotency_key"], "left")
-    return j.select(*[F.when(F.col("_patched"), F.col("_new_lead")).otherwise(F.col("lead_id")).alias("lead_id")
+    return j.select(*[F.when(F.coalesce(F.col("_patched"), F.lit(False)), F.col("_new_lead"))
+                      .otherwise(F.col("lead_id")).alias("lead_id")
                       if c == "lead_id" else F.col(c) for c in lines.columns])
 
 

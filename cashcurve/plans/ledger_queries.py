@@ -5,7 +5,7 @@ from __future__ import annotations
 from cashcurve.operators import ledger as lg
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
-from cashcurve.sources.ledger_pages import landed_pages
+from cashcurve.sources.ledger_pages import landing_zone
 from cashcurve.sources.model import ModelTables
 
 # Oracle: the expected ledger lines computed from the base tables with the landing rules
@@ -47,7 +47,7 @@ LEDGER_CTES = [
 
 
 def documents_of(m: ModelTables):
-    return lg.normalised_documents(landed_pages(m), m.connections)
+    return lg.normalised_documents(landing_zone(m), m.connections)
 
 
 @register("ledger_lines", oracle=with_tables(["lead_links"], """

@@ -10,7 +10,7 @@ from cashcurve.plans.ledger_queries import LEDGER_CTES
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
 from cashcurve.session import checkpoint_dir
-from cashcurve.sources.ledger_pages import landed_pages
+from cashcurve.sources.ledger_pages import landing_zone
 from cashcurve.sources.model import ModelTables
 from cashcurve.streaming.ingest import land_pages, start_ingest
 
@@ -31,7 +31,7 @@ def q_stream_ingest(spark, sf_dir):
     """
     m = ModelTables(spark, sf_dir)
     root = os.path.join(checkpoint_dir(spark), f"stream-ingest-{uuid.uuid4().hex[:12]}")
-    glob = land_pages(landed_pages(m), os.path.join(root, "landing"), ARRIVALS)
+    glob = land_pages(landing_zone(m), os.path.join(root, "landing"), ARRIVALS)
     q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), m.connections, m.lead_links)
     q.awaitTermination()
     return lg.lines_output(sink.table.read())
