@@ -149,3 +149,15 @@ def complete_sessions(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     return j.select(F.col("id").alias("session_id"), "company_id",
                     F.when(now | F.col("is_completed"), "completed").otherwise(F.col("status")).alias("status"),
                     F.col("is_completed").alias("was_completed"), now.alias("completed_now"))
+
+
+def new_sessions(requests: DataFrame, sessions: DataFrame, connections: DataFrame) -> DataFrame:
+    """K8 + A7 + D16: one new in-progress session per requesting company, ids after the current
+    maximum, each carrying the company's integration snapshot."""
+    from cashcurve.operators.upsert import assign_ids, max_id
+    need = requests.select("company_id")
+    flags = integration_flags(connections)
+    rows = assign_ids(need, ["company_id"], max_id(sessions)).join(flags, "company_id", "left")
+    return rows.select("id", "company_id", F.lit("in_progress").alias("status"),
+                       F.coalesce("xero", F.lit(False)).alias("snapshot_xero"),
+                       F.coalesce("quickbooks", F.lit(False)).alias("snapshot_quickbooks"))

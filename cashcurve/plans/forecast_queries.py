@@ -139,3 +139,10 @@ def q_afloat_status(spark, sf_dir):
         FROM health_exact GROUP BY company_id) a) b"""))
 def q_pipeline_coverage(spark, sf_dir):
     return fc.pipeline_coverage(health_exact_of(ModelTables(spark, sf_dir)))
+
+
+@register("dashboard_json", no_oracle="JSON text formatting differs between engines; tests parse it back")
+def q_dashboard_json(spark, sf_dir):
+    """The dashboard rows (I1) as API JSON documents, one per company-month."""
+    from cashcurve.operators.sinks import to_json_rows
+    return to_json_rows(health_of(ModelTables(spark, sf_dir)), ["company_id", "forecast_month"])

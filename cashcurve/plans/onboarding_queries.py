@@ -127,3 +127,16 @@ def q_complete_sessions(spark, sf_dir):
     req = (m.onboarding_messages.filter(F.col("role") == "user").groupBy("session_id")
            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_USER_TURNS_TO_COMPLETE))
     return ob.complete_sessions(m.onboarding_sessions, req)
+
+
+@register("new_sessions", oracle=with_tables(["companies", "sessions", "connections"], """
+    SELECT (SELECT COALESCE(MAX(id), 0) FROM sessions) + row_number() OVER (ORDER BY c.id) AS id,
+           c.id AS company_id, 'in_progress' AS status,
+           COALESCE(bool_or(lower(k.service_name) = 'xero'), FALSE) AS snapshot_xero,
+           COALESCE(bool_or(lower(k.service_name) = 'quickbooks'), FALSE) AS snapshot_quickbooks
+    FROM companies c LEFT JOIN connections k ON k.company_id = c.id
+    GROUP BY c.id"""))
+def q_new_sessions(spark, sf_dir):
+    """Every company starts a new onboarding session."""
+    m = ModelTables(spark, sf_dir)
+    return ob.new_sessions(m.companies.select(F.col("id").alias("company_id")), m.onboarding_sessions, m.connections)
