@@ -95,7 +95,7 @@ def q_trend_series(spark, sf_dir):
 @register("top_products", oracle=with_tables(["forecast_entries", "products"], f"""
     SELECT company_id, rank, name, CAST(total_revenue AS DOUBLE) AS total_revenue FROM (
       SELECT company_id, name, total_revenue,
-             row_number() OVER (PARTITION BY company_id ORDER BY total_revenue DESC NULLS FIRST, name ASC) AS rank
+             CAST(row_number() OVER (PARTITION BY company_id ORDER BY total_revenue DESC NULLS FIRST, name ASC) AS INTEGER) AS rank
       FROM (SELECT f.company_id, p.name,
                    SUM(f.units_forecasted * COALESCE(f.price_override, p.default_sales_price)) AS total_revenue
             FROM forecast_entries f JOIN products p ON f.product_id = p.id
@@ -109,7 +109,7 @@ def q_top_products(spark, sf_dir):
 @register("recent_months", oracle=with_tables(["health"], f"""
     SELECT company_id, recency, forecast_month, revenue, net_profit, gross_margin_percent,
            revenue_needed_to_break_even FROM (
-      SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY forecast_month DESC) AS recency
+      SELECT *, CAST(row_number() OVER (PARTITION BY company_id ORDER BY forecast_month DESC) AS INTEGER) AS recency
       FROM health) t
     WHERE recency <= {RECENT_MONTHS}"""))
 def q_recent_months(spark, sf_dir):

@@ -15,7 +15,7 @@ from cashcurve.sources.model import ModelTables
 
 @register("dq_unique", oracle=with_tables(
     ["forecast_entries", "lead_links", "connections", "profile_patches"] + METRIC_NEEDS, """
-    SELECT name AS constraint_name, SUM(n) AS rows, count(*) AS distinct_keys,
+    SELECT name AS constraint_name, CAST(SUM(n) AS BIGINT) AS rows, count(*) AS distinct_keys,
            count(*) FILTER (WHERE n > 1) AS duplicate_keys
     FROM (SELECT 'forecast_entries(company_id, product_id, forecast_month)' AS name, count(*) AS n
           FROM forecast_entries GROUP BY company_id, product_id, forecast_month

@@ -235,3 +235,12 @@ def test_two_currencies_stay_separate(spark):
     snap = {r.currency: (r.accrual_total, r.cash_total) for r in actuals.actuals_snapshot(s, "2024-01-20").collect()}
     assert snap == {"GBP": (None, 10.0), "EUR": (7.0, 5.0)}                     # S22: currency is a key
     assert actuals.recent_actuals(s, 1).count() == 2                            # S12: 2 x months rows
+
+
+def test_json_sink_round_trips(spark):
+    import json
+    from cashcurve.operators.sinks import to_json_rows
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1), D("12.5000"), None)],
+                               "company_id int, forecast_month date, revenue decimal(19,4), be double")
+    doc = json.loads(to_json_rows(df, ["company_id"]).first().json)
+    assert doc == {"company_id": 1, "forecast_month": "2024-01-01", "revenue": 12.5, "be": None}
