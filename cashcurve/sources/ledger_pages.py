@@ -136,7 +136,8 @@ def landed_pages(m: ModelTables) -> DataFrame:
                     F.when(F.col("provider") == "xero", xero_body).otherwise(qbo_body).alias("body"))
 
 
-LANDING_VERSION = "pages-v1"
+with open(__file__, "rb") as _fh:
+    LANDING_VERSION = "pages-" + hashlib.sha1(_fh.read()).hexdigest()[:12]
 PAGE_COLUMNS = "provider string, tenant_id string, kind string, page_no bigint, body string"
 
 

@@ -15,6 +15,8 @@ model table grows with the landed data (no fixed rows).  Scale notes:
 
 from __future__ import annotations
 
+import hashlib
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,16 +47,54 @@ def _dec(text: str):
     return F.lit(text).cast(f"decimal({len(text)},{len(text.split('.')[1]) if '.' in text else 0})")
 
 
+with open(__file__, "rb") as _fh:
+    MODEL_VERSION = hashlib.sha1(_fh.read()).hexdigest()[:12]   # rebuild stored tables when the mapping changes
+
+
+def stored_table(build):
+    """Property decorator: the model table is derived once per source directory and kept as parquet.
+
+    The finance app keeps these tables in its database; here they are written
+    under the session's shared ``spark.checkpoint.dir`` the first time they are
+    needed and read back afterwards.  Readers then see a plain parquet table
+    with file statistics (small dimensions are broadcast at plan time, large
+    ones shuffle-joined) and the lineage to the landed facts is cut.
+    """
+    def prop(self):
+        if not self.stored:
+            return build(self)
+        return self._stored(build.__name__, lambda: build(self))
+    prop.__name__ = build.__name__
+    prop.__doc__ = build.__doc__
+    return cached_property(prop)
+
+
 class ModelTables:
-    """Lazily derived model tables; each property is a DataFrame (no action runs)."""
+    """The model tables; each property is a DataFrame.
+
+    ``stored=True`` (default) materialises each table once per source directory
+    (see ``stored_table``); ``stored=False`` returns the derivation itself (used by
+    plan tests that look at pushdown into the landed scans).
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.stored = stored
         self.raw = RawTables(spark, sf_dir)
 
+    def _stored(self, name: str, build) -> DataFrame:
+        from cashcurve.session import checkpoint_dir
+        digest = hashlib.sha1(os.path.abspath(self.sf_dir).encode()).hexdigest()[:12]
+        root = os.path.join(checkpoint_dir(self.spark), "model", f"{MODEL_VERSION}-{digest}", name)
+        try:
+            self.spark.read.text(os.path.join(root, "_SUCCESS")).limit(1).collect()
+        except Exception:  # noqa: BLE001 - not stored yet, or an interrupted write: (re)build it
+            build().write.mode("overwrite").parquet(root)
+        return self.spark.read.parquet(root)
+
     # -- helpers -------------------------------------------------------------
-    @cached_property
+    @stored_table
     def order_company(self) -> DataFrame:
         """order key -> company (c_nationkey of the order's customer), plus customer attrs."""
         o = self.raw.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
@@ -63,11 +103,11 @@ class ModelTables:
         return o.join(c, o.o_custkey == c.c_custkey, "inner")
 
     # -- model tables ----------------------------------------------------------
-    @cached_property
+    @stored_table
     def companies(self) -> DataFrame:
         return self.raw.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
 
-    @cached_property
+    @stored_table
     def products(self) -> DataFrame:
         p = self.raw.part
         return p.select(
@@ -80,7 +120,7 @@ class ModelTables:
             F.lit(True).alias("is_active"),
         )
 
-    @cached_property
+    @stored_table
     def forecast_entries(self) -> DataFrame:
         """Units per company x product x ship month, with sparse price/COGS overrides."""
         li = self.raw.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax",
@@ -104,7 +144,7 @@ class ModelTables:
                    money(F.col("p_retailprice") * float(COGS_OVERRIDE_FACTOR))).alias("cogs_override"),
         )
 
-    @cached_property
+    @stored_table
     def fixed_expenses(self) -> DataFrame:
         s = self.raw.supplier
         k = F.col("s_suppkey")
@@ -115,7 +155,7 @@ class ModelTables:
             (F.lit(1) + k % 28).cast("int").alias("payment_day"),
         )
 
-    @cached_property
+    @stored_table
     def leads(self) -> DataFrame:
         oc = self.order_company.filter(
             F.col("o_orderstatus").isin("O", "P") & (F.col("o_orderdate") >= F.lit(LEAD_MIN_DATE).cast("timestamp_ntz")))
@@ -130,7 +170,7 @@ class ModelTables:
             F.col("o_custkey").alias("custkey"),
         )
 
-    @cached_property
+    @stored_table
     def cash_balances(self) -> DataFrame:
         last = self.raw.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
         c = self.raw.customer.select("c_custkey", "c_nationkey", "c_acctbal")
@@ -141,7 +181,7 @@ class ModelTables:
             money(F.col("c_acctbal") * CASH_FACTOR).alias("total_cash"),
         )
 
-    @cached_property
+    @stored_table
     def one_off_expenses(self) -> DataFrame:
         li = self.raw.lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)).select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
@@ -155,7 +195,7 @@ class ModelTables:
             F.to_date("l_shipdate").alias("expense_date"),
         )
 
-    @cached_property
+    @stored_table
     def projects(self) -> DataFrame:
         c = self.raw.customer
         return c.select(
@@ -164,7 +204,7 @@ class ModelTables:
             F.when(F.col("c_custkey") % 2 == 0, "active").otherwise("planned").alias("status"),
         )
 
-    @cached_property
+    @stored_table
     def project_budgets(self) -> DataFrame:
         o = self.raw.orders
         return o.select(
@@ -176,7 +216,7 @@ class ModelTables:
             F.to_date("o_orderdate").alias("start_date"),
         )
 
-    @cached_property
+    @stored_table
     def installments(self) -> DataFrame:
         li = self.raw.lineitem
         return li.select(
@@ -185,7 +225,7 @@ class ModelTables:
             F.to_date("l_shipdate").alias("expected_payment_date"),
         )
 
-    @cached_property
+    @stored_table
     def lead_links(self) -> DataFrame:
         """Contact -> lead links: per (company, provider, contact) the smallest lead id."""
         ld = self.leads
@@ -194,7 +234,7 @@ class ModelTables:
                         F.when(F.col("custkey") % 2 == 0, "xero").otherwise("quickbooks").alias("provider"),
                         F.concat(F.lit("C"), F.col("custkey").cast("string")).alias("external_contact_id")))
 
-    @cached_property
+    @stored_table
     def connections(self) -> DataFrame:
         """One connection per company and provider that has customers on that provider."""
         oc = self.order_company.select(F.col("c_nationkey").alias("company_id"),
@@ -209,14 +249,14 @@ class ModelTables:
         )
 
     # -- onboarding (conversations, events) ---------------------------------
-    @cached_property
+    @stored_table
     def onboarding_messages(self) -> DataFrame:
         cv = self.raw.conversations
         return cv.select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"),
             F.col("turn"), "role", F.col("text").alias("content"))
 
-    @cached_property
+    @stored_table
     def onboarding_sessions(self) -> DataFrame:
         s = self.raw.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
         done = ((F.col("conv_id") % N_COMPANIES) < 15) & (F.col("conv_id") % 2 == 0)
@@ -226,7 +266,7 @@ class ModelTables:
             F.when(done, F.lit(True)).otherwise(F.lit(False)).alias("is_completed"),
         )
 
-    @cached_property
+    @stored_table
     def profile_patches(self) -> DataFrame:
         ev = self.raw.events
         return ev.select(

@@ -60,16 +60,19 @@ def test_no_cartesian_product_and_no_python_udf(spark, key):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_tenant_filter_reaches_below_the_window(spark, model):
-    df = health_of(model).filter(F.col("company_id") == 3)
+@pytest.mark.parametrize("stored", [True, False])
+def test_tenant_filter_reaches_below_the_window(spark, stored):
+    df = health_of(ModelTables(spark, SF_SMALL, stored=stored)).filter(F.col("company_id") == 3)
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     window_at = opt.find("Window [")
     assert window_at >= 0 and "company_id#" in opt[window_at:] and "= 3" in opt[window_at:]
+    if stored:   # the tenant filter reaches the stored forecast scan as a pushed parquet filter
+        assert "EqualTo(company_id,3)" in _plan(df)
 
 
-def test_parquet_scan_prunes_columns_and_pushes_filters(spark, model):
+def test_parquet_scan_prunes_columns_and_pushes_filters(spark):
     import re
-    plan = _plan(health_of(model))
+    plan = _plan(health_of(ModelTables(spark, SF_SMALL, stored=False)))
     scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
     li = [s for s in scans if "l_orderkey" in s]
     assert li and all(re.sub(r"#\d+L?", "", s).split(",") == [
