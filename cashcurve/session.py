@@ -38,7 +38,7 @@ def build_session(master: str | None = None, app: str = "cashcurve",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Get or create a session with the engine's semantic settings applied."""
     builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", os.environ.get("CASHCURVE_DRIVER_MEMORY", "6g")))
+               .config("spark.driver.memory", os.environ.get("CASHCURVE_DRIVER_MEMORY", "3g")))
     if master:
         builder = builder.master(master)
     for k, v in {**TUNING_CONF, **SEMANTIC_CONF, **(extra or {})}.items():
@@ -63,8 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     filesystem / object store).  Only when it is unset (local tests) a scratch
     directory is created and registered.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        sc = None
+    configured = sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
     if not configured:
         try:
             configured = spark.conf.get("spark.checkpoint.dir")
@@ -73,6 +76,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = tempfile.mkdtemp(prefix="cashcurve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
