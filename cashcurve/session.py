@@ -60,8 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared directory for lineage cuts and snapshot versions.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    filesystem / object store).  Only when it is unset (local tests) a scratch
-    directory is created and registered.
+    filesystem / object store); a cluster session without it is an error.  Only
+    a local-mode session with the setting unset (tests, local runs) gets a
+    scratch directory created and registered.
     """
     try:
         sc = spark.sparkContext
@@ -74,6 +75,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset conf raises on some versions
             configured = None
     if not configured:
+        try:
+            master = spark.conf.get("spark.master")
+        except Exception:  # noqa: BLE001
+            master = ""
+        if not str(master).startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: snapshots, stored model tables and stream "
+                               "checkpoints need a shared folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="cashcurve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None and sc.getCheckpointDir() is None:
