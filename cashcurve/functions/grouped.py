@@ -19,11 +19,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def pinned_partitions(df: DataFrame) -> DataFrame:
+    """Tag rows with their partition id and pin that assignment.
+
+    The tagged rows are read twice (per-partition totals and the rows
+    themselves); a range repartition planned twice could sample different
+    bounds, so the tagged rows are checkpointed (reliably, to the shared
+    ``spark.checkpoint.dir``) and both readers see the same files, also after
+    an executor loss.
+    """
+    from cashcurve.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+
+
 def running_count(df: DataFrame, group: str, order: list[str], predicate: Column, out: str) -> DataFrame:
     """``out`` = number of rows of the same ``group`` with ``predicate`` true, up to and including this row."""
     flag = F.when(predicate, F.lit(1)).otherwise(F.lit(0))
-    r = (df.repartitionByRange(group, *order).withColumn("_p", F.spark_partition_id())
-         .withColumn("_f", flag))
+    r = pinned_partitions(df.repartitionByRange(group, *order).withColumn("_f", flag))
     local_w = (Window.partitionBy("_p", group).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.withColumn("_local", F.sum("_f").over(local_w))

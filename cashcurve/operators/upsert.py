@@ -107,7 +107,8 @@ def assign_ids(rows: DataFrame, order_cols: list[str], start) -> DataFrame:
     so the offset table has a proven size bound and is broadcast).  ``start``
     is an int or a scalar Column such as ``base.select(max(id)).scalar()``.
     """
-    r = rows.repartitionByRange(*order_cols).withColumn("_p", F.spark_partition_id())
+    from cashcurve.functions.grouped import pinned_partitions
+    r = pinned_partitions(rows.repartitionByRange(*order_cols))
     counts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(
         Window.unboundedPreceding, -1))).alias("_off"))
