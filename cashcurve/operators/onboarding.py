@@ -161,3 +161,14 @@ def new_sessions(requests: DataFrame, sessions: DataFrame, connections: DataFram
     return rows.select("id", "company_id", F.lit("in_progress").alias("status"),
                        F.coalesce("xero", F.lit(False)).alias("snapshot_xero"),
                        F.coalesce("quickbooks", F.lit(False)).alias("snapshot_quickbooks"))
+
+
+def profile_document(profile: DataFrame) -> DataFrame:
+    """K9 + H8: the merged profile per company as a map (keys in sorted order) with its version.
+
+    One map per company, built from (key, value) rows; its size is bounded by
+    the profile's key vocabulary, not by the number of patches.
+    """
+    g = profile.groupBy("company_id", "profile_version").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"))
+    return g.select("company_id", "profile_version", "data", F.array_sort(F.map_keys("data")).alias("profile_keys"))

@@ -146,3 +146,14 @@ def q_dashboard_json(spark, sf_dir):
     """The dashboard rows (I1) as API JSON documents, one per company-month."""
     from cashcurve.operators.sinks import to_json_rows
     return to_json_rows(health_of(ModelTables(spark, sf_dir)), ["company_id", "forecast_month"])
+
+
+@register("financial_health_v1", oracle=with_tables(["health"], """
+    SELECT company_id, forecast_month, revenue, gross_profit, fixed_costs, net_profit, gross_margin_percent,
+           revenue_needed_to_break_even
+    FROM health"""))
+def q_financial_health_v1(spark, sf_dir):
+    """The earlier view version (no variable costs, pipeline or running total) -- a projection of I1."""
+    return health_of(ModelTables(spark, sf_dir)).select(
+        "company_id", "forecast_month", "revenue", "gross_profit", "fixed_costs", "net_profit",
+        "gross_margin_percent", "revenue_needed_to_break_even")

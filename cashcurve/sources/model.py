@@ -10,7 +10,9 @@ model table grows with the landed data (no fixed rows).  Scale notes:
   (forecast entries are aggregated to company x part x month before ``part``
   is joined; cash balances aggregate orders per customer first).
 * Ids are computed from the row's own key, never with a global ``row_number``
-  (which would pull every row through one task).
+  (which would pull every row through one task).  The forecast id packs
+  (product, company, month) and assumes fewer than 100 companies, as in this
+  test data (25); it is a fixture artefact -- no operator depends on id layout.
 """
 
 from __future__ import annotations
@@ -47,8 +49,17 @@ def _dec(text: str):
     return F.lit(text).cast(f"decimal({len(text)},{len(text.split('.')[1]) if '.' in text else 0})")
 
 
-with open(__file__, "rb") as _fh:
-    MODEL_VERSION = hashlib.sha1(_fh.read()).hexdigest()[:12]   # rebuild stored tables when the mapping changes
+def _code_digest() -> str:
+    """Digest of the mapping code (this module and the expression helpers it uses)."""
+    from cashcurve.functions import exprs
+    h = hashlib.sha1()
+    for path in (__file__, exprs.__file__):
+        with open(path, "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
+MODEL_VERSION = _code_digest()   # stored tables are rebuilt when the mapping code changes
 
 
 def stored_table(build):

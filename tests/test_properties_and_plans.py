@@ -101,3 +101,37 @@ def test_stream_replay_changes_nothing(spark, model):
     batch = QUERIES["ledger_lines"](spark, SF_SMALL)
     from cashcurve.operators.ledger import lines_output
     assert lines_output(sink2.table.read()).exceptAll(batch).count() == 0
+
+
+def test_company_alone_equals_its_slice_for_runway_variance_and_kpis(spark, model):
+    from cashcurve.operators import kpis
+    from cashcurve.operators import runway as rw
+    c = 4
+
+    def only(df, col="company_id"):
+        return df.filter(F.col(col) == c)
+
+    all_rw = rw.runway(rw.runway_inputs(model.companies, model.cash_balances, model.fixed_expenses, model.leads,
+                                        model.one_off_expenses, health_exact_of(model)))
+    alone_rw = rw.runway(rw.runway_inputs(only(model.companies, "id"), only(model.cash_balances),
+                                          only(model.fixed_expenses), only(model.leads), only(model.one_off_expenses),
+                                          fc.financial_health_exact(fc.forecast_details(only(model.forecast_entries),
+                                                                                        model.products),
+                                                                    only(model.fixed_expenses), only(model.leads))))
+    assert sorted(map(tuple, only(all_rw).collect())) == sorted(map(tuple, alone_rw.collect()))
+
+    all_pv = pj.project_variance(model.projects, model.project_budgets, model.one_off_expenses)
+    alone_pv = pj.project_variance(only(model.projects), model.project_budgets, only(model.one_off_expenses))
+    assert sorted(map(tuple, only(all_pv).collect())) == sorted(map(tuple, alone_pv.collect()))
+
+    all_m = kpis.monthly_metrics(model.order_company, model.one_off_expenses)
+    alone_m = kpis.monthly_metrics(model.order_company.filter(F.col("c_nationkey") == c), only(model.one_off_expenses))
+    assert sorted(map(tuple, only(all_m).collect())) == sorted(map(tuple, alone_m.collect()))
+
+
+def test_profile_document_map(spark, model):
+    from cashcurve.operators import onboarding as ob
+    rows = ob.profile_merge(model.profile_patches)
+    doc = ob.profile_document(rows).filter(F.col("company_id") == 1).first()
+    flat = {r.key: r.value for r in rows.filter(F.col("company_id") == 1).collect()}
+    assert dict(doc.data) == flat and doc.profile_keys == sorted(flat)
