@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import money
-from cashcurve.sources.model import ModelTables
+from cashcurve.sources.model import MODEL_VERSION, ModelTables
 
 # Fixed values of the landing rules.
 INVOICES_PER_PAGE_KEYRANGE = 100   # invoice page = order keys [100p, 100p+99] of one tenant
@@ -136,8 +136,8 @@ def landed_pages(m: ModelTables) -> DataFrame:
                     F.when(F.col("provider") == "xero", xero_body).otherwise(qbo_body).alias("body"))
 
 
-with open(__file__, "rb") as _fh:
-    LANDING_VERSION = "pages-" + hashlib.sha1(_fh.read()).hexdigest()[:12]
+with open(__file__, "rb") as _fh:   # pages depend on this module and on the model-table mapping
+    LANDING_VERSION = "pages-" + hashlib.sha1(_fh.read() + MODEL_VERSION.encode()).hexdigest()[:12]
 PAGE_COLUMNS = "provider string, tenant_id string, kind string, page_no bigint, body string"
 
 
