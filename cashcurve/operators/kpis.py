@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashcurve.functions.exprs import round_dp, round_even_dp, MONEY, RATE, dbl, first_of_month, money
+from cashcurve.functions.exprs import MONEY, RATE, dbl, first_of_month, money, round_even_dp
 
 METRIC_COLUMNS = ["mau", "cac", "churn_rate", "ltv", "revenue_per_employee", "mrr", "expansion_mrr",
                   "contraction_mrr", "churned_mrr", "starting_mrr", "new_customers", "sm_spend",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashcurve.functions.exprs import round_dp, round_even_dp, dbl, first_of_month
+from cashcurve.functions.exprs import dbl, first_of_month, round_even_dp
 
 # P&L line keys and labels, in display order.
 PL_LINES = [

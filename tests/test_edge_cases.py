@@ -3,7 +3,6 @@
 import datetime as dt
 from decimal import Decimal as D
 
-import pytest
 from pyspark.sql import functions as F
 
 from cashcurve.operators import forecast as fc
