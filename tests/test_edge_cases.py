@@ -243,3 +243,19 @@ def test_json_sink_round_trips(spark):
                                "company_id int, forecast_month date, revenue decimal(19,4), be double")
     doc = json.loads(to_json_rows(df, ["company_id"]).first().json)
     assert doc == {"company_id": 1, "forecast_month": "2024-01-01", "revenue": 12.5, "be": None}
+
+
+def test_kpis_without_mrr_or_metrics_row(spark):
+    schema = ("company_id int, month_date date, mau int, cac double, churn_rate double, ltv double, "
+              "revenue_per_employee double, mrr double, expansion_mrr double, contraction_mrr double, "
+              "churned_mrr double, starting_mrr double, new_customers int, sm_spend double, "
+              "customers_start_of_month int, customers_lost int")
+    mo = spark.createDataFrame([(1, m(2024, 1), 0, 300.0, 0.0, None, 0.0, None, None, None, None, None, None, None,
+                                 None, None)], schema)
+    gm = spark.createDataFrame([(1, m(2024, 1), 40.0)], "company_id int, month_date date, gross_margin_percent double")
+    k = kpis.saas_kpis(mo, gm).first()
+    assert k.mrr is None and k.arr is None and k.cac_payback_months is None     # mrr NULL
+    assert k.cac_from_inputs is None and k.ltv_cac_ratio is None                # ltv NULL, cac stored 300
+    assert k.cac_stored == 300.0 and k.nrr_percent is None
+    # a company with no metrics row at all has no KPI row (the endpoint answers with empty metrics)
+    assert kpis.latest_metrics(spark.createDataFrame([], schema)).count() == 0

@@ -67,3 +67,26 @@ def test_last_delivery_wins_within_a_batch(spark):
     links = spark.createDataFrame([], "id long, company_id int, lead_id long, provider string, external_contact_id string")
     out = lg.accepted_lines(lg.normalised_documents(pages, conns), links).collect()
     assert len(out) == 1 and float(out[0].amount) == 2.0 and out[0].posted_date == dt.date(2024, 1, 2)
+
+
+def test_missing_contact_payment_fallback_and_voided_later(spark):
+    from cashcurve.operators import upsert as up
+    conns = spark.createDataFrame([(2, 1, "xero", "T1", None)],
+                                  "id int, company_id int, service_name string, tenant_id string, realm_id string")
+    links = spark.createDataFrame([(1, 1, 42, "xero", "C9")],
+                                  "id long, company_id int, lead_id long, provider string, external_contact_id string")
+    first = ('{"Invoices":[{"InvoiceID":"A","Type":"ACCREC","Status":"PAID","Total":5,"Date":"2024-01-01"}]}')
+    pays = ('{"Payments":[{"PaymentID":"P","Status":"AUTHORISED","Amount":5,"Date":"2024-01-02",'
+            '"Invoice":{"InvoiceID":"A"},"Contact":{"ContactID":"C9","Name":"Payer"}}]}')
+    pages = _pages(spark, [("xero", "T1", "invoices", 0, first), ("xero", "T1", "payments", 0, pays)])
+    base = lg.accepted_lines(lg.normalised_documents(pages, conns), links)
+    got = {r.line_kind: r for r in base.collect()}
+    assert got["invoice_total"].external_contact_id is None and got["invoice_total"].lead_id is None
+    assert got["invoice_payment"].external_contact_id == "C9" and got["invoice_payment"].lead_id == 42
+    # the invoice is voided later: the re-sync skips it and the stored line stays as it was
+    voided = first.replace('"PAID"', '"VOIDED"').replace('"Total":5', '"Total":7')
+    delta = lg.accepted_lines(lg.normalised_documents(_pages(spark, [("xero", "T1", "invoices", 0, voided)]), conns),
+                              links)
+    assert delta.count() == 0
+    after = up.upsert(base, delta, ["company_id", "idempotency_key"], replace=["amount"])
+    assert {r.idempotency_key: float(r.amount) for r in after.collect()}["xero:T1:accrual:invoice:A"] == 5.0
