@@ -135,3 +135,11 @@ def test_profile_document_map(spark, model):
     doc = ob.profile_document(rows).filter(F.col("company_id") == 1).first()
     flat = {r.key: r.value for r in rows.filter(F.col("company_id") == 1).collect()}
     assert dict(doc.data) == flat and doc.profile_keys == sorted(flat)
+
+
+def test_stored_forecast_is_month_partitioned_and_pruned(spark):
+    import re
+    from cashcurve.plans.catalog import QUERIES
+    plan = _plan(QUERIES["month_drilldown"](spark, SF_SMALL))
+    parts = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert any("forecast_month" in p and "1998-06-01" in p for p in parts)
