@@ -12,7 +12,7 @@ from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
 from cashcurve.session import checkpoint_dir
 from cashcurve.sources.ledger_pages import LANDING_VERSION, landing_zone
-from cashcurve.sources.model import ModelTables
+from cashcurve.sources.model import ModelTables, ensure_stored
 from cashcurve.streaming.ingest import land_pages, start_ingest
 
 ARRIVALS = 3
@@ -35,10 +35,9 @@ def q_stream_ingest(spark, sf_dir):
     digest = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
     landing = os.path.join(base, "stream-landing", f"{LANDING_VERSION}-{digest}-{ARRIVALS}")
     glob = os.path.join(landing, "arrival_*")
-    try:      # the arrivals are deterministic per source: land them once, stream them every run
-        spark.read.text(os.path.join(landing, f"arrival_{ARRIVALS - 1:04d}", "_SUCCESS")).limit(1).collect()
-    except Exception:  # noqa: BLE001 - not landed yet
-        glob = land_pages(landing_zone(m), landing, ARRIVALS)
+    # the arrivals are deterministic per source: land them once, stream them every run
+    ensure_stored(spark, os.path.join(landing, f"arrival_{ARRIVALS - 1:04d}"),
+                  lambda: land_pages(landing_zone(m), landing, ARRIVALS))
     root = os.path.join(base, f"stream-ingest-{uuid.uuid4().hex[:12]}")
     q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), m.connections, m.lead_links)
     q.awaitTermination()

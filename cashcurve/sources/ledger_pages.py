@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import money
-from cashcurve.sources.model import MODEL_VERSION, ModelTables
+from cashcurve.sources.model import MODEL_VERSION, ModelTables, ensure_stored
 
 # Fixed values of the landing rules.
 INVOICES_PER_PAGE_KEYRANGE = 100   # invoice page = order keys [100p, 100p+99] of one tenant
@@ -153,8 +153,5 @@ def landing_zone(m: ModelTables) -> DataFrame:
     spark = m.spark
     digest = hashlib.sha1(os.path.abspath(m.sf_dir).encode()).hexdigest()[:16]
     root = os.path.join(checkpoint_dir(spark), "landing", f"{LANDING_VERSION}-{digest}")
-    try:
-        spark.read.text(os.path.join(root, "_SUCCESS")).limit(1).collect()
-    except Exception:  # noqa: BLE001 - not landed yet (or an interrupted write): land it
-        landed_pages(m).write.mode("overwrite").parquet(root)
+    ensure_stored(spark, root, lambda: landed_pages(m).write.mode("overwrite").parquet(root))
     return spark.read.schema(PAGE_COLUMNS).parquet(root)

@@ -62,6 +62,24 @@ def _code_digest() -> str:
 MODEL_VERSION = _code_digest()   # stored tables are rebuilt when the mapping code changes
 
 
+_COMPLETE: set[str] = set()   # stored directories already known to be complete (immutable per digest)
+
+
+def ensure_stored(spark: SparkSession, root: str, write) -> None:
+    """Run ``write()`` unless ``root`` already holds a completed write (its ``_SUCCESS`` marker).
+
+    A stored directory never changes once complete (its path carries the code
+    digest), so the check runs once per process and directory.
+    """
+    if root in _COMPLETE:
+        return
+    try:
+        spark.read.text(os.path.join(root, "_SUCCESS")).limit(1).collect()
+    except Exception:  # noqa: BLE001 - not stored yet, or an interrupted write: (re)build it
+        write()
+    _COMPLETE.add(root)
+
+
 def stored_table(build=None, *, partition_by: str | None = None, cluster_by: tuple[str, ...] = ()):
     """Property decorator: the model table is derived once per source directory and kept as parquet.
 
@@ -110,15 +128,16 @@ class ModelTables:
         digest = hashlib.sha1(os.path.abspath(self.sf_dir).encode()).hexdigest()[:12]
         root = os.path.join(checkpoint_dir(self.spark), "model", f"{MODEL_VERSION}-{digest}", name)
         df = build()
-        try:
-            self.spark.read.text(os.path.join(root, "_SUCCESS")).limit(1).collect()
-        except Exception:  # noqa: BLE001 - not stored yet, or an interrupted write: (re)build it
+
+        def write():
             if partition_by:
                 keys = [partition_by, *cluster_by]
                 df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite") \
                     .partitionBy(partition_by).parquet(root)
             else:
                 df.write.mode("overwrite").parquet(root)
+
+        ensure_stored(self.spark, root, write)
         # explicit schema: partition columns keep their type, columns keep their order
         return self.spark.read.schema(df.schema).parquet(root).select(*df.columns)
 
