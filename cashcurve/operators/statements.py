@@ -8,7 +8,7 @@ bounded by the number of months per company, not by the size of the facts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import dbl, first_of_month, round_even_dp
@@ -39,39 +39,51 @@ BALANCE_SHEET_LINES = [
 ]
 
 
-def dol(health: DataFrame) -> DataFrame:
+def dol_column() -> Column:
     """Degree of operating leverage = round(gp / np, 4); NULL when np = 0 (NULLs count as 0)."""
     gp = F.coalesce(F.col("gross_profit"), F.lit(0.0))
     np_ = F.coalesce(F.col("net_profit"), F.lit(0.0))
-    return health.select("company_id", "forecast_month", "gross_profit", "net_profit",
-                         F.when(np_ != 0, round_even_dp(gp / np_, 4)).alias("dol"))
+    return F.when(np_ != 0, round_even_dp(gp / np_, 4))
 
 
-def rule_of_40(health: DataFrame) -> DataFrame:
-    """I11 + E2: YoY growth against the row 12 *positions* earlier (S5) plus net margin, both 2 dp."""
+def dol(health: DataFrame) -> DataFrame:
+    """I10 per company x month."""
+    return health.select("company_id", "forecast_month", "gross_profit", "net_profit", dol_column().alias("dol"))
+
+
+def with_rule_of_40(health: DataFrame) -> DataFrame:
+    """I11 + E2 as added columns: YoY growth against the row 12 *positions* earlier (S5) plus net
+    margin, both 2 dp, and their 2-dp sum.  One window over company-month rows."""
     w = Window.partitionBy("company_id").orderBy("forecast_month")
     rev = F.coalesce(F.col("revenue"), F.lit(0.0))
     np_ = F.coalesce(F.col("net_profit"), F.lit(0.0))
     pos = F.row_number().over(w)
     prev = F.coalesce(F.lag("revenue", 12).over(w), F.lit(0.0))
-    yoy = F.when((pos > 12) & (prev > 0), round_even_dp((rev - prev) / prev * 100, 2))
-    margin = F.when(rev > 0, round_even_dp(np_ / rev * 100, 2))
-    out = health.select("company_id", "forecast_month", "revenue", "net_profit",
-                        yoy.alias("yoy_growth_percent"), margin.alias("net_margin_percent"))
+    out = health.select("*", F.when((pos > 12) & (prev > 0), round_even_dp((rev - prev) / prev * 100, 2))
+                        .alias("yoy_growth_percent"),
+                        F.when(rev > 0, round_even_dp(np_ / rev * 100, 2)).alias("net_margin_percent"))
     return out.withColumn(
         "rule_of_40",
         F.when(F.col("yoy_growth_percent").isNotNull() & F.col("net_margin_percent").isNotNull(),
                round_even_dp(F.col("yoy_growth_percent") + F.col("net_margin_percent"), 2)))
 
 
+def rule_of_40(health: DataFrame) -> DataFrame:
+    """I11 per company x month."""
+    return with_rule_of_40(health).select("company_id", "forecast_month", "revenue", "net_profit",
+                                          "yoy_growth_percent", "net_margin_percent", "rule_of_40")
+
+
 def pl_matrix_long(health: DataFrame) -> DataFrame:
-    """The 8-line P&L per company x month in long form (line_key, value), via unpivot."""
-    r40 = rule_of_40(health).select("company_id", "forecast_month", "rule_of_40")
-    d = dol(health).select("company_id", "forecast_month", "dol")
-    wide = (health.join(d, ["company_id", "forecast_month"]).join(r40, ["company_id", "forecast_month"])
+    """The 8-line P&L per company x month in long form (line_key, value), via unpivot.
+
+    DOL and Rule of 40 are columns of the same company-month rows (one window),
+    so the health table is computed once -- no self-joins.
+    """
+    wide = (with_rule_of_40(health)
             .select("company_id", "forecast_month", "revenue", "variable_costs",
                     F.col("gross_profit").alias("contribution_margin"), "fixed_costs", "net_profit",
-                    "gross_margin_percent", "dol", "rule_of_40"))
+                    "gross_margin_percent", dol_column().alias("dol"), "rule_of_40"))
     long = wide.unpivot(["company_id", "forecast_month"], [k for k, _ in PL_LINES], "line_key", "value")
     labels = F.create_map(*[x for k, lbl in PL_LINES for x in (F.lit(k), F.lit(lbl))])
     orders = F.create_map(*[x for i, (k, _) in enumerate(PL_LINES) for x in (F.lit(k), F.lit(i + 1))])
