@@ -4,11 +4,10 @@ X6 derives the monthly metric inputs the reference expects a founder to type
 in (MRR, its movements, new / lost customers) from the order facts:
 
 * customer x month revenue is one partial+final aggregate;
-* month-over-month movements come from an equi-join of that table with itself
-  shifted by one month (key = company, customer, month) -- no window over a
-  customer's whole history, no per-company collect;
-* first/last order month per customer is one more aggregate; counts of new,
-  established and lost customers are aggregated to company x month and joined.
+* one window per customer over its (calendar-bounded) months emits what each
+  row contributes to its month (MAU, MRR, expansion, contraction, new) and to
+  the next month (churned MRR, lost) -- no self-join, no per-company collect;
+* all contributions are folded by one company x month aggregate.
 
 Everything after that is bounded by companies x months.
 """
@@ -34,36 +33,60 @@ def customer_month_revenue(order_company: DataFrame) -> DataFrame:
             .agg(F.sum(money("o_totalprice")).alias("rev")))
 
 
-def mrr_movements(cmr: DataFrame) -> DataFrame:
-    """Expansion, contraction and churned MRR per company x month from customer month-over-month changes."""
-    prev = cmr.select("company_id", "custkey", F.add_months("month", 1).alias("month"), F.col("rev").alias("prev_rev"))
-    j = cmr.join(prev, ["company_id", "custkey", "month"], "full_outer")
-    cur, pre = F.col("rev"), F.col("prev_rev")
-    return j.groupBy("company_id", "month").agg(
-        F.sum(F.when((cur > 0) & (pre > 0) & (cur > pre), cur - pre)).alias("expansion_mrr"),
-        F.sum(F.when((cur > 0) & (pre > 0) & (cur < pre), pre - cur)).alias("contraction_mrr"),
-        F.sum(F.when(cur.isNull() & (pre > 0), pre)).alias("churned_mrr"))
+def customer_contributions(cmr: DataFrame) -> DataFrame:
+    """Per customer-month row, what it adds to its company's month and to the following month.
+
+    One window per customer over its months (bounded by the calendar, so a
+    customer holding a third of all orders is still only ~100 rows here):
+    * at the row's month: MAU, MRR, expansion / contraction against the
+      previous *calendar* month, and "new" when it is the customer's first month;
+    * at the next calendar month, when the customer has no row there: churned
+      MRR (this month's revenue) and "lost" when no later month exists at all.
+    """
+    w = Window.partitionBy("company_id", "custkey").orderBy("month")
+    prev_m, next_m = F.lag("month").over(w), F.lead("month").over(w)
+    pre = F.when(prev_m == F.add_months("month", -1), F.lag("rev").over(w))
+    gap_after = next_m.isNull() | (next_m != F.add_months("month", 1))
+    x = cmr.select("company_id", "month", "rev", pre.alias("pre"), prev_m.isNull().alias("first"),
+                   gap_after.alias("gap_after"), next_m.isNull().alias("last"))
+    cur, p = F.col("rev"), F.col("pre")
+    here = x.select("company_id", "month", F.lit(1).alias("active"), cur.alias("rev"),
+                    F.when((cur > 0) & (p > 0) & (cur > p), cur - p).alias("expansion"),
+                    F.when((cur > 0) & (p > 0) & (cur < p), p - cur).alias("contraction"),
+                    F.lit(None).cast(cmr.schema["rev"].dataType).alias("churned"),
+                    F.when(F.col("first"), F.lit(1)).alias("new"), F.lit(None).cast("int").alias("lost"))
+    after = x.filter("gap_after").select(
+        "company_id", F.add_months("month", 1).alias("month"), F.lit(None).cast("int").alias("active"),
+        F.lit(None).cast(cmr.schema["rev"].dataType).alias("rev"),
+        F.lit(None).cast(cmr.schema["rev"].dataType).alias("expansion"),
+        F.lit(None).cast(cmr.schema["rev"].dataType).alias("contraction"),
+        F.when(cur > 0, cur).alias("churned"), F.lit(None).cast("int").alias("new"),
+        F.when(F.col("last"), F.lit(1)).alias("lost"))
+    return here.unionByName(after)
 
 
 def monthly_metrics(order_company: DataFrame, one_off_expenses: DataFrame) -> DataFrame:
-    """The monthly_metrics table, one row per company x month with orders."""
+    """The monthly_metrics table, one row per company x month with orders.
+
+    Shuffles: customer-month aggregate, the per-customer window, one
+    company-month aggregate of all contributions, the company window over
+    months, and the spend aggregate.
+    """
     cmr = customer_month_revenue(order_company)
-    base = cmr.groupBy("company_id", "month").agg(
-        F.count(F.lit(1)).cast("int").alias("mau"), F.sum("rev").alias("mrr"))
-    span = cmr.groupBy("company_id", "custkey").agg(F.min("month").alias("first_m"), F.max("month").alias("last_m"))
-    new = span.groupBy("company_id", F.col("first_m").alias("month")).agg(F.count(F.lit(1)).alias("n_new"))
-    lost = span.groupBy("company_id", F.add_months("last_m", 1).alias("month")).agg(F.count(F.lit(1)).alias("n_lost"))
+    g = customer_contributions(cmr).groupBy("company_id", "month").agg(
+        F.sum("active").alias("mau"), F.sum("rev").alias("mrr"), F.sum("expansion").alias("expansion_mrr"),
+        F.sum("contraction").alias("contraction_mrr"), F.sum("churned").alias("churned_mrr"),
+        F.sum("new").alias("n_new"), F.sum("lost").alias("n_lost"))
+    g = g.filter(F.col("mau") > 0)                       # months with orders only
     spend = (one_off_expenses.groupBy("company_id", first_of_month("expense_date").alias("month"))
              .agg(F.sum("amount").alias("sm_spend")))
-    j = (base.join(mrr_movements(cmr), ["company_id", "month"], "left")
-         .join(new, ["company_id", "month"], "left").join(lost, ["company_id", "month"], "left")
-         .join(spend, ["company_id", "month"], "left"))
+    j = g.join(spend, ["company_id", "month"], "left")
     w = Window.partitionBy("company_id").orderBy("month")
     n_new = F.coalesce(F.col("n_new"), F.lit(0))
     established = F.sum(n_new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - n_new
     z = F.lit(0)
     return j.select(
-        "company_id", F.col("month").alias("month_date"), "mau",
+        "company_id", F.col("month").alias("month_date"), F.col("mau").cast("int").alias("mau"),
         F.when(F.col("company_id") % 3 == 0, F.lit(0)).otherwise(F.lit(500)).cast(MONEY).alias("cac"),
         F.lit(0).cast(RATE).alias("churn_rate"), F.lit(3000).cast(MONEY).alias("ltv"),
         F.lit(0).cast(MONEY).alias("revenue_per_employee"),
