@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from cashcurve.operators import ledger as lg
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
-from cashcurve.sources.ledger_pages import landing_zone
-from cashcurve.sources.model import ModelTables
+from cashcurve.session import checkpoint_dir
+from cashcurve.sources.ledger_pages import LANDING_VERSION, landing_zone
+from cashcurve.sources.model import ModelTables, ensure_stored
 
 # Oracle: the expected ledger lines computed from the base tables with the landing rules
 # (FIXTURES section 3), without going through JSON.
@@ -50,6 +54,25 @@ def documents_of(m: ModelTables):
     return lg.normalised_documents(landing_zone(m), m.connections)
 
 
+with open(lg.__file__, "rb") as _fh:
+    LEDGER_VERSION = hashlib.sha1(_fh.read() + LANDING_VERSION.encode()).hexdigest()[:12]
+
+
+def actual_lines_table(m: ModelTables):
+    """The accounting_actual_lines table as the first full sync leaves it, stored once per source.
+
+    Reports, patches and re-syncs read this table, as the app reads its own
+    table; the ingest queries (``ledger_lines``, ``stream_ingest``) run the JSON path.
+    """
+    if not m.stored:
+        return lg.accepted_lines(documents_of(m), m.lead_links)
+    digest = hashlib.sha1(os.path.abspath(m.sf_dir).encode()).hexdigest()[:12]
+    root = os.path.join(checkpoint_dir(m.spark), "model", f"lines-{LEDGER_VERSION}-{digest}")
+    lines = lg.accepted_lines(documents_of(m), m.lead_links)
+    ensure_stored(m.spark, root, lambda: lines.write.mode("overwrite").parquet(root))
+    return m.spark.read.schema(lines.schema).parquet(root).select(*lines.columns)
+
+
 @register("ledger_lines", oracle=with_tables(["lead_links"], """
     SELECT a.company_id, a.connection_id, a.provider, a.basis, a.line_kind, a.external_invoice_id,
            a.external_payment_id, a.external_contact_id, a.contact_name, CAST(a.amount AS DOUBLE) AS amount,
