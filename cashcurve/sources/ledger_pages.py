@@ -147,11 +147,14 @@ def landing_zone(m: ModelTables) -> DataFrame:
     Pages are written (parquet) under the session's shared ``spark.checkpoint.dir``
     the first time they are needed; later ingest jobs only read the files, so the
     four provider/kind parsers do not each re-derive the pages, and the ingest
-    lineage starts at the files.
+    lineage starts at the files.  The files are partitioned by provider and
+    kind, so each parser reads only its own directory.
     """
     from cashcurve.session import checkpoint_dir
     spark = m.spark
     digest = hashlib.sha1(os.path.abspath(m.sf_dir).encode()).hexdigest()[:16]
     root = os.path.join(checkpoint_dir(spark), "landing", f"{LANDING_VERSION}-{digest}")
-    ensure_stored(spark, root, lambda: landed_pages(m).write.mode("overwrite").parquet(root))
-    return spark.read.schema(PAGE_COLUMNS).parquet(root)
+    keys = ["provider", "kind", "tenant_id", "page_no"]
+    ensure_stored(spark, root, lambda: landed_pages(m).repartitionByRange(*keys).sortWithinPartitions(*keys)
+                  .write.mode("overwrite").partitionBy("provider", "kind").parquet(root))
+    return spark.read.schema(PAGE_COLUMNS).parquet(root).select("provider", "tenant_id", "kind", "page_no", "body")
