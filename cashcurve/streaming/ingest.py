@@ -5,10 +5,10 @@ arrive as files.  ``readStream`` picks them up; every micro-batch runs the same
 normalisation as the batch job (L1-L5, G1, C6) and upserts the accepted lines
 into a snapshot table (J5) keyed by (company_id, idempotency_key):
 
-* the snapshot is a ``SnapshotTable`` (immutable version directories + pointer)
-  under the session's shared ``spark.checkpoint.dir``: each micro-batch reads the
-  current version from files (lineage is cut at every batch) and writes the
-  next one, then moves the pointer;
+* the snapshot is a ``BucketedSnapshotTable`` (hash buckets of the tenant)
+  under the session's shared ``spark.checkpoint.dir``: a micro-batch reads and
+  rewrites only the tenant buckets its documents touch (from files, so lineage is cut at every batch),
+  writes them as the next version, then moves the manifest pointer;
 * the pointer also records the last applied ``batch_id``: when Spark re-runs a
   micro-batch after a failure (at-least-once ``foreachBatch``), the batch is
   skipped, and even if it were applied twice the upsert is idempotent -- a
@@ -39,9 +39,10 @@ REPLACED_ON_CONFLICT = ["amount", "posted_date", "contact_name", "currency", "ex
 class LedgerSink:
     """foreachBatch target: normalise one micro-batch of pages and upsert it into the snapshot."""
 
-    def __init__(self, spark: SparkSession, root: str, connections: DataFrame, links: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, connections: DataFrame, links: DataFrame,
+                 buckets: int = 64):
         self.spark = spark
-        self.table = up.SnapshotTable(spark, root)
+        self.table = up.BucketedSnapshotTable(spark, root, ["company_id"], buckets)
         self.connections = connections
         self.links = links
         self.applied_path = os.path.join(root, "_applied_batches")
@@ -58,10 +59,12 @@ class LedgerSink:
             return                                           # replayed micro-batch: already in the snapshot
         docs = lg.normalised_documents(batch, self.connections)
         delta = lg.accepted_lines(docs, self.links).withColumn("synced_at", F.current_timestamp())
-        base = self.table.read()
-        new = delta if base is None else up.upsert(base, delta, ["company_id", "idempotency_key"],
-                                                   replace=REPLACED_ON_CONFLICT)
-        self.table.commit(new)
+        delta = delta.persist()            # read twice (touched buckets, merge); recomputable from the batch files
+        try:
+            self.table.commit(delta, lambda base, d: up.upsert(base, d, ["company_id", "idempotency_key"],
+                                                                replace=REPLACED_ON_CONFLICT))
+        finally:
+            delta.unpersist()
         self.spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(self.applied_path)
 
 
