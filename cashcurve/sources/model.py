@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,21 +64,29 @@ MODEL_VERSION = _code_digest()   # stored tables are rebuilt when the mapping co
 
 
 _COMPLETE: set[str] = set()   # stored directories already known to be complete (immutable per digest)
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
 
 
 def ensure_stored(spark: SparkSession, root: str, write) -> None:
     """Run ``write()`` unless ``root`` already holds a completed write (its ``_SUCCESS`` marker).
 
     A stored directory never changes once complete (its path carries the code
-    digest), so the check runs once per process and directory.
+    digest), so the check runs once per process and directory; a per-directory
+    lock keeps two threads of one driver from building the same table at once.
     """
     if root in _COMPLETE:
         return
-    try:
-        spark.read.text(os.path.join(root, "_SUCCESS")).limit(1).collect()
-    except Exception:  # noqa: BLE001 - not stored yet, or an interrupted write: (re)build it
-        write()
-    _COMPLETE.add(root)
+    with _LOCKS_GUARD:
+        lock = _LOCKS.setdefault(root, threading.Lock())
+    with lock:
+        if root in _COMPLETE:
+            return
+        try:
+            spark.read.text(os.path.join(root, "_SUCCESS")).limit(1).collect()
+        except Exception:  # noqa: BLE001 - not stored yet, or an interrupted write: (re)build it
+            write()
+        _COMPLETE.add(root)
 
 
 def stored_table(build=None, *, partition_by: str | None = None, cluster_by: tuple[str, ...] = ()):
