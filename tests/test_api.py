@@ -46,3 +46,16 @@ def test_profile_and_details(spark, api):
     month = api.dashboard(C).first().forecast_month.isoformat()
     rows = api.dashboard_details(C, month).collect()
     assert rows and all(r.company_id == C for r in rows)
+
+
+def test_nested_project_cashflow_matches_flat(spark, api):
+    pid = QUERIES["project_variance"](spark, SF_SMALL).orderBy(F.col("total_budget").desc()).first().project_id
+    nested = api.project_cashflow_nested(pid).collect()
+    flat = api.project_cashflow(pid).collect()
+    items = {r.budget_item_id for r in flat}
+    assert {r.budget_item_id for r in nested} == items
+    n_inst = sum(len(r.installments) for r in nested)
+    assert n_inst == sum(1 for r in flat if r.payment_amount is not None)
+    for r in nested:
+        dates = [i.expected_payment_date for i in r.installments]
+        assert dates == sorted(dates)
