@@ -23,10 +23,11 @@ def main(argv=None) -> int:
     args = ap.parse_args(argv)
 
     from cashcurve.plans.catalog import ORACLE, QUERIES
+    from cashcurve.plans.descriptions import DESCRIPTIONS
     if args.cmd == "list":
-        for k, fn in QUERIES.items():
-            doc = (fn.__doc__ or "").strip().splitlines()
-            print(f"{k:28s} {'oracle' if k in ORACLE else '      '}  {doc[0] if doc else ''}")
+        for k in QUERIES:
+            ids, text = DESCRIPTIONS.get(k, ("", ""))
+            print(f"{k:26s} {'oracle' if k in ORACLE else '      '}  {ids:28s} {text}")
         return 0
 
     from cashcurve.operators.sinks import to_api_columns

@@ -20,3 +20,10 @@ def test_run_writes_json(spark, tmp_path):
     files = [f for f in os.listdir(out) if f.endswith(".json")]
     rows = [json.loads(line) for f in files for line in open(os.path.join(out, f))]
     assert len(rows) == 25 and {"company_id", "status_message", "status_color"} <= set(rows[0])
+
+
+def test_every_query_is_described_with_survey_ids():
+    from cashcurve.plans.catalog import QUERIES
+    from cashcurve.plans.descriptions import DESCRIPTIONS
+    assert set(QUERIES) == set(DESCRIPTIONS)
+    assert all(ids.strip() and text.strip() for ids, text in DESCRIPTIONS.values())
