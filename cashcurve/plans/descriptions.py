@@ -67,6 +67,7 @@ DESCRIPTIONS: dict[str, tuple[str, str]] = {
     "transcript": ("K3", "session transcripts in id order"),
     "scripted_reply": ("D11 E5 K4", "scripted reply per user turn"),
     "profile_merge": ("K5", "shallow profile merge, version"),
+    "profile_replace": ("K5", "profile replace mode: the newest patch only"),
     "apply_plan": ("D16 K7", "sorted profile keys, suggested syncs"),
     "calibration_status": ("K6", "calibration run steps and status"),
     "new_sessions": ("A7 D16 K8", "new sessions with integration snapshot"),

@@ -140,3 +140,13 @@ def q_new_sessions(spark, sf_dir):
     """Every company starts a new onboarding session."""
     m = ModelTables(spark, sf_dir)
     return ob.new_sessions(m.companies.select(F.col("id").alias("company_id")), m.onboarding_sessions, m.connections)
+
+
+@register("profile_replace", oracle=with_tables(["profile_patches"], """
+    SELECT p.company_id, p.key, p.value, v.profile_version
+    FROM profile_patches p
+    JOIN (SELECT company_id, MAX(seq) AS last_seq, CAST(count(DISTINCT seq) AS INTEGER) AS profile_version
+          FROM profile_patches GROUP BY 1) v ON v.company_id = p.company_id AND p.seq = v.last_seq"""))
+def q_profile_replace(spark, sf_dir):
+    """K5 with merge=false: each company's profile becomes its newest patch only."""
+    return ob.profile_replace(ModelTables(spark, sf_dir).profile_patches)
