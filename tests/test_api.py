@@ -59,3 +59,9 @@ def test_nested_project_cashflow_matches_flat(spark, api):
     for r in nested:
         dates = [i.expected_payment_date for i in r.installments]
         assert dates == sorted(dates)
+
+
+@pytest.mark.parametrize("method", ["dashboard", "runway", "actuals_lines", "kpis"])
+def test_company_filter_reaches_the_scans(spark, api, method):
+    plan = getattr(api, method)(C)._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(company_id,{C})" in plan
