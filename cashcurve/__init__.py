@@ -7,4 +7,11 @@ answers are a filter on top, which Catalyst pushes below joins and windows.
 
 from cashcurve.session import build_session, checkpoint_dir
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["build_session", "checkpoint_dir", "FinanceApi"]
+
+
+def __getattr__(name):
+    if name == "FinanceApi":            # imported lazily: it pulls in every query module
+        from cashcurve.api import FinanceApi
+        return FinanceApi
+    raise AttributeError(name)
