@@ -95,19 +95,34 @@ class NgramSpace:
             self.row.update(zip(missing, range(start, start + len(missing)), strict=True))
         return self.table[[self.row[c] for c in codes.tolist()]]
 
-    def profile(self, text: str | None) -> np.ndarray | None:
-        """Unit profile of a text; None without letters."""
-        ids = letter_ids(text or "")
-        if not ids.any():
-            return None
-        codes, counts = self.grams(ids)
-        if not len(codes):
-            return None
-        bundle = np.zeros(self.d, dtype=np.float64)
-        for at in range(0, len(codes), 8192):
-            bundle += counts[at:at + 8192].astype(np.float32) @ self.vectors(codes[at:at + 8192])
-        norm = np.linalg.norm(bundle)
-        return bundle / norm if norm else None
+    def profiles(self, texts: list[str | None], group: int = 64, columns: int = 8192) -> list[np.ndarray | None]:
+        """Unit profiles; None for a text without letters.
+
+        Texts are taken in small groups that share one lookup of n-gram vectors, in slices of ``columns`` n-grams.
+        """
+        out: list[np.ndarray | None] = []
+        for at in range(0, len(texts), group):
+            grams = [self.grams(ids) if (ids := letter_ids(t or "")).any() else None for t in texts[at:at + group]]
+            used = [g for g in grams if g is not None and len(g[0])]
+            if used:
+                codes, place = np.unique(np.concatenate([g[0] for g in used]), return_inverse=True)
+                counts = np.concatenate([g[1] for g in used]).astype(np.float32)
+                row = np.repeat(np.arange(len(used)), [len(g[0]) for g in used])
+                bundle = np.zeros((len(used), self.d))
+                for lo in range(0, len(codes), columns):
+                    here = (place >= lo) & (place < lo + columns)
+                    dense = np.zeros((len(used), min(columns, len(codes) - lo)), dtype=np.float32)
+                    dense[row[here], place[here] - lo] = counts[here]
+                    bundle += dense @ self.vectors(codes[lo:lo + columns])
+                norms = np.linalg.norm(bundle, axis=1)
+            k = 0
+            for g in grams:
+                if g is None or not len(g[0]):
+                    out.append(None)
+                    continue
+                out.append(bundle[k] / norms[k] if norms[k] else None)
+                k += 1
+        return out
 
 
 _space: dict[tuple[int, int], NgramSpace] = {}
@@ -131,8 +146,7 @@ def train_prototypes(docs: DataFrame, text_col: str, lang_col: str, train: Colum
         sums: dict[str, np.ndarray] = {}
         sp = space(dimensions, order)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = sp.profile(text)
+            for lang, p in zip(batch.column(0).to_pylist(), sp.profiles(batch.column(1).to_pylist()), strict=True):
                 if p is not None:
                     sums[lang] = sums[lang] + p if lang in sums else p
         if sums:
@@ -164,9 +178,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         sp = space(dimensions, order)
         for batch in batches:
             pred, score = [], []
-            for text in batch.column(batch.num_columns - 1):
-                p = sp.profile(text.as_py()) if names else None
-                if p is None:
+            for p in sp.profiles(batch.column(batch.num_columns - 1).to_pylist()):
+                if p is None or not names:
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
