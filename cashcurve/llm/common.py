@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cashcurve.session import checkpoint_dir
 
 #: Rows of one Arrow batch handed to a Python task, and the text bytes after which a batch is cut earlier.
-ARROW_ROWS, ARROW_BYTES = 2_000, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

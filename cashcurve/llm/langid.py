@@ -95,7 +95,7 @@ class NgramSpace:
             self.row.update(zip(missing, range(start, start + len(missing)), strict=True))
         return self.table[[self.row[c] for c in codes.tolist()]]
 
-    def profiles(self, texts: list[str | None], group: int = 64, columns: int = 8192) -> list[np.ndarray | None]:
+    def profiles(self, texts: list[str | None], group: int = 256, columns: int = 8192) -> list[np.ndarray | None]:
         """Unit profiles; None for a text without letters.
 
         Texts are taken in small groups that share one lookup of n-gram vectors, in slices of ``columns`` n-grams.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.llm import decontaminate, langid
+from cashcurve.llm import decontaminate, langid, quality, toxicity
 from cashcurve.llm.common import fold_is, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,22 @@ def op3_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words found in every document."""
     return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the word field trained outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", fold_is(F.col("doc_id"), 3, 1).alias("held_out"), "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), ~fold_is(F.col("doc_id"), 3, 1))
+    df, t = toxicity.score(docs, model)
+    return df.select("doc_id", "held_out", F.col(t)["score"].alias("score"),
+                     (F.col(t)["score"] >= model.cut).cast("int").alias("predicted"), F.col(t)["top"].alias("top_marginal"),
+                     F.col(t)["expected"].alias("expected_words"), F.col(t)["spans"].alias("spans"))
+
+
+@register
+def op2_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the network trained outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", fold_is(F.col("doc_id"), 5, 0).alias("held_out"), "text")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), ~fold_is(F.col("doc_id"), 5, 0))
+    return quality.score(docs, model)
