@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.llm import decontaminate, langid, quality, toxicity
+from cashcurve.llm import decontaminate, langid, pieces, quality, toxicity
 from cashcurve.llm.common import fold_is, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op2_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", fold_is(F.col("doc_id"), 5, 0).alias("held_out"), "text")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), ~fold_is(F.col("doc_id"), 5, 0))
     return quality.score(docs, model)
+
+
+@register
+def op5_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and whether they decode to its text."""
+    return pieces.round_trip(read_table(spark, sf_dir, "documents"))
