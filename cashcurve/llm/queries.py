@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.llm import decontaminate, langid, pieces, quality, toxicity
+from cashcurve.llm import decontaminate, html_text, langid, pieces, quality, toxicity
 from cashcurve.llm.common import fold_is, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op2_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and whether they decode to its text."""
     return pieces.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page without the subtrees that recur on its host."""
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
