@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.llm import decontaminate, html_text, langid, pieces, quality, toxicity
+from cashcurve.llm import decontaminate, html_text, langid, pieces, quality, simhash, toxicity
 from cashcurve.llm.common import fold_is, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op5_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page without the subtrees that recur on its host."""
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
+@register
+def op7_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
