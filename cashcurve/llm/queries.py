@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.llm import decontaminate, html_text, langid, pieces, quality, simhash, toxicity
+from cashcurve.llm import ann, decontaminate, html_text, langid, pieces, quality, sharding, simhash, toxicity
 from cashcurve.llm.common import fold_is, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,15 @@ def op10_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth embedding."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
