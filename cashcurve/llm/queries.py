@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.llm import ann, decontaminate, html_text, langid, pieces, quality, sharding, simhash, toxicity
+from cashcurve.llm import ann, decontaminate, html_text, langid, pieces, pii, quality, sharding, simhash, toxicity
 from cashcurve.llm.common import fold_is, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,10 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
