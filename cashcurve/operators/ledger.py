@@ -34,7 +34,7 @@ XERO_SKIP_INVOICE_STATUS = ["VOIDED", "DELETED", "DRAFT"]
 XERO_POSTED_INVOICE_STATUS = ["AUTHORISED", "PAID", "SUBMITTED"]
 XERO_SKIP_PAYMENT_STATUS = ["DELETED", "VOIDED"]
 DEFAULT_CURRENCY = "GBP"
-MAX_EPOCH_MS = 253402300799999  # 9999-12-31T23:59:59.999Z
+MIN_EPOCH_MS, MAX_EPOCH_MS = -2208988800000, 253402300799999  # 1900-01-01 to 9999-12-31T23:59:59.999Z
 
 LINE_COLUMNS = ["company_id", "connection_id", "provider", "basis", "line_kind", "external_invoice_id",
                 "external_payment_id", "external_contact_id", "contact_name", "amount", "currency", "posted_date",
@@ -51,10 +51,17 @@ def xero_date(c: Column) -> Column:
     """'/Date(ms[+-hhmm])/' (anchored at the start, offset ignored, UTC date) else the ISO prefix."""
     ms_text = F.nullif(F.regexp_extract(F.trim(c), r"^/Date\((-?\d+)([+-]\d+)?\)/", 1), F.lit(""))
     ms = ms_text.try_cast("bigint")
-    from_ms = F.when(F.abs(ms) <= MAX_EPOCH_MS, F.to_date(F.timestamp_millis(ms)))
+    # compared before any arithmetic: abs() of the smallest long overflows
+    from_ms = F.when(ms.between(MIN_EPOCH_MS, MAX_EPOCH_MS), F.to_date(F.timestamp_millis(ms)))
     return F.when(ms_text.isNotNull(), from_ms).otherwise(iso_prefix_date(c))
 
 
+def xero_date_reason(c: Column, posted: Column) -> Column:
+    """Reject reason of a date: a well-formed epoch outside the date domain, or no date at all."""
+    ms_text = F.nullif(F.regexp_extract(F.trim(c), r"^/Date\((-?\d+)([+-]\d+)?\)/", 1), F.lit(""))
+    return F.when(posted.isNull() & ms_text.isNotNull(), "date_out_of_range").when(posted.isNull(), "bad_date")
+
+
 def _currency(c: Column) -> Column:
     """(value or 'GBP')[:3].upper()"""
     return F.upper(F.substring(F.coalesce(F.nullif(c, F.lit("")), F.lit(DEFAULT_CURRENCY)), 1, 3))
@@ -69,13 +76,46 @@ def _amount(c: Column) -> Column:
 
 
 # -- A2-A5: page parsing ----------------------------------------------------------
+PAGE_KINDS = (("xero", "invoices"), ("xero", "payments"), ("quickbooks", "invoices"), ("quickbooks", "payments"))
+
+
+def _page_documents(page_body: Column, field: str, page_schema: str, list_schema: str | None) -> tuple[Column, Column]:
+    """(documents of a page, whether the page is malformed).
+
+    A page is malformed if it is no JSON object or its document field is something else than documents; a page
+    whose field is absent or null has no documents and is well formed.
+    """
+    outer = field if list_schema is None else "QueryResponse"
+    text = F.try_variant_get(F.try_parse_json(page_body), f"$.{outer}" + ("" if list_schema is None else f".{field}"), "string")
+    whole = F.try_parse_json(page_body)
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.lit(False))
+    parsed = F.from_json(page_body, page_schema)
+    docs = parsed[field] if list_schema is None else F.from_json(parsed["QueryResponse"][field], list_schema)
+    return docs, ~is_object | (text.isNotNull() & docs.isNull())
+
+
 def _docs(pages: DataFrame, provider: str, kind: str, field: str, page_schema: str,
           list_schema: str | None = None) -> DataFrame:
+    """Documents of the pages of one provider and kind; a malformed page is one row without a document."""
     p = pages.filter((F.col("provider") == provider) & (F.col("kind") == kind))
-    parsed = F.from_json("body", page_schema)
-    arr = parsed[field] if list_schema is None else F.from_json(parsed["QueryResponse"][field], list_schema)
-    return p.select("provider", "tenant_id", "page_no", F.posexplode_outer(arr).alias("pos", "d")) \
-            .filter(F.col("d").isNotNull())
+    docs, malformed = _page_documents(F.col("body"), field, page_schema, list_schema)
+    return (p.select("provider", "tenant_id", "page_no", docs.alias("docs"), malformed.alias("malformed"))
+            .select("provider", "tenant_id", "page_no", "malformed", F.posexplode_outer("docs").alias("pos", "d"))
+            .filter(F.col("d").isNotNull() | F.col("malformed")))
+
+
+def unknown_pages(pages: DataFrame) -> DataFrame:
+    """Landed pages that no reader takes, one reject row each."""
+    known = F.lit(False)
+    for provider, kind in PAGE_KINDS:
+        known = known | (F.col("provider").eqNullSafe(provider) & F.col("kind").eqNullSafe(kind))
+    p = pages.filter(~known)
+    return p.select("tenant_id", "page_no", F.lit(None).cast("int").alias("pos"), "provider", F.lit(None).cast("string").alias("basis"),
+                    *[F.lit(None).cast(t).alias(c) for c, t in (
+                        ("line_kind", "string"), ("external_invoice_id", "string"), ("external_payment_id", "string"),
+                        ("external_contact_id", "string"), ("contact_name", "string"), ("amount", MONEY), ("currency", "string"),
+                        ("posted_date", "date"), ("idempotency_key", "string"))],
+                    F.lit("unknown_kind").alias("reject_reason"))
 
 
 def xero_invoice_lines(pages: DataFrame) -> DataFrame:
@@ -84,13 +124,14 @@ def xero_invoice_lines(pages: DataFrame) -> DataFrame:
     status = F.upper(F.coalesce(F.col("d.Status"), F.lit("")))
     amount = _amount(F.col("d.Total"))
     posted = xero_date(F.col("d.Date"))
-    reason = (F.when(F.coalesce(F.col("d.Type"), F.lit("")) != "ACCREC", "not_receivable")
+    reason = (F.when(F.col("malformed"), "malformed_page")
+              .when(F.coalesce(F.col("d.Type"), F.lit("")) != "ACCREC", "not_receivable")
               .when(status.isin(*XERO_SKIP_INVOICE_STATUS), "voided_or_draft")
               .when(~status.isin(*XERO_POSTED_INVOICE_STATUS), "status_not_posted")
               .when(~_nonempty(F.col("d.InvoiceID")), "missing_id")
               .when(F.col("d.Total").isNull(), "missing_amount")
               .when(amount.isNull(), "bad_amount")
-              .when(posted.isNull(), "bad_date"))
+              .otherwise(xero_date_reason(F.col("d.Date"), posted)))
     return d.select(
         "tenant_id", "page_no", "pos", F.lit("xero").alias("provider"), F.lit("accrual").alias("basis"),
         F.lit("invoice_total").alias("line_kind"), F.col("d.InvoiceID").alias("external_invoice_id"),
@@ -112,13 +153,14 @@ def xero_payment_lines(pages: DataFrame) -> DataFrame:
     inv_contact = F.col("d.Invoice.Contact")
     has_inv_contact = inv_contact.isNotNull() & (inv_contact["ContactID"].isNotNull() | inv_contact["Name"].isNotNull())
     contact = F.when(has_inv_contact, inv_contact).otherwise(F.col("d.Contact"))
-    reason = (F.when(status.isin(*XERO_SKIP_PAYMENT_STATUS), "voided")
+    reason = (F.when(F.col("malformed"), "malformed_page")
+              .when(status.isin(*XERO_SKIP_PAYMENT_STATUS), "voided")
               .when(_nonempty(inv_type) & (inv_type != "ACCREC"), "not_receivable")
               .when(~_nonempty(F.col("d.Invoice.InvoiceID")), "missing_invoice")
               .when(~_nonempty(F.col("d.PaymentID")), "missing_id")
               .when(F.col("d.Amount").isNull(), "missing_amount")
               .when(amount.isNull(), "bad_amount")
-              .when(posted.isNull(), "bad_date"))
+              .otherwise(xero_date_reason(F.col("d.Date"), posted)))
     return d.select(
         "tenant_id", "page_no", "pos", F.lit("xero").alias("provider"), F.lit("cash").alias("basis"),
         F.lit("invoice_payment").alias("line_kind"), F.col("d.Invoice.InvoiceID").alias("external_invoice_id"),
@@ -130,7 +172,8 @@ def xero_payment_lines(pages: DataFrame) -> DataFrame:
 
 
 def _qbo_reason(d: str, amount: Column, posted: Column) -> Column:
-    return (F.when(~_nonempty(F.col(f"{d}.Id")), "missing_id")
+    return (F.when(F.col("malformed"), "malformed_page")
+            .when(~_nonempty(F.col(f"{d}.Id")), "missing_id")
             .when(F.col(f"{d}.TotalAmt").isNull(), "missing_amount")
             .when(amount.isNull(), "bad_amount")
             .when(posted.isNull(), "bad_date"))
@@ -178,7 +221,7 @@ def qbo_payment_lines(pages: DataFrame) -> DataFrame:
 def normalised_documents(pages: DataFrame, connections: DataFrame) -> DataFrame:
     """G1 + tenant resolution: every document of every page, accepted or not, with company and connection."""
     docs = (xero_invoice_lines(pages).unionByName(xero_payment_lines(pages))
-            .unionByName(qbo_invoice_lines(pages)).unionByName(qbo_payment_lines(pages)))
+            .unionByName(qbo_invoice_lines(pages)).unionByName(qbo_payment_lines(pages)).unionByName(unknown_pages(pages)))
     conn = connections.select(F.col("id").alias("connection_id"), "company_id",
                               F.col("service_name").alias("provider"),
                               F.coalesce("tenant_id", "realm_id").alias("tenant_id"))
@@ -190,7 +233,11 @@ def normalised_documents(pages: DataFrame, connections: DataFrame) -> DataFrame:
 def resolve_leads(lines: DataFrame, links: DataFrame) -> DataFrame:
     """Lead of (company, provider, contact); no contact -> NULL lead."""
     lk = links.select("company_id", "provider", "external_contact_id", F.col("lead_id"))
-    return lines.join(lk, ["company_id", "provider", "external_contact_id"], "left")
+    key = ["company_id", "provider", "external_contact_id"]
+    named = lines.filter(F.col("external_contact_id").isNotNull())
+    # lines without a contact share one key that cannot match: they stay out of the shuffle
+    unnamed = lines.filter(F.col("external_contact_id").isNull()).withColumn("lead_id", F.lit(None).cast(links.schema["lead_id"].dataType))
+    return named.join(lk, key, "left").unionByName(unnamed)
 
 
 def accepted_lines(docs: DataFrame, links: DataFrame) -> DataFrame:

@@ -12,16 +12,21 @@ DataFrame of many keys for many companies and every update is
   full outer join and no per-key collect.
 * deletes are ``left_anti`` joins, SET NULL is a left join + ``when``.
 * validation (lead must exist for the company) is one left join that flags each patch.
-* new snapshots are written as new version directories (``SnapshotTable``):
-  parquet has no MERGE, and overwriting a path that is being read fails.
+* new snapshots are new immutable folders plus a published manifest (``SnapshotTable``,
+  ``DeltaSnapshotTable``): parquet has no MERGE, and nothing that may be read is replaced.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cashcurve.sources.files import SharedFiles
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], replace: list[str],
@@ -35,21 +40,27 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], replace: list[str
     """
     keep_if_null = keep_if_null or []
     cols = [c for c in base.columns if c not in keys]
-    seq_d = F.col(delta_seq).cast("double") if delta_seq else F.lit(0.0)
-    b = base.select(*keys, *cols, F.lit(0).alias("_src"), F.lit(0.0).alias("_seq"))
+    kept = [c for c in cols if c not in replace and c not in keep_if_null]
+    replace = [c for c in replace if c in cols]
+    # the sequence keeps its own type: a cast to double would tie large numbers
+    seq = F.col(delta_seq) if delta_seq else F.lit(0)
+    seq_type = delta.schema[delta_seq].dataType if delta_seq else "int"
+    b = base.select(*keys, *cols, F.lit(0).alias("_src"), F.lit(None).cast(seq_type).alias("_seq"))
     d = delta.select(*keys, *[F.col(c) if c in delta.columns else F.lit(None).cast(base.schema[c].dataType).alias(c)
-                              for c in cols], F.lit(1).alias("_src"), seq_d.alias("_seq"))
-    u = b.unionByName(d)
-    order = F.struct("_src", "_seq")
-    aggs = []
-    for c in cols:
-        if c in replace:
-            aggs.append(F.max_by(c, order).alias(c))
-        elif c in keep_if_null:
-            aggs.append(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c))
-        else:
-            aggs.append(F.min_by(c, order).alias(c))
-    return u.groupBy(*keys).agg(*aggs).select(*base.columns)
+                              for c in cols], F.lit(1).alias("_src"), seq.alias("_seq"))
+    return fold(b.unionByName(d), keys, replace, keep_if_null, kept, F.struct("_src", "_seq")).select(*base.columns)
+
+
+def fold(rows: DataFrame, keys: list[str], replace: list[str], keep_if_null: list[str], kept: list[str], order) -> DataFrame:
+    """One row per key: the last row's ``replace`` columns, the last non-NULL of each ``keep_if_null``, the first
+    row's ``kept`` columns.  Columns of one rule travel as one struct, so a key has two aggregation buffers, not one per column."""
+    aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in keep_if_null]
+    if replace:
+        aggs.append(F.max_by(F.struct(*replace), order).alias("_new"))
+    if kept:
+        aggs.append(F.min_by(F.struct(*kept), order).alias("_old"))
+    g = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
+    return g.select(*keys, *keep_if_null, *[F.col(f"_new.{c}") for c in replace], *[F.col(f"_old.{c}") for c in kept])
 
 
 def delete_by_keys(base: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,36 +136,45 @@ def max_id(df: DataFrame, col: str = "id"):
 
 
 class SnapshotTable:
-    """A table stored as immutable version directories plus a one-row pointer.
+    """A table stored as immutable data folders plus one immutable manifest per version.
 
-    ``commit`` writes ``<root>/v=<n>`` completely, then replaces the pointer;
-    readers only follow the pointer, so a failed or re-run job never exposes
-    a half-written version and never overwrites the data it is reading.
+    ``commit`` writes a data folder of its own name, then publishes ``_manifests/<n>.json`` with a rename that fails
+    if the version exists; nothing is ever replaced.  Readers take the highest manifest.  A commit that dies
+    leaves at most an unreferenced folder, two writers cannot publish the same version, and only a missing
+    directory counts as an empty table: any other read failure is raised.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.files = SharedFiles(spark)
 
-    def _pointer(self) -> str:
-        return f"{self.root}/_pointer"
+    def manifest(self) -> dict | None:
+        names = [n for n in self.files.names(f"{self.root}/_manifests") if n.endswith(".json")]
+        return json.loads(self.files.read_text(f"{self.root}/_manifests/{max(names)}")) if names else None
 
     def version(self) -> int | None:
-        try:
-            row = self.spark.read.parquet(self._pointer()).agg(F.max("version")).first()
-        except Exception:  # noqa: BLE001 - no pointer yet
-            return None
-        return None if row is None else row[0]
+        m = self.manifest()
+        return None if m is None else m["version"]
+
+    def _folder(self, version: int) -> str:
+        return f"v={version:06d}-{uuid.uuid4().hex[:8]}"
+
+    def _publish(self, manifest: dict) -> int:
+        """Raises FileExistsError if another writer has published this version."""
+        self.files.publish(f"{self.root}/_manifests/{manifest['version']:010d}.json", json.dumps(manifest, sort_keys=True))
+        return manifest["version"]
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.root}/v={v:06d}")
+        m = self.manifest()
+        return None if m is None else self.spark.read.schema(T.StructType.fromJson(m["schema"])).parquet(
+            *[f"{self.root}/{f}" for f in m["folders"]])
 
     def commit(self, df: DataFrame) -> int:
         v = (self.version() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v={v:06d}")
-        self.spark.range(1).select(F.lit(v).alias("version")).write.mode("overwrite").parquet(self._pointer())
-        return v
+        folder = self._folder(v)
+        df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
+        return self._publish({"version": v, "folders": [folder], "schema": json.loads(df.schema.json())})
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -163,63 +183,54 @@ def scratch_root(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-class BucketedSnapshotTable:
-    """A9 for large, incrementally updated tables: versions hold only the buckets a change touched.
+class DeltaSnapshotTable(SnapshotTable):
+    """A9 for large tables that change in small steps: a version is a base folder plus the change sets since.
 
-    Rows live in ``buckets`` hash buckets of ``bucket_by`` -- a prefix of the
-    upsert key, so a key never moves between buckets.  For ledger lines that is
-    the tenant: a provider sync delivers one company's documents, so it touches
-    one bucket.  A commit upserts the change set into the touched buckets only
-    and writes them as a new version directory; a manifest (one row per bucket: bucket -> version, bounded by the
-    bucket count) is written next, then the pointer moves.  Untouched buckets
-    are not read or rewritten, so a micro-batch costs O(touched buckets), not
-    O(table); readers follow pointer -> manifest -> bucket directories.
+    A commit writes only its own change set and publishes a manifest that lists one more folder, so a micro-batch costs
+    what it changes, whatever the table's size or the tenant's.  ``read`` folds base and change sets in one aggregate per
+    key (``fold``), with the folder's place as the order.  After ``compact_after`` change sets the folded table is written
+    as a new base.  ``marks`` (for example the last applied batch) are published with the data, in the same manifest.
     """
 
-    def __init__(self, spark: SparkSession, root: str, bucket_by: list[str], buckets: int = 64):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.keys = bucket_by
-        self.buckets = buckets
-        self.pointer = SnapshotTable(spark, f"{self.root}/_manifests")
-
-    def _bucket(self) -> "F.Column":
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], replace: list[str], compact_after: int = 16):
+        super().__init__(spark, root)
+        self.keys, self.replace, self.compact_after = keys, replace, compact_after
 
-    def _paths(self, manifest: DataFrame, only: set[int] | None = None) -> list[str]:
-        rows = manifest.collect()                       # <= buckets rows
-        return [f"{self.root}/v={r.version:06d}/_bucket={r.bucket}" for r in rows
-                if only is None or r.bucket in only]
+    def marks(self) -> dict:
+        return (self.manifest() or {}).get("marks", {})
 
-    def version(self) -> int | None:
-        return self.pointer.version()
-
-    def read(self, schema=None) -> DataFrame | None:
-        man = self.pointer.read()
-        if man is None:
-            return None
-        paths = self._paths(man)
-        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        return reader.parquet(*paths) if paths else None
-
-    def commit(self, delta: DataFrame, merge) -> int:
-        """Upsert ``delta`` with ``merge(base_rows_of_touched_buckets, delta)``; returns the new version."""
-        d = delta.withColumn("_bucket", self._bucket())
-        touched = {r[0] for r in d.select("_bucket").distinct().collect()}     # <= buckets values
-        man = self.pointer.read()
-        v = (self.version() or 0) + 1
-        base_paths = self._paths(man, touched) if man is not None else []
-        if base_paths:
-            base = self.spark.read.schema(delta.schema).parquet(*base_paths)
-            new = merge(base, delta)
-        else:
-            new = delta
-        # written straight from the merge's partitioning (no extra shuffle); sorting by bucket inside each
-        # task keeps one open file per task; a hot tenant's bucket is still spread over all tasks
-        (new.withColumn("_bucket", self._bucket()).sortWithinPartitions("_bucket")
-         .write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/v={v:06d}"))
-        old = (man.filter(~F.col("bucket").isin(list(touched))) if man is not None
-               else self.spark.createDataFrame([], "bucket int, version int"))
-        fresh = self.spark.createDataFrame([(b, v) for b in sorted(touched)], "bucket int, version int")
-        self.pointer.commit(old.unionByName(fresh))
-        return v
+    def read(self) -> DataFrame | None:
+        m = self.manifest()
+        return None if m is None else self._folded(m)
+
+    def _folded(self, m: dict) -> DataFrame:
+        schema = T.StructType.fromJson(m["schema"])
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{f}") for f in m["folders"]]
+        if len(parts) == 1:
+            return parts[0]
+        rows = None
+        for k, p in enumerate(parts):
+            p = p.withColumn("_step", F.lit(k))
+            rows = p if rows is None else rows.unionByName(p)
+        cols = [c for c in schema.names if c not in self.keys]
+        replace = [c for c in self.replace if c in cols]
+        return fold(rows, self.keys, replace, [], [c for c in cols if c not in replace], F.col("_step")).select(*schema.names)
+
+    def commit(self, delta: DataFrame, marks: dict | None = None) -> int:
+        """Add a change set (one row per key) as the next version."""
+        m = self.manifest()
+        v = 1 if m is None else m["version"] + 1
+        folder = self._folder(v)
+        delta.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
+        folders = [*(m["folders"] if m else []), folder]
+        done = self._publish({"version": v, "folders": folders, "schema": m["schema"] if m else json.loads(delta.schema.json()),
+                              "marks": {**(m or {}).get("marks", {}), **(marks or {})}})
+        return self.compact() if len(folders) > self.compact_after else done
+
+    def compact(self) -> int:
+        """Publish the folded table as a version with one folder."""
+        m = self.manifest()
+        v = m["version"] + 1
+        folder = self._folder(v)
+        self._folded(m).write.mode("errorifexists").parquet(f"{self.root}/{folder}")
+        return self._publish({**m, "version": v, "folders": [folder]})

@@ -39,6 +39,6 @@ def q_stream_ingest(spark, sf_dir):
     ensure_stored(spark, os.path.join(landing, f"arrival_{ARRIVALS - 1:04d}"),
                   lambda: land_pages(landing_zone(m), landing, ARRIVALS))
     root = os.path.join(base, f"stream-ingest-{uuid.uuid4().hex[:12]}")
-    q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), m.connections, m.lead_links)
+    q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), lambda: m.connections, lambda: m.lead_links)
     q.awaitTermination()
     return lg.lines_output(sink.table.read())

@@ -5,14 +5,14 @@ arrive as files.  ``readStream`` picks them up; every micro-batch runs the same
 normalisation as the batch job (L1-L5, G1, C6) and upserts the accepted lines
 into a snapshot table (J5) keyed by (company_id, idempotency_key):
 
-* the snapshot is a ``BucketedSnapshotTable`` (hash buckets of the tenant)
-  under the session's shared ``spark.checkpoint.dir``: a micro-batch reads and
-  rewrites only the tenant buckets its documents touch (from files, so lineage is cut at every batch),
-  writes them as the next version, then moves the manifest pointer;
-* the pointer also records the last applied ``batch_id``: when Spark re-runs a
-  micro-batch after a failure (at-least-once ``foreachBatch``), the batch is
-  skipped, and even if it were applied twice the upsert is idempotent -- a
-  redelivered document changes nothing but ``synced_at``;
+* the snapshot is a ``DeltaSnapshotTable`` under the session's shared ``spark.checkpoint.dir``: a micro-batch
+  writes its own change set and publishes a manifest; readers fold base and change sets, which are compacted
+  now and then, so a batch costs what it changes, also for a tenant that holds a third of all lines;
+* the manifest also records the last applied ``batch_id``, in the same atomic publish as the data: when Spark
+  re-runs a micro-batch after a failure (at-least-once ``foreachBatch``), it is skipped, and even if it were
+  applied twice the upsert is idempotent -- a redelivered document changes nothing but ``synced_at``;
+* connections and contact links are read inside every micro-batch, so tenants and links added while the
+  stream runs count from the next batch on;
 * the stream checkpoint lives next to the snapshot, so a restarted query
   resumes from the last committed offsets.
 """
@@ -20,6 +20,7 @@ into a snapshot table (J5) keyed by (company_id, idempotency_key):
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,39 +38,29 @@ REPLACED_ON_CONFLICT = ["amount", "posted_date", "contact_name", "currency", "ex
 
 
 class LedgerSink:
-    """foreachBatch target: normalise one micro-batch of pages and upsert it into the snapshot."""
+    """foreachBatch target: normalise one micro-batch of pages and upsert it into the snapshot.
 
-    def __init__(self, spark: SparkSession, root: str, connections: DataFrame, links: DataFrame,
-                 buckets: int = 64):
-        self.spark = spark
-        self.table = up.BucketedSnapshotTable(spark, root, ["company_id"], buckets)
+    ``connections`` and ``links`` are functions that return the tables as they are now.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, connections: Callable[[], DataFrame], links: Callable[[], DataFrame]):
+        self.table = up.DeltaSnapshotTable(spark, root, ["company_id", "idempotency_key"], REPLACED_ON_CONFLICT)
         self.connections = connections
         self.links = links
-        self.applied_path = os.path.join(root, "_applied_batches")
 
     def last_applied(self) -> int:
-        try:
-            r = self.spark.read.parquet(self.applied_path).agg(F.max("batch_id")).first()
-            return -1 if r is None or r[0] is None else int(r[0])
-        except Exception:  # noqa: BLE001 - nothing applied yet
-            return -1
+        return self.table.marks().get("batch_id", -1)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last_applied():
             return                                           # replayed micro-batch: already in the snapshot
-        docs = lg.normalised_documents(batch, self.connections)
-        delta = lg.accepted_lines(docs, self.links).withColumn("synced_at", F.current_timestamp())
-        delta = delta.persist()            # read twice (touched buckets, merge); recomputable from the batch files
-        try:
-            self.table.commit(delta, lambda base, d: up.upsert(base, d, ["company_id", "idempotency_key"],
-                                                                replace=REPLACED_ON_CONFLICT))
-        finally:
-            delta.unpersist()
-        self.spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(self.applied_path)
-
-
-def start_ingest(spark: SparkSession, landing_glob: str, root: str, connections: DataFrame, links: DataFrame,
-                 files_per_trigger: int = 2, available_now: bool = True):
+        docs = lg.normalised_documents(batch, self.connections())
+        delta = lg.accepted_lines(docs, self.links()).withColumn("synced_at", F.current_timestamp())
+        self.table.commit(delta, {"batch_id": batch_id})
+
+
+def start_ingest(spark: SparkSession, landing_glob: str, root: str, connections: Callable[[], DataFrame],
+                 links: Callable[[], DataFrame], files_per_trigger: int = 2, available_now: bool = True):
     """Start the streaming ingest; returns (StreamingQuery, LedgerSink)."""
     sink = LedgerSink(spark, root, connections, links)
     pages = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)

@@ -90,3 +90,30 @@ def test_missing_contact_payment_fallback_and_voided_later(spark):
     assert delta.count() == 0
     after = up.upsert(base, delta, ["company_id", "idempotency_key"], replace=["amount"])
     assert {r.idempotency_key: float(r.amount) for r in after.collect()}["xero:T1:accrual:invoice:A"] == 5.0
+
+
+def test_no_page_and_no_document_is_lost(spark):
+    good = '{"Invoices":[{"InvoiceID":"A","Type":"ACCREC","Status":"PAID","Total":1,"Date":"2024-01-01"}]}'
+    pages = _pages(spark, [
+        ("xero", "T1", "invoices", 0, good), ("xero", "T1", "invoices", 1, good.replace('"A"', '"B"')[:-2]),      # no closing brace
+        ("xero", "T1", "invoices", 2, '{"Invoices":"none"}'), ("xero", "T1", "payments", 3, '[1, 2]'),
+        ("xero", "T1", "invoices", 4, '{"Invoices":[]}'), ("xero", "T1", "invoices", 5, '{}'), ("xero", "T1", "payments", 6, None),
+        ("quickbooks", "T1", "invoices", 7, '{"QueryResponse":{"Invoice":"x"}}'), ("quickbooks", "T1", "payments", 8, '{"QueryResponse":{}}'),
+        ("sage", "T1", "invoices", 9, good), ("xero", "T1", "bills", 10, good), (None, "T1", None, 11, good)])
+    conns = spark.createDataFrame([(2, 1, "xero", "T1", None), (3, 1, "quickbooks", None, "T1")],
+                                  "id int, company_id int, service_name string, tenant_id string, realm_id string")
+    docs = lg.normalised_documents(pages, conns).collect()
+    assert {r.page_no: r.reject_reason for r in docs} == {
+        0: None, 1: "malformed_page", 2: "malformed_page", 3: "malformed_page", 6: "malformed_page", 7: "malformed_page",
+        9: "unknown_kind", 10: "unknown_kind", 11: "unknown_kind"}           # 4, 5, 8: valid pages without documents
+
+
+def test_extreme_dates_are_rejected_not_fatal(spark):
+    inv = ('{"Invoices":[' + ",".join(
+        f'{{"InvoiceID":"{k}","Type":"ACCREC","Status":"PAID","Total":1,"Date":"{d}"}}' for k, d in (
+            ("min", "/Date(-9223372036854775808)/"), ("max", "/Date(9223372036854775807)/"), ("huge", "/Date(99999999999999999999999)/"),
+            ("old", "/Date(-99999999999999)/"), ("no", "soon"), ("ok", "/Date(0)/"))) + "]}")
+    conns = spark.createDataFrame([(2, 1, "xero", "T1", None)], "id int, company_id int, service_name string, tenant_id string, realm_id string")
+    got = {r.external_invoice_id: r.reject_reason for r in lg.normalised_documents(_pages(spark, [("xero", "T1", "invoices", 0, inv)]), conns).collect()}
+    assert got == {"min": "date_out_of_range", "max": "date_out_of_range", "huge": "date_out_of_range", "old": "date_out_of_range",
+                   "no": "bad_date", "ok": None}

@@ -41,22 +41,3 @@ def test_upsert_with_a_hot_key_group(spark):
     got = {r.session_id == 0: r.c for r in out.groupBy((F.col("session_id") == 0).alias("hot"))
            .agg(F.sum("v").alias("c")).withColumnRenamed("hot", "session_id").collect()}
     assert got[True] == 2 * 10000 and got[False] == 20000
-
-
-def test_bucketed_snapshot_rewrites_only_touched_buckets(spark):
-    import os
-    import uuid
-    from cashcurve.session import checkpoint_dir
-    root = os.path.join(checkpoint_dir(spark), f"bucketed-{uuid.uuid4().hex[:8]}")
-    t = up.BucketedSnapshotTable(spark, root, ["company_id"], buckets=8)
-    merge = lambda b, d: up.upsert(b, d, ["company_id", "k"], replace=["v"])
-    base = spark.range(0, 400).select((F.col("id") % 40).cast("int").alias("company_id"),
-                                      F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
-    t.commit(base, merge)
-    one = base.filter(F.col("company_id") == 7).withColumn("v", F.lit(2))
-    v2 = t.commit(one, merge)
-    written = [d for d in os.listdir(os.path.join(root, f"v={v2:06d}")) if d.startswith("_bucket=")]
-    assert len(written) == 1                                   # one tenant's sync rewrites one bucket
-    snap = t.read()
-    assert snap.count() == 400
-    assert snap.filter(F.col("v") == 2).count() == 10 and snap.filter(F.col("company_id") == 7).count() == 10
