@@ -25,14 +25,25 @@ from cashcurve.plans.forecast_queries import details_of, health_exact_of, health
 from cashcurve.plans.kpi_queries import metrics_of
 from cashcurve.plans.runway_queries import inputs_of
 from cashcurve.sources.model import ModelTables
+from cashcurve.sources.schemas import OwnTables
 
 
 class FinanceApi:
-    """Endpoint-shaped access to the operators for one source directory."""
+    """Endpoint-shaped access to the operators.
+
+    ``FinanceApi(spark, dir)`` derives the finance tables from the landed ones in ``dir``;
+    ``FinanceApi.over(OwnTables(spark, root))`` reads a user's own finance tables (``sources.schemas``).
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.m = ModelTables(spark, sf_dir)
 
+    @classmethod
+    def over(cls, tables: OwnTables) -> FinanceApi:
+        api = cls.__new__(cls)
+        api.m = tables
+        return api
+
     @staticmethod
     def _of(df: DataFrame, company_id: int, col: str = "company_id") -> DataFrame:
         return df.filter(F.col(col) == company_id)

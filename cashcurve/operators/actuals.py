@@ -36,9 +36,13 @@ def actuals_lines(lines: DataFrame, leads: DataFrame, basis: str | None = None,
                     "idempotency_key", "lead_id", "linked_lead_name")
 
 
-def actuals_snapshot(summary: DataFrame, as_of: str) -> DataFrame:
-    """Accrual and cash totals of the as-of month per company and currency (currency kept as key, S22)."""
-    m = summary.filter(F.col("month") == F.trunc(F.lit(as_of).cast("date"), "MM"))
+def actuals_snapshot(lines: DataFrame, as_of: str) -> DataFrame:
+    """Accrual and cash totals of the as-of month per company and currency (currency kept as key, S22).
+
+    The month is a range of ``posted_date`` applied before the aggregate, so it reaches the scan of the lines.
+    """
+    month = F.trunc(F.lit(as_of).cast("date"), "MM")
+    m = actuals_summary(lines.filter((F.col("posted_date") >= month) & (F.col("posted_date") < F.add_months(month, 1))))
     return m.groupBy("company_id", "currency").agg(
         F.max(F.when(F.col("basis") == "accrual", F.col("total_amount"))).alias("accrual_total"),
         F.max(F.when(F.col("basis") == "cash", F.col("total_amount"))).alias("cash_total"))

@@ -6,7 +6,7 @@ partial aggregation; no distinct-count over a whole company in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import dbl, first_of_month, money, round_dp
@@ -43,12 +43,27 @@ def repeat_rate(order_company: DataFrame) -> DataFrame:
                     round_dp(F.col("repeat_customers") / F.col("customers") * 100, 2).alias("repeat_percent"))
 
 
-def ltv(kpi_rows: DataFrame, metrics_out: DataFrame) -> DataFrame:
-    """LTV = ARPA x gross margin / monthly logo churn, per company x month (NULL without churn)."""
-    j = kpi_rows.select("company_id", "month_date", "gross_margin_percent", "monthly_churn_percent").join(
-        metrics_out.select("company_id", "month_date", "mrr", "mau"), ["company_id", "month_date"])
+def retention(order_company: DataFrame) -> DataFrame:
+    """Per company and month, the share of customers with an order who order again in the next calendar month.
+
+    One window per customer over its months; a customer's months are bounded by the calendar.
+    """
+    months = order_company.select(F.col("c_nationkey").alias("company_id"), "o_custkey", first_of_month("o_orderdate").alias("month")).distinct()
+    w = Window.partitionBy("company_id", "o_custkey").orderBy("month")
+    again = F.lead("month").over(w) == F.add_months("month", 1)
+    g = months.withColumn("again", F.coalesce(again, F.lit(False))).groupBy("company_id", "month").agg(
+        F.count(F.lit(1)).alias("customers"), F.count(F.when(F.col("again"), True)).alias("retained"))
+    return g.select("company_id", "month", "customers", "retained",
+                    round_dp(F.col("retained") / F.col("customers") * 100, 2).alias("retention_percent"))
+
+
+def ltv(kpi_rows: DataFrame) -> DataFrame:
+    """LTV = ARPA x gross margin / monthly logo churn, per company x month (NULL without churn).
+
+    ``kpi_rows`` are KPI rows that carry ``mau``.
+    """
     arpa = F.col("mrr") / F.col("mau")
     val = arpa * (F.col("gross_margin_percent") / 100.0) / (F.col("monthly_churn_percent") / 100.0)
-    return j.select("company_id", "month_date", round_dp(arpa, 2).alias("arpa"),
-                    F.when((F.col("monthly_churn_percent") > 0) & F.col("gross_margin_percent").isNotNull(),
-                           round_dp(val, 2)).alias("ltv"))
+    return kpi_rows.select("company_id", "month_date", round_dp(arpa, 2).alias("arpa"),
+                           F.when((F.col("monthly_churn_percent") > 0) & F.col("gross_margin_percent").isNotNull(),
+                                  round_dp(val, 2)).alias("ltv"))

@@ -50,19 +50,20 @@ def customer_contributions(cmr: DataFrame) -> DataFrame:
     x = cmr.select("company_id", "month", "rev", pre.alias("pre"), prev_m.isNull().alias("first"),
                    gap_after.alias("gap_after"), next_m.isNull().alias("last"))
     cur, p = F.col("rev"), F.col("pre")
-    here = x.select("company_id", "month", F.lit(1).alias("active"), cur.alias("rev"),
-                    F.when((cur > 0) & (p > 0) & (cur > p), cur - p).alias("expansion"),
-                    F.when((cur > 0) & (p > 0) & (cur < p), p - cur).alias("contraction"),
-                    F.lit(None).cast(cmr.schema["rev"].dataType).alias("churned"),
-                    F.when(F.col("first"), F.lit(1)).alias("new"), F.lit(None).cast("int").alias("lost"))
-    after = x.filter("gap_after").select(
-        "company_id", F.add_months("month", 1).alias("month"), F.lit(None).cast("int").alias("active"),
-        F.lit(None).cast(cmr.schema["rev"].dataType).alias("rev"),
-        F.lit(None).cast(cmr.schema["rev"].dataType).alias("expansion"),
-        F.lit(None).cast(cmr.schema["rev"].dataType).alias("contraction"),
-        F.when(cur > 0, cur).alias("churned"), F.lit(None).cast("int").alias("new"),
-        F.when(F.col("last"), F.lit(1)).alias("lost"))
-    return here.unionByName(after)
+    money_type = cmr.schema["rev"].dataType
+    no_money, no_count = F.lit(None).cast(money_type), F.lit(None).cast("int")
+
+    def at(month, active, rev, expansion, contraction, churned, new, lost):
+        return F.struct(month.alias("month"), active.alias("active"), rev.alias("rev"), expansion.cast(money_type).alias("expansion"),
+                        contraction.cast(money_type).alias("contraction"), churned.alias("churned"), new.alias("new"), lost.alias("lost"))
+
+    here = at(F.col("month"), F.lit(1), cur, F.when((cur > 0) & (p > 0) & (cur > p), cur - p),
+              F.when((cur > 0) & (p > 0) & (cur < p), p - cur), no_money, F.when(F.col("first"), F.lit(1)), no_count)
+    after = at(F.add_months("month", 1), no_count, no_money, no_money, no_money, F.when(cur > 0, cur), no_count,
+               F.when(F.col("last"), F.lit(1)))
+    # one pass over the window's rows: a row adds to its month and, before a gap, to the next one
+    both = F.when(F.col("gap_after"), F.array(here, after)).otherwise(F.array(here))
+    return x.select("company_id", F.explode(both).alias("c")).select("company_id", "c.*")
 
 
 def monthly_metrics(order_company: DataFrame, one_off_expenses: DataFrame) -> DataFrame:
@@ -123,14 +124,15 @@ def metric_pairs(latest: DataFrame) -> DataFrame:
     return long.filter(F.col("value").isNotNull())
 
 
-def saas_kpis(metrics_out: DataFrame, gm: DataFrame) -> DataFrame:
-    """I14-I19 per metrics row; ``gm`` supplies (company_id, month_date, gross_margin_percent).
+def saas_kpis(metrics_out: DataFrame, gm: DataFrame, on: tuple[str, ...] = ("company_id", "month_date"),
+              carry: tuple[str, ...] = ()) -> DataFrame:
+    """I14-I19 per metrics row; ``gm`` supplies gross_margin_percent by ``on``; ``carry`` names metrics to pass on.
 
     The reference's Python truthiness rules become explicit NULL rules: a
     stored cac of 0, new_customers 0 or customers_start 0 count as absent (S7);
     CAC payback divides by *total* MRR x margin (S8).
     """
-    j = metrics_out.join(gm, ["company_id", "month_date"], "left")
+    j = metrics_out.join(gm, list(on), "left")
     mrr, sm = F.col("mrr"), F.col("starting_mrr")
     z = F.lit(0.0)
     nrr = F.when(sm > 0, round_even_dp((sm + F.coalesce("expansion_mrr", z) - F.coalesce("churned_mrr", z)
@@ -149,7 +151,7 @@ def saas_kpis(metrics_out: DataFrame, gm: DataFrame) -> DataFrame:
         cac_inputs.alias("cac_from_inputs"), F.col("cac").alias("cac_stored"), ltv_cac.alias("ltv_cac_ratio"),
         payback.alias("cac_payback_months"), churn.alias("monthly_churn_percent"),
         F.col("churn_rate").alias("churn_rate_stored"), F.col("ltv").alias("ltv_stored"),
-        F.col("gross_margin_percent"))
+        F.col("gross_margin_percent"), *carry)
 
 
 def saas_kpis_latest(metrics: DataFrame, health: DataFrame) -> DataFrame:
@@ -158,5 +160,4 @@ def saas_kpis_latest(metrics: DataFrame, health: DataFrame) -> DataFrame:
     lm = latest_metrics(metrics)
     gm = latest_month_revenue(health).select("company_id", F.col("latest_gross_margin_percent")
                                              .alias("gross_margin_percent"))
-    gm = gm.join(lm.select("company_id", "month_date"), "company_id")
-    return saas_kpis(lm, gm)
+    return saas_kpis(lm, gm, on=("company_id",))

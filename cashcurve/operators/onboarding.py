@@ -70,7 +70,8 @@ def script_table(spark, app_name: str = "the app") -> DataFrame:
 def scripted_replies(messages: DataFrame, script: DataFrame) -> DataFrame:
     """K4 + E5 + D11: after the n-th user message of a session the assistant says script[n]
     (n = count of user rows so far); past the script it hands off."""
-    m = running_count(messages, "session_id", ["id"], F.col("role") == "user", "user_turn")
+    turns = messages.select("session_id", "id", "role")      # counting needs no text: none is shuffled or checkpointed
+    m = running_count(turns, "session_id", ["id"], F.col("role") == "user", "user_turn")
     u = m.filter(F.col("role") == "user")
     j = u.join(F.broadcast(script), "user_turn", "left")
     return j.select("session_id", F.col("id").alias("message_id"), "user_turn",

@@ -81,4 +81,13 @@ DESCRIPTIONS: dict[str, tuple[str, str]] = {
     "repeat_rate": ("X3", "repeat-purchase rate"),
     "ltv": ("X4", "LTV = ARPA x margin / churn"),
     "stream_ingest": ("N1", "streaming ledger ingest, final snapshot"),
+    "insert_products": ("A7", "products inserted with defaults and generated ids"),
+    "insert_expenses": ("A7", "fixed expenses inserted with defaults and generated ids"),
+    "insert_leads": ("A7", "leads inserted with defaults and generated ids"),
+    "insert_projects": ("A7", "projects inserted with defaults and generated ids"),
+    "insert_budget": ("A8", "budget items and their installments as inserted"),
+    "delete_forecast": ("J7", "forecast table after deleting ids"),
+    "delete_budget_item": ("J7 J8", "budget items and installments after a deletion and its cascade"),
+    "cascade_company": ("J8", "rows of every table left after companies are deleted"),
+    "retention": ("X3", "customers of a month who order again in the next month"),
 }

@@ -41,6 +41,16 @@ def q_repeat_rate(spark, sf_dir):
     return ex.repeat_rate(ModelTables(spark, sf_dir).order_company)
 
 
+@register("retention", oracle="""
+    WITH cm AS (SELECT DISTINCT c.c_nationkey AS company_id, o.o_custkey AS k, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS month
+                FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)
+    SELECT a.company_id, a.month, count(*) AS customers, count(b.k) AS retained, ROUND(count(b.k) / count(*) * 100, 2) AS retention_percent
+    FROM cm a LEFT JOIN cm b ON b.company_id = a.company_id AND b.k = a.k AND b.month = CAST(a.month + INTERVAL 1 MONTH AS DATE)
+    GROUP BY 1, 2""")
+def q_retention(spark, sf_dir):
+    return ex.retention(ModelTables(spark, sf_dir).order_company)
+
+
 @register("ltv", oracle=with_tables(METRIC_NEEDS + ["health"], """
     SELECT k.company_id, k.month_date, ROUND(m.mrr / m.mau, 2) AS arpa,
            CASE WHEN k.monthly_churn_percent > 0 AND k.gross_margin_percent IS NOT NULL
@@ -54,4 +64,4 @@ def q_ltv(spark, sf_dir):
     m = ModelTables(spark, sf_dir)
     mo = kpis.metrics_output(metrics_of(m))
     gm = health_of(m).selectExpr("company_id", "forecast_month AS month_date", "gross_margin_percent")
-    return ex.ltv(kpis.saas_kpis(mo, gm), mo)
+    return ex.ltv(kpis.saas_kpis(mo, gm, carry=("mau",)))

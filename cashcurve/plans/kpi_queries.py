@@ -80,12 +80,14 @@ KPI_SELECT = """
 
 
 def metrics_of(m: ModelTables):
-    return kpis.monthly_metrics(m.order_company, m.one_off_expenses)
+    """The stored monthly_metrics table; KPI queries read it, as the app does."""
+    return m.monthly_metrics
 
 
 @register("mrr_movements", oracle=with_tables(METRIC_NEEDS, "SELECT * FROM metrics_out", METRIC_CTES))
 def q_mrr_movements(spark, sf_dir):
-    return kpis.metrics_output(metrics_of(ModelTables(spark, sf_dir)))
+    m = ModelTables(spark, sf_dir)
+    return kpis.metrics_output(kpis.monthly_metrics(m.order_company, m.one_off_expenses))
 
 
 @register("latest_metrics", oracle=with_tables(METRIC_NEEDS, "SELECT * FROM latest_m", METRIC_CTES))

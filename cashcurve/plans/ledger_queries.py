@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from cashcurve.operators import ledger as lg
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
@@ -58,19 +61,28 @@ with open(lg.__file__, "rb") as _fh:
     LEDGER_VERSION = hashlib.sha1(_fh.read() + LANDING_VERSION.encode()).hexdigest()[:12]
 
 
-def actual_lines_table(m: ModelTables):
-    """The accounting_actual_lines table as the first full sync leaves it, stored once per source.
+def actual_lines_table(m: ModelTables, as_of: str | None = None):
+    """The accounting_actual_lines table as the first full sync leaves it, stored once per state of the sources.
 
     Reports, patches and re-syncs read this table, as the app reads its own
     table; the ingest queries (``ledger_lines``, ``stream_ingest``) run the JSON path.
+    It is stored by posting month; ``as_of`` reads only that date's month.
     """
-    if not m.stored:
-        return lg.accepted_lines(documents_of(m), m.lead_links)
-    digest = hashlib.sha1(os.path.abspath(m.sf_dir).encode()).hexdigest()[:12]
-    root = os.path.join(checkpoint_dir(m.spark), "model", f"lines-{LEDGER_VERSION}-{digest}")
+    own = getattr(m, "accounting_actual_lines", None)
+    if own is not None:                                     # a user's own table
+        return own
     lines = lg.accepted_lines(documents_of(m), m.lead_links)
-    ensure_stored(m.spark, root, lambda: lines.write.mode("overwrite").parquet(root))
-    return m.spark.read.schema(lines.schema).parquet(root).select(*lines.columns)
+    if not m.stored:
+        return lines
+    root = os.path.join(checkpoint_dir(m.spark), "model", f"lines-{LEDGER_VERSION}-{m.source_digest}")
+    month = F.trunc("posted_date", "MM")
+    keys = ["posted_month", "company_id"]
+    ensure_stored(m.spark, root, lambda path: lines.withColumn("posted_month", month).repartitionByRange(*keys)
+                  .sortWithinPartitions(*keys).write.partitionBy("posted_month").parquet(path))
+    stored = m.spark.read.schema(T.StructType([*lines.schema.fields, T.StructField("posted_month", T.DateType())])).parquet(root)
+    if as_of is not None:
+        stored = stored.filter(F.col("posted_month") == F.trunc(F.lit(as_of).cast("date"), "MM"))
+    return stored.select(*lines.columns)
 
 
 @register("ledger_lines", oracle=with_tables(["lead_links"], """

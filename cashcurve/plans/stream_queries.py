@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
 
@@ -32,12 +31,10 @@ def q_stream_ingest(spark, sf_dir):
     """
     m = ModelTables(spark, sf_dir)
     base = checkpoint_dir(spark)
-    digest = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    landing = os.path.join(base, "stream-landing", f"{LANDING_VERSION}-{digest}-{ARRIVALS}")
+    landing = os.path.join(base, "stream-landing", f"{LANDING_VERSION}-{m.source_digest}-{ARRIVALS}")
     glob = os.path.join(landing, "arrival_*")
     # the arrivals are deterministic per source: land them once, stream them every run
-    ensure_stored(spark, os.path.join(landing, f"arrival_{ARRIVALS - 1:04d}"),
-                  lambda: land_pages(landing_zone(m), landing, ARRIVALS))
+    ensure_stored(spark, landing, lambda path: land_pages(landing_zone(m), path, ARRIVALS))
     root = os.path.join(base, f"stream-ingest-{uuid.uuid4().hex[:12]}")
     q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), lambda: m.connections, lambda: m.lead_links)
     q.awaitTermination()

@@ -8,8 +8,10 @@ values here are defaults for local runs and are applied only when unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every operator relies on (semantics, not tuning).
@@ -34,14 +36,33 @@ TUNING_CONF = {
 }
 
 
+def _submitted() -> set[str]:
+    """Settings that spark-submit or the environment has made already."""
+    names = set(re.findall(r"--conf[ =]+'?\"?([\w.]+)=", args := os.environ.get("PYSPARK_SUBMIT_ARGS", "")))
+    if "--driver-memory" in args:
+        names.add("spark.driver.memory")
+    if "PYSPARK_GATEWAY_PORT" in os.environ:        # started by spark-submit: its JVM has the defaults and --conf values
+        SparkContext._ensure_initialized()
+        names |= {k for k, _ in SparkConf().getAll()}
+    return names
+
+
 def build_session(master: str | None = None, app: str = "cashcurve",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """Get or create a session with the engine's semantic settings applied."""
-    builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", os.environ.get("CASHCURVE_DRIVER_MEMORY", "3g")))
+    """Get or create a session with the engine's semantic settings applied.
+
+    Tuning values are defaults: an existing session keeps its own, and so does whatever spark-submit has set.
+    ``extra`` and ``shuffle_partitions`` are the caller's and always apply.
+    """
+    builder = SparkSession.builder.appName(app)
+    defaults = {}
+    if SparkSession.getActiveSession() is None:
+        defaults = {"spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("CASHCURVE_DRIVER_MEMORY", "3g"), **TUNING_CONF}
+        taken = _submitted()
+        defaults = {k: v for k, v in defaults.items() if k not in taken}
     if master:
         builder = builder.master(master)
-    for k, v in {**TUNING_CONF, **SEMANTIC_CONF, **(extra or {})}.items():
+    for k, v in {**defaults, **SEMANTIC_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

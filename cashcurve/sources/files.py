@@ -6,6 +6,7 @@ import hashlib
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -49,26 +50,29 @@ class SharedFiles:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        self._rename_new(part, path)
+
+    def publish_folder(self, part: str, path: str) -> None:
+        """Give a completely written folder its name; FileExistsError (and the folder goes) if another has it."""
+        self._rename_new(part, path)
+
+    def _rename_new(self, part: str, path: str) -> None:
+        none = SparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs(path).getUri(), self.conf)
         try:
-            context.rename(self._path(part), self._path(path), self._no_options(rename))
+            context.rename(self._path(part), self._path(path), none)
         except Py4JJavaError as e:
-            self._fs(part).delete(self._path(part), False)
+            self._fs(part).delete(self._path(part), True)
             if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
                 raise FileExistsError(path) from e
             raise
 
-    def _no_options(self, kind):
-        from pyspark import SparkContext
-        return SparkContext._gateway.new_array(kind, 0)
-
-    def fingerprint(self, path: str) -> str:
-        """Digest of the names, sizes and modification times of all files under ``path``."""
+    def fingerprint(self, *paths: str) -> str:
+        """Digest of the names, sizes and modification times of all files under the paths that exist."""
         seen = []
-        pending = [self._path(path)]
-        fs = self._fs(path)
+        pending = [self._path(p) for p in paths if self.exists(p)]
         while pending:
+            fs = pending[-1].getFileSystem(self.conf)
             for s in fs.listStatus(pending.pop()):
                 if s.isDirectory():
                     pending.append(s.getPath())

@@ -27,6 +27,7 @@ from cashcurve.sources.model import MODEL_VERSION, ModelTables, ensure_stored
 # Fixed values of the landing rules.
 INVOICES_PER_PAGE_KEYRANGE = 100   # invoice page = order keys [100p, 100p+99] of one tenant
 PAYMENTS_PER_PAGE_KEYRANGE = 10    # payment page = lines of 10 consecutive orders (<= 70 docs)
+LINES_PER_PAGE = 100           # line numbers of one order on one payment page
 PAYABLE_EVERY = 10                 # o_orderkey % 10 = 0 -> Type ACCPAY (rejected)
 BAD_DATE_EVERY = 97                # o_orderkey % 97 = 0 -> '2025-13-01' (rejected)
 BAD_DATE_TEXT = "2025-13-01"
@@ -112,15 +113,16 @@ def payment_documents(m: ModelTables) -> DataFrame:
     prov = _provider(ck)
     return j.select(
         prov.alias("provider"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
-        F.lit("payments").alias("kind"), F.floor(k / PAYMENTS_PER_PAGE_KEYRANGE).alias("page_no"),
-        (k * 10 + ln).alias("doc_order"), F.when(prov == "xero", xero).otherwise(qbo).alias("doc"))
+        F.lit("payments").alias("kind"), (F.floor(k / PAYMENTS_PER_PAGE_KEYRANGE) * (1 << 20) + F.floor(ln / LINES_PER_PAGE)).alias("page_no"),
+        (k * 1_000_000 + ln).alias("doc_order"), F.when(prov == "xero", xero).otherwise(qbo).alias("doc"))
 
 
 def landed_pages(m: ModelTables) -> DataFrame:
     """All provider pages: (provider, tenant_id, kind, page_no, body).
 
-    Documents are grouped per page (at most 100 per invoice page and 70 per
-    payment page, by construction of the page key), ordered inside the page.
+    Documents are grouped per page, ordered inside the page.  The page key bounds a page by construction: an invoice
+    page holds one key range of orders, a payment page the lines of one key range of orders and of one
+    range of line numbers, so an order with very many lines fills many pages.
     """
     docs = invoice_documents(m).unionByName(payment_documents(m))
     g = docs.groupBy("provider", "tenant_id", "kind", "page_no").agg(
@@ -152,9 +154,8 @@ def landing_zone(m: ModelTables) -> DataFrame:
     """
     from cashcurve.session import checkpoint_dir
     spark = m.spark
-    digest = hashlib.sha1(os.path.abspath(m.sf_dir).encode()).hexdigest()[:16]
-    root = os.path.join(checkpoint_dir(spark), "landing", f"{LANDING_VERSION}-{digest}")
+    root = os.path.join(checkpoint_dir(spark), "landing", f"{LANDING_VERSION}-{m.source_digest}")
     keys = ["provider", "kind", "tenant_id", "page_no"]
-    ensure_stored(spark, root, lambda: landed_pages(m).repartitionByRange(*keys).sortWithinPartitions(*keys)
-                  .write.mode("overwrite").partitionBy("provider", "kind").parquet(root))
+    ensure_stored(spark, root, lambda path: landed_pages(m).repartitionByRange(*keys).sortWithinPartitions(*keys)
+                  .write.partitionBy("provider", "kind").parquet(path))
     return spark.read.schema(PAGE_COLUMNS).parquet(root).select("provider", "tenant_id", "kind", "page_no", "body")

@@ -10,22 +10,27 @@ model table grows with the landed data (no fixed rows).  Scale notes:
   (forecast entries are aggregated to company x part x month before ``part``
   is joined; cash balances aggregate orders per customer first).
 * Ids are computed from the row's own key, never with a global ``row_number``
-  (which would pull every row through one task).  The forecast id packs
-  (product, company, month) and assumes fewer than 100 companies, as in this
-  test data (25); it is a fixture artefact -- no operator depends on id layout.
+  (which would pull every row through one task): a forecast's id is its key as
+  text, a message's id leaves room for a billion turns.
+* Plain projections of a landed table are not stored: reading the landed files keeps
+  column pruning and pushdown.  Joined and aggregated tables are stored per
+  fingerprint of the landed files, so appended data are seen by the next query.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import threading
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import MONEY, first_of_month, money
+from cashcurve.sources.files import SharedFiles
 from cashcurve.sources.raw import RawTables
 
 # Fixed values of the fixture mapping (FIXTURES.md section 2).
@@ -36,9 +41,9 @@ COGS_OVERRIDE_MIN_TAX = 0.08
 COGS_OVERRIDE_FACTOR = "1.1"
 FIXED_EXPENSE_FACTOR = 25        # amount = abs(s_acctbal) * 25
 CASH_FACTOR = 500                # total_cash = c_acctbal * 500
-CAPEX_FACTOR = "0.05"            # one-off amount = l_extendedprice * 0.05
+CAPEX_FACTOR = "0.007"           # one-off amount = l_extendedprice * 0.007
 BUDGET_FACTOR = "0.0025"         # budgets and installments = price * 0.0025
-LEAD_MIN_DATE = "2001-07-01"
+CONTRACT_FACTOR = "0.0125"       # lead contract value = order price * 0.0125
 # probability by the first digit of o_orderpriority: 1..5
 PRIORITY_PROBABILITY = {"1": 90, "2": 70, "3": 50, "4": 25, "5": 10}
 METRIC_CAC = 500                 # stored cac: 0 when company_id % 3 = 0, else 500
@@ -50,11 +55,16 @@ def _dec(text: str):
     return F.lit(text).cast(f"decimal({len(text)},{len(text.split('.')[1]) if '.' in text else 0})")
 
 
+def forecast_id():
+    """Id of a forecast entry: its key as text."""
+    return F.concat_ws("-", "company_id", "product_id", F.date_format("forecast_month", "yyyy-MM"))
+
+
 def _code_digest() -> str:
-    """Digest of the mapping code (this module and the expression helpers it uses)."""
+    """Digest of the code that stored tables are made by."""
     from cashcurve.functions import exprs
     h = hashlib.sha1()
-    for path in (__file__, exprs.__file__):
+    for path in (__file__, exprs.__file__, os.path.join(os.path.dirname(__file__), "..", "operators", "kpis.py")):
         with open(path, "rb") as fh:
             h.update(fh.read())
     return h.hexdigest()[:12]
@@ -63,34 +73,37 @@ def _code_digest() -> str:
 MODEL_VERSION = _code_digest()   # stored tables are rebuilt when the mapping code changes
 
 
-_COMPLETE: set[str] = set()   # stored directories already known to be complete (immutable per digest)
+_COMPLETE: set[str] = set()   # stored folders known to be there (a published folder never changes)
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
 
 def ensure_stored(spark: SparkSession, root: str, write) -> None:
-    """Run ``write()`` unless ``root`` already holds a completed write (its ``_SUCCESS`` marker).
+    """Have ``write(path)`` fill a folder of its own and publish it as ``root``, unless ``root`` is there.
 
-    A stored directory never changes once complete (its path carries the code
-    digest), so the check runs once per process and directory; a per-directory
-    lock keeps two threads of one driver from building the same table at once.
+    The path carries the code's digest and the sources' fingerprint, so a changed source gets a new folder.  A folder
+    appears whole or not at all; if two drivers build it, the first to finish wins; a failed check is an error.
     """
     if root in _COMPLETE:
         return
     with _LOCKS_GUARD:
         lock = _LOCKS.setdefault(root, threading.Lock())
     with lock:
-        if root in _COMPLETE:
-            return
-        try:
-            spark.read.text(os.path.join(root, "_SUCCESS")).limit(1).collect()
-        except Exception:  # noqa: BLE001 - not stored yet, or an interrupted write: (re)build it
-            write()
+        files = SharedFiles(spark)
+        if root not in _COMPLETE and not files.exists(root):
+            part = f"{root}.{uuid.uuid4().hex[:8]}.part"
+            write(part)
+            with contextlib.suppress(FileExistsError):
+                files.publish_folder(part, root)
         _COMPLETE.add(root)
 
 
+#: Landed tables that the model tables are made of.
+SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
+
+
 def stored_table(build=None, *, partition_by: str | None = None, cluster_by: tuple[str, ...] = ()):
-    """Property decorator: the model table is derived once per source directory and kept as parquet.
+    """Property decorator: the model table is derived once per state of the landed files and kept as parquet.
 
     ``partition_by`` names a month column to partition the stored files by
     (long fact tables are partitioned by month, never by company: a hot tenant
@@ -132,19 +145,25 @@ class ModelTables:
         self.stored = stored
         self.raw = RawTables(spark, sf_dir)
 
+    @cached_property
+    def source_digest(self) -> str:
+        """Names the landed files as they are now: an appended or replaced file gives another digest."""
+        base = self.sf_dir.rstrip("/")
+        found = SharedFiles(self.spark).fingerprint(*[f"{base}/{t}.parquet" for t in SOURCES])
+        return hashlib.sha1(f"{base}:{found}".encode()).hexdigest()[:12]
+
     def _stored(self, name: str, build, partition_by: str | None = None, cluster_by: tuple[str, ...] = ()) -> DataFrame:
         from cashcurve.session import checkpoint_dir
-        digest = hashlib.sha1(os.path.abspath(self.sf_dir).encode()).hexdigest()[:12]
-        root = os.path.join(checkpoint_dir(self.spark), "model", f"{MODEL_VERSION}-{digest}", name)
+        root = os.path.join(checkpoint_dir(self.spark), "model", f"{MODEL_VERSION}-{self.source_digest}", name)
         df = build()
 
-        def write():
+        def write(path: str):
             if partition_by:
                 keys = [partition_by, *cluster_by]
-                df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite") \
-                    .partitionBy(partition_by).parquet(root)
+                df.repartitionByRange(*keys).sortWithinPartitions(*keys).write \
+                    .partitionBy(partition_by).parquet(path)
             else:
-                df.write.mode("overwrite").parquet(root)
+                df.write.parquet(path)
 
         ensure_stored(self.spark, root, write)
         # explicit schema: partition columns keep their type, columns keep their order
@@ -160,11 +179,11 @@ class ModelTables:
         return o.join(c, o.o_custkey == c.c_custkey, "inner")
 
     # -- model tables ----------------------------------------------------------
-    @stored_table
+    @cached_property
     def companies(self) -> DataFrame:
         return self.raw.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
 
-    @stored_table
+    @cached_property
     def products(self) -> DataFrame:
         p = self.raw.part
         return p.select(
@@ -190,9 +209,8 @@ class ModelTables:
         # part joined after the aggregate: one part per group, so max(price) = price.
         p = self.raw.part.select("p_partkey", "p_retailprice")
         j = grouped.join(p, grouped.product_id == p.p_partkey, "inner")
-        month_index = F.year("forecast_month") * 12 + F.month("forecast_month") - 1
         return j.select(
-            ((F.col("product_id") * 100 + F.col("company_id")) * 100000 + month_index).alias("id"),
+            forecast_id().alias("id"),
             "company_id", "product_id", "forecast_month",
             F.col("qty").cast("int").alias("units_forecasted"),
             F.when(F.col("min_disc") >= PRICE_OVERRIDE_MIN_DISCOUNT,
@@ -201,7 +219,7 @@ class ModelTables:
                    money(F.col("p_retailprice") * float(COGS_OVERRIDE_FACTOR))).alias("cogs_override"),
         )
 
-    @stored_table
+    @cached_property
     def fixed_expenses(self) -> DataFrame:
         s = self.raw.supplier
         k = F.col("s_suppkey")
@@ -214,15 +232,15 @@ class ModelTables:
 
     @stored_table
     def leads(self) -> DataFrame:
-        oc = self.order_company.filter(
-            F.col("o_orderstatus").isin("O", "P") & (F.col("o_orderdate") >= F.lit(LEAD_MIN_DATE).cast("timestamp_ntz")))
+        """Every open or pending order is a lead."""
+        oc = self.order_company.filter(F.col("o_orderstatus").isin("O", "P"))
         digit = F.substring("o_orderpriority", 1, 1)
         prob = F.lit(None).cast("int")
         for d, p in sorted(PRIORITY_PROBABILITY.items(), reverse=True):
             prob = F.when(digit == d, F.lit(p)).otherwise(prob)
         return oc.select(
             F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("company_id"),
-            F.col("c_name").alias("client_name"), money("o_totalprice").alias("contract_value"),
+            F.col("c_name").alias("client_name"), (money("o_totalprice") * _dec(CONTRACT_FACTOR)).cast(MONEY).alias("contract_value"),
             prob.alias("probability"), F.to_date("o_orderdate").alias("expected_close_date"),
             F.col("o_custkey").alias("custkey"),
         )
@@ -240,19 +258,19 @@ class ModelTables:
 
     @stored_table
     def one_off_expenses(self) -> DataFrame:
-        li = self.raw.lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)).select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+        """Every returned line is a one-off expense."""
+        li = self.raw.lineitem.filter(F.col("l_returnflag") == "R").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
         oc = self.order_company.select("o_orderkey", "o_custkey", "c_nationkey")
         j = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
         return j.select(
             F.col("c_nationkey").alias("company_id"), F.col("o_custkey").alias("project_id"),
-            F.concat(F.lit("capex-"), F.col("l_orderkey").cast("string"), F.lit("-"),
-                     F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("name"),
-            money(F.col("l_extendedprice") * float(CAPEX_FACTOR)).alias("amount"),
+            F.concat_ws("-", F.lit("capex"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("name"),
+            (money("l_extendedprice") * _dec(CAPEX_FACTOR)).cast(MONEY).alias("amount"),
             F.to_date("l_shipdate").alias("expense_date"),
         )
 
-    @stored_table
+    @cached_property
     def projects(self) -> DataFrame:
         c = self.raw.customer
         return c.select(
@@ -261,7 +279,7 @@ class ModelTables:
             F.when(F.col("c_custkey") % 2 == 0, "active").otherwise("planned").alias("status"),
         )
 
-    @stored_table
+    @cached_property
     def project_budgets(self) -> DataFrame:
         o = self.raw.orders
         return o.select(
@@ -273,7 +291,7 @@ class ModelTables:
             F.to_date("o_orderdate").alias("start_date"),
         )
 
-    @stored_table
+    @cached_property
     def installments(self) -> DataFrame:
         li = self.raw.lineitem
         return li.select(
@@ -305,12 +323,18 @@ class ModelTables:
             F.when(F.col("pidx") == 1, tenant).alias("realm_id"),
         )
 
-    # -- onboarding (conversations, events) ---------------------------------
     @stored_table
+    def monthly_metrics(self) -> DataFrame:
+        """The metric inputs per company and month."""
+        from cashcurve.operators import kpis
+        return kpis.monthly_metrics(self.order_company, self.one_off_expenses)
+
+    # -- onboarding (conversations, events) ---------------------------------
+    @cached_property
     def onboarding_messages(self) -> DataFrame:
         cv = self.raw.conversations
         return cv.select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"),
+            (F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"),
             F.col("turn"), "role", F.col("text").alias("content"))
 
     @stored_table
@@ -323,7 +347,7 @@ class ModelTables:
             F.when(done, F.lit(True)).otherwise(F.lit(False)).alias("is_completed"),
         )
 
-    @stored_table
+    @cached_property
     def profile_patches(self) -> DataFrame:
         ev = self.raw.events
         return ev.select(

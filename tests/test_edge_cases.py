@@ -231,7 +231,7 @@ def test_two_currencies_stay_separate(spark):
                                   "company_id int, posted_date date, basis string, currency string, amount decimal(19,4)")
     s = actuals.actuals_summary(lines)
     assert s.count() == 3                                                       # S11
-    snap = {r.currency: (r.accrual_total, r.cash_total) for r in actuals.actuals_snapshot(s, "2024-01-20").collect()}
+    snap = {r.currency: (r.accrual_total, r.cash_total) for r in actuals.actuals_snapshot(lines, "2024-01-20").collect()}
     assert snap == {"GBP": (None, 10.0), "EUR": (7.0, 5.0)}                     # S22: currency is a key
     assert actuals.recent_actuals(s, 1).count() == 2                            # S12: 2 x months rows
 
