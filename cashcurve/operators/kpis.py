@@ -103,10 +103,10 @@ def monthly_metrics(order_company: DataFrame, one_off_expenses: DataFrame) -> Da
     )
 
 
-def metrics_output(metrics: DataFrame) -> DataFrame:
-    """A6 encoding of a metrics row (decimals -> double)."""
+def metrics_output(metrics: DataFrame, carry: tuple = ()) -> DataFrame:
+    """A6 encoding of a metrics row (decimals -> double); ``carry``: further columns."""
     return metrics.select("company_id", "month_date",
-                          *[dbl(c).alias(c) if c in MONEY_METRICS else F.col(c) for c in METRIC_COLUMNS])
+                          *[dbl(c).alias(c) if c in MONEY_METRICS else F.col(c) for c in METRIC_COLUMNS], *carry)
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:

@@ -110,11 +110,31 @@ def apply_plan(sessions: DataFrame, profile: DataFrame, connections: DataFrame)
                     F.coalesce("quickbooks", F.lit(False)).alias("suggest_quickbooks"))
 
 
-def calibration_runs(sessions: DataFrame, profile: DataFrame, connections: DataFrame,
-                     sync_counts: DataFrame) -> DataFrame:
-    """K6: one calibration run per session requesting both syncs.
+def profile_apply(base: DataFrame, requests: DataFrame) -> DataFrame:
+    """K5: stored profiles after a sequence of merge and replace requests.
 
-    extract_profile ok/skipped; a sync fails when the company has no connection
+    ``base`` has (company_id, key, value, profile_version) rows, ``requests`` (company_id, seq, merge, key, value) rows, one
+    per key of the request (a request without keys is one row with a NULL key).  Only what a company's last replace and
+    the later requests set counts, plus the stored profile if nothing was replaced; per key the newest value wins.
+    Every request raises the version by one; a company without a profile starts at 1.
+    """
+    per = requests.groupBy("company_id").agg(F.countDistinct("seq").alias("n"), F.max(F.when(~F.col("merge"), F.col("seq"))).alias("cleared"))
+    version = base.groupBy("company_id").agg(F.max("profile_version").alias("stored"))
+    rows = requests.select("company_id", "seq", "key", "value").unionByName(
+        base.select("company_id", F.lit(None).cast(requests.schema["seq"].dataType).alias("seq"), "key", "value"))
+    live = rows.join(per, "company_id", "left").filter(
+        F.col("key").isNotNull() & (F.col("cleared").isNull() | (F.col("seq") >= F.col("cleared"))))
+    g = live.groupBy("company_id", "key").agg(F.max_by("value", F.struct(F.col("seq").isNotNull(), F.col("seq"))).alias("value"), F.max("n").alias("n"))
+    return g.join(version, "company_id", "left").select(
+        "company_id", "key", "value", (F.coalesce("stored", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int").alias("profile_version"))
+
+
+def calibration_runs(sessions: DataFrame, profile: DataFrame, connections: DataFrame, sync_counts: DataFrame,
+                     requests: DataFrame | None = None) -> DataFrame:
+    """K6: one calibration run per session.
+
+    ``requests`` (session_id, request_xero, request_qbo) says which syncs are wanted (default: both); a sync that is not
+    is skipped.  extract_profile ok/skipped; a wanted sync fails when the company has no connection
     of that kind (the reference raises), otherwise it is ok with the rows the
     ingest upserted for that company and provider; status failed if any failed,
     errors joined with '; '.
@@ -124,32 +144,42 @@ def calibration_runs(sessions: DataFrame, profile: DataFrame, connections: DataF
     rows = (sync_counts.groupBy("company_id").pivot("provider", list(PROVIDERS))
             .agg(F.sum("rows_upserted")))
     s = sessions.select(F.col("id").alias("session_id"), "company_id")
+    if requests is None:
+        s = s.withColumns({"request_xero": F.lit(True), "request_qbo": F.lit(True)})
+    else:
+        s = s.join(requests.select("session_id", "request_xero", "request_qbo"), "session_id")
     j = s.join(has_profile, "company_id", "left").join(flags, "company_id", "left").join(
         rows.select("company_id", F.col("xero").alias("xero_rows"), F.col("quickbooks").alias("qbo_rows")),
         "company_id", "left")
+    x_on, q_on = F.col("request_xero"), F.col("request_qbo")
     x_ok = F.coalesce(F.col("xero"), F.lit(False))
     q_ok = F.coalesce(F.col("quickbooks"), F.lit(False))
-    errors = F.concat_ws("; ", F.when(~x_ok, F.lit("xero: " + NO_CONNECTION_ERROR["xero"])),
-                         F.when(~q_ok, F.lit("quickbooks: " + NO_CONNECTION_ERROR["quickbooks"])))
+    x_bad, q_bad = x_on & ~x_ok, q_on & ~q_ok
+    errors = F.concat_ws("; ", F.when(x_bad, F.lit("xero: " + NO_CONNECTION_ERROR["xero"])),
+                         F.when(q_bad, F.lit("quickbooks: " + NO_CONNECTION_ERROR["quickbooks"])))
+    step = lambda on, ok: F.when(~on, "skipped").when(ok, "ok").otherwise("failed")
     return j.select(
         "session_id", "company_id",
         F.when(F.col("_prof"), "ok").otherwise("skipped_no_profile").alias("extract_profile"),
-        F.when(x_ok, "ok").otherwise("failed").alias("sync_xero"),
-        F.when(x_ok, F.coalesce(F.col("xero_rows"), F.lit(0))).alias("sync_xero_rows"),
-        F.when(q_ok, "ok").otherwise("failed").alias("sync_qbo"),
-        F.when(q_ok, F.coalesce(F.col("qbo_rows"), F.lit(0))).alias("sync_qbo_rows"),
-        F.when(x_ok & q_ok, "ok").otherwise("failed").alias("status"),
+        step(x_on, x_ok).alias("sync_xero"), F.when(x_on & x_ok, F.coalesce(F.col("xero_rows"), F.lit(0))).alias("sync_xero_rows"),
+        step(q_on, q_ok).alias("sync_qbo"), F.when(q_on & q_ok, F.coalesce(F.col("qbo_rows"), F.lit(0))).alias("sync_qbo_rows"),
+        F.when(x_bad | q_bad, "failed").otherwise("ok").alias("status"),
         F.nullif(errors, F.lit("")).alias("error"))
 
 
-def complete_sessions(sessions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Complete the requested sessions once; an already completed session is left as is."""
-    r = requests.select(F.col("session_id").alias("id"), F.lit(True).alias("_req"))
-    j = sessions.join(r, "id", "left")
-    now = F.coalesce(F.col("_req"), F.lit(False)) & ~F.col("is_completed")
+def complete_sessions(sessions: DataFrame, requests: DataFrame, now: str) -> DataFrame:
+    """Complete the requested sessions of the requesting company once, at ``now``.
+
+    A request (session_id, company_id) for another company's session changes nothing; a session that is completed already is
+    left as is.  ``completed_at`` is the time set by this change, NULL otherwise.
+    """
+    r = requests.select(F.col("session_id").alias("id"), "company_id", F.lit(True).alias("_req")).distinct()
+    j = sessions.join(r, ["id", "company_id"], "left")
+    change = F.coalesce(F.col("_req"), F.lit(False)) & ~F.col("is_completed")
     return j.select(F.col("id").alias("session_id"), "company_id",
-                    F.when(now | F.col("is_completed"), "completed").otherwise(F.col("status")).alias("status"),
-                    F.col("is_completed").alias("was_completed"), now.alias("completed_now"))
+                    F.when(change | F.col("is_completed"), "completed").otherwise(F.col("status")).alias("status"),
+                    F.col("is_completed").alias("was_completed"), change.alias("completed_now"),
+                    F.when(change, F.lit(now)).alias("completed_at"))
 
 
 def new_sessions(requests: DataFrame, sessions: DataFrame, connections: DataFrame) -> DataFrame:

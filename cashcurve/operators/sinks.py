@@ -7,24 +7,33 @@ typed columns (``to_api_columns``) or as one JSON document per row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, MapType, StructType, TimestampNTZType, TimestampType
+
+
+def api_value(c: Column, kind: DataType) -> Column:
+    """A value as the API writes it, inside structs, arrays and maps too: decimals as double, dates and timestamps as
+    ISO text (the fraction of a second only if there is one)."""
+    if isinstance(kind, DecimalType):
+        return c.cast("double")
+    if isinstance(kind, DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[api_value(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: api_value(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: api_value(v, kind.valueType))
+    return c
 
 
 def to_api_columns(df: DataFrame) -> DataFrame:
-    """Decimals -> double, dates -> 'YYYY-MM-DD', timestamps -> ISO text (recursively via casts of top columns)."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, (TimestampType, TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Every column as ``api_value`` writes it."""
+    return df.select(*[api_value(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def to_json_rows(df: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -90,4 +90,7 @@ DESCRIPTIONS: dict[str, tuple[str, str]] = {
     "delete_budget_item": ("J7 J8", "budget items and installments after a deletion and its cascade"),
     "cascade_company": ("J8", "rows of every table left after companies are deleted"),
     "retention": ("X3", "customers of a month who order again in the next month"),
+    "profile_apply": ("K5", "stored profiles after ordered merge and replace requests"),
+    "dashboard_json_parsed": ("A6", "dashboard documents parsed back into columns"),
+    "pl_matrix_flat": ("I9", "P&L matrix, one row per cell"),
 }

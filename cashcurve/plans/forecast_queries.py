@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cashcurve.operators import forecast as fc
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
@@ -148,6 +150,15 @@ def q_dashboard_json(spark, sf_dir):
     return to_json_rows(health_of(ModelTables(spark, sf_dir)), ["company_id", "forecast_month"])
 
 
+@register("dashboard_json_parsed", oracle=with_tables(["health"], "SELECT * REPLACE (strftime(forecast_month, '%Y-%m-%d') AS forecast_month) FROM health"))
+def q_dashboard_json_parsed(spark, sf_dir):
+    """The documents of ``dashboard_json`` parsed back."""
+    docs = q_dashboard_json(spark, sf_dir)
+    health = health_of(ModelTables(spark, sf_dir))
+    kinds = ", ".join(f"{f.name} {'string' if f.name == 'forecast_month' else f.dataType.simpleString()}" for f in health.schema.fields)
+    return docs.select(F.from_json("json", kinds).alias("d")).select("d.*")
+
+
 @register("financial_health_v1", oracle=with_tables(["health"], """
     SELECT company_id, forecast_month, revenue, gross_profit, fixed_costs, net_profit, gross_margin_percent,
            revenue_needed_to_break_even

@@ -95,15 +95,15 @@ def q_apply_plan(spark, sf_dir):
     SELECT s.id AS session_id, s.company_id,
            CASE WHEN EXISTS (SELECT 1 FROM profile_patches p WHERE p.company_id = s.company_id)
                 THEN 'ok' ELSE 'skipped_no_profile' END AS extract_profile,
-           CASE WHEN x.id IS NOT NULL THEN 'ok' ELSE 'failed' END AS sync_xero,
-           CASE WHEN x.id IS NOT NULL THEN COALESCE(rx.n, 0) END AS sync_xero_rows,
-           CASE WHEN q.id IS NOT NULL THEN 'ok' ELSE 'failed' END AS sync_qbo,
-           CASE WHEN q.id IS NOT NULL THEN COALESCE(rq.n, 0) END AS sync_qbo_rows,
-           CASE WHEN x.id IS NOT NULL AND q.id IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+           CASE WHEN NOT s.want_x THEN 'skipped' WHEN x.id IS NOT NULL THEN 'ok' ELSE 'failed' END AS sync_xero,
+           CASE WHEN s.want_x AND x.id IS NOT NULL THEN COALESCE(rx.n, 0) END AS sync_xero_rows,
+           CASE WHEN NOT s.want_q THEN 'skipped' WHEN q.id IS NOT NULL THEN 'ok' ELSE 'failed' END AS sync_qbo,
+           CASE WHEN s.want_q AND q.id IS NOT NULL THEN COALESCE(rq.n, 0) END AS sync_qbo_rows,
+           CASE WHEN (x.id IS NULL AND s.want_x) OR (q.id IS NULL AND s.want_q) THEN 'failed' ELSE 'ok' END AS status,
            NULLIF(concat_ws('; ',
-                  CASE WHEN x.id IS NULL THEN 'xero: {ob.NO_CONNECTION_ERROR["xero"]}' END,
-                  CASE WHEN q.id IS NULL THEN 'quickbooks: {ob.NO_CONNECTION_ERROR["quickbooks"]}' END), '') AS error
-    FROM sessions s
+                  CASE WHEN x.id IS NULL AND s.want_x THEN 'xero: {ob.NO_CONNECTION_ERROR["xero"]}' END,
+                  CASE WHEN q.id IS NULL AND s.want_q THEN 'quickbooks: {ob.NO_CONNECTION_ERROR["quickbooks"]}' END), '') AS error
+    FROM (SELECT *, id % 3 <> 0 AS want_x, id % 4 <> 1 AS want_q FROM sessions) s
     LEFT JOIN connections x ON x.company_id = s.company_id AND x.service_name = 'xero'
     LEFT JOIN connections q ON q.company_id = s.company_id AND q.service_name = 'quickbooks'
     LEFT JOIN (SELECT company_id, count(*) AS n FROM all_lines WHERE provider = 'xero' GROUP BY 1) rx
@@ -111,22 +111,55 @@ def q_apply_plan(spark, sf_dir):
     LEFT JOIN (SELECT company_id, count(*) AS n FROM all_lines WHERE provider = 'quickbooks' GROUP BY 1) rq
       ON rq.company_id = s.company_id""", LEDGER_CTES))
 def q_calibration_status(spark, sf_dir):
+    """Each session asks for a calibration, some without one of the syncs."""
     m = ModelTables(spark, sf_dir)
-    return ob.calibration_runs(m.onboarding_sessions, ob.profile_merge(m.profile_patches), m.connections,
-                               lg.sync_counts(documents_of(m)))
+    s = m.onboarding_sessions
+    requests = s.select(F.col("id").alias("session_id"), (F.col("id") % 3 != 0).alias("request_xero"), (F.col("id") % 4 != 1).alias("request_qbo"))
+    return ob.calibration_runs(s, ob.profile_merge(m.profile_patches), m.connections, lg.sync_counts(documents_of(m)), requests)
+
+
+COMPLETED_AT = "2026-01-15T09:30:00"
 
 
 @register("complete_sessions", oracle=with_tables(["sessions", "messages"], f"""
     SELECT s.id AS session_id, s.company_id,
            CASE WHEN s.is_completed OR r.session_id IS NOT NULL THEN 'completed' ELSE s.status END AS status,
-           s.is_completed AS was_completed, (r.session_id IS NOT NULL AND NOT s.is_completed) AS completed_now
+           s.is_completed AS was_completed, (r.session_id IS NOT NULL AND NOT s.is_completed) AS completed_now,
+           CASE WHEN r.session_id IS NOT NULL AND NOT s.is_completed THEN '{COMPLETED_AT}' END AS completed_at
     FROM sessions s LEFT JOIN (SELECT session_id FROM messages WHERE role = 'user' GROUP BY 1
-                               HAVING count(*) >= {MIN_USER_TURNS_TO_COMPLETE}) r ON r.session_id = s.id"""))
+                               HAVING count(*) >= {MIN_USER_TURNS_TO_COMPLETE}) r ON r.session_id = s.id AND r.session_id % 5 <> 0"""))
 def q_complete_sessions(spark, sf_dir):
+    """Sessions with enough answers are completed; every fifth request names another company and changes nothing."""
     m = ModelTables(spark, sf_dir)
+    s = m.onboarding_sessions.select(F.col("id").alias("session_id"), "company_id")
     req = (m.onboarding_messages.filter(F.col("role") == "user").groupBy("session_id")
-           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_USER_TURNS_TO_COMPLETE))
-    return ob.complete_sessions(m.onboarding_sessions, req)
+           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_USER_TURNS_TO_COMPLETE).join(s, "session_id"))
+    company = F.when(F.col("session_id") % 5 == 0, F.col("company_id") + 1).otherwise(F.col("company_id"))
+    return ob.complete_sessions(m.onboarding_sessions, req.select("session_id", company.cast("int").alias("company_id")), COMPLETED_AT)
+
+
+PROFILE_CTES = [
+    ("stored", "SELECT company_id, key, arg_max(value, seq) AS value FROM profile_patches WHERE seq % 2 = 0 GROUP BY 1, 2"),
+    ("requested", "SELECT *, seq % 101 = 1 AS clears FROM profile_patches WHERE seq % 2 = 1"),
+    ("versions", "SELECT company_id, count(DISTINCT seq) AS v FROM profile_patches GROUP BY 1"),
+    ("cut", "SELECT v.company_id, max(r.seq) AS at FROM versions v LEFT JOIN requested r ON r.company_id = v.company_id AND r.clears GROUP BY 1"),
+    ("live", """
+        SELECT s.company_id, s.key, s.value, -1 AS seq FROM stored s JOIN cut c ON c.company_id = s.company_id WHERE c.at IS NULL
+        UNION ALL
+        SELECT r.company_id, r.key, r.value, r.seq FROM requested r JOIN cut c ON c.company_id = r.company_id
+        WHERE c.at IS NULL OR r.seq >= c.at"""),
+]
+
+
+@register("profile_apply", oracle=with_tables(["profile_patches"], """
+    SELECT l.company_id, l.key, first(l.value ORDER BY l.seq DESC) AS value, CAST(max(v.v) AS INTEGER) AS profile_version
+    FROM live l JOIN versions v ON v.company_id = l.company_id GROUP BY 1, 2""", PROFILE_CTES))
+def q_profile_apply(spark, sf_dir):
+    """K5: stored profiles (the even patches) after merge and replace requests (the odd ones) in order."""
+    p = ModelTables(spark, sf_dir).profile_patches
+    base = ob.profile_merge(p.filter(F.col("seq") % 2 == 0))
+    requests = p.filter(F.col("seq") % 2 == 1).withColumn("merge", F.col("seq") % 101 != 1)
+    return ob.profile_apply(base, requests)
 
 
 @register("new_sessions", oracle=with_tables(["companies", "sessions", "connections"], """

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cashcurve.operators import statements as st
 from cashcurve.plans.forecast_queries import health_of
 from cashcurve.plans.oracle_tables import with_tables
-from cashcurve.plans.registry import register
+from cashcurve.plans.registry import ORACLE, register
 from cashcurve.sources.model import ModelTables
 
 R40_CTE = ("r40", """
@@ -71,6 +73,15 @@ def q_pl_matrix(spark, sf_dir):
     return st.pl_matrix(st.pl_matrix_long(health_of(ModelTables(spark, sf_dir))))
 
 
+@register("pl_matrix_flat", oracle=ORACLE["pl_matrix_long"])
+def q_pl_matrix_flat(spark, sf_dir):
+    """The matrix taken apart again, so that its cells can be compared."""
+    mx = st.pl_matrix(st.pl_matrix_long(health_of(ModelTables(spark, sf_dir))))
+    cells = F.arrays_zip(F.col("columns").alias("m"), F.col("cells").alias("v"))
+    return mx.select("company_id", "line_order", "line_key", "line_label", F.explode(cells).alias("c")).select(
+        "company_id", F.col("c.m").alias("forecast_month"), "line_key", "line_label", "line_order", F.col("c.v").alias("value"))
+
+
 @register("cashflow_proxy", oracle=with_tables(["health", "one_off_expenses"], """
     SELECT h.company_id, h.forecast_month, COALESCE(h.net_profit, 0.0) AS operating_cash_proxy,
            COALESCE(CAST(c.capex AS DOUBLE), 0.0) AS capex,
