@@ -24,11 +24,14 @@ rows are encoded one by one; extra columns are kept.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +41,7 @@ from cashcurve.llm.common import bound_batches, fresh, with_fields
 MARK = "▁"
 #: Where the tokenizer files of this installation are; a parameter of every function that loads one.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+WIDE = 1 << 32
 
 
 @dataclass
@@ -53,9 +56,26 @@ class PieceModel:
     halves: dict[str, tuple[str, str] | None] = field(default_factory=dict)
     odd: set[str] = field(default_factory=set)                      # pieces that share a score with others
     sizes: dict[str, tuple[int, ...]] = field(default_factory=dict)   # lengths of the pieces with these last two characters
-    stable: dict[tuple[str, str], bool] = field(default_factory=dict)
+    stable: dict[int, bool] = field(default_factory=dict)           # by last * WIDE + piece
+    names: dict[int, str] = field(init=False)
+    cut: re.Pattern = field(init=False)                             # where marked words end inside a string
+    signs: str = field(init=False)                                  # punctuation before which they end after a letter
+    marked_run: re.Pattern = field(default=re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+"))
 
     def __post_init__(self):
+        if any(MARK in piece.lstrip(MARK) for piece in self.ids):
+            raise ValueError("a piece has a mark inside: marked words would not be independent")
+        self.names = {i: piece for piece, i in self.ids.items()}
+        # cuts that no piece spans: before punctuation, after a letter or digit that no piece joins to punctuation, and around controls
+        signs = {c for piece in self.ids for c in piece if not c.isalnum() and c != MARK}
+        joined = {a for piece in self.ids for a, b in zip(piece, piece[1:], strict=False) if b in signs and a not in signs and a != MARK}
+        spell = lambda chars: "".join(map(re.escape, sorted(chars)))
+        rule = f"(?<=[^\\W_{spell(joined)}])(?=[{spell(signs)}])"
+        if not any(ord(c) < 32 for piece in self.ids for c in piece):
+            rule += "|(?=[\\x00-\\x1f])|(?<=[\\x00-\\x1f])"
+        self.cut = re.compile(rule)
+        self.signs = "".join(signs)
+
         by_score: dict[float, list[str]] = {}
         for piece in self.ids:
             by_score.setdefault(self.score[piece], []).append(piece)
@@ -66,8 +86,8 @@ class PieceModel:
         ends: dict[str, set[int]] = {}
         for piece in self.ids:
             if len(piece) > 1:
-                ends.setdefault(piece[-2:], {1}).add(len(piece))
-        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.sizes = {k: tuple(sorted(v)) for k, v in ends.items()}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of a short string by merging the best-scored, then leftmost, neighbours; also the last merge."""
@@ -89,13 +109,14 @@ class PieceModel:
             self.halves[piece] = made if len(parts) == 1 else None
         return self.halves[piece]
 
-    def joins(self, last: str, piece: str) -> bool:
-        """Whether ``piece`` can follow ``last`` (empty: nothing) in an encoding."""
-        known = self.stable.get((last, piece))
+    def joins(self, last: int, piece: int) -> bool:
+        """Whether piece number ``piece`` can follow number ``last`` (-1: nothing, or bytes) in an encoding."""
+        key = last * WIDE + piece
+        known = self.stable.get(key)
         if known is None:
-            if len(self.stable) > 1_000_000:
+            if len(self.stable) > 2_000_000:
                 self.stable.clear()             # the same dict, as callers hold its get
-            known = self.stable[last, piece] = self._stable(last, piece)
+            known = self.stable[key] = self._stable(self.names[last] if last >= 0 else "", self.names[piece])
         return known
 
     def _stable(self, left: str, right: str) -> bool:
@@ -133,79 +154,127 @@ def load_model(path: str = MODEL_PATH) -> PieceModel:
     byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     for b, i in enumerate(byte_ids):
         decoded[i] = bytes([b])
-    if any(MARK in p.lstrip(MARK) for p in ids):
-        raise ValueError("a piece has a mark inside: marked words would not be independent")
     return PieceModel(ids, {p: sp.get_score(i) for p, i in ids.items()}, byte_ids, decoded)
 
 
 class TrieEncoder:
-    """Ids of marked words; words met before come from a bounded memory."""
+    """Ids of texts by way of their marked words; words met before come from a bounded memory.
+
+    ``known`` numbers the strings between two blanks (with the blank's mark); their ids lie in one pool, string k's from
+    ``ends[k]`` to ``ends[k + 1]``, so a text's ids are gathered by numpy, not word by word.
+    """
 
-    def __init__(self, model: PieceModel, remember: int = 200_000):
+    def __init__(self, model: PieceModel, remember: int = 600_000):
         self.model, self.remember = model, remember
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, tuple[int, ...]] = {}              # marked word -> ids
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = array("i"), array("q", [0])
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the new words in sorted order, i.e. depth-first through their trie."""
-        new = words - self.known.keys()
+    def learn(self, strings: set[str]) -> None:
+        """Number new strings; their new marked words are encoded in sorted order, depth-first through their trie."""
+        new = strings - self.known.keys()
         if new and len(self.known) + len(new) > self.remember:
-            self.known.clear()
-            new = words
-        model = self.model
-        ids, joins, stable, sizes, single = model.ids, model.joins, model.stable.get, model.sizes.get, (1,)
-        last: list[str] = [""]            # last[i]: last piece of the segmentation of the first i characters
+            self.forget()
+            new = strings
+        cut = [self.marked_words(s) for s in new]
+        self.encode_words({w for ws in cut for w in ws} - self.words.keys())
+        words = self.words
+        parts = [words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([words[w] for w in ws])) for ws in cut]
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        self.ends.extend(accumulate(map(len, parts), initial=self.ends.pop()))
+        self.pool.extend(chain.from_iterable(parts))
+
+    def marked_words(self, string: str) -> list[str]:
+        if string[1:].isalpha():
+            return [string]
+        core = string.rstrip(self.model.signs)
+        if core[1:].isalpha():
+            return [core, string[len(core):]]
+        return [w for w in self.model.cut.split(string) if w]
+
+    def encode_words(self, new: set[str]) -> None:
+        """Encode marked words in sorted order, i.e. depth-first through their trie."""
+        model, words = self.model, self.words
+        number, joins, stable, sizes = model.ids.get, model.joins, model.stable.get, model.sizes.get
+        # per character of the current word: length and number of the segmentation's last piece, and all its ids
+        size, last, path = [0], [-1], [()]
         before = ""
         for word in sorted(new):
             keep, most = 0, min(len(before), len(word))
             while keep < most and before[keep] == word[keep]:
                 keep += 1
-            del last[keep + 1:]
+            del size[keep + 1:], last[keep + 1:], path[keep + 1:]
             for i in range(keep + 1, len(word) + 1):
-                for size in sizes(word[i - 2:i], single) if i > 1 else single:
-                    if size > i:
-                        continue
-                    piece = word[i - size:i]
-                    if size == 1 or piece in ids:
-                        stays = stable((last[i - size], piece))
-                        if joins(last[i - size], piece) if stays is None else stays:
+                # exactly one piece fits, so the order of trying is free: the last piece grown by a character, the character
+                # alone, the others
+                for n in chain((size[i - 1] + 1, 1), sizes(word[i - 2:i], ())):
+                    if n <= i and (piece := number(word[i - n:i])) is not None:
+                        back = last[i - n]
+                        if joins(back, piece) if (s := stable(back * WIDE + piece)) is None else s:
+                            size.append(n)
                             last.append(piece)
+                            path.append((*path[i - n], piece))
                             break
                 else:
-                    raise AssertionError(f"no segmentation of {word[:i]!r}")
+                    if number(word[i - 1]) is not None:
+                        raise AssertionError(f"no segmentation of {word[:i]!r}")
+                    size.append(1)                              # a character without a piece: its bytes
+                    last.append(-1)
+                    path.append((*path[i - 1], *[model.byte_ids[b] for b in word[i - 1].encode("utf-8", "surrogatepass")]))
             before = word
-            self.known[word] = self._trace(word, last)
-
-    def _trace(self, word: str, last: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        at = len(word)
-        while at:
-            piece = last[at]
-            got = self.model.ids.get(piece)
-            if got is None:
-                out.extend(self.model.byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
-            else:
-                out.append(got)
-            at -= len(piece)
-        return tuple(reversed(out))
+            words[word] = path[-1]
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered strings one after the other, and where each string's ids start (and the last end)."""
+        ends = np.frombuffer(self.ends, dtype=np.int64)
+        first, size = ends[which], ends[which + 1] - ends[which]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        ids = np.frombuffer(self.pool, dtype=np.int32)[np.repeat(first - edge[:-1], size) + np.arange(edge[-1])] if edge[-1] else np.empty(0, np.int32)
+        return ids, edge
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids start (and the last end).
+
+        Arrow cuts the texts at blanks and numbers the distinct strings; Python sees each of these once.  Texts in which blanks or
+        marks follow each other are cut by a pattern that keeps runs of marks together.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.or_(pc.match_substring(texts, MARK), pc.match_substring(texts, "  ")), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")))
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        names = plain.flatten().dictionary_encode()
+        cut = [self.model.marked_run.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.filter(odd).to_pylist()]
+        distinct = [MARK + w for w in names.dictionary.to_pylist()]
+        self.learn({*distinct, *chain.from_iterable(cut)})
+        known = self.known
+        number = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        ids, edge = self.gather(number[np.asarray(names.indices)])
+        starts = edge[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(plain), dtype=np.int64))]).astype(np.int64)]
+        plain_parts = (ids[a:b] for a, b in zip(starts, starts[1:], strict=False))
+        odd_parts = (self.gather(np.array([known[w] for w in ws], dtype=np.int64))[0] for ws in cut)
+        parts = [next(odd_parts) if o else next(plain_parts) for o in odd.to_pylist()]
+        return np.concatenate([np.empty(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        out: list[list[int] | None] = []
-        for text in texts:
-            if not text:
-                out.append(None if text is None else [])
-                continue
-            words = MARKED_WORD.findall(MARK + text.replace(" ", MARK))
-            if not self.known.keys() >= (own := set(words)):
-                self.learn(own)
-            out.append(list(chain.from_iterable(map(self.known.__getitem__, words))))
-        return out
-
-
-def decode_ids(model: PieceModel, ids: list[int] | None) -> str | None:
+        ids, starts = self.encode_flat(pa.array(texts, pa.string()))
+        return [None if t is None else ids[a:b].tolist() for t, a, b in zip(texts, starts, starts[1:], strict=False)]
+
+
+def decode_ids(model: PieceModel, ids) -> str | None:
+    """The text of a sequence of ids."""
     if ids is None:
         return None
-    table, n = model.decoded, len(model.decoded)
-    text = b"".join([table[i] if 0 <= i < n else b"" for i in ids]).decode("utf-8", "replace")
+    try:
+        text = b"".join(map(model.decoded.__getitem__, ids))
+        known = min(ids, default=0) >= 0
+    except IndexError:
+        known = False
+    if not known:
+        text = b"".join([model.decoded[i] for i in ids if 0 <= i < len(model.decoded)])
+    text = text.decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
@@ -214,8 +283,11 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load_model(path))
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH, out: str = "ids",
-                     words_at_once: int = 150_000) -> tuple[DataFrame, str]:
+def _id_lists(ids: np.ndarray, starts: np.ndarray, texts: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32()), mask=pc.is_null(texts))
+
+
+def encode_documents(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH, out: str = "ids") -> tuple[DataFrame, str]:
     """``docs`` with an array<int> column of piece ids, whose name (``out``, made unique) is returned.
 
     One map over the scan, no shuffle.  A task's memory is bounded by the batch and the remembered words.
@@ -226,14 +298,8 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str = MODEL_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder(shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            fresh_words: set[str] = set()
-            for text in texts:                      # the batch's new words together, for long shared prefixes
-                fresh_words.update(MARKED_WORD.findall(MARK + (text or "").replace(" ", MARK)) if text else ())
-                if len(fresh_words) > words_at_once:
-                    break
-            encoder.learn(fresh_words)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoder.encode(texts), pa.list_(pa.int32()))], [*batch.schema.names, out])
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(*encoder.encode_flat(texts), texts)], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, with_fields(docs.schema, (out, T.ArrayType(T.IntegerType())))), out
 
@@ -252,10 +318,25 @@ def decode_documents(docs: DataFrame, ids_col: str = "ids", path: str = MODEL_PA
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids, and whether decoding the ids gives the text back (marks as blanks)."""
+    """Per document: doc_id, n_tokens, ids, and whether decoding the ids gives the text back (marks as blanks).
+
+    Encoding and decoding share one pass, so the ids do not travel between two Python processes.
+    """
+    shared = _shared(docs.sparkSession, path)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coded, ids = encode_documents(slim, "text", path)
-    both, back = decode_documents(coded, ids, path)
-    same = F.col(back).eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" ")))
-    return both.select("doc_id", F.coalesce(F.size(F.col(ids)), F.lit(0)).cast("long").alias("n_tokens"), F.col(ids).alias("ids"),
-                       same.alias("round_trip"))
+    names = ["doc_id", "n_tokens", "ids", "round_trip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        encoder = TrieEncoder(model)
+        for batch in batches:
+            texts = batch.column(1)
+            ids, starts = encoder.encode_flat(texts)
+            same = [t is None or decode_ids(model, ids[a:b].tolist()) == t.replace(MARK, " ")
+                    for t, a, b in zip(texts.to_pylist(), starts, starts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)),
+                                              _id_lists(ids, starts, texts), pa.array(same, pa.bool_())], names)
+
+    schema = with_fields(slim.select("doc_id").schema, ("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())),
+                         ("round_trip", T.BooleanType()))
+    return slim.mapInArrow(run, schema)
