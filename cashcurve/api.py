@@ -133,19 +133,9 @@ class FinanceApi:
 
     def project_cashflow_nested(self, project_id: int) -> DataFrame:
         """The same endpoint in the reference's response shape: items by start date, each with its
-        installments as a date-ordered list ([] when none).  Built for one project only -- the
-        response size the caller asked for; the all-tenant operator stays flat."""
+        installments as a date-ordered list ([] when none)."""
         b = self._of(self.m.project_budgets, project_id, "project_id")
-        kids = (self.m.installments.join(b.select(F.col("id").alias("budget_item_id")), "budget_item_id",
-                                         "left_semi")
-                .groupBy("budget_item_id").agg(F.array_sort(F.collect_list(F.struct(
-                    "expected_payment_date", F.col("payment_amount").cast("double").alias("payment_amount"))))
-                    .alias("installments")))
-        empty = F.array().cast("array<struct<expected_payment_date:date,payment_amount:double>>")
-        j = b.join(kids, b.id == kids.budget_item_id, "left")
-        return j.select(F.col("id").alias("budget_item_id"), "project_id", "item_name", "grouping_category",
-                        F.col("total_amount").cast("double").alias("total_amount"), "start_date",
-                        F.coalesce("installments", empty).alias("installments")).orderBy("start_date", "budget_item_id")
+        return pj.project_cashflow_nested(b, self.m.installments).orderBy("start_date", "budget_item_id")
 
     # -- accounting actuals ------------------------------------------------------------------------
     def actuals_summary(self, company_id: int) -> DataFrame:

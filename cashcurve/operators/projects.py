@@ -51,6 +51,20 @@ def project_cashflow(budgets: DataFrame, installments: DataFrame) -> DataFrame:
             .orderBy("project_id", "start_date", "budget_item_id", "expected_payment_date", "payment_amount"))
 
 
+def project_cashflow_nested(budgets: DataFrame, installments: DataFrame) -> DataFrame:
+    """C11: one row per budget item with its installments as a date-ordered list ([] when none).
+
+    A list holds one item's installments, never a project's or a tenant's.
+    """
+    kids = (installments.join(budgets.select(F.col("id").alias("budget_item_id")), "budget_item_id", "left_semi")
+            .groupBy("budget_item_id").agg(F.array_sort(F.collect_list(F.struct(
+                "expected_payment_date", dbl("payment_amount").alias("payment_amount")))).alias("installments")))
+    empty = F.array().cast("array<struct<expected_payment_date:date,payment_amount:double>>")
+    j = budgets.join(kids, budgets.id == kids.budget_item_id, "left")
+    return j.select(F.col("id").alias("budget_item_id"), "project_id", "item_name", "grouping_category",
+                    dbl("total_amount").alias("total_amount"), "start_date", F.coalesce("installments", empty).alias("installments"))
+
+
 def item_month_sums(budgets: DataFrame, installments: DataFrame) -> DataFrame:
     """Installments summed per item x 'YYYY-MM' (exact), keyed by project."""
     i = installments.select("budget_item_id", F.date_format("expected_payment_date", "yyyy-MM").alias("month"),

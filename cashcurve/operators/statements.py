@@ -137,22 +137,30 @@ def balance_sheet(companies: DataFrame, cash_balances: DataFrame) -> DataFrame:
                     "l.label", F.when(F.col("l.line_key") == "cash", dbl("total_cash")).alias("amount"), "l.note")
 
 
-def working_capital(balance: DataFrame) -> DataFrame:
+def filled_balance_sheet(balance: DataFrame, amounts: DataFrame) -> DataFrame:
+    """I13 with the lines an accounting sync supplies: ``amounts`` (company_id, line_key, amount) fills NULL lines."""
+    a = amounts.select("company_id", "line_key", F.col("amount").alias("_synced"))
+    j = balance.join(a, ["company_id", "line_key"], "left")
+    return j.withColumn("amount", F.coalesce("amount", F.col("_synced").cast("double"))).select(*balance.columns)
+
+
+def working_capital(balance: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Net working capital, current and quick ratio, asset turnover, ROA over the line table.
 
-    NULL while the receivable/payable lines are NULL (they are until a ledger
-    balance sheet is synced), exactly as the reference reports them.
+    NULL while the lines they need are NULL (they are until a ledger balance sheet is synced), exactly as the reference reports
+    them.  ``results`` (company_id, revenue, net_profit) supplies the flows of turnover (revenue / assets) and ROA (% of assets).
     """
-    def line(k):
-        return F.max(F.when(F.col("line_key") == k, F.col("amount")))
-    g = balance.groupBy("company_id").agg(
-        line("cash").alias("cash"), line("receivables").alias("receivables"), line("inventory").alias("inventory"),
-        line("other_current_assets").alias("other_current_assets"), line("payables").alias("payables"),
-        line("current_liabilities").alias("current_liabilities"), line("non_current_assets").alias("non_current_assets"))
+    keys = ("cash", "receivables", "inventory", "other_current_assets", "non_current_assets", "payables", "current_liabilities")
+    g = balance.groupBy("company_id").agg(*[F.max(F.when(F.col("line_key") == k, F.col("amount"))).alias(k) for k in keys])
+    if results is None:
+        g = g.withColumns({"revenue": F.lit(None).cast("double"), "net_profit": F.lit(None).cast("double")})
+    else:
+        g = g.join(results.select("company_id", F.col("revenue").cast("double").alias("revenue"), F.col("net_profit").cast("double").alias("net_profit")),
+                   "company_id", "left")
     ca = F.col("cash") + F.col("receivables") + F.col("inventory") + F.col("other_current_assets")
-    cl = F.col("payables") + F.col("current_liabilities")
+    cl = F.nullif(F.col("payables") + F.col("current_liabilities"), F.lit(0.0))
+    assets = F.nullif(ca + F.col("non_current_assets"), F.lit(0.0))
     return g.select(
-        "company_id", (ca - cl).alias("net_working_capital"),
-        (ca / F.nullif(cl, F.lit(0.0))).alias("current_ratio"),
-        ((ca - F.col("inventory")) / F.nullif(cl, F.lit(0.0))).alias("quick_ratio"),
-        F.lit(None).cast("double").alias("asset_turnover"), F.lit(None).cast("double").alias("roa"))
+        "company_id", (ca - (F.col("payables") + F.col("current_liabilities"))).alias("net_working_capital"), (ca / cl).alias("current_ratio"),
+        ((ca - F.col("inventory")) / cl).alias("quick_ratio"), (F.col("revenue") / assets).alias("asset_turnover"),
+        (F.col("net_profit") / assets * 100).alias("roa"))

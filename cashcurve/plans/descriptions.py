@@ -93,4 +93,6 @@ DESCRIPTIONS: dict[str, tuple[str, str]] = {
     "profile_apply": ("K5", "stored profiles after ordered merge and replace requests"),
     "dashboard_json_parsed": ("A6", "dashboard documents parsed back into columns"),
     "pl_matrix_flat": ("I9", "P&L matrix, one row per cell"),
+    "project_cashflow_lists": ("C11", "nested cash flow of all projects, one row per list entry"),
+    "working_capital_filled": ("X5", "working capital, turnover and ROA over filled balance-sheet lines"),
 }

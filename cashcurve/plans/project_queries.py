@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cashcurve.operators import projects as pj
 from cashcurve.plans.oracle_tables import with_tables
-from cashcurve.plans.registry import register
+from cashcurve.plans.registry import ORACLE, register
 from cashcurve.sources.model import ModelTables
 
 SPINE_PAD_LEFT = 1    # P4: one "Expand" click to the left
@@ -41,6 +43,15 @@ def q_project_cashflow(spark, sf_dir):
     return pj.project_cashflow(m.project_budgets, m.installments)
 
 
+@register("project_cashflow_lists", oracle=ORACLE["project_cashflow"].replace("ORDER BY b.project_id, b.start_date, b.id, i.expected_payment_date", ""))
+def q_project_cashflow_lists(spark, sf_dir):
+    """C11: the nested cash flow of all projects, its lists taken apart again for the comparison."""
+    m = ModelTables(spark, sf_dir)
+    nested = pj.project_cashflow_nested(m.project_budgets, m.installments)
+    return nested.select("*", F.explode_outer("installments").alias("i")).select(
+        "project_id", "budget_item_id", "item_name", "grouping_category", "total_amount", "start_date", "i.payment_amount", "i.expected_payment_date")
+
+
 @register("timeline_matrix", oracle=with_tables(["project_budgets", "installments"], """
     SELECT b.project_id, i.budget_item_id, strftime(i.expected_payment_date, '%Y-%m') AS month,
            CAST(SUM(i.payment_amount) AS DOUBLE) AS amount

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cashcurve.operators import statements as st
-from cashcurve.plans.forecast_queries import health_of
+from cashcurve.plans.actuals_queries import lines_of
+from cashcurve.plans.forecast_queries import health_exact_of, health_of
+from cashcurve.plans.ledger_queries import LEDGER_CTES
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import ORACLE, register
 from cashcurve.sources.model import ModelTables
@@ -109,3 +111,37 @@ def q_balance_sheet(spark, sf_dir):
 def q_working_capital(spark, sf_dir):
     m = ModelTables(spark, sf_dir)
     return st.working_capital(st.balance_sheet(m.companies, m.cash_balances))
+
+
+def synced_amounts(m: ModelTables):
+    """Balance-sheet lines from the app's own tables: unpaid invoices, stock at cost, CAPEX, and a month of bills."""
+    line = lambda df, key, amount: df.groupBy("company_id").agg(F.sum(amount).cast("double").alias("amount")).select(
+        "company_id", F.lit(key).alias("line_key"), "amount")
+    sign = F.when(F.col("basis") == "accrual", F.col("amount")).otherwise(-F.col("amount"))
+    monthly = m.fixed_expenses.filter(F.col("frequency") == "monthly")
+    other = m.fixed_expenses.filter(F.col("frequency") != "monthly")
+    return (line(lines_of(m), "receivables", sign).unionByName(line(m.products, "inventory", F.col("default_cogs")))
+            .unionByName(line(m.one_off_expenses, "non_current_assets", F.col("amount")))
+            .unionByName(line(m.products, "other_current_assets", F.lit(0))).unionByName(line(monthly, "payables", F.col("amount")))
+            .unionByName(line(other, "current_liabilities", F.col("amount"))))
+
+
+@register("working_capital_filled", oracle=with_tables(["companies", "cash_balances", "products", "fixed_expenses", "one_off_expenses", "health_exact", "lead_links"], """
+    SELECT company_id, current - owed AS net_working_capital, current / NULLIF(owed, 0) AS current_ratio,
+           (current - inventory) / NULLIF(owed, 0) AS quick_ratio, revenue / NULLIF(current + fixed, 0) AS asset_turnover,
+           profit / NULLIF(current + fixed, 0) * 100 AS roa
+    FROM (SELECT co.id AS company_id, inventory, CAST(lc.total_cash AS DOUBLE) + due + inventory + 0.0 AS current, fixed, bills + others AS owed, revenue, profit
+          FROM companies co
+          LEFT JOIN latest_cash lc ON lc.company_id = co.id
+          LEFT JOIN (SELECT company_id, CAST(SUM(IF(basis = 'accrual', amount, -amount)) AS DOUBLE) AS due FROM all_lines GROUP BY 1) r ON r.company_id = co.id
+          LEFT JOIN (SELECT company_id, CAST(SUM(default_cogs) AS DOUBLE) AS inventory FROM products GROUP BY 1) p ON p.company_id = co.id
+          LEFT JOIN (SELECT company_id, CAST(SUM(amount) AS DOUBLE) AS fixed FROM one_off_expenses GROUP BY 1) o ON o.company_id = co.id
+          LEFT JOIN (SELECT company_id, CAST(SUM(amount) FILTER (frequency = 'monthly') AS DOUBLE) AS bills,
+                            CAST(SUM(amount) FILTER (frequency <> 'monthly') AS DOUBLE) AS others FROM fixed_expenses GROUP BY 1) f ON f.company_id = co.id
+          LEFT JOIN (SELECT company_id, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(net_profit) AS DOUBLE) AS profit
+                     FROM health_exact GROUP BY 1) h ON h.company_id = co.id)""", [LATEST_CASH_CTE, *LEDGER_CTES]))
+def q_working_capital_filled(spark, sf_dir):
+    """X5 over a balance sheet whose lines are filled."""
+    m = ModelTables(spark, sf_dir)
+    results = health_exact_of(m).groupBy("company_id").agg(F.sum("revenue").alias("revenue"), F.sum("net_profit").alias("net_profit"))
+    return st.working_capital(st.filled_balance_sheet(st.balance_sheet(m.companies, m.cash_balances), synced_amounts(m)), results)
