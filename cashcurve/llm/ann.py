@@ -6,7 +6,7 @@ parts stay within the balance), and a two-layer softmax classifier trained to pr
 neighbours in each part.
 
 Index: the classifier puts EVERY row into its most probable part.  Search: a query goes to its most probable parts,
-until their predicted shares sum to ``mass``; as the classifier predicts where neighbours are, ``mass`` steers recall on
+until their predicted shares sum to ``mass`` and they hold more than 4 k rows; as the classifier predicts where neighbours are, ``mass`` steers recall on
 data with and without clusters alike.  All candidates there are compared exactly, in double precision.
 
 Blocks: a part is cut into slices of about ``slice_rows`` rows by a hash of the id, and the queries into
@@ -159,12 +159,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
         shares = shared.value.shares(matrix(batch.column(1), d)) if shared.value.parts > 1 else np.ones((len(batch), 1))
         order = np.argsort(-shares, axis=1, kind="stable")
-        need = (np.cumsum(np.take_along_axis(shares, order, 1), axis=1) < mass).sum(axis=1) + 1
-        probes = pa.array([o[:k].tolist() for o, k in zip(order, need, strict=True)], pa.list_(pa.int32()))
+        enough = (np.cumsum(np.take_along_axis(shares, order, 1), axis=1) >= mass) & (np.cumsum(rows_in[order], axis=1) > 4 * k)
+        need = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, order.shape[1])
+        probes = pa.array([o[:n].tolist() for o, n in zip(order, need, strict=True)], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([*batch.columns, probes], ["query_id", "q", "parts"])
 
     placed = rows.mapInArrow(per_batch(place), "vec_id long, v array<double>, part int")
     sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}            # one row per part
+    rows_in = np.array([sizes.get(p, 0) for p in range(parts)])
     queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     blocks = max(1, -(-queries.count() // query_rows))
     slices = F.create_map(*[c for p in range(parts) for c in (F.lit(p), F.lit(max(1, -(-sizes.get(p, 0) // slice_rows))))])

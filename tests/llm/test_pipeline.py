@@ -14,21 +14,20 @@ TOXIC = ["scum", "trash", "loser", "moron"]
 
 def _tables(spark, make_docs, write_tables):
     rng = random.Random(9)
-    texts = [prose(rng, rng.randrange(40, 90)) for _ in range(240)]
+    texts = [prose(rng, rng.randrange(40, 90)) for _ in range(600)]
     labels = []
-    for i in range(240):
+    for i in range(600):
         bad = i % 8 == 0
         if bad:
             texts[i] = texts[i].replace(" ", f" {rng.choice(TOXIC)} ", 2)
-        if i % 2 == 0:
-            labels.append((i, 1, int(bad)))
+        labels.append((i, 1, int(bad)))
     items = [(k, prose(rng, 15)) for k in range(5)]
-    for i in range(3, 240, 30):
+    for i in range(3, 600, 60):
         texts[i] += f", {items[i % 5][1].upper()}!"
-    for i in range(5, 240, 20):
-        texts[i] += f" mail me.{i}@x{i}.org or 10.0.0.{i} now"
-    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(300 + i, texts[10 + i], "en") for i in range(6)]
-    rows += [(400 + i, t, None) for i, t in enumerate(ODD_TEXTS)] + [(None, texts[1], None), (1, texts[1], "en")]
+    for i in range(5, 600, 40):
+        texts[i] += f" mail me.{i}@x{i}.org or 10.0.0.{i % 256} now"
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(700 + i, texts[10 + i], "en") for i in range(6)]
+    rows += [(800 + i, t, None) for i, t in enumerate(ODD_TEXTS)] + [(None, texts[1], None), (1, texts[1], "en")]
     sf = write_tables(documents=make_docs(rows), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
                       benchmark=spark.createDataFrame(items, "item_id long, text string"))
     return rows, items, sf
