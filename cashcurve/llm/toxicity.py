@@ -7,7 +7,8 @@ largest marginal and the expected number of toxic words feed a small logistic ca
 document's score.
 
 Labelled tokens: labels name documents, not words.  A feature is a *marker* when it separates toxic from clean training
-documents beyond chance (likelihood ratio) and is nearly always toxic.  Markers are found in rounds: toxic
+documents beyond chance (likelihood ratio) and is nearly always toxic; near copies among the training documents are left out first, as
+every rare word of a toxic text with many copies would look like one.  Markers are found in rounds: toxic
 documents that already carry one are set aside, so that the words of rarer languages, too few to stand out at
 first, stand out against what is left.  The training tokens labelled toxic are those of toxic documents that carry a
 marker.  All tokens of clean documents are labelled neutral, also those with a marker, so that ambiguous markers get
@@ -31,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,6 +198,23 @@ def training_sample(labels: DataFrame, id_col: str, label_col: str, allowed: Col
             .withColumn("pick", F.xxhash64("id")).orderBy("pick", "id").limit(most))
 
 
+def without_copies(texts: DataFrame) -> DataFrame:
+    """The sample without near copies: of documents of a class that share a min-hash of their three-word shingles one stays,
+    for two hash functions in turn (two texts share one with the probability of their resemblance)."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: tuple[list[int], list[int]] = ([], [])
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                words = [w.lower() for w in TOKEN.findall(text)]
+                shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+                for seed, k in enumerate(keys):
+                    k.append(min(xxhash.xxh32_intdigest(s, seed) for s in shingles))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(k, pa.int64()) for k in keys]], [*batch.schema.names, "m1", "m2"])
+
+    marked = texts.mapInArrow(sketch, with_fields(texts.schema, ("m1", T.LongType()), ("m2", T.LongType())))
+    return marked.dropDuplicates(["y", "m1"]).dropDuplicates(["y", "m2"]).drop("m1", "m2")
+
+
 def marker_counts(texts: DataFrame, known: frozenset[str]) -> DataFrame:
     """Per feature the toxic (``t``) and clean (``c``) documents that have it; toxic ones with a known marker are left
     out.  ``f`` is null in the row that counts the documents themselves."""
@@ -251,6 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     keys = spark.createDataFrame(picked, schema)                       # at most max_docs small rows
     texts = (docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
              .join(F.broadcast(keys), "id"))
+    texts = reliable(without_copies(texts))                            # the rounds read the sample, not all documents
     markers = find_markers(texts, significance, purity, max_markers, rounds)
     number = {f: k for k, f in enumerate(markers)}
     shared = spark.sparkContext.broadcast(number)
