@@ -265,11 +265,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     keyed = docs.select("*", hashes[0].alias(k[0]), hashes[1].alias(k[1]))
     slim = keyed.select(F.col(id_col).alias("doc_id"), F.col(k[0]).alias("k0"), F.col(k[1]).alias("k1"), F.col(text_col).alias("text"))
     prints = reliable(with_fingerprint(slim, "text", shingle, "fp"))
-    distinct = reliable(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), distance))
-    root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k0", "k1")
-    kept = prints.join(root, "fp").groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.k0", "row.k1")
+    first = reliable(prints.groupBy("fp").agg(F.min(row).alias("row")))        # copies are combined before any join
+    roots = components(links(first.select("fp"), distance))
+    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row")).select("row.doc_id", "row.k0", "row.k1")
     chosen = kept.select(F.col("doc_id").alias("chosen_id"), F.col("k0").alias("chosen_0"), F.col("k1").alias("chosen_1"))
     on = keyed[id_col].eqNullSafe(chosen["chosen_id"]) & (keyed[k[0]] == chosen["chosen_0"]) & (keyed[k[1]] == chosen["chosen_1"])
     left = keyed.join(chosen, on, "left_semi")
