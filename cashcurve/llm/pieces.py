@@ -164,7 +164,7 @@ class TrieEncoder:
     ``ends[k]`` to ``ends[k + 1]``, so a text's ids are gathered by numpy, not word by word.
     """
 
-    def __init__(self, model: PieceModel, remember: int = 600_000):
+    def __init__(self, model: PieceModel, remember: int = 350_000):
         self.model, self.remember = model, remember
         self.forget()
 
