@@ -91,7 +91,8 @@ def _page_documents(page_body: Column, field: str, page_schema: str, list_schema
     is_object = F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.lit(False))
     parsed = F.from_json(page_body, page_schema)
     docs = parsed[field] if list_schema is None else F.from_json(parsed["QueryResponse"][field], list_schema)
-    return docs, ~is_object | (text.isNotNull() & docs.isNull())
+    # only pages without documents are looked at a second time
+    return docs, docs.isNull() & (~is_object | text.isNotNull())
 
 
 def _docs(pages: DataFrame, provider: str, kind: str, field: str, page_schema: str,
