@@ -164,8 +164,8 @@ class TrieEncoder:
     ``ends[k]`` to ``ends[k + 1]``, so a text's ids are gathered by numpy, not word by word.
     """
 
-    def __init__(self, model: PieceModel, remember: int = 350_000):
-        self.model, self.remember = model, remember
+    def __init__(self, model: PieceModel, remember: int = 350_000, remember_ids: int = 4_000_000, short: int = 48):
+        self.model, self.remember, self.remember_ids, self.short = model, remember, remember_ids, short
         self.forget()
 
     def forget(self) -> None:
@@ -176,7 +176,7 @@ class TrieEncoder:
     def learn(self, strings: set[str]) -> None:
         """Number new strings; their new marked words are encoded in sorted order, depth-first through their trie."""
         new = strings - self.known.keys()
-        if new and len(self.known) + len(new) > self.remember:
+        if new and (len(self.known) + len(new) > self.remember or len(self.pool) > self.remember_ids):
             self.forget()
             new = strings
         cut = [self.marked_words(s) for s in new]
@@ -198,9 +198,10 @@ class TrieEncoder:
 
     def encode_words(self, new: set[str]) -> None:
         """Encode marked words in sorted order, i.e. depth-first through their trie."""
-        model, words = self.model, self.words
+        model, words, short = self.model, self.words, self.short
         number, joins, stable, sizes = model.ids.get, model.joins, model.stable.get, model.sizes.get
-        # per character of the current word: length and number of the segmentation's last piece, and all its ids
+        # per character of the current word: length and number of the segmentation's last piece; for the first ``short`` ones all its
+        # ids as well (long words are traced back once, so memory grows with their length, not with its square)
         size, last, path = [0], [-1], [()]
         before = ""
         for word in sorted(new):
@@ -217,16 +218,29 @@ class TrieEncoder:
                         if joins(back, piece) if (s := stable(back * WIDE + piece)) is None else s:
                             size.append(n)
                             last.append(piece)
-                            path.append((*path[i - n], piece))
+                            if i <= short:
+                                path.append((*path[i - n], piece))
                             break
                 else:
                     if number(word[i - 1]) is not None:
                         raise AssertionError(f"no segmentation of {word[:i]!r}")
                     size.append(1)                              # a character without a piece: its bytes
                     last.append(-1)
-                    path.append((*path[i - 1], *[model.byte_ids[b] for b in word[i - 1].encode("utf-8", "surrogatepass")]))
+                    if i <= short:
+                        path.append((*path[i - 1], *self.byte_pieces(word[i - 1])))
             before = word
-            words[word] = path[-1]
+            words[word] = path[-1] if len(word) <= short else self.traced(word, size, last, path)
+
+    def byte_pieces(self, character: str) -> list[int]:
+        return [self.model.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")]
+
+    def traced(self, word: str, size: list[int], last: list[int], path: list[tuple[int, ...]]) -> tuple[int, ...]:
+        """Ids of a long word, from its last piece back to where the ids are known."""
+        i, ids = len(word), []
+        while i > self.short:
+            ids.extend((last[i],) if last[i] >= 0 else reversed(self.byte_pieces(word[i - 1])))
+            i -= size[i]
+        return (*path[i], *reversed(ids))
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the numbered strings one after the other, and where each string's ids start (and the last end)."""

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import sentencepiece
 from hypothesis import given, settings
@@ -36,6 +37,31 @@ def test_odd_texts_and_trie_order():
     assert pc.TrieEncoder(MODEL).encode([]) == [] and pc.TrieEncoder(MODEL).encode(["", None, "a"]) == [[], None, LIBRARY.encode("a")]
 
 
+def test_long_unbroken_strings_take_linear_memory():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(letters, k=200_000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "abc日本語\x00é\U0001f600")]
+    tracemalloc.start()
+    try:
+        got = [_encode(t) for t in texts]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [LIBRARY.encode(t) for t in texts] and peak < 200_000_000
+    # the two ways meet at any length, also in words that share prefixes of either kind
+    words = [t[:n] for t in texts for n in (1, 2, 5, 47, 48, 49, 50, 100)]
+    for short in (0, 1, 48, 1000):
+        assert pc.TrieEncoder(MODEL, short=short).encode(words) == [LIBRARY.encode(w) for w in words]
+
+
+def test_remembered_ids_are_bounded():
+    rng = random.Random(4)
+    encoder = pc.TrieEncoder(MODEL, remember_ids=1000)
+    for _ in range(20):
+        text = "".join(rng.choices("abcdefgh", k=2000))
+        assert encoder.encode([text])[0] == LIBRARY.encode(text)
+    assert len(encoder.pool) < 4000
+
+
 def test_stable_pairs_equal_replayed_merges():
     rng = random.Random(2)
     names = list(MODEL.ids)
