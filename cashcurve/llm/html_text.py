@@ -7,9 +7,9 @@
 3. Pages are parsed again; the text under template subtrees, and under elements that are boilerplate by their very
    tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), goes.
 
-What counts as the article: the ``article`` elements if the page has any with text, else ``main``, else the whole
-body.  Inside an article or main only container elements can be templates, never paragraphs, headings, list items
-or quotations: passages that articles share are content.  Pages without either let any block be a template.
+What stays: every block that is neither, wherever it stands; ``article`` and ``main`` choose nothing.  They only shield
+passages: inside them container elements can be templates, never paragraphs, headings, list items or quotations, as passages
+that articles share are content.  Outside, any block can be a template, also a run of text between the children of an element.
 
 Templates are few (they recur).  Their number is measured: up to ``broadcast_rows`` they are broadcast; beyond that each
 page's template hashes are found by a shuffle join and joined to the pages by content hashes.
@@ -93,17 +93,24 @@ class Element:
 
 @dataclass
 class Page:
-    """Blocks as (text, element chain), and every block element that has text."""
+    """Blocks as (text, element chain, hash of the text outside articles), and every block element that has text."""
 
-    blocks: list[tuple[str, list[Element]]] = field(default_factory=list)
+    blocks: list[tuple[str, list[Element], int | None]] = field(default_factory=list)
     elements: list[Element] = field(default_factory=list)
     root: int = 0
 
+    def hashes(self) -> set[int]:
+        """Hashes of all that could be a template: elements, and runs of text beside other children of their element."""
+        return {e.digest for e in self.elements if e.removable} | {h for _, chain, h in self.blocks if h is not None and len(chain[-1].parts) > 1}
+
     def text(self, templates: set[int] | frozenset[int]) -> str:
-        kept = [(t, chain[-1].area) for t, chain in self.blocks
-                if not chain[-1].gone and not (templates and any(e.digest in templates and e.removable for e in chain))]
-        area = max((a for _, a in kept), default=0)
-        return "\n".join(t for t, a in kept if a >= area)
+        return "\n".join(t for t, chain, h in self.blocks if not chain[-1].gone and not (templates and (
+            h in templates or any(e.digest in templates and e.removable for e in chain))))
+
+
+def _hash(parts: list[str]) -> int:
+    raw = hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(raw, "little", signed=True)
 
 
 def parse(source: str | None) -> Page:
@@ -119,15 +126,14 @@ def parse(source: str | None) -> Page:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            page.blocks.append((text, stack.copy()))
+            page.blocks.append((text, stack.copy(), None if stack[-1].area or stack[-1].gone else _hash(["", text])))
             stack[-1].parts.append(text)
             stack[-1].text = True
 
     def close() -> None:
         e = stack.pop()
         if e.tag in BLOCK:
-            raw = hashlib.blake2b("\x1f".join([e.tag, *e.parts]).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            e.digest = int.from_bytes(raw, "little", signed=True)
+            e.digest = _hash([e.tag, *e.parts])
             if e.text:
                 page.elements.append(e)
                 if stack:
@@ -221,7 +227,7 @@ def subtree_hashes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             rows = []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = parse(source)
-                rows.append({"host": host(url), "root": page.root, "hashes": sorted({e.digest for e in page.elements if e.removable})})
+                rows.append({"host": host(url), "root": page.root, "hashes": sorted(page.hashes())})
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     return pages.select(url_col, html_col).mapInArrow(run, "host string, root long, hashes array<long>")
@@ -281,7 +287,7 @@ def _with_page_templates(slim: DataFrame, templates: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [{"k1": a, "k2": b, "host": host(u), "h": h} for u, s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                    for h in {e.digest for e in parse(s).elements if e.removable}]
+                    for h in parse(s).hashes()]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("host", pa.string()), ("h", pa.int64())]))
 
     found = (keyed.select("url", "html", "k1", "k2").mapInArrow(run, kind).join(templates, ["host", "h"])

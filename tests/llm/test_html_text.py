@@ -54,6 +54,15 @@ def test_templates_go_and_shared_passages_stay(spark):
     assert all(r.n_chars == len(r.text) for r in broadcast)
 
 
+def test_blocks_outside_articles_stay_unless_they_recur(spark):
+    card = "<article><h3>Teaser {}</h3><p>more {}</p></article>"
+    bodies = {"e.example": "<main><p>long story {}</p>" + card + "</main>", "f.example": "<div><p>long story {}</p></div><div>" + card + "</div>"}
+    rows = [(i, f"https://{h}/{i}", f"<body>Slogan<div>Menu</div>{b.format(i, i, i)}<div>About us</div></body>") for h, b in bodies.items() for i in range(8)]
+    for r in ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"long story {r.page_id}\nTeaser {r.page_id}\nmore {r.page_id}"
+    assert _text("<main><p>m</p></main><div>own note</div><article>card</article>") == "m\nown note\ncard"
+
+
 def test_hosts():
     assert [ht.host(u) for u in ("http://WWW.x.org:80/a", "https://u:p@y.com?q", "//z.net#f", "no url", "", None)] == ["www.x.org", "y.com", "z.net", "", "", ""]
 
