@@ -7,6 +7,11 @@
 3. Pages are parsed again; the text under template subtrees, and under elements that are boilerplate by their very
    tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), goes.
 
+A class or id word, a role, or a form or fieldset around it is a weak mark: it removes an element only if that holds at most half of
+the page's text that is left after templates and sure boilerplate (articles and mains so marked are weighed together), and
+never all that is left.  A larger one goes if it recurs on the host, or if all its names are advert words and it stands, without
+an article or main in it, beside one with text.
+
 What stays: every block that is neither, wherever it stands; ``article`` and ``main`` choose nothing.  They only shield
 passages: inside them container elements can be templates, never paragraphs, headings, list items or quotations, as passages
 that articles share are content.  Outside, any block can be a template, also a run of text between the children of an element.
@@ -39,8 +44,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search
 section summary table tbody td tfoot th thead tr ul""".split())
-BOILERPLATE = frozenset("""nav footer aside form menu dialog head button select option optgroup fieldset svg canvas object audio
+BOILERPLATE = frozenset("""nav footer aside menu dialog head button select option optgroup svg canvas object audio
 video map math search""".split())
+WEAK = frozenset("form fieldset".split())            # boilerplate unless they hold most of the text
 WHOLE = frozenset("html body article main".split())
 PASSAGE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr tbody thead figcaption caption summary".split())
 CLOSES = {"li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "tr": frozenset({"tr", "td", "th"}),
@@ -52,6 +58,7 @@ NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense spo
 consent gdpr notice notices notification alert sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead
 header comment comments disqus replies reply share sharing social related recommended newsletter subscribe subscription
 signup login popup modal overlay pagination pager widget toolbar skip legal copyright""".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -60,28 +67,35 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def boilerplate_attributes(attributes: str) -> bool:
-    """Whether class, id, role or visibility mark an element as no part of the article."""
+HIDDEN, ADVERT, NAMED = 3, 2, 1
+
+
+def boilerplate_attributes(attributes: str) -> int:
+    """HIDDEN if an element is not shown, ADVERT if all its class and id words are, NAMED if its class, id or role is one of
+    boilerplate, else 0."""
+    out, words = 0, []
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in NAMES for w in _NAME.findall(value)):
-                return True
+            words += [w.lower() for w in _NAME.findall(value)]
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                out = NAMED
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return HIDDEN
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return HIDDEN
+    if words and ADVERTS.issuperset(words):
+        return ADVERT
+    return out if NAMES.isdisjoint(words) else NAMED
 
 
 @dataclass
 class Element:
     tag: str
-    gone: bool                      # boilerplate, or inside it
+    gone: bool                      # surely boilerplate, or inside it
     area: int                       # 2 inside an article, 1 inside main, 0 elsewhere
+    weak: int = 0                   # marked as boilerplate by a word or a form: NAMED or ADVERT
     parts: list[str] = field(default_factory=list)
     digest: int = 0
     text: bool = False
@@ -93,19 +107,36 @@ class Element:
 
 @dataclass
 class Page:
-    """Blocks as (text, element chain, hash of the text outside articles), and every block element that has text."""
+    """Blocks as (text, element chain, hash of the text outside articles, text with weakly marked inline elements), and every
+    block element that has text."""
 
-    blocks: list[tuple[str, list[Element], int | None]] = field(default_factory=list)
+    blocks: list[tuple[str, list[Element], int | None, str]] = field(default_factory=list)
     elements: list[Element] = field(default_factory=list)
     root: int = 0
 
     def hashes(self) -> set[int]:
         """Hashes of all that could be a template: elements, and runs of text beside other children of their element."""
-        return {e.digest for e in self.elements if e.removable} | {h for _, chain, h in self.blocks if h is not None and len(chain[-1].parts) > 1}
+        return {e.digest for e in self.elements if e.removable} | {h for _, chain, h, _ in self.blocks if h is not None and len(chain[-1].parts) > 1}
 
     def text(self, templates: set[int] | frozenset[int]) -> str:
-        return "\n".join(t for t, chain, h in self.blocks if not chain[-1].gone and not (templates and (
-            h in templates or any(e.digest in templates and e.removable for e in chain))))
+        left = [b for b in self.blocks if not b[1][-1].gone and not (templates and (
+            b[2] in templates or any(e.digest in templates and e.removable for e in b[1])))]
+        total, whole, held, around, beside = sum(len(b[3]) for b in left), 0, {}, set(), False
+        for _, chain, _, full in left:
+            weak = [e for e in chain if e.weak]
+            for e in weak:
+                held[id(e)] = held.get(id(e), 0) + len(full)
+            whole += len(full) if any(e.tag in WHOLE for e in weak) else 0
+            if chain[-1].area:
+                adverts = {id(e) for e in weak if e.weak == ADVERT and not e.area}
+                around |= adverts
+                beside = beside or not adverts
+        kept = []
+        for text, chain, _, full in left:
+            if not any(e.weak and (2 * (whole if e.tag in WHOLE else held[id(e)]) <= total
+                                   or beside and e.weak == ADVERT and not e.area and id(e) not in around) for e in chain):
+                kept.append(full if 2 * (len(full) - len(text)) > total else text)
+        return "\n".join(filter(None, kept)) or "\n".join(b[3] for b in left)
 
 
 def _hash(parts: list[str]) -> int:
@@ -117,19 +148,34 @@ def parse(source: str | None) -> Page:
     """One pass over the markup with a stack of open elements; closes what the standard closes implicitly."""
     page = Page()
     top = Element("html", False, 0)
-    stack, words, muted = [top], [], []      # muted: open inline boilerplate and where its words start
+    stack, words = [top], []
+    muted, weak = [], []      # open inline boilerplate: tag, where its words start, whether surely; the weak ones' words, from and to
 
     def flush() -> None:
         if muted:
-            del words[muted[0][1]:]
-            muted.clear()
-        text = " ".join("".join(words).split())
+            unmute(0)
+        text = full = " ".join("".join(words).split())
+        if weak:
+            for start, end in weak:
+                words[start:end] = [""] * (end - start)
+            text = " ".join("".join(words).split())
+            weak.clear()
         words.clear()
-        if text:
-            page.blocks.append((text, stack.copy(), None if stack[-1].area or stack[-1].gone else _hash(["", text])))
-            stack[-1].parts.append(text)
+        if full:
+            page.blocks.append((text, stack.copy(), None if stack[-1].area or stack[-1].gone else _hash(["", text or full]), full))
+            stack[-1].parts.append(text or full)
             stack[-1].text = True
 
+    def unmute(k: int) -> None:
+        """Close the open inline boilerplate from the k-th on."""
+        sure = next((start for _, start, surely in muted[k:] if surely), None)
+        if sure is not None:
+            del words[sure:]
+            weak[:] = [(start, min(end, sure)) for start, end in weak if start < sure]
+        if not muted[k][2]:
+            weak.append((muted[k][1], len(words)))
+        del muted[k:]
+
     def close() -> None:
         e = stack.pop()
         if e.tag in BLOCK:
@@ -175,9 +221,11 @@ def parse(source: str | None) -> Page:
             elif closing:
                 opened = next((k for k in range(len(muted) - 1, -1, -1) if muted[k][0] == tag), None)
                 if opened is not None:
-                    del words[muted[opened][1]:], muted[opened:]
-            elif tag in BOILERPLATE or (tag not in VOID and attributes and boilerplate_attributes(attributes)):
-                muted.append((tag, len(words)))
+                    unmute(opened)
+            elif tag in BOILERPLATE:
+                muted.append((tag, len(words), True))
+            elif tag not in VOID and attributes and (mark := boilerplate_attributes(attributes)):
+                muted.append((tag, len(words), mark == HIDDEN))
             continue
         flush()
         if closing:
@@ -203,9 +251,9 @@ def parse(source: str | None) -> Page:
             close()
         here = stack[-1]
         area = 2 if tag == "article" or here.area == 2 else 1 if tag == "main" or here.area == 1 else 0
-        gone = here.gone or tag in BOILERPLATE or (tag == "header" and area < 2) or \
-            (tag not in ("body", "head") and bool(attributes) and boilerplate_attributes(attributes))
-        stack.append(Element(tag, gone, area))
+        mark = boilerplate_attributes(attributes) if attributes and tag not in ("body", "head") else 0
+        gone = here.gone or tag in BOILERPLATE or (tag == "header" and area < 2) or mark == HIDDEN
+        stack.append(Element(tag, gone, area, mark or int(tag in WEAK)))
     flush()
     while stack:
         close()

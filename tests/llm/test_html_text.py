@@ -54,6 +54,26 @@ def test_templates_go_and_shared_passages_stay(spark):
     assert all(r.n_chars == len(r.text) for r in broadcast)
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<main class='no-sidebar'><p>x</main>", "x"), ("<article class='post has-comments'><h1>T</h1><p>x</article>", "T\nx"),
+    ("<div id='page-with-sidebar'><p>long text</p><div class=sidebar>s</div></div>", "long text"),
+    ("<div class='legal-news'><p>x</div>", "x"), ("<form action=default.aspx><nav>n</nav><div><p>x y z</div><fieldset>f</fieldset></form>", "x y z"),
+    ("<article class='post has-comments'><p>a</article>" * 3 + "<div class=ad>b</div>", "a\na\na"),
+    ("<div class=promo>a</div><div class=legal>b</div>", "a\nb"), ("<span class=legal-text>all of it<br>here</span> ok", "all of it here ok"),
+    ("<p>some words <span class=ad>buy <button>b</button> now</span> stay</p>", "some words stay"),
+    ("<p>some words <span hidden>h <b class=ad>x</b></span> stay <i class=ad>cut", "some words stay"),
+    ("<body><div class=ad>buy</div><p>some words</p>", "some words"), ("<div class=ad>a long advert</div><article><p>x</article>", "x"),
+    ("<div class=ad>the offer itself</div><p>x</p>", "the offer itself\nx"), ("<div id=ads><article>the offer</article></div><article>x</article>", "the offer\nx")])
+def test_words_and_forms_remove_only_the_smaller_part(source, want):
+    assert _text(source) == want
+
+
+def test_a_large_marked_block_goes_if_it_recurs(spark):
+    rows = [(i, f"https://g.example/{i}", f"<body><div class=notice><p>{'long notice ' * 20}</p></div><p>w{i}</p></body>") for i in range(8)]
+    got = ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == [f"w{i}" for i in range(8)]
+
+
 def test_blocks_outside_articles_stay_unless_they_recur(spark):
     card = "<article><h3>Teaser {}</h3><p>more {}</p></article>"
     bodies = {"e.example": "<main><p>long story {}</p>" + card + "</main>", "f.example": "<div><p>long story {}</p></div><div>" + card + "</div>"}
