@@ -3,7 +3,7 @@
 1. Every page is parsed in place; each block element gets a hash of its subtree (tags and text, not attributes).
 2. Spark counts, per host and subtree hash, the pages that have it.  Pages of a host with equal content count once, so that
    copies of one page do not make its article a template.  A subtree is a *template* if it occurs on at least
-   ``min_pages`` such pages and on at least ``min_share`` of the host's.
+   ``min_pages`` such pages, and on at least ``many_pages`` of them or, on hosts with fewer, ``min_share`` of the host's.
 3. Pages are parsed again; the text under template subtrees, and under elements that are boilerplate by their very
    tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), goes.
 
@@ -281,7 +281,7 @@ def subtree_hashes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return pages.select(url_col, html_col).mapInArrow(run, "host string, root long, hashes array<long>")
 
 
-def site_templates(hashes: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+def site_templates(hashes: DataFrame, min_pages: int, min_share: float, many_pages: int) -> DataFrame:
     """(host, h) of the subtrees that recur on many different pages of the host.
 
     Everything is grouped by a hash within the host, with partial counts, so a host with a third of all pages is spread
@@ -291,17 +291,17 @@ def site_templates(hashes: DataFrame, min_pages: int, min_share: float) -> DataF
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = (pages.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") >= min_pages))
-    return counts.join(total, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "h")
+    return counts.join(total, "host").filter(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(many_pages))).select("host", "h")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5,
-              min_share: float = 0.5, broadcast_rows: int = 500_000) -> DataFrame:
+              min_share: float = 0.5, broadcast_rows: int = 500_000, many_pages: int = 10) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     bound_batches(spark)
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     hashes = subtree_hashes(slim, "url", "html")
-    templates = site_templates(hashes, min_pages, min_share)
+    templates = site_templates(hashes, min_pages, min_share, many_pages)
     known = templates.limit(broadcast_rows + 1).collect()
     if len(known) <= broadcast_rows:
         by_host: dict[str, set[int]] = {}

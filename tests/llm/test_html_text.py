@@ -74,6 +74,13 @@ def test_a_large_marked_block_goes_if_it_recurs(spark):
     assert sorted(r.text for r in got) == [f"w{i}" for i in range(8)]
 
 
+def test_a_block_on_a_third_of_a_hosts_pages_is_a_template(spark):
+    menu, few = "<div>Section menu<p>More</p></div>", "<p>on nine pages</p>"
+    rows = [(i, f"https://h.example/{i}", f"<body>{menu if i % 10 < 3 else ''}<p>w{i}</p>{few if i < 9 else ''}</body>") for i in range(100)]
+    for r in ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"w{r.page_id}" + ("\non nine pages" if r.page_id < 9 else "")
+
+
 def test_blocks_outside_articles_stay_unless_they_recur(spark):
     card = "<article><h3>Teaser {}</h3><p>more {}</p></article>"
     bodies = {"e.example": "<main><p>long story {}</p>" + card + "</main>", "f.example": "<div><p>long story {}</p></div><div>" + card + "</div>"}
