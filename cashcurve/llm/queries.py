@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.llm import ann, decontaminate, html_text, langid, pieces, pii, quality, sharding, simhash, toxicity
+from cashcurve.llm import (ann, decontaminate, hard_negatives, html_text, langid, packing, pieces, pii, quality, sharding, simhash, spelling,
+                           toxicity)
 from cashcurve.llm.common import fold_is, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,22 @@ def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = read_table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs))
+
+
+@register
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words of the documents: near words, forms and roots."""
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, per positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@register
+def op13_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
