@@ -27,12 +27,11 @@ are packed one by one; null ids stay null; an empty table gives an empty result;
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -46,53 +45,60 @@ from cashcurve.llm.common import bound_batches, reliable
 from cashcurve.session import checkpoint_dir
 
 MODEL_PATH = public_tokenizers.path("word_bpe_49k.json")
-#: Strings of these letters, signs and blanks fall apart at every change of class, whatever stands beside them.
-_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[!-&(-/:-@\[-`{-~\n])+")
-_RUNS = re.compile(r"[a-zà-öø-ÿß]+|[!-&(-/:-@\[-`{-~]+")
+_LETTERS, _SIGNS = "a-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: Texts of these letters, digits, signs and blanks fall apart at every change of class and at every digit, whatever stands beside them.
+_PLAIN, _CUT = f"^[{_LETTERS}0-9{_SIGNS} \n]*$", f"([0-9]|[{_SIGNS}]+)"
 
 
-class StringIds:
-    """Ids of texts by way of the strings between blanks; strings met before come from a bounded memory.
+class RunIds:
+    """Ids of texts by way of their runs of letters or signs; runs met before come from a bounded memory.
 
-    The tokenizer cuts at white space before anything else, so a text's ids are those of its strings.  String k's ids lie in one pool, from
-    ``ends[k]`` to ``ends[k + 1]``.
+    The tokenizer takes runs of letters, runs of signs and single digits as words of their own, so a plain text's ids are those of its runs.
+    Run k's ids lie in one pool, from ``ends[k]`` to ``ends[k + 1]``.  New runs are tokenised many at a time: each has exactly one id that ends a
+    word, its last.  Any other text (further scripts, apostrophes, names of special tokens) is tokenised as it is.
     """
 
-    def __init__(self, path: str, remember: int = 600_000, remember_ids: int = 4_000_000):
+    def __init__(self, path: str, remember: int = 700_000, remember_ids: int = 4_000_000, word_end: str = "</w>"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.remember, self.remember_ids = remember, remember_ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for name, i in vocabulary.items() if name.endswith(word_end)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.pool, self.ends = array("i"), array("q", [0])
+        self.known: dict[str, int] = {"": 0}
+        self.pool, self.ends = array("i"), array("q", [0, 0])
 
-    def library(self, strings: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, strings: list[str]) -> None:
-        new = [s for s in strings if s not in self.known]
-        if new and (len(self.known) + len(new) > self.remember or len(self.pool) > self.remember_ids):
+    def learn(self, runs: list[str]) -> None:
+        known = self.known
+        new = [r for r in runs if r not in known]
+        if new and (len(known) + len(new) > self.remember or len(self.pool) > self.remember_ids):
             self.forget()
-            new = strings
-        runs = self.runs
-        # a special token's name is no plain string
-        cut = [_RUNS.findall(s.lower()) if "<|" not in s and _PLAIN.fullmatch(s) else None for s in new]
-        fresh = list({r for rs in cut if rs for r in rs if r not in runs})
-        runs.update(zip(fresh, self.library(fresh), strict=True))
-        rest = iter(self.library([s for s, rs in zip(new, cut, strict=True) if rs is None]))
-        parts = [next(rest) if rs is None else runs[rs[0]] if len(rs) == 1 else list(chain.from_iterable([runs[r] for r in rs])) for rs in cut]
-        first = len(self.known)
-        self.known.update(zip(new, range(first, first + len(new)), strict=True))
-        self.ends.extend(accumulate(map(len, parts), initial=self.ends.pop()))
-        self.pool.extend(chain.from_iterable(parts))
+            known = self.known
+            new = [r for r in runs if r]
+        lines = [" ".join(new[at:at + 64]) for at in range(0, len(new), 64)]
+        ids = np.fromiter(chain.from_iterable(self.library(lines)), dtype=np.int32)
+        last = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(last) != len(new):
+            raise AssertionError("a run that is not one word")
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        first = self.ends[-1]
+        self.ends.frombytes((last + first).astype(np.int64).tobytes())
+        self.pool.frombytes(ids.tobytes())
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text (a null text has none)."""
-        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)
+        plain = pc.and_(pc.match_substring_regex(low, _PLAIN), pc.invert(pc.match_substring(low, "<|")))
+        spaced = pc.replace_substring_regex(pc.replace_substring(low.filter(plain), "\n", " "), _CUT, r" \1 ")
+        lists = pc.split_pattern(spaced, " ")
         names = lists.flatten().dictionary_encode()
         distinct = names.dictionary.to_pylist()
         self.learn(distinct)
@@ -104,16 +110,18 @@ class StringIds:
         total = int(edge[-1])
         ids = np.frombuffer(self.pool, dtype=np.int32)[np.repeat(first - edge[:-1], size) + np.arange(total)] if total else np.empty(0, np.int32)
         starts = edge[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])]
-        return [ids[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        by_runs = (ids[a:b] for a, b in zip(starts, starts[1:], strict=False))
+        others = (np.array(x, dtype=np.int32) for x in self.library(texts.filter(pc.invert(plain)).to_pylist()))
+        return [next(by_runs) if p else next(others) for p in plain.to_pylist()]
 
 
-_ENCODERS: dict[str, StringIds] = {}
+_ENCODERS: dict[str, RunIds] = {}
 
 
-def _encoder(path: str) -> StringIds:
+def _encoder(path: str) -> RunIds:
     """One encoder per worker process, kept between its tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = StringIds(path)
+        _ENCODERS[path] = RunIds(path)
     return _ENCODERS[path]
 
 

@@ -86,12 +86,14 @@ def test_small_and_empty_tables(spark, make_docs):
     assert _checked(pk.pack(make_docs([(1, "a b c d e", None)])).collect(), rows, 4096) == 0
 
 
-def test_string_ids_equal_the_library():
+def test_run_ids_equal_the_library():
     rng = random.Random(9)
-    signs = [" ", "  ", "\n", "\t", "'s", "'", "’", ".", ",", "%%%", "<|", "<|endoftext|>", "|>", "É", "ß", "é", "İ", "Σ", "ς", "ﬁ", "1", "23", "日本", " ", "x", "The", "don't",
+    signs = [" ", " ", "ab", "Cd", "ü", ";", "7", "  ", "\n", "\t", "'s", "'", "’", ".", ",", "%%%", "<|", "<|endoftext|>", "|>", "É", "ß", "é", "İ", "Σ", "ς", "ﬁ", "1", "23", "日本", " ", "x", "The", "don't",
              "😀", "́", "_", "-", "×", "÷", "ÀÈ", "\x00", "​", "Å"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 14))) for _ in range(3000)] + [t for t in ODD_TEXTS if t is not None]
-    enc = pk.StringIds(pk.MODEL_PATH, remember=500)
+    plain = ["Ab", "ÖL", "x_y", "12", " ", "\n", ".", "$$", "<", "|", ">", "-", "~", "[", "^", "z"]
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    enc = pk.RunIds(pk.MODEL_PATH, remember=500)
     for at in range(0, len(texts), 250):
         part = texts[at:at + 250]
         for t, ids in zip(part, enc.encode(pa.array(part)), strict=True):
