@@ -128,8 +128,8 @@ def neighbours(words: DataFrame) -> DataFrame:
 
 
 def with_roots(forms: DataFrame) -> DataFrame:
-    """word, root: the ends of the chains word -> form, by pointer doubling."""
-    at = reliable(forms.select("word", F.col("form").alias("root")))
+    """word, root: the ends of the chains word -> form, by pointer doubling; ``forms`` is read twice and should be stored."""
+    at = forms.select("word", F.col("form").alias("root"))
     while True:
         step = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
         moved = reliable(at.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
