@@ -54,6 +54,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def one_per_id(df: DataFrame, text_col: str = "text", id_col: str = "id") -> DataFrame:
+    """Of the rows of an id the one with the smallest hash of its text, so that a sample of ids bounds the rows as well."""
+    rest = [c for c in df.columns if c not in (id_col, text_col)]
+    least = F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"), *rest))
+    return df.groupBy(id_col).agg(least.alias("_least")).select(id_col, F.col("_least.t").alias(text_col), *[f"_least.{c}" for c in rest])
+
+
 def text_key(id_col: Column, text: Column) -> list[Column]:
     """Columns that identify an (id, whole text) row: the id and two independent 64-bit hashes of the text."""
     return [id_col, F.xxhash64(text), F.xxhash64(F.lit("#"), text)]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cashcurve.llm.common import bound_batches
+from cashcurve.llm.common import bound_batches, one_per_id
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
               .orderBy(F.xxhash64("id"), "id").limit(max_docs))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    rows = pooled(sample.select(F.col("id").cast("string").alias("id"), "y", "text"), "text",
+    rows = pooled(one_per_id(sample.select(F.col("id").cast("string").alias("id"), "y", "text")).select("id", "y", "text"), "text",
                   spark.sparkContext.broadcast(vectors), space).collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(r["id"].encode()), r["id"]))
     y = np.array([r["y"] for r in rows], dtype=float)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cashcurve.llm.common import bound_batches, fresh, reliable, with_fields
+from cashcurve.llm.common import bound_batches, fresh, one_per_id, reliable, with_fields
 
 TOKEN = re.compile(r"[^\W\d_]+")
 CHUNK = 256
@@ -212,7 +212,10 @@ def without_copies(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(k, pa.int64()) for k in keys]], [*batch.schema.names, "m1", "m2"])
 
     marked = texts.mapInArrow(sketch, with_fields(texts.schema, ("m1", T.LongType()), ("m2", T.LongType())))
-    return marked.dropDuplicates(["y", "m1"]).dropDuplicates(["y", "m2"]).drop("m1", "m2")
+    for m in ("m1", "m2"):                                            # the smallest id stays, whatever order the rows come in
+        rest = [c for c in marked.columns if c not in ("y", m, "id")]
+        marked = marked.groupBy("y", m).agg(F.min(F.struct("id", *rest)).alias("_least")).select("y", m, "_least.*")
+    return marked.select(*texts.columns)
 
 
 def marker_counts(texts: DataFrame, known: frozenset[str]) -> DataFrame:
@@ -270,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     keys = spark.createDataFrame(picked, schema)                       # at most max_docs small rows
     texts = (docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
              .join(F.broadcast(keys), "id"))
-    texts = reliable(without_copies(texts))                            # the rounds read the sample, not all documents
+    texts = reliable(without_copies(one_per_id(texts)))                            # the rounds read the sample, not all documents
     markers = find_markers(texts, significance, purity, max_markers, rounds)
     number = {f: k for k, f in enumerate(markers)}
     shared = spark.sparkContext.broadcast(number)

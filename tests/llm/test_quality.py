@@ -68,3 +68,16 @@ def test_without_two_classes_the_share_is_the_score(spark, make_docs, write_tabl
     assert len(scores) == 1 and 0.5 < scores.pop() < 1
     empty = write_tables(documents=make_docs([]), labels=lab.filter(F.lit(False)))
     assert op2_random_indexing_quality(spark, empty).count() == 0
+
+
+def test_an_id_on_a_third_of_the_rows_does_not_break_the_bound(spark, make_docs, monkeypatch):
+    rng = random.Random(5)
+    rows = [(5 if i % 3 == 0 else i, prose(rng, 8) + f" {i}", None) for i in range(1500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    pooled = ql.pooled
+    monkeypatch.setattr(ql, "pooled", lambda *a, **k: seen.append(pooled(*a, **k)) or seen[-1])
+    first = ql.train(make_docs(rows), labels, F.lit(True), max_docs=30)
+    assert seen[0].count() <= 30
+    again = ql.train(make_docs(rows[::-1]).repartition(5), labels, F.lit(True), max_docs=30)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(first.layers, again.layers, strict=True))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cashcurve.llm import toxicity as tx
 from cashcurve.llm.queries import op9_crf_toxicity
@@ -83,3 +84,14 @@ def test_no_training_rows(spark, make_docs, write_tables):
     got = op9_crf_toxicity(spark, write_tables(documents=make_docs([(1, "a b", "en"), (2, None, None)]), labels=lab)).collect()
     assert [(r.score, r.predicted) for r in got] == [(0.0, 0), (0.0, 0)]
     assert op9_crf_toxicity(spark, write_tables(documents=make_docs([]), labels=lab)).count() == 0
+
+
+def test_repeated_ids_are_bounded_and_the_order_of_rows_does_not_matter(spark, make_docs):
+    rng = random.Random(6)
+    rows = [(4 if i % 3 == 0 else i, prose(rng, 12) + (" vilebad awfulbad" if i % 2 and i % 3 else "") + f" {prose(rng, 3)}", None) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 2 and i % 3 != 0)) for i in range(400)], "doc_id long, toxic int")
+    sample = make_docs(rows).join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").alias("y"), "text")
+    assert tx.one_per_id(sample).count() == sample.select("id").distinct().count() < 300
+    a = tx.train(make_docs(rows), labels, F.lit(True))
+    b = tx.train(make_docs(rows[::-1]).repartition(7), labels, F.lit(True))
+    assert a.weights.keys() == b.weights.keys() and all(abs(a.weights[k] - b.weights[k]) < 1e-6 for k in a.weights)
