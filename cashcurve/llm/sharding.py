@@ -11,11 +11,14 @@ A row's place in its shard: slots follow each other in the shard, a slot's input
 and rows are numbered inside (slot, partition), so no task numbers more than one input partition's share of a slot.  The slim
 rows (no text) are checkpointed first, as the places are made of two reads of the same rows.
 
+A slot that is large beside a shard's share and holds several rows (a repeated id) is dealt out: its rows go to slots by a hash of their stored
+place as well, so that the law holds whatever the ids.
+
 Main path: DataFrame functions only.  The map has as many rows as there are slots, which is fixed: it alone is
 collected, edited and broadcast.
 
 Defined results: a null text has no bytes and the CRC-32 of nothing, 0; a null id is hashed by its text; rows repeated
-under one id share a slot and so a shard; empty tables give empty results; extra columns are ignored.
+under one id share a slot unless there are too many; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ def slim_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"), virtual_slot(F.col(id_col), F.col(text_col), slots).alias("virtual_slot"),
-                       F.spark_partition_id().alias("part"))
+                       F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
 
 
 class SlotMap:
@@ -164,6 +167,16 @@ def slot_totals(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[in
     return size, count
 
 
+def dealt_out(rows: DataFrame, size: list[int], count: list[int], shards: int, share: int = 8) -> DataFrame | None:
+    """The rows with those of overfull slots (several rows, over 1/``share`` of a shard's bytes) spread over all slots; None if there are none."""
+    large = sum(size) / shards / share
+    hot = [s for s, (b, n) in enumerate(zip(size, count, strict=True)) if n > 1 and b > large]         # fewer than shards x share
+    if not hot:
+        return None
+    spread = F.pmod(F.xxhash64("virtual_slot", "row"), F.lit(len(size))).cast("int")
+    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(hot), spread).otherwise(F.col("virtual_slot")))
+
+
 def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard and gapless place in the shard of every slim row (see ``slim_rows``; checkpointed)."""
     counts = rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -181,6 +194,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     checkpoint_dir(spark)
     rows = reliable(slim_rows(docs, id_col, text_col, slots))
     size, count = slot_totals(rows, slots)
+    spread = dealt_out(rows, size, count, shards)
+    if spread is not None:
+        rows, (size, count) = spread, slot_totals(spread, slots)
     store = MapStore(spark)
     first = SlotMap.dealt(size, shards)
     store.save(first, count)

@@ -12,7 +12,7 @@ from .conftest import ODD_TEXTS, prose
 def _docs(make_docs, n=1500):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randrange(1, 60)), "en") for i in range(n)]
-    return rows + [(9000 + i, t if t is None or len(t) < 6000 else t[:6000], None) for i, t in enumerate(ODD_TEXTS)] + [
+    return rows + [(9000 + i, t, None) for i, t in enumerate(ODD_TEXTS)] + [
         (None, "x", None), (None, None, None), (7, rows[7][1], "en"), (7, rows[7][1], "en")]
 
 
@@ -28,6 +28,7 @@ def test_shards_and_places(spark, make_docs):
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
     slot = {}
     assert all(slot.setdefault(r.virtual_slot, r.shard) == r.shard for r in got)
+    assert all(0 <= r.virtual_slot < sd.SLOTS for r in got)
     assert sd.shard_documents(make_docs([])).count() == 0
 
 
@@ -68,3 +69,13 @@ def test_stored_versions_are_never_replaced(spark):
 def test_no_python_on_the_main_path(spark, make_docs):
     plan = sd.shard_documents(make_docs([(1, "a", "en")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_one_id_on_a_third_of_the_rows_leaves_shards_even(spark, make_docs):
+    rng = random.Random(8)
+    rows = [(7 if i % 3 == 0 else i, "same text" if i % 6 == 0 else prose(rng, rng.randrange(5, 30)), "en") for i in range(3000)]
+    got = sd.shard_documents(make_docs(rows).repartition(7), shards=40).collect()
+    load = [sum(r["size"] for r in got if r.shard == s) for s in range(40)]
+    assert len(got) == 3000 and max(load) - min(load) <= 0.1 * sum(load) / 40
+    for s in range(40):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
