@@ -3,7 +3,7 @@ J5 batch de-duplication and D15 counts.
 
 The reference loops over documents in Python, one company at a time, with two
 database round trips per document.  Here one job parses every landed page
-(``from_json`` with explicit schemas), explodes the documents, applies the
+once (``from_json`` with one explicit schema for all kinds), explodes the documents, applies the
 acceptance rules as column predicates (the first failing rule becomes the
 ``reject_reason``), resolves tenant -> company and contact -> lead with two
 equi-joins and keeps the last delivery per idempotency key with ``max_by`` (a
@@ -18,16 +18,13 @@ from pyspark.sql import functions as F
 from cashcurve.functions.exprs import MONEY, dbl
 
 CONTACT = "struct<ContactID:string,Name:string>"
-XERO_INVOICE_PAGE = (f"struct<Invoices:array<struct<InvoiceID:string,Type:string,Status:string,Total:string,"
-                     f"Date:string,CurrencyCode:string,Contact:{CONTACT}>>>")
-XERO_PAYMENT_PAGE = (f"struct<Payments:array<struct<PaymentID:string,Status:string,Amount:string,Date:string,"
-                     f"CurrencyCode:string,Invoice:struct<InvoiceID:string,Type:string,Contact:{CONTACT}>,"
-                     f"Contact:{CONTACT}>>>")
-QBO_PAGE = "struct<QueryResponse:struct<Invoice:string,Payment:string>>"
 QBO_REF = "CustomerRef:struct<value:string,name:string>,CurrencyRef:struct<value:string>"
-QBO_INVOICES = f"array<struct<Id:string,TotalAmt:string,TxnDate:string,{QBO_REF}>>"
-QBO_PAYMENTS = (f"array<struct<Id:string,TotalAmt:string,TxnDate:string,{QBO_REF},"
-                f"Line:array<struct<LinkedTxn:array<struct<TxnId:string,TxnType:string>>>>>>")
+#: One schema for the pages of both providers and kinds: a page fills the one field it has.
+PAGE = (f"struct<Invoices:array<struct<InvoiceID:string,Type:string,Status:string,Total:string,Date:string,CurrencyCode:string,Contact:{CONTACT}>>,"
+        f"Payments:array<struct<PaymentID:string,Status:string,Amount:string,Date:string,CurrencyCode:string,"
+        f"Invoice:struct<InvoiceID:string,Type:string,Contact:{CONTACT}>,Contact:{CONTACT}>>,QueryResponse:struct<Invoice:string,Payment:string>>")
+#: Documents of provider 2, which are an object or a list.
+QBO_DOCUMENTS = f"array<struct<Id:string,TotalAmt:string,TxnDate:string,{QBO_REF},Line:array<struct<LinkedTxn:array<struct<TxnId:string,TxnType:string>>>>>>"
 
 # Provider-1 status rules.
 XERO_SKIP_INVOICE_STATUS = ["VOIDED", "DELETED", "DRAFT"]
@@ -76,124 +73,6 @@ def _amount(c: Column) -> Column:
 
 
 # -- A2-A5: page parsing ----------------------------------------------------------
-PAGE_KINDS = (("xero", "invoices"), ("xero", "payments"), ("quickbooks", "invoices"), ("quickbooks", "payments"))
-
-
-def _page_documents(page_body: Column, field: str, page_schema: str, list_schema: str | None) -> tuple[Column, Column]:
-    """(documents of a page, whether the page is malformed).
-
-    A page is malformed if it is no JSON object or its document field is something else than documents; a page
-    whose field is absent or null has no documents and is well formed.
-    """
-    outer = field if list_schema is None else "QueryResponse"
-    text = F.try_variant_get(F.try_parse_json(page_body), f"$.{outer}" + ("" if list_schema is None else f".{field}"), "string")
-    whole = F.try_parse_json(page_body)
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.lit(False))
-    parsed = F.from_json(page_body, page_schema)
-    docs = parsed[field] if list_schema is None else F.from_json(parsed["QueryResponse"][field], list_schema)
-    # only pages without documents are looked at a second time
-    return docs, docs.isNull() & (~is_object | text.isNotNull())
-
-
-def _docs(pages: DataFrame, provider: str, kind: str, field: str, page_schema: str,
-          list_schema: str | None = None) -> DataFrame:
-    """Documents of the pages of one provider and kind; a malformed page is one row without a document."""
-    p = pages.filter((F.col("provider") == provider) & (F.col("kind") == kind))
-    docs, malformed = _page_documents(F.col("body"), field, page_schema, list_schema)
-    return (p.select("provider", "tenant_id", "page_no", docs.alias("docs"), malformed.alias("malformed"))
-            .select("provider", "tenant_id", "page_no", "malformed", F.posexplode_outer("docs").alias("pos", "d"))
-            .filter(F.col("d").isNotNull() | F.col("malformed")))
-
-
-def unknown_pages(pages: DataFrame) -> DataFrame:
-    """Landed pages that no reader takes, one reject row each."""
-    known = F.lit(False)
-    for provider, kind in PAGE_KINDS:
-        known = known | (F.col("provider").eqNullSafe(provider) & F.col("kind").eqNullSafe(kind))
-    p = pages.filter(~known)
-    return p.select("tenant_id", "page_no", F.lit(None).cast("int").alias("pos"), "provider", F.lit(None).cast("string").alias("basis"),
-                    *[F.lit(None).cast(t).alias(c) for c, t in (
-                        ("line_kind", "string"), ("external_invoice_id", "string"), ("external_payment_id", "string"),
-                        ("external_contact_id", "string"), ("contact_name", "string"), ("amount", MONEY), ("currency", "string"),
-                        ("posted_date", "date"), ("idempotency_key", "string"))],
-                    F.lit("unknown_kind").alias("reject_reason"))
-
-
-def xero_invoice_lines(pages: DataFrame) -> DataFrame:
-    """L1: provider-1 invoices -> accrual lines (kind invoice_total)."""
-    d = _docs(pages, "xero", "invoices", "Invoices", XERO_INVOICE_PAGE)
-    status = F.upper(F.coalesce(F.col("d.Status"), F.lit("")))
-    amount = _amount(F.col("d.Total"))
-    posted = xero_date(F.col("d.Date"))
-    reason = (F.when(F.col("malformed"), "malformed_page")
-              .when(F.coalesce(F.col("d.Type"), F.lit("")) != "ACCREC", "not_receivable")
-              .when(status.isin(*XERO_SKIP_INVOICE_STATUS), "voided_or_draft")
-              .when(~status.isin(*XERO_POSTED_INVOICE_STATUS), "status_not_posted")
-              .when(~_nonempty(F.col("d.InvoiceID")), "missing_id")
-              .when(F.col("d.Total").isNull(), "missing_amount")
-              .when(amount.isNull(), "bad_amount")
-              .otherwise(xero_date_reason(F.col("d.Date"), posted)))
-    return d.select(
-        "tenant_id", "page_no", "pos", F.lit("xero").alias("provider"), F.lit("accrual").alias("basis"),
-        F.lit("invoice_total").alias("line_kind"), F.col("d.InvoiceID").alias("external_invoice_id"),
-        F.lit(None).cast("string").alias("external_payment_id"),
-        F.nullif(F.col("d.Contact.ContactID"), F.lit("")).alias("external_contact_id"),
-        F.col("d.Contact.Name").alias("contact_name"), amount.alias("amount"),
-        _currency(F.col("d.CurrencyCode")).alias("currency"), posted.alias("posted_date"),
-        F.concat_ws(":", F.lit("xero"), "tenant_id", F.lit("accrual"), F.lit("invoice"), "d.InvoiceID")
-        .alias("idempotency_key"), reason.alias("reject_reason"))
-
-
-def xero_payment_lines(pages: DataFrame) -> DataFrame:
-    """L2: provider-1 payments -> cash lines (kind invoice_payment); contact from invoice else payment."""
-    d = _docs(pages, "xero", "payments", "Payments", XERO_PAYMENT_PAGE)
-    status = F.upper(F.coalesce(F.col("d.Status"), F.lit("")))
-    inv_type = F.col("d.Invoice.Type")
-    amount = _amount(F.col("d.Amount"))
-    posted = xero_date(F.col("d.Date"))
-    inv_contact = F.col("d.Invoice.Contact")
-    has_inv_contact = inv_contact.isNotNull() & (inv_contact["ContactID"].isNotNull() | inv_contact["Name"].isNotNull())
-    contact = F.when(has_inv_contact, inv_contact).otherwise(F.col("d.Contact"))
-    reason = (F.when(F.col("malformed"), "malformed_page")
-              .when(status.isin(*XERO_SKIP_PAYMENT_STATUS), "voided")
-              .when(_nonempty(inv_type) & (inv_type != "ACCREC"), "not_receivable")
-              .when(~_nonempty(F.col("d.Invoice.InvoiceID")), "missing_invoice")
-              .when(~_nonempty(F.col("d.PaymentID")), "missing_id")
-              .when(F.col("d.Amount").isNull(), "missing_amount")
-              .when(amount.isNull(), "bad_amount")
-              .otherwise(xero_date_reason(F.col("d.Date"), posted)))
-    return d.select(
-        "tenant_id", "page_no", "pos", F.lit("xero").alias("provider"), F.lit("cash").alias("basis"),
-        F.lit("invoice_payment").alias("line_kind"), F.col("d.Invoice.InvoiceID").alias("external_invoice_id"),
-        F.col("d.PaymentID").alias("external_payment_id"),
-        F.nullif(contact["ContactID"], F.lit("")).alias("external_contact_id"), contact["Name"].alias("contact_name"),
-        amount.alias("amount"), _currency(F.col("d.CurrencyCode")).alias("currency"), posted.alias("posted_date"),
-        F.concat_ws(":", F.lit("xero"), "tenant_id", F.lit("cash"), F.lit("payment"), "d.PaymentID")
-        .alias("idempotency_key"), reason.alias("reject_reason"))
-
-
-def _qbo_reason(d: str, amount: Column, posted: Column) -> Column:
-    return (F.when(F.col("malformed"), "malformed_page")
-            .when(~_nonempty(F.col(f"{d}.Id")), "missing_id")
-            .when(F.col(f"{d}.TotalAmt").isNull(), "missing_amount")
-            .when(amount.isNull(), "bad_amount")
-            .when(posted.isNull(), "bad_date"))
-
-
-def qbo_invoice_lines(pages: DataFrame) -> DataFrame:
-    """L3: provider-2 invoices (object-or-list response, A4) -> accrual lines (kind qbo_invoice)."""
-    d = _docs(pages, "quickbooks", "invoices", "Invoice", QBO_PAGE, QBO_INVOICES)
-    amount = _amount(F.col("d.TotalAmt"))
-    posted = iso_prefix_date(F.col("d.TxnDate"))
-    return d.select(
-        "tenant_id", "page_no", "pos", F.lit("quickbooks").alias("provider"), F.lit("accrual").alias("basis"),
-        F.lit("qbo_invoice").alias("line_kind"), F.col("d.Id").alias("external_invoice_id"),
-        F.lit(None).cast("string").alias("external_payment_id"),
-        F.nullif(F.col("d.CustomerRef.value"), F.lit("")).alias("external_contact_id"),
-        F.col("d.CustomerRef.name").alias("contact_name"), amount.alias("amount"),
-        _currency(F.col("d.CurrencyRef.value")).alias("currency"), posted.alias("posted_date"),
-        F.concat_ws(":", F.lit("qbo"), "tenant_id", F.lit("accrual"), F.lit("invoice"), "d.Id").alias("idempotency_key"),
-        _qbo_reason("d", amount, posted).alias("reject_reason"))
 
 
 def first_linked_invoice(lines: Column) -> Column:
@@ -203,26 +82,95 @@ def first_linked_invoice(lines: Column) -> Column:
     return F.try_element_at(inv, F.lit(1))["TxnId"]
 
 
-def qbo_payment_lines(pages: DataFrame) -> DataFrame:
-    """L4: provider-2 payments -> cash lines (kind qbo_payment) with the first linked invoice."""
-    d = _docs(pages, "quickbooks", "payments", "Payment", QBO_PAGE, QBO_PAYMENTS)
-    amount = _amount(F.col("d.TotalAmt"))
-    posted = iso_prefix_date(F.col("d.TxnDate"))
-    return d.select(
-        "tenant_id", "page_no", "pos", F.lit("quickbooks").alias("provider"), F.lit("cash").alias("basis"),
-        F.lit("qbo_payment").alias("line_kind"), first_linked_invoice(F.col("d.Line")).alias("external_invoice_id"),
-        F.col("d.Id").alias("external_payment_id"),
-        F.nullif(F.col("d.CustomerRef.value"), F.lit("")).alias("external_contact_id"),
-        F.col("d.CustomerRef.name").alias("contact_name"), amount.alias("amount"),
-        _currency(F.col("d.CurrencyRef.value")).alias("currency"), posted.alias("posted_date"),
-        F.concat_ws(":", F.lit("qbo"), "tenant_id", F.lit("cash"), F.lit("payment"), "d.Id").alias("idempotency_key"),
-        _qbo_reason("d", amount, posted).alias("reject_reason"))
+_DOCUMENT = ("invoice_id", "payment_id", "type", "status", "amount", "date", "currency", "contact_id", "contact_name")
+
+
+def _document(**fields: Column) -> Column:
+    """A document in the form that all kinds share."""
+    return F.struct(*[fields.get(f, F.lit(None).cast("string")).alias(f) for f in _DOCUMENT])
+
+
+def _xero_invoice(d: Column) -> Column:
+    return _document(invoice_id=d["InvoiceID"], type=d["Type"], status=d["Status"], amount=d["Total"], date=d["Date"], currency=d["CurrencyCode"],
+                     contact_id=d["Contact"]["ContactID"], contact_name=d["Contact"]["Name"])
+
+
+def _xero_payment(d: Column) -> Column:
+    """The contact comes from the invoice, else from the payment."""
+    of_invoice = d["Invoice"]["Contact"]
+    has = of_invoice["ContactID"].isNotNull() | of_invoice["Name"].isNotNull()
+    contact = lambda f: F.when(has, of_invoice[f]).otherwise(d["Contact"][f])
+    return _document(invoice_id=d["Invoice"]["InvoiceID"], payment_id=d["PaymentID"], type=d["Invoice"]["Type"], status=d["Status"], amount=d["Amount"],
+                     date=d["Date"], currency=d["CurrencyCode"], contact_id=contact("ContactID"), contact_name=contact("Name"))
+
+
+def _qbo_invoice(d: Column) -> Column:
+    return _document(invoice_id=d["Id"], amount=d["TotalAmt"], date=d["TxnDate"], currency=d["CurrencyRef"]["value"],
+                     contact_id=d["CustomerRef"]["value"], contact_name=d["CustomerRef"]["name"])
+
+
+def _qbo_payment(d: Column) -> Column:
+    return _document(invoice_id=first_linked_invoice(d["Line"]), payment_id=d["Id"], amount=d["TotalAmt"], date=d["TxnDate"],
+                     currency=d["CurrencyRef"]["value"], contact_id=d["CustomerRef"]["value"], contact_name=d["CustomerRef"]["name"])
+
+
+def _is(provider: str, kind: str) -> Column:
+    return F.col("provider").eqNullSafe(provider) & F.col("kind").eqNullSafe(kind)
+
+
+def page_documents(pages: DataFrame) -> DataFrame:
+    """A2-A5: provider, tenant_id, kind, page_no, known, malformed, docs (array, in the shared form) of every page, from one parse.
+
+    A page is malformed if it is no JSON object or its document field is something else than documents; a page
+    whose field is absent or null has no documents and is well formed; a page of another provider or kind is not known.
+    """
+    parsed = pages.select("provider", "tenant_id", "kind", "page_no", "body", F.from_json("body", PAGE).alias("p"))
+    listed = F.from_json(F.when(F.col("kind") == "invoices", F.col("p.QueryResponse.Invoice")).otherwise(F.col("p.QueryResponse.Payment")), QBO_DOCUMENTS)
+    docs = (F.when(_is("xero", "invoices"), F.transform("p.Invoices", _xero_invoice))
+            .when(_is("xero", "payments"), F.transform("p.Payments", _xero_payment))
+            .when(_is("quickbooks", "invoices"), F.transform(listed, _qbo_invoice))
+            .when(_is("quickbooks", "payments"), F.transform(listed, _qbo_payment)))
+    path = (F.when(_is("xero", "invoices"), F.lit("$.Invoices")).when(_is("xero", "payments"), F.lit("$.Payments"))
+            .when(_is("quickbooks", "invoices"), F.lit("$.QueryResponse.Invoice")).when(_is("quickbooks", "payments"), F.lit("$.QueryResponse.Payment")))
+    whole = F.try_parse_json("body")
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.lit(False))
+    # only pages without documents are looked at a second time
+    bad = F.when(F.col("docs").isNull() & F.col("known"), ~is_object | F.try_variant_get(whole, path, "string").isNotNull()).otherwise(F.lit(False))
+    return (parsed.withColumn("docs", docs).withColumn("known", path.isNotNull()).withColumn("malformed", bad)
+            .select("provider", "tenant_id", "kind", "page_no", "known", "malformed", "docs"))
+
+
+def document_lines(pages: DataFrame) -> DataFrame:
+    """One row per document of every page, with the reason why it is no line; a page that gives no documents for a fault is one row."""
+    rows = (page_documents(pages).select("provider", "tenant_id", "kind", "page_no", "known", "malformed", F.posexplode_outer("docs").alias("pos", "d"))
+            .filter(F.col("d").isNotNull() | F.col("malformed") | ~F.col("known")))
+    xero, invoice, known = F.col("provider") == "xero", F.col("kind") == "invoices", F.col("known")
+    status = F.upper(F.coalesce(F.col("d.status"), F.lit("")))
+    amount = _amount(F.col("d.amount"))
+    posted = F.when(xero, xero_date(F.col("d.date"))).otherwise(iso_prefix_date(F.col("d.date")))
+    own_id = F.when(invoice, F.col("d.invoice_id")).otherwise(F.col("d.payment_id"))
+    kind_type = F.col("d.type")
+    of_xero = (F.when(invoice & (F.coalesce(kind_type, F.lit("")) != "ACCREC"), "not_receivable")
+               .when(invoice & status.isin(*XERO_SKIP_INVOICE_STATUS), "voided_or_draft")
+               .when(invoice & ~status.isin(*XERO_POSTED_INVOICE_STATUS), "status_not_posted")
+               .when(~invoice & status.isin(*XERO_SKIP_PAYMENT_STATUS), "voided")
+               .when(~invoice & _nonempty(kind_type) & (kind_type != "ACCREC"), "not_receivable")
+               .when(~invoice & ~_nonempty(F.col("d.invoice_id")), "missing_invoice"))
+    of_date = F.when(xero, xero_date_reason(F.col("d.date"), posted)).when(posted.isNull(), "bad_date")
+    reason = (F.when(~known, "unknown_kind").when(F.col("malformed"), "malformed_page").when(xero & of_xero.isNotNull(), of_xero)
+              .when(~_nonempty(own_id), "missing_id").when(F.col("d.amount").isNull(), "missing_amount").when(amount.isNull(), "bad_amount").otherwise(of_date))
+    basis = F.when(invoice, "accrual").otherwise("cash")
+    line_kind = (F.when(xero & invoice, "invoice_total").when(xero, "invoice_payment").when(invoice, "qbo_invoice").otherwise("qbo_payment"))
+    key = F.concat_ws(":", F.when(xero, "xero").otherwise("qbo"), "tenant_id", basis, F.when(invoice, "invoice").otherwise("payment"), own_id)
+    of_known = {"basis": basis, "line_kind": line_kind, "external_invoice_id": F.col("d.invoice_id"), "external_payment_id": F.col("d.payment_id"),
+                "external_contact_id": F.nullif(F.col("d.contact_id"), F.lit("")), "contact_name": F.col("d.contact_name"), "amount": amount,
+                "currency": _currency(F.col("d.currency")), "posted_date": posted, "idempotency_key": key}
+    return rows.select("tenant_id", "page_no", "pos", "provider", *[F.when(known, c).alias(n) for n, c in of_known.items()], reason.alias("reject_reason"))
 
 
 def normalised_documents(pages: DataFrame, connections: DataFrame) -> DataFrame:
     """G1 + tenant resolution: every document of every page, accepted or not, with company and connection."""
-    docs = (xero_invoice_lines(pages).unionByName(xero_payment_lines(pages))
-            .unionByName(qbo_invoice_lines(pages)).unionByName(qbo_payment_lines(pages)).unionByName(unknown_pages(pages)))
+    docs = document_lines(pages)
     conn = connections.select(F.col("id").alias("connection_id"), "company_id",
                               F.col("service_name").alias("provider"),
                               F.coalesce("tenant_id", "realm_id").alias("tenant_id"))
