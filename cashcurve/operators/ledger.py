@@ -168,9 +168,8 @@ def document_lines(pages: DataFrame) -> DataFrame:
     return rows.select("tenant_id", "page_no", "pos", "provider", *[F.when(known, c).alias(n) for n, c in of_known.items()], reason.alias("reject_reason"))
 
 
-def normalised_documents(pages: DataFrame, connections: DataFrame) -> DataFrame:
-    """G1 + tenant resolution: every document of every page, accepted or not, with company and connection."""
-    docs = document_lines(pages)
+def with_companies(docs: DataFrame, connections: DataFrame) -> DataFrame:
+    """Documents with the company and connection of their tenant; one without is rejected."""
     conn = connections.select(F.col("id").alias("connection_id"), "company_id",
                               F.col("service_name").alias("provider"),
                               F.coalesce("tenant_id", "realm_id").alias("tenant_id"))
@@ -179,6 +178,11 @@ def normalised_documents(pages: DataFrame, connections: DataFrame) -> DataFrame:
     return j.withColumn("reject_reason", reason)
 
 
+def normalised_documents(pages: DataFrame, connections: DataFrame) -> DataFrame:
+    """G1 + tenant resolution: every document of every page, accepted or not, with company and connection."""
+    return with_companies(document_lines(pages), connections)
+
+
 def resolve_leads(lines: DataFrame, links: DataFrame) -> DataFrame:
     """Lead of (company, provider, contact); no contact -> NULL lead."""
     lk = links.select("company_id", "provider", "external_contact_id", F.col("lead_id"))

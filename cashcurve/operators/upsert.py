@@ -12,21 +12,13 @@ DataFrame of many keys for many companies and every update is
   full outer join and no per-key collect.
 * deletes are ``left_anti`` joins, SET NULL is a left join + ``when``.
 * validation (lead must exist for the company) is one left join that flags each patch.
-* new snapshots are new immutable folders plus a published manifest (``SnapshotTable``,
-  ``DeltaSnapshotTable``): parquet has no MERGE, and nothing that may be read is replaced.
+* change sets are stored as folders of their own (``sources.batches``): parquet has no MERGE, so readers fold them.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from cashcurve.sources.files import SharedFiles
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], replace: list[str],
@@ -133,104 +125,3 @@ def assign_ids(rows: DataFrame, order_cols: list[str], start) -> DataFrame:
 def max_id(df: DataFrame, col: str = "id"):
     """Scalar subquery ``(SELECT coalesce(max(id), 0) FROM df)`` as a Column."""
     return df.select(F.coalesce(F.max(col), F.lit(0))).scalar()
-
-
-class SnapshotTable:
-    """A table stored as immutable data folders plus one immutable manifest per version.
-
-    ``commit`` writes a data folder of its own name, then publishes ``_manifests/<n>.json`` with a rename that fails
-    if the version exists; nothing is ever replaced.  Readers take the highest manifest.  A commit that dies
-    leaves at most an unreferenced folder, two writers cannot publish the same version, and only a missing
-    directory counts as an empty table: any other read failure is raised.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.files = SharedFiles(spark)
-
-    def manifest(self) -> dict | None:
-        names = [n for n in self.files.names(f"{self.root}/_manifests") if n.endswith(".json")]
-        return json.loads(self.files.read_text(f"{self.root}/_manifests/{max(names)}")) if names else None
-
-    def version(self) -> int | None:
-        m = self.manifest()
-        return None if m is None else m["version"]
-
-    def _folder(self, version: int) -> str:
-        return f"v={version:06d}-{uuid.uuid4().hex[:8]}"
-
-    def _publish(self, manifest: dict) -> int:
-        """Raises FileExistsError if another writer has published this version."""
-        self.files.publish(f"{self.root}/_manifests/{manifest['version']:010d}.json", json.dumps(manifest, sort_keys=True))
-        return manifest["version"]
-
-    def read(self) -> DataFrame | None:
-        m = self.manifest()
-        return None if m is None else self.spark.read.schema(T.StructType.fromJson(m["schema"])).parquet(
-            *[f"{self.root}/{f}" for f in m["folders"]])
-
-    def commit(self, df: DataFrame) -> int:
-        v = (self.version() or 0) + 1
-        folder = self._folder(v)
-        df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
-        return self._publish({"version": v, "folders": [folder], "schema": json.loads(df.schema.json())})
-
-
-def scratch_root(spark: SparkSession, name: str) -> str:
-    """Directory for snapshot versions under the session's shared checkpoint dir."""
-    from cashcurve.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), name)
-
-
-class DeltaSnapshotTable(SnapshotTable):
-    """A9 for large tables that change in small steps: a version is a base folder plus the change sets since.
-
-    A commit writes only its own change set and publishes a manifest that lists one more folder, so a micro-batch costs
-    what it changes, whatever the table's size or the tenant's.  ``read`` folds base and change sets in one aggregate per
-    key (``fold``), with the folder's place as the order.  After ``compact_after`` change sets the folded table is written
-    as a new base.  ``marks`` (for example the last applied batch) are published with the data, in the same manifest.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], replace: list[str], compact_after: int = 16):
-        super().__init__(spark, root)
-        self.keys, self.replace, self.compact_after = keys, replace, compact_after
-
-    def marks(self) -> dict:
-        return (self.manifest() or {}).get("marks", {})
-
-    def read(self) -> DataFrame | None:
-        m = self.manifest()
-        return None if m is None else self._folded(m)
-
-    def _folded(self, m: dict) -> DataFrame:
-        schema = T.StructType.fromJson(m["schema"])
-        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{f}") for f in m["folders"]]
-        if len(parts) == 1:
-            return parts[0]
-        rows = None
-        for k, p in enumerate(parts):
-            p = p.withColumn("_step", F.lit(k))
-            rows = p if rows is None else rows.unionByName(p)
-        cols = [c for c in schema.names if c not in self.keys]
-        replace = [c for c in self.replace if c in cols]
-        return fold(rows, self.keys, replace, [], [c for c in cols if c not in replace], F.col("_step")).select(*schema.names)
-
-    def commit(self, delta: DataFrame, marks: dict | None = None) -> int:
-        """Add a change set (one row per key) as the next version."""
-        m = self.manifest()
-        v = 1 if m is None else m["version"] + 1
-        folder = self._folder(v)
-        delta.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
-        folders = [*(m["folders"] if m else []), folder]
-        done = self._publish({"version": v, "folders": folders, "schema": m["schema"] if m else json.loads(delta.schema.json()),
-                              "marks": {**(m or {}).get("marks", {}), **(marks or {})}})
-        return self.compact() if len(folders) > self.compact_after else done
-
-    def compact(self) -> int:
-        """Publish the folded table as a version with one folder."""
-        m = self.manifest()
-        v = m["version"] + 1
-        folder = self._folder(v)
-        self._folded(m).write.mode("errorifexists").parquet(f"{self.root}/{folder}")
-        return self._publish({**m, "version": v, "folders": [folder]})

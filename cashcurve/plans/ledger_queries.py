@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashcurve.operators import ledger as lg
+from cashcurve.operators.sync import full_sync
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
 from cashcurve.session import checkpoint_dir
-from cashcurve.sources.ledger_pages import LANDING_VERSION, landing_zone
+from cashcurve.sources.ledger_pages import LANDING_VERSION, landing_zone, raw_page_files
 from cashcurve.sources.model import ModelTables, ensure_stored
+from cashcurve.sources.page_files import page_gaps, read_page_files
 
 # Oracle: the expected ledger lines computed from the base tables with the landing rules
 # (FIXTURES section 3), without going through JSON.
@@ -85,19 +88,22 @@ def actual_lines_table(m: ModelTables, as_of: str | None = None):
     return stored.select(*lines.columns)
 
 
-@register("ledger_lines", oracle=with_tables(["lead_links"], """
+LINES_ORACLE = with_tables(["lead_links"], """
     SELECT a.company_id, a.connection_id, a.provider, a.basis, a.line_kind, a.external_invoice_id,
            a.external_payment_id, a.external_contact_id, a.contact_name, CAST(a.amount AS DOUBLE) AS amount,
            a.currency, a.posted_date, a.idempotency_key, ll.lead_id
     FROM all_lines a LEFT JOIN lead_links ll
       ON ll.company_id = a.company_id AND ll.provider = a.provider AND ll.external_contact_id = a.external_contact_id
-    """, LEDGER_CTES))
+    """, LEDGER_CTES)
+
+
+@register("ledger_lines", oracle=LINES_ORACLE)
 def q_ledger_lines(spark, sf_dir):
     m = ModelTables(spark, sf_dir)
     return lg.lines_output(lg.accepted_lines(documents_of(m), m.lead_links))
 
 
-@register("ledger_rejects", oracle=with_tables([], """
+REJECTS_ORACLE = with_tables([], """
     SELECT provider, 'accrual' AS basis, reason AS reject_reason, count(*) AS documents
     FROM (SELECT provider,
                  CASE WHEN provider = 'xero' THEN
@@ -105,7 +111,10 @@ def q_ledger_lines(spark, sf_dir):
                              WHEN k % 97 = 0 THEN 'bad_date' END
                       ELSE CASE WHEN k % 97 = 0 THEN 'bad_date' END END AS reason
           FROM docs) r
-    WHERE reason IS NOT NULL GROUP BY 1, 2, 3""", LEDGER_CTES[:1]))
+    WHERE reason IS NOT NULL GROUP BY 1, 2, 3""", LEDGER_CTES[:1])
+
+
+@register("ledger_rejects", oracle=REJECTS_ORACLE)
 def q_ledger_rejects(spark, sf_dir):
     return lg.reject_report(documents_of(ModelTables(spark, sf_dir)))
 
@@ -114,3 +123,49 @@ def q_ledger_rejects(spark, sf_dir):
     SELECT company_id, provider, basis, count(*) AS rows_upserted FROM all_lines GROUP BY 1, 2, 3""", LEDGER_CTES))
 def q_sync_counts(spark, sf_dir):
     return lg.sync_counts(documents_of(ModelTables(spark, sf_dir)))
+
+
+@register("full_sync", oracle=with_tables([], """
+    SELECT company_id, provider, basis, count(*) AS landed, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected,
+           count(*) FILTER (ok) AS lines, CAST(sum(amount) FILTER (ok) AS DOUBLE) AS amount
+    FROM (SELECT company_id, provider, 'accrual' AS basis, CAST(tp AS DECIMAL(19,4)) AS amount,
+                 k % 97 <> 0 AND (provider = 'quickbooks' OR (k % 10 <> 0 AND st IN ('F', 'P'))) AS ok FROM docs
+          UNION ALL SELECT company_id, provider, basis, amount, TRUE FROM pay_lines) x
+    GROUP BY 1, 2, 3""", LEDGER_CTES))
+def q_full_sync(spark, sf_dir):
+    """One parse of all pages; landed, accepted and rejected documents, lines and their sum per company, provider and basis."""
+    m = ModelTables(spark, sf_dir)
+    folder = os.path.join(checkpoint_dir(spark), "syncs", uuid.uuid4().hex)
+    return full_sync(landing_zone(m), m.connections, m.lead_links, folder).summary()
+
+
+@register("raw_ledger_lines", oracle=LINES_ORACLE)
+def q_raw_ledger_lines(spark, sf_dir):
+    """A2-A5 from the providers' raw response files: the same lines as from the landed table."""
+    m = ModelTables(spark, sf_dir)
+    pages = read_page_files(spark, raw_page_files(m))
+    return lg.lines_output(lg.accepted_lines(lg.normalised_documents(pages, m.connections), m.lead_links))
+
+
+GAP_CTES = [
+    ("feeds", """
+        SELECT provider, kind, tenant, count(*) AS n
+        FROM (SELECT provider, 'invoices' AS kind, company_id AS tenant FROM docs
+              UNION ALL SELECT provider, 'payments', company_id FROM pay_lines) f GROUP BY 1, 2, 3"""),
+    ("present", """
+        SELECT * FROM (SELECT provider, kind, tenant, n, unnest(generate_series(1, (n + 99) // 100)) AS p FROM feeds) g
+        WHERE (7 * p + tenant) % 11 <> 0"""),
+    ("placed", """
+        SELECT *, lead(p) OVER w AS later, lag(p) OVER w AS earlier FROM present WINDOW w AS (PARTITION BY provider, kind, tenant ORDER BY p)"""),
+]
+
+
+@register("page_gaps", oracle=with_tables([], """
+    SELECT provider, kind, 'T' || tenant AS tenant_id, p + 1 AS first_page, later - 1 AS last_page, 'missing' AS reason FROM placed WHERE later > p + 1
+    UNION ALL SELECT provider, kind, 'T' || tenant, 1, p - 1, 'missing' FROM placed WHERE earlier IS NULL AND p > 1
+    UNION ALL SELECT provider, kind, 'T' || tenant, p + 1, NULL, 'open_end' FROM placed WHERE later IS NULL AND 100 * p <= n""",
+                                        [*LEDGER_CTES, *GAP_CTES]))
+def q_page_gaps(spark, sf_dir):
+    """Missing pages of a fetch that lost every eleventh raw file."""
+    pages = read_page_files(spark, raw_page_files(ModelTables(spark, sf_dir)))
+    return page_gaps(pages.filter((7 * F.col("page_no") + F.substring("tenant_id", 2, 9).cast("int")) % 11 != 0))

@@ -6,13 +6,13 @@ import os
 import uuid
 
 from cashcurve.operators import ledger as lg
-from cashcurve.plans.ledger_queries import LEDGER_CTES
+from cashcurve.plans.ledger_queries import LEDGER_CTES, REJECTS_ORACLE
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
 from cashcurve.session import checkpoint_dir
 from cashcurve.sources.ledger_pages import LANDING_VERSION, landing_zone
 from cashcurve.sources.model import ModelTables, ensure_stored
-from cashcurve.streaming.ingest import land_pages, start_ingest
+from cashcurve.streaming.ingest import PAGE_SCHEMA, land_pages, start_ingest
 
 ARRIVALS = 3
 
@@ -29,6 +29,11 @@ def q_stream_ingest(spark, sf_dir):
 
     The state must equal the batch ingest (``ledger_lines``); ``synced_at`` is left out of the comparison.
     """
+    return lg.lines_output(_streamed(spark, sf_dir)[0].table.read())
+
+
+def _streamed(spark, sf_dir):
+    """The sink after the whole stream, and the folder glob that it read."""
     m = ModelTables(spark, sf_dir)
     base = checkpoint_dir(spark)
     landing = os.path.join(base, "stream-landing", f"{LANDING_VERSION}-{m.source_digest}-{ARRIVALS}")
@@ -36,6 +41,17 @@ def q_stream_ingest(spark, sf_dir):
     # the arrivals are deterministic per source: land them once, stream them every run
     ensure_stored(spark, landing, lambda path: land_pages(landing_zone(m), path, ARRIVALS))
     root = os.path.join(base, f"stream-ingest-{uuid.uuid4().hex[:12]}")
-    q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), lambda: m.connections, lambda: m.lead_links)
+    # read anew in every micro-batch, so tenants and links added meanwhile count
+    q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), lambda: ModelTables(spark, sf_dir).connections,
+                           lambda: ModelTables(spark, sf_dir).lead_links)
     q.awaitTermination()
-    return lg.lines_output(sink.table.read())
+    return sink, glob
+
+
+@register("stream_rejects", oracle=REJECTS_ORACLE)
+def q_stream_rejects(spark, sf_dir):
+    """Dead letters of the stream by provider, basis and reason, after its newest batch was delivered again: the batch job's rejects."""
+    sink, glob = _streamed(spark, sf_dir)
+    newest = max(sink.table.batches())
+    sink(spark.read.schema(PAGE_SCHEMA).json(glob), newest)
+    return lg.reject_report(sink.rejects())

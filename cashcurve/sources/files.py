@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 
 class SharedFiles:
-    """Listing, reading and publish-once writing of small files."""
+    """Listing files and giving written folders their names."""
 
     def __init__(self, spark: SparkSession):
         self.jvm = spark.sparkContext._jvm
@@ -35,23 +35,6 @@ class SharedFiles:
                 return []
             raise
 
-    def read_text(self, path: str) -> str:
-        stream = self._fs(path).open(self._path(path))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def publish(self, path: str, text: str) -> None:
-        """Write a new file that becomes visible whole or not at all; FileExistsError if the path is taken."""
-        part = f"{path}.{uuid.uuid4().hex}.tmp"
-        stream = self._fs(part).create(self._path(part), False)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        self._rename_new(part, path)
-
     def publish_folder(self, part: str, path: str) -> None:
         """Give a completely written folder its name; FileExistsError (and the folder goes) if another has it."""
         self._rename_new(part, path)

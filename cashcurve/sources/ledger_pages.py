@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import money
 from cashcurve.sources.model import MODEL_VERSION, ModelTables, ensure_stored
+from cashcurve.sources.page_files import page_body, write_page_files
 
 # Fixed values of the landing rules.
 INVOICES_PER_PAGE_KEYRANGE = 100   # invoice page = order keys [100p, 100p+99] of one tenant
@@ -127,15 +128,8 @@ def landed_pages(m: ModelTables) -> DataFrame:
     docs = invoice_documents(m).unionByName(payment_documents(m))
     g = docs.groupBy("provider", "tenant_id", "kind", "page_no").agg(
         F.array_sort(F.collect_list(F.struct("doc_order", "doc"))).alias("docs"))
-    items = F.transform("docs", lambda d: d["doc"])
-    joined = F.array_join(items, ",")
-    key = F.when(F.col("kind") == "invoices", "Invoice").otherwise("Payment")
-    xero_body = F.concat(F.lit('{"'), F.when(F.col("kind") == "invoices", "Invoices").otherwise("Payments"),
-                         F.lit('":['), joined, F.lit("]}"))
-    qbo_docs = F.when(F.size("docs") == 1, F.element_at(items, 1)).otherwise(F.concat(F.lit("["), joined, F.lit("]")))
-    qbo_body = F.concat(F.lit('{"QueryResponse":{"'), key, F.lit('":'), qbo_docs, F.lit("}}"))
-    return g.select("provider", "tenant_id", "kind", "page_no",
-                    F.when(F.col("provider") == "xero", xero_body).otherwise(qbo_body).alias("body"))
+    body = page_body(F.col("provider"), F.col("kind"), F.transform("docs", lambda d: d["doc"]))
+    return g.select("provider", "tenant_id", "kind", "page_no", body.alias("body"))
 
 
 with open(__file__, "rb") as _fh:   # pages depend on this module and on the model-table mapping
@@ -159,3 +153,11 @@ def landing_zone(m: ModelTables) -> DataFrame:
     ensure_stored(spark, root, lambda path: landed_pages(m).repartitionByRange(*keys).sortWithinPartitions(*keys)
                   .write.partitionBy("provider", "kind").parquet(path))
     return spark.read.schema(PAGE_COLUMNS).parquet(root).select("provider", "tenant_id", "kind", "page_no", "body")
+
+
+def raw_page_files(m: ModelTables) -> str:
+    """Folder of the providers' raw responses, one file per page of 100 documents; fetched once per state of the sources."""
+    from cashcurve.session import checkpoint_dir
+    root = os.path.join(checkpoint_dir(m.spark), "raw-pages", f"{LANDING_VERSION}-{m.source_digest}")
+    ensure_stored(m.spark, root, lambda path: write_page_files(invoice_documents(m).unionByName(payment_documents(m)).drop("page_no"), path))
+    return root

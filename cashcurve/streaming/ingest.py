@@ -5,12 +5,11 @@ arrive as files.  ``readStream`` picks them up; every micro-batch runs the same
 normalisation as the batch job (L1-L5, G1, C6) and upserts the accepted lines
 into a snapshot table (J5) keyed by (company_id, idempotency_key):
 
-* the snapshot is a ``DeltaSnapshotTable`` under the session's shared ``spark.checkpoint.dir``: a micro-batch
-  writes its own change set and publishes a manifest; readers fold base and change sets, which are compacted
-  now and then, so a batch costs what it changes, also for a tenant that holds a third of all lines;
-* the manifest also records the last applied ``batch_id``, in the same atomic publish as the data: when Spark
-  re-runs a micro-batch after a failure (at-least-once ``foreachBatch``), it is skipped, and even if it were
-  applied twice the upsert is idempotent -- a redelivered document changes nothing but ``synced_at``;
+* a micro-batch has two outputs, each a folder of its ``batch_id``: all its documents by outcome (``outcomes``, the rejected ones are the
+  stream's dead letters) and its accepted lines (``changes`` of a ``BatchTable``), which readers fold, so a batch costs what it
+  changes, also for a tenant that holds a third of all lines;
+* the lines come last and make the batch count: when Spark re-runs a micro-batch after a failure (at-least-once ``foreachBatch``), a whole
+  one is skipped and a broken one replaces both its folders -- a redelivered document changes nothing but ``synced_at``;
 * connections and contact links are read inside every micro-batch, so tenants and links added while the
   stream runs count from the next batch on;
 * the stream checkpoint lives next to the snapshot, so a restarted query
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cashcurve.operators import ledger as lg
-from cashcurve.operators import upsert as up
+from cashcurve.operators.sync import full_sync
+from cashcurve.sources.batches import BatchTable
 
 PAGE_SCHEMA = StructType([
     StructField("provider", StringType()), StructField("tenant_id", StringType()),
@@ -38,25 +38,38 @@ REPLACED_ON_CONFLICT = ["amount", "posted_date", "contact_name", "currency", "ex
 
 
 class LedgerSink:
-    """foreachBatch target: normalise one micro-batch of pages and upsert it into the snapshot.
+    """foreachBatch target: sync one micro-batch of pages into the folders of its batch.
 
     ``connections`` and ``links`` are functions that return the tables as they are now.
     """
 
     def __init__(self, spark: SparkSession, root: str, connections: Callable[[], DataFrame], links: Callable[[], DataFrame]):
-        self.table = up.DeltaSnapshotTable(spark, root, ["company_id", "idempotency_key"], REPLACED_ON_CONFLICT)
+        self.spark, self.root = spark, root
+        self.table = BatchTable(spark, root, ["company_id", "idempotency_key"], REPLACED_ON_CONFLICT)
         self.connections = connections
         self.links = links
 
-    def last_applied(self) -> int:
-        return self.table.marks().get("batch_id", -1)
+    def _outcomes(self, batch_id: int) -> str:
+        return f"{self.root}/outcomes/batch_id={batch_id:010d}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.last_applied():
-            return                                           # replayed micro-batch: already in the snapshot
-        docs = lg.normalised_documents(batch, self.connections())
-        delta = lg.accepted_lines(docs, self.links()).withColumn("synced_at", F.current_timestamp())
-        self.table.commit(delta, {"batch_id": batch_id})
+        if self.table.applied(batch_id):
+            return                                           # replayed micro-batch: already there
+        synced = full_sync(batch, self.connections(), self.links(), self._outcomes(batch_id))
+        self.table.write(batch_id, synced.lines.withColumn("synced_at", F.current_timestamp()))
+
+    def documents(self) -> DataFrame | None:
+        """Every document of the applied batches with its outcome and batch_id; None before the first."""
+        paths = [self._outcomes(b) for b in self.table.batches()]
+        if not paths:
+            return None
+        schema = lg.normalised_documents(self.spark.createDataFrame([], PAGE_SCHEMA), self.connections()).schema
+        return (self.spark.read.schema(schema.add("batch_id", "long").add("outcome", "string")).option("basePath", f"{self.root}/outcomes").parquet(*paths))
+
+    def rejects(self) -> DataFrame | None:
+        """Dead letters: the documents that no batch accepted."""
+        docs = self.documents()
+        return None if docs is None else docs.filter(F.col("outcome") != "accepted")
 
 
 def start_ingest(spark: SparkSession, landing_glob: str, root: str, connections: Callable[[], DataFrame],

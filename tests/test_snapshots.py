@@ -1,4 +1,4 @@
-"""Snapshot stores: nothing published is ever replaced, and no failure reads as an empty table."""
+"""Tables of change sets: whole or not at all, replayed without effect, and no column lost."""
 
 import os
 import uuid
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cashcurve.operators import upsert as up
 from cashcurve.session import checkpoint_dir
+from cashcurve.sources.batches import BatchTable
 from cashcurve.sources.files import SharedFiles
 
 
@@ -20,79 +21,84 @@ def _rows(spark, *pairs):
 
 
 def _table(spark, **options):
-    return up.DeltaSnapshotTable(spark, _root(spark, "delta"), ["company_id", "k"], ["v"], **options)
+    return BatchTable(spark, _root(spark, "batches"), ["company_id", "k"], options.pop("replace", ["v"]), **options)
 
 
 def _content(t):
     return sorted((r.k, r.v) for r in t.read().collect())
 
 
-def test_delta_commits_fold_and_compact(spark):
-    t = _table(spark, compact_after=2)
-    assert t.read() is None and t.version() is None
-    t.commit(_rows(spark, ("a", 1), ("b", 1)), {"batch_id": 0})
-    t.commit(_rows(spark, ("b", 2), ("c", 2)), {"batch_id": 1})
-    assert _content(t) == [("a", 1), ("b", 2), ("c", 2)] and len(t.manifest()["folders"]) == 2
-    t.commit(_rows(spark, ("a", 3)), {"batch_id": 2})
-    assert len(t.manifest()["folders"]) == 1                               # compacted
-    assert _content(t) == [("a", 3), ("b", 2), ("c", 2)] and t.marks() == {"batch_id": 2}
-
-
-def test_a_commit_costs_its_own_rows(spark):
+def test_change_sets_fold_and_a_rewritten_base_changes_nothing(spark):
     t = _table(spark)
-    t.commit(spark.range(5000).select(F.lit(1).alias("company_id"), F.col("id").cast("string").alias("k"), F.lit(1).alias("v")))
-    t.commit(_rows(spark, ("7", 2)))
-    last = t.manifest()["folders"][-1]
-    assert spark.read.parquet(f"{t.root}/{last}").count() == 1               # also for a tenant with all rows
-    assert t.read().count() == 5000
+    assert t.read() is None and t.base() is None and not t.applied(0) and t.rewrite_base() is None
+    t.write(0, _rows(spark, ("a", 1), ("b", 1)))
+    t.write(1, _rows(spark, ("b", 2), ("c", 2)))
+    assert _content(t) == [("a", 1), ("b", 2), ("c", 2)] and t.batches() == [0, 1]
+    assert t.rewrite_base() == 1 and t.base() == 1 and t.applied(0)
+    assert _content(t) == [("a", 1), ("b", 2), ("c", 2)]
+    t.write(2, _rows(spark, ("a", 3)))
+    assert _content(t) == [("a", 3), ("b", 2), ("c", 2)] and not t.applied(3)
 
 
-def test_lost_newest_manifest_keeps_the_earlier_version(spark):
+def test_a_change_set_costs_its_own_rows(spark):
     t = _table(spark)
-    t.commit(_rows(spark, ("a", 1), ("b", 1), ("c", 1)))
-    t.commit(_rows(spark, ("d", 1)))
-    for name in (f"{2:010d}.json", f".{2:010d}.json.crc"):
-        os.remove(f"{t.root}/_manifests/{name}")
-    t.commit(_rows(spark, ("e", 1)))
-    assert [k for k, _ in _content(t)] == ["a", "b", "c", "e"]
+    t.write(0, spark.range(5000).select(F.lit(1).alias("company_id"), F.col("id").cast("string").alias("k"), F.lit(1).alias("v")))
+    t.write(1, _rows(spark, ("7", 2)))
+    assert spark.read.parquet(t._path("changes", 1)).count() == 1            # also for a tenant with all rows
+    assert t.read().count() == 5000
 
 
-def test_crash_between_data_and_publish_changes_nothing(spark, monkeypatch):
+def test_a_batch_written_again_replaces_itself(spark):
     t = _table(spark)
-    t.commit(_rows(spark, ("a", 1)))
-    monkeypatch.setattr(t.files, "publish", lambda *a: (_ for _ in ()).throw(OSError("died")))
-    with pytest.raises(OSError):
-        t.commit(_rows(spark, ("a", 9), ("z", 9)))
-    monkeypatch.undo()
-    assert _content(t) == [("a", 1)]
-    t.commit(_rows(spark, ("b", 2)))
-    assert _content(t) == [("a", 1), ("b", 2)]
+    t.write(0, _rows(spark, ("a", 1)))
+    t.write(1, _rows(spark, ("a", 2), ("b", 2)))
+    once = _content(t)
+    t.write(1, _rows(spark, ("a", 2), ("b", 2)))
+    assert _content(t) == once == [("a", 2), ("b", 2)]
 
 
-def test_two_writers_cannot_publish_one_version(spark):
+def test_an_unfinished_folder_is_not_read(spark):
     t = _table(spark)
-    t.commit(_rows(spark, ("a", 1)))
-    m = t.manifest()
-    t.commit(_rows(spark, ("b", 2)))
-    with pytest.raises(FileExistsError):
-        t._publish({**m, "version": 2})
+    t.write(0, _rows(spark, ("a", 1)))
+    t.write(1, _rows(spark, ("a", 9), ("z", 9)))
+    os.remove(t._path("changes", 1) + "/_SUCCESS")                           # as a write that died leaves it
+    assert _content(t) == [("a", 1)] and not t.applied(1)
+    t.write(1, _rows(spark, ("b", 2)))
     assert _content(t) == [("a", 1), ("b", 2)]
+    t.rewrite_base()
+    os.remove(t._path("base", 1) + "/_SUCCESS")
+    assert t.base() is None and _content(t) == [("a", 1), ("b", 2)]
 
 
 def test_read_failures_are_not_an_empty_table(spark):
     t = _table(spark)
-    t.commit(_rows(spark, ("a", 1)))
-    with open(f"{t.root}/_manifests/{2:010d}.json", "w") as f:
-        f.write("{")
-    with pytest.raises(ValueError):
-        t.commit(_rows(spark, ("b", 1)))
-
-
-def test_plain_snapshot_versions(spark):
-    t = up.SnapshotTable(spark, _root(spark, "plain"))
-    assert t.commit(_rows(spark, ("a", 1))) == 1
-    assert t.commit(t.read().unionByName(_rows(spark, ("b", 2)))) == 2       # reads what it replaces
-    assert _content(t) == [("a", 1), ("b", 2)]
+    t.write(0, _rows(spark, ("a", 1)))
+    for name in os.listdir(t._path("changes", 0)):
+        if name.endswith(".parquet"):
+            with open(os.path.join(t._path("changes", 0), name), "w") as f:
+                f.write("{")
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|footer|crc|checksum"):
+        t.read().collect()
+
+
+def test_no_column_is_lost_and_none_is_blanked(spark):
+    t = _table(spark, replace=["v", "w", "flag"], defaults={"flag": True, "w": 7})
+    t.write(0, _rows(spark, ("a", 1), ("b", 1), ("c", 1)))
+    t.write(1, spark.createDataFrame([(1, "a", 2, 5, None), (1, "d", 2, None, False)], "company_id int, k string, v int, w int, flag boolean"))
+    t.write(2, spark.createDataFrame([(1, "a", 6), (1, "b", 6), (1, "e", 6)], "company_id int, k string, w int"))
+    want = {"a": (2, 6, None), "b": (1, 6, True), "c": (1, 7, True), "d": (2, None, False), "e": (None, 6, True)}
+    for _ in range(2):
+        assert {r.k: (r.v, r.w, r.flag) for r in t.read().collect()} == want   # v outlives its absence, w and flag reach back as defaults
+        t.rewrite_base()
+
+
+def test_a_changed_type_is_an_error(spark):
+    t = _table(spark)
+    t.write(0, _rows(spark, ("a", 1)))
+    t.rewrite_base()
+    t.write(1, spark.createDataFrame([(1, "a", "x")], "company_id int, k string, v string"))
+    with pytest.raises(ValueError, match="another type"):
+        t.read()
 
 
 def test_fingerprint_follows_the_files(spark):
