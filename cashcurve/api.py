@@ -20,6 +20,8 @@ from cashcurve.operators import onboarding as ob
 from cashcurve.operators import projects as pj
 from cashcurve.operators import runway as rw
 from cashcurve.operators import statements as st
+from cashcurve.operators.inserts import with_defaults
+from cashcurve.operators.upsert import annotate_lead_patches
 from cashcurve.plans.actuals_queries import lines_of
 from cashcurve.plans.forecast_queries import details_of, health_exact_of, health_of
 from cashcurve.plans.kpi_queries import metrics_of
@@ -32,7 +34,8 @@ class FinanceApi:
     """Endpoint-shaped access to the operators.
 
     ``FinanceApi(spark, dir)`` derives the finance tables from the landed ones in ``dir``;
-    ``FinanceApi.over(OwnTables(spark, root))`` reads a user's own finance tables (``sources.schemas``).
+    ``FinanceApi.over(OwnTables(spark, root))`` reads a user's own finance tables (``sources.schemas``), and over
+    ``StoredTables(spark, root)`` (``sources.stored``) it stores requests beside them as well.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -152,6 +155,50 @@ class FinanceApi:
         """GET /api/integrations/lead-links/{company_id}."""
         return ac.lead_links_list(self._of(self.m.lead_links, company_id), self.m.leads)
 
+    # -- requests (over ``sources.stored.StoredTables``) ------------------------------------------------
+    def add(self, table: str, requests: DataFrame, order: list[str], request: int | None = None) -> DataFrame:
+        """POST /api/products, expenses, leads, cash_balances, one_off_expenses, projects: the rows as stored."""
+        return self.m.insert(table, requests, order, request)
+
+    def add_budget(self, requests: DataFrame, order: list[str], request: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """POST /api/projects/{project_id}/budget: items and installments as stored."""
+        return self.m.insert_budgets(requests, order, request)
+
+    def save_forecast(self, entries: DataFrame, request: int | None = None) -> int:
+        """POST /api/forecast: sets the units of (company, product, month), overrides stay."""
+        named = entries.withColumn("id", F.concat_ws("-", "company_id", "product_id", F.date_format("forecast_month", "yyyy-MM")))
+        return self.m.upsert("forecast_entries", named, ["company_id", "product_id", "forecast_month"], ["units_forecasted"], request=request)
+
+    def save_metrics(self, metrics: DataFrame, request: int | None = None) -> int:
+        """POST /api/metrics: replaces all values of (company, month)."""
+        key = ["company_id", "month_date"]
+        full = with_defaults(metrics, "monthly_metrics").withColumn("updated_at", F.current_timestamp())
+        return self.m.upsert("monthly_metrics", full, key, [c for c in full.columns if c not in key], request=request)
+
+    def link_leads(self, links: DataFrame, request: int | None = None) -> DataFrame:
+        """POST /api/integrations/lead-links: links whose lead is the company's; returns the requests with ``accepted``."""
+        clean = links.withColumn("provider", F.lower(F.trim("provider")))
+        checked = annotate_lead_patches(clean, self.m.leads).withColumn(
+            "accepted", F.col("accepted") & F.col("lead_id").isNotNull() & F.col("provider").isin("xero", "quickbooks"))
+        self.m.upsert("lead_links", checked.filter("accepted").drop("accepted"), ["company_id", "provider", "external_contact_id"], ["lead_id"], request=request)
+        return checked
+
+    def patch_lines(self, patches: DataFrame, request: int | None = None) -> DataFrame:
+        """PATCH /api/actuals/lines: set or clear leads; returns the requests with ``accepted``."""
+        return self.m.patch_leads(patches, request)
+
+    def delete(self, table: str, ids: DataFrame, request: int | None = None) -> int:
+        """DELETE of forecast entries, leads, budget items, links (or any table): by id, with the foreign keys' actions."""
+        return self.m.delete(table, ids, request)
+
+    def complete_sessions(self, requests: DataFrame, now: str, request: int | None = None) -> int:
+        """POST /api/onboarding/sessions/{id}/complete: once, with the stored time."""
+        return self.m.complete_sessions(requests, now, request)
+
+    def connections(self, company_id: int) -> DataFrame:
+        """GET /api/integrations/status/{company_id}: which services are connected."""
+        return ob.integration_flags(self._of(self.m.connections, company_id))
+
     # -- onboarding -------------------------------------------------------------------------------
     def onboarding_gate(self, company_id: int) -> DataFrame:
         """GET /api/onboarding/gate?company_id=..."""

@@ -61,12 +61,11 @@ def page_gaps(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     edges are sorted per feed, so the work does not depend on how long a feed is.
     """
     counted = page_documents(pages).filter("known").groupBy(*FEED, "page_no").agg(F.max(F.coalesce(F.size("docs"), F.lit(0))).alias("n"))
-    here = counted.select(*FEED, F.col("page_no").alias("page"), F.lit(1).alias("here"), F.lit(0).alias("before"), F.lit(None).cast("int").alias("n"))
-    after = counted.select(*FEED, (F.col("page_no") + 1).alias("page"), F.lit(0).alias("here"), F.lit(1).alias("before"), F.col("n").cast("int").alias("n"))
-    first = counted.select(*FEED).distinct().select(*FEED, F.lit(1).cast("long").alias("page"), F.lit(0).alias("here"), F.lit(1).alias("before"),
-                                                    F.lit(page_size).alias("n"))
-    met = here.unionByName(after).unionByName(first).groupBy(*FEED, "page").agg(
-        F.max("here").alias("here"), F.max("before").alias("before"), F.max("n").alias("n"))
+    page, n = F.col("page_no"), F.col("n")
+    mark = lambda at, here, size: F.struct(at.cast("long").alias("page"), F.lit(here).alias("here"), F.lit(1 - here).alias("before"), size.cast("int").alias("n"))
+    marks = F.array(mark(page, 1, F.lit(None)), mark(page + 1, 0, n), mark(F.lit(1), 0, F.lit(page_size)))     # page 1 is always expected
+    met = counted.select(*FEED, F.explode(marks).alias("m")).groupBy(*FEED, F.col("m.page").alias("page")).agg(
+        F.max("m.here").alias("here"), F.max("m.before").alias("before"), F.max("m.n").alias("n"))
     edges = met.filter("here != before").withColumn("next", F.lead("page").over(Window.partitionBy(*FEED).orderBy("page")))
     ends = edges.filter("before = 1").filter(F.col("next").isNotNull() | (F.col("n") >= page_size))
     gaps = ends.select(*FEED, F.col("page").alias("first_page"), (F.col("next") - 1).alias("last_page"),

@@ -36,9 +36,14 @@ SCHEMAS: dict[str, T.StructType] = {
     "monthly_metrics": _table(company_id=_I, month_date=_D, mau=_I, cac=_M, churn_rate=_R, ltv=_M, revenue_per_employee=_M, mrr=_M,
                               expansion_mrr=_M, contraction_mrr=_M, churned_mrr=_M, starting_mrr=_M, new_customers=_I, sm_spend=_M,
                               customers_start_of_month=_I, customers_lost=_I, updated_at=_TS),
-    "onboarding_sessions": _table(id=_L, company_id=_I, status=_S, is_completed=_B),
+    "onboarding_sessions": _table(id=_L, company_id=_I, status=_S, is_completed=_B, current_step_key=_S, integration_snapshot=_S, created_at=_TS,
+                                  updated_at=_TS, completed_at=_TS),
     "onboarding_messages": _table(id=_L, session_id=_L, turn=_L, role=_S, content=_S),
     "profile_patches": _table(company_id=_I, seq=_L, key=_S, value=T.DoubleType()),
+    "company_onboarding_profiles": _table(id=_L, company_id=_I, session_id=_L, profile_version=_I, data=_S, validated_at=_TS, created_at=_TS,
+                                          updated_at=_TS),
+    "onboarding_calibration_runs": _table(id=_L, company_id=_I, session_id=_L, profile_id=_L, status=_S, steps=_S, sync_xero_requested_at=_TS,
+                                          sync_qbo_requested_at=_TS, error=_S, created_at=_TS, completed_at=_TS),
 }
 
 #: Values of columns that an insert leaves out (fixed by the tables' definition).
@@ -49,6 +54,9 @@ DEFAULTS: dict[str, dict[str, object]] = {
     "leads": {"contract_value": 0, "probability": 0},
     "monthly_metrics": {"mau": 0, "cac": 0, "churn_rate": 0, "ltv": 0, "revenue_per_employee": 0},
     "projects": {"status": "planned"},
+    "onboarding_sessions": {"status": "in_progress", "is_completed": False, "integration_snapshot": "{}"},
+    "company_onboarding_profiles": {"profile_version": 1, "data": "{}"},
+    "onboarding_calibration_runs": {"status": "queued", "steps": "{}"},
 }
 
 #: child table -> (foreign key column, parent table, "cascade" or "set null")
@@ -69,6 +77,9 @@ FOREIGN_KEYS: dict[str, list[tuple[str, str, str]]] = {
     "accounting_actual_lines": [("company_id", "companies", "cascade"), ("connection_id", "connections", "set null"),
                                 ("lead_id", "leads", "set null")],
     "onboarding_messages": [("session_id", "onboarding_sessions", "cascade")],
+    "company_onboarding_profiles": [("company_id", "companies", "cascade"), ("session_id", "onboarding_sessions", "set null")],
+    "onboarding_calibration_runs": [("company_id", "companies", "cascade"), ("session_id", "onboarding_sessions", "set null"),
+                                    ("profile_id", "company_onboarding_profiles", "set null")],
 }
 
 
