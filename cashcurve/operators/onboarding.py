@@ -203,3 +203,38 @@ def profile_document(profile: DataFrame) -> DataFrame:
     g = profile.groupBy("company_id", "profile_version").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"))
     return g.select("company_id", "profile_version", "data", F.array_sort(F.map_keys("data")).alias("profile_keys"))
+
+
+def profile_documents(patches: DataFrame) -> DataFrame:
+    """K5 on nested documents: company_id, key, value (VARIANT) of every company's profile after all its patches.
+
+    ``patches``: company_id, seq, doc (a JSON object).  The merge is shallow: the newest patch that has a top-level key gives its
+    value, whole, also if it is nested or null; documents that are no objects change nothing.
+    """
+    d = patches.select("company_id", "seq", F.try_parse_json("doc").alias("doc"))
+    keys = d.lateralJoin(patches.sparkSession.tvf.variant_explode(F.col("doc").outer())).filter(F.col("key").isNotNull())
+    return keys.groupBy("company_id", "key").agg(F.max_by("value", "seq").alias("value"))
+
+
+def profile_lookup(profile: DataFrame, depth: int = 4) -> DataFrame:
+    """K9 + H8: company_id, path, value (JSON text), type of every leaf of the profiles.
+
+    Objects are opened down to ``depth`` levels; deeper ones, empty ones and lists are leaves.
+    """
+    tvf = profile.sparkSession.tvf
+    kind = F.schema_of_variant("value")
+    nested = F.startswith(kind, F.lit("OBJECT<")) & (kind != "OBJECT<>")
+    level, leaves = profile.select("company_id", F.col("key").alias("path"), "value"), []
+    for k in range(depth):
+        last = k == depth - 1
+        leaves.append(level if last else level.filter(~nested))
+        if not last:
+            inner = level.filter(nested).withColumnRenamed("value", "outer_value")
+            level = inner.lateralJoin(tvf.variant_explode(F.col("outer_value").outer())).select(
+                "company_id", F.concat_ws(".", "path", "key").alias("path"), "value")
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    name = (F.when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(F.startswith(kind, F.lit("OBJECT")), "object")
+            .when(F.startswith(kind, F.lit("ARRAY")), "array").otherwise("number"))
+    return out.select("company_id", "path", F.to_json("value").alias("value"), name.alias("type"))

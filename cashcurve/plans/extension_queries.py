@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cashcurve.operators import distinct_sets as ds
 from cashcurve.operators import extensions as ex
 from cashcurve.operators import kpis
 from cashcurve.plans.forecast_queries import health_of
@@ -65,3 +66,35 @@ def q_ltv(spark, sf_dir):
     mo = kpis.metrics_output(metrics_of(m))
     gm = health_of(m).selectExpr("company_id", "forecast_month AS month_date", "gross_margin_percent")
     return ex.ltv(kpis.saas_kpis(mo, gm, carry=("mau",)))
+
+
+FIRST, LAST = "1995-03-01", "1996-04-01"        # months of retention_range
+EVENTS_FIRST, EVENTS_LAST = "2024-01-01", "2024-02-01"
+
+
+@register("conversion_range", oracle=f"""
+    SELECT company_id, count(*) FILTER (WHERE viewed) AS visitors, count(*) FILTER (WHERE viewed AND bought) AS converted,
+           CASE WHEN count(*) FILTER (WHERE viewed) > 0
+                THEN ROUND(count(*) FILTER (WHERE viewed AND bought) / count(*) FILTER (WHERE viewed) * 100, 2) END AS conversion_percent
+    FROM (SELECT CAST(user_id % {N_COMPANIES} AS INTEGER) AS company_id, user_id,
+                 bool_or(event_type = 'view') AS viewed, bool_or(event_type = 'purchase') AS bought
+          FROM events WHERE event_type IN ('view', 'purchase') AND ts >= DATE '{EVENTS_FIRST}' AND ts < DATE '{EVENTS_LAST}' + INTERVAL 1 MONTH GROUP BY 1, 2) u
+    GROUP BY 1""")
+def q_conversion_range(spark, sf_dir):
+    """X2 over two months, from the monthly bitmaps."""
+    return ds.conversion_range(ModelTables(spark, sf_dir).event_bitmaps, EVENTS_FIRST, EVENTS_LAST)
+
+
+@register("retention_range", oracle=f"""
+    WITH cm AS (SELECT DISTINCT CAST(c.c_nationkey AS INTEGER) AS company_id, o.o_custkey AS k, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS m
+                FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+                WHERE o.o_orderdate >= DATE '{FIRST}' AND o.o_orderdate < DATE '{LAST}' + INTERVAL 1 MONTH),
+    first AS (SELECT company_id, k, min(m) AS cohort FROM cm GROUP BY 1, 2),
+    size AS (SELECT company_id, cohort, count(*) AS cohort_size FROM first GROUP BY 1, 2)
+    SELECT f.company_id, f.cohort, CAST(datediff('month', f.cohort, cm.m) AS INTEGER) AS age, max(s.cohort_size) AS cohort_size, count(*) AS active,
+           ROUND(count(*) / max(s.cohort_size) * 100, 2) AS retention_percent
+    FROM first f JOIN cm ON cm.company_id = f.company_id AND cm.k = f.k JOIN size s ON s.company_id = f.company_id AND s.cohort = f.cohort
+    GROUP BY 1, 2, 3""")
+def q_retention_range(spark, sf_dir):
+    """X3 over a period, by cohort and age, from the monthly bitmaps."""
+    return ds.retention_range(ModelTables(spark, sf_dir).order_bitmaps, FIRST, LAST)

@@ -9,7 +9,7 @@ from cashcurve.operators import onboarding as ob
 from cashcurve.plans.ledger_queries import LEDGER_CTES, documents_of
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
-from cashcurve.sources.model import ModelTables
+from cashcurve.sources.model import N_COMPANIES, ModelTables
 
 APP_NAME = "the app"
 MIN_USER_TURNS_TO_COMPLETE = 2   # J9 requests: sessions whose user answered at least twice
@@ -183,3 +183,20 @@ def q_new_sessions(spark, sf_dir):
 def q_profile_replace(spark, sf_dir):
     """K5 with merge=false: each company's profile becomes its newest patch only."""
     return ob.profile_replace(ModelTables(spark, sf_dir).profile_patches)
+
+
+@register("profile_lookup", oracle=f"""
+    WITH newest AS (SELECT CAST(user_id % {N_COMPANIES} AS INTEGER) AS company_id, event_type, arg_max(event_id, event_id) AS seq,
+                           arg_max(props, event_id) AS props, arg_max(user_id, event_id) AS u FROM events GROUP BY 1, 2)
+    SELECT company_id, event_type || '.by.user' AS path, CAST(u AS VARCHAR) AS value, 'number' AS type FROM newest
+    UNION ALL SELECT company_id, event_type || '.by.odd', CASE WHEN u % 2 = 1 THEN 'true' ELSE 'false' END, 'boolean' FROM newest
+    UNION ALL SELECT company_id, event_type || '.props.k', json_extract_string(props, '$.k'), 'number' FROM newest
+    UNION ALL SELECT company_id, event_type || '.tags', '["' || event_type || '",' || seq || ']', 'array' FROM newest""")
+def q_profile_lookup(spark, sf_dir):
+    """K9, H8: nested profiles merged from one JSON patch per event, looked up by path."""
+    ev = ModelTables(spark, sf_dir).raw.events
+    by = F.struct(F.col("user_id").alias("user"), (F.col("user_id") % 2 == 1).alias("odd"))
+    doc = F.concat(F.lit('{"'), "event_type", F.lit('":{"by":'), F.to_json(by), F.lit(',"props":'), "props", F.lit(',"tags":["'), "event_type",
+                   F.lit('",'), F.col("event_id").cast("string"), F.lit("]}}"))
+    patches = ev.select((F.col("user_id") % N_COMPANIES).cast("int").alias("company_id"), F.col("event_id").alias("seq"), doc.alias("doc"))
+    return ob.profile_lookup(ob.profile_documents(patches))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cashcurve.functions.exprs import dbl
 from cashcurve.operators import kpis
 from cashcurve.operators import quality as dq
+from cashcurve.operators.constraints import check_constraints, declared
 from cashcurve.plans.kpi_queries import METRIC_CTES, METRIC_NEEDS, metrics_of
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
@@ -143,3 +144,37 @@ def q_metrics_schema_evolution(spark, sf_dir):
     return kpis.metrics_output(evolved).select(
         "company_id", "month_date", "mau", *[dbl(c).alias(c) if c in kpis.MONEY_METRICS else F.col(c)
                                              for c in kpis.METRIC_COLUMNS if c != "mau"])
+
+
+CHECKED = {"companies": "companies", "products": "products", "fixed_expenses": "fixed_expenses", "forecast_entries": "forecast_entries", "leads": "leads",
+           "lead_links": "lead_links", "connections": "connections", "projects": "projects", "project_budgets": "project_budgets",
+           "installments": "installments", "onboarding_sessions": "sessions", "onboarding_messages": "messages"}
+
+
+def _constraint_sql() -> str:
+    """One SELECT per declared constraint."""
+    parts = []
+    for table, kind, name, what in declared():
+        t = CHECKED.get(table)
+        if t is None or (kind == "foreign_key" and what[1] not in CHECKED):
+            continue
+        head = f"SELECT '{table}' AS table_name, '{kind}' AS kind, '{name.replace(chr(39), chr(39) * 2)}' AS constraint_name, "
+        if kind == "unique":
+            keys = ", ".join(what)
+            parts.append(f"{head}(SELECT count(*) FROM {t} WHERE ({keys}) IS NOT NULL) AS checked, "
+                         f"(SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY {keys} HAVING count(*) > 1) d) AS violations")
+        elif kind == "foreign_key":
+            parts.append(f"{head}(SELECT count({what[0]}) FROM {t}), "
+                         f"(SELECT count(*) FROM {t} c WHERE c.{what[0]} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {CHECKED[what[1]]} p WHERE p.id = c.{what[0]}))")
+        elif kind == "month_grain":
+            parts.append(f"{head}(SELECT count(*) FROM {t}), (SELECT count(*) FROM {t} WHERE {name} <> CAST(date_trunc('month', {name}) AS DATE))")
+        else:
+            parts.append(f"{head}(SELECT count(*) FROM {t}), (SELECT count(*) FROM {t} WHERE NOT COALESCE({what}, FALSE))")
+    return " UNION ALL ".join(parts)
+
+
+@register("constraint_report", oracle=with_tables(sorted(set(CHECKED.values())), _constraint_sql()))
+def q_constraint_report(spark, sf_dir):
+    """M1-M4: all declared constraints of all tables, from one scan per table."""
+    m = ModelTables(spark, sf_dir)
+    return check_constraints(lambda table: getattr(m, table) if table in CHECKED else None)

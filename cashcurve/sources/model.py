@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import MONEY, first_of_month, money
+from cashcurve.operators.distinct_sets import monthly_bitmaps
 from cashcurve.sources.files import SharedFiles
 from cashcurve.sources.raw import RawTables
 
@@ -347,6 +348,17 @@ class ModelTables:
             F.when(done, F.lit(True)).otherwise(F.lit(False)).alias("is_completed"),
         )
 
+    @stored_table
+    def event_bitmaps(self) -> DataFrame:
+        """Users per company, event type and month, as bitmaps."""
+        user = F.col("user_id")
+        return monthly_bitmaps(self.raw.events, (user % N_COMPANIES).cast("int"), user, F.trunc(F.col("ts").cast("date"), "MM"), F.col("event_type"))
+
+    @stored_table
+    def order_bitmaps(self) -> DataFrame:
+        """Ordering customers per company and month, as bitmaps."""
+        return monthly_bitmaps(self.order_company, F.col("c_nationkey").cast("int"), F.col("o_custkey"), F.trunc(F.col("o_orderdate").cast("date"), "MM"), F.lit("order"))
+
     @cached_property
     def profile_patches(self) -> DataFrame:
         ev = self.raw.events

@@ -59,6 +59,29 @@ DEFAULTS: dict[str, dict[str, object]] = {
     "onboarding_calibration_runs": {"status": "queued", "steps": "{}"},
 }
 
+#: Declared constraints besides the foreign keys: unique keys, columns that are never NULL, rules (SQL), dates on the 1st of a month.
+CONSTRAINTS: dict[str, dict[str, list]] = {
+    "companies": {"unique": [["id"]], "not_null": ["name"]},
+    "products": {"unique": [["id"]], "not_null": ["company_id", "name"]},
+    "fixed_expenses": {"unique": [["id"]], "not_null": ["company_id", "name"], "domain": ["frequency IN ('monthly', 'quarterly', 'annually')"]},
+    "forecast_entries": {"unique": [["id"], ["company_id", "product_id", "forecast_month"]], "not_null": ["company_id", "product_id", "forecast_month"],
+                         "domain": ["units_forecasted >= 0"], "month_grain": ["forecast_month"]},
+    "leads": {"unique": [["id"]], "not_null": ["company_id", "client_name", "contract_value", "probability"], "domain": ["probability BETWEEN 0 AND 100"]},
+    "lead_links": {"unique": [["company_id", "provider", "external_contact_id"]], "not_null": ["company_id", "lead_id", "provider", "external_contact_id"],
+                   "domain": ["provider IN ('xero', 'quickbooks')"]},
+    "connections": {"unique": [["company_id", "service_name"]], "not_null": ["company_id", "service_name"]},
+    "accounting_actual_lines": {"unique": [["company_id", "idempotency_key"]],
+                                "not_null": ["company_id", "provider", "basis", "line_kind", "amount", "currency", "posted_date", "idempotency_key"],
+                                "domain": ["basis IN ('accrual', 'cash')"]},
+    "monthly_metrics": {"unique": [["company_id", "month_date"]], "not_null": ["company_id", "month_date", "mau", "cac", "churn_rate", "ltv"],
+                        "month_grain": ["month_date"]},
+    "projects": {"unique": [["id"]]}, "project_budgets": {"unique": [["id"]]}, "installments": {"month_grain": ["expected_payment_date"]},
+    "onboarding_sessions": {"unique": [["id"]], "not_null": ["company_id", "status"]},
+    "onboarding_messages": {"not_null": ["session_id", "role", "content"], "domain": ["role IN ('user', 'assistant', 'system')"]},
+    "company_onboarding_profiles": {"unique": [["company_id"]], "not_null": ["company_id", "profile_version", "data"]},
+    "onboarding_calibration_runs": {"not_null": ["company_id", "status", "steps"]},
+}
+
 #: child table -> (foreign key column, parent table, "cascade" or "set null")
 FOREIGN_KEYS: dict[str, list[tuple[str, str, str]]] = {
     "products": [("company_id", "companies", "cascade")],
