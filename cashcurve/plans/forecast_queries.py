@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cashcurve.operators import forecast as fc
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
-from cashcurve.sources.model import ModelTables
+from cashcurve.sources.model import tenant_group, ModelTables
 
 DRILLDOWN_MONTH = "1998-06-01"   # B2 parameter (the drill-down month; every company)
 TOP_K = 5                        # F1 fixed k
@@ -168,3 +168,15 @@ def q_financial_health_v1(spark, sf_dir):
     return health_of(ModelTables(spark, sf_dir)).select(
         "company_id", "forecast_month", "revenue", "gross_profit", "fixed_costs", "net_profit",
         "gross_margin_percent", "revenue_needed_to_break_even")
+
+
+@register("tenant_list_forecast", oracle=with_tables(["forecast_entries"], """
+    SELECT f.company_id, f.forecast_month, count(*) AS entries, CAST(sum(f.units_forecasted) AS BIGINT) AS units
+    FROM forecast_entries f JOIN nation n ON n.n_nationkey = f.company_id WHERE n.n_regionkey = 2 GROUP BY 1, 2"""))
+def q_tenant_list_forecast(spark, sf_dir):
+    """B1 for a list of tenants: a request table names the companies, and only their directories of the clustered store are read."""
+    m = ModelTables(spark, sf_dir)
+    asked = m.raw.nation.filter(F.col("n_regionkey") == 2).select(F.col("n_nationkey").cast("int").alias("company_id"))
+    asked = asked.withColumn("tenants", tenant_group("company_id"))
+    return (m.forecast_by_tenant.join(asked, ["tenants", "company_id"]).groupBy("company_id", "forecast_month")
+            .agg(F.count(F.lit(1)).alias("entries"), F.sum("units_forecasted").alias("units")))

@@ -61,6 +61,14 @@ def forecast_id():
     return F.concat_ws("-", "company_id", "product_id", F.date_format("forecast_month", "yyyy-MM"))
 
 
+TENANT_GROUPS = 64               # directories of the company-clustered store
+
+
+def tenant_group(company):
+    """Directory of a company in the company-clustered store."""
+    return F.pmod(company, F.lit(TENANT_GROUPS)).cast("int")
+
+
 def _code_digest() -> str:
     """Digest of the code that stored tables are made by."""
     from cashcurve.functions import exprs
@@ -348,6 +356,11 @@ class ModelTables:
             F.when(done, F.lit(True)).otherwise(F.lit(False)).alias("is_completed"),
         )
 
+    @stored_table(partition_by="tenants", cluster_by=("company_id",))
+    def forecast_by_tenant(self) -> DataFrame:
+        """Forecast entries clustered by company: a bounded number of directories, each with every n-th company."""
+        return self.forecast_entries.select("id", "company_id", "product_id", "forecast_month", "units_forecasted", tenant_group("company_id").alias("tenants"))
+
     @stored_table
     def event_bitmaps(self) -> DataFrame:
         """Users per company, event type and month, as bitmaps."""

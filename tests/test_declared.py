@@ -80,3 +80,33 @@ def test_nested_profiles_merge_by_top_level_key(spark):
     got = {(r.company_id, r.path): (r.value, r.type) for r in ob.profile_lookup(ob.profile_documents(patches)).collect()}
     assert got == {(1, "goals.hire"): ("2", "number"), (1, "tone"): ("null", "null"), (1, "people"): ('[{"n":1}]', "array"),
                    (2, "a.b.c.d"): ('{"e":1}', "object"), (2, "f"): ("{}", "object"), (2, "g"): ("true", "boolean"), (2, "h"): ("1.5", "number")}
+
+
+def test_bucketed_items_meet_their_installments_without_an_exchange(spark):
+    from cashcurve.operators import projects as pj
+    from cashcurve.sources.bucketed import bucketed
+    budgets = spark.range(500).selectExpr("id", "id % 7 AS project_id", "date'2025-01-15' AS start_date")
+    parts = spark.range(3000).selectExpr("id % 500 AS budget_item_id", "CAST(id % 13 AS DECIMAL(19,4)) AS payment_amount",
+                                         "date_add(date'2025-01-01', CAST(id % 90 AS INT)) AS expected_payment_date")
+    b, i = bucketed(budgets, "id", 4), bucketed(parts, "budget_item_id", 4)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for make in (pj.timeline_matrix, lambda x, y: pj.move_payments(y, pj.move_requests(x, y))):
+            near, far = make(b, i), make(budgets, parts)
+            plan = near._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+            assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_list_of_tenants_prunes_the_clustered_store(spark):
+    from cashcurve.plans.forecast_queries import q_tenant_list_forecast
+    from tests.conftest import SF_SMALL
+    df = q_tenant_list_forecast(spark, SF_SMALL)
+    assert df.count() > 0
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString().lower()
