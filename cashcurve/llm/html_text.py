@@ -1,20 +1,23 @@
 """HTML main text (operator 10): site template removal by element subtrees that recur on a host.
 
 1. Every page is parsed in place; each block element gets a hash of its subtree (tags and text, not attributes).
-2. Spark counts, per host and subtree hash, the pages that have it.  Pages of a host with equal content count once, so that
-   copies of one page do not make its article a template.  A subtree is a *template* if it occurs on at least
-   ``min_pages`` such pages, and on at least ``many_pages`` of them or, on hosts with fewer, ``min_share`` of the host's.
+2. Spark counts, per host and subtree hash, the different main texts that it stands beside (a page's text without its sure boilerplate), so
+   that copies of one page do not make its article a template.  A subtree is a *template* if it stands on pages with at least
+   ``min_pages`` of them; a passage (a paragraph, heading, list item or quotation, or what holds a block of 25 words) if with ``many_pages`` or, on smaller
+   hosts, ``min_share`` of the host's, as passages that a few articles share are content.
 3. Pages are parsed again; the text under template subtrees, and under elements that are boilerplate by their very
    tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), goes.
 
-A class or id word, a role, or a form or fieldset around it is a weak mark: it removes an element only if that holds at most half of
+A class or id word, a role, or a form or fieldset around it is a weak mark.  Beside an article with text, a marked element that neither
+lies in nor holds one goes whatever its size (beside a main, if there is no article); elsewhere it goes only if it holds at most half of
 the page's text that is left after templates and sure boilerplate (articles and mains so marked are weighed together), and
-never all that is left.  A larger one goes if it recurs on the host, or if all its names are advert words and it stands, without
-an article or main in it, beside one with text.
+never all that is left.
 
 What stays: every block that is neither, wherever it stands; ``article`` and ``main`` choose nothing.  They only shield
-passages: inside them container elements can be templates, never paragraphs, headings, list items or quotations, as passages
-that articles share are content.  Outside, any block can be a template, also a run of text between the children of an element.
+passages: inside them container elements can be templates, never paragraphs, headings, list items or quotations.
+Outside, any block can be a template, also a run of text between the children of an element.
+
+Time and memory are linear in the page, also for markup that is never closed: blocks name their element, elements their parent.
 
 Templates are few (they recur).  Their number is measured: up to ``broadcast_rows`` they are broadcast; beyond that each
 page's template hashes are found by a shuffle join and joined to the pages by content hashes.
@@ -29,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashcurve.llm.common import bound_batches
+from cashcurve.llm.common import bound_batches, reliable
 
 # Element names of the HTML standard, grouped by what they mean for text.
 RAW = frozenset("script style title textarea noscript iframe noembed noframes template xmp".split())
@@ -68,6 +72,7 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 HIDDEN, ADVERT, NAMED = 3, 2, 1
+PASSAGE_WORDS = 25
 
 
 def boilerplate_attributes(attributes: str) -> int:
@@ -90,15 +95,20 @@ def boilerplate_attributes(attributes: str) -> int:
     return out if NAMES.isdisjoint(words) else NAMED
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     gone: bool                      # surely boilerplate, or inside it
     area: int                       # 2 inside an article, 1 inside main, 0 elsewhere
     weak: int = 0                   # marked as boilerplate by a word or a form: NAMED or ADVERT
+    parent: Element | None = None
     parts: list[str] = field(default_factory=list)
     digest: int = 0
-    text: bool = False
+    words: int = 0                  # of the subtree
+    longest: int = 0                # words of its longest block
+    below: int = 0                  # while a text is chosen: what is left under it
+    inside: int = 0                 # the largest area of text left under it
+    drop: bool = False
 
     @property
     def removable(self) -> bool:
@@ -107,36 +117,67 @@ class Element:
 
 @dataclass
 class Page:
-    """Blocks as (text, element chain, hash of the text outside articles, text with weakly marked inline elements), and every
-    block element that has text."""
+    """Blocks as (text, element, hash of the text outside articles, text with weakly marked inline elements), and every
+    block element, parents first."""
 
-    blocks: list[tuple[str, list[Element], int | None, str]] = field(default_factory=list)
+    blocks: list[tuple[str, Element, int | None, str]] = field(default_factory=list)
     elements: list[Element] = field(default_factory=list)
-    root: int = 0
+    removed: dict[str, int] = field(default_factory=dict)       # characters of the last text's blocks that went, by what removed them
+
+    def hashes(self) -> dict[int, bool]:
+        """Hashes of all that could be a template (elements, and runs of text beside other children of their element), and whether they
+        hold a passage."""
+        out = {e.digest: e.tag in PASSAGE or e.longest >= PASSAGE_WORDS for e in self.elements if e.words and e.removable}
+        return out | {h: len(full.split()) >= PASSAGE_WORDS for _, e, h, full in self.blocks if h is not None and len(e.parts) > 1}
 
-    def hashes(self) -> set[int]:
-        """Hashes of all that could be a template: elements, and runs of text beside other children of their element."""
-        return {e.digest for e in self.elements if e.removable} | {h for _, chain, h, _ in self.blocks if h is not None and len(chain[-1].parts) > 1}
+    def main(self) -> int:
+        """Hash of the text without sure boilerplate and named elements."""
+        return _hash([self.text(frozenset())])
 
     def text(self, templates: set[int] | frozenset[int]) -> str:
-        left = [b for b in self.blocks if not b[1][-1].gone and not (templates and (
-            b[2] in templates or any(e.digest in templates and e.removable for e in b[1])))]
-        total, whole, held, around, beside = sum(len(b[3]) for b in left), 0, {}, set(), False
-        for _, chain, _, full in left:
-            weak = [e for e in chain if e.weak]
-            for e in weak:
-                held[id(e)] = held.get(id(e), 0) + len(full)
-            whole += len(full) if any(e.tag in WHOLE for e in weak) else 0
-            if chain[-1].area:
-                adverts = {id(e) for e in weak if e.weak == ADVERT and not e.area}
-                around |= adverts
-                beside = beside or not adverts
-        kept = []
-        for text, chain, _, full in left:
-            if not any(e.weak and (2 * (whole if e.tag in WHOLE else held[id(e)]) <= total
-                                   or beside and e.weak == ADVERT and not e.area and id(e) not in around) for e in chain):
-                kept.append(full if 2 * (len(full) - len(text)) > total else text)
-        return "\n".join(filter(None, kept)) or "\n".join(b[3] for b in left)
+        for e in self.elements:                                      # parents first
+            e.drop = (e.parent is not None and e.parent.drop) or (e.digest in templates and e.removable)
+            e.below = e.inside = 0
+        left, gone = [], {"tag": 0, "template": 0, "name": 0}
+        for b in self.blocks:
+            by = "tag" if b[1].gone else "template" if b[1].drop or b[2] in templates else None
+            if by:
+                gone[by] += len(b[3])
+            else:
+                left.append(b)
+                b[1].below += len(b[3])
+                b[1].inside = max(b[1].inside, b[1].area)
+        for e in reversed(self.elements):
+            if e.parent is not None:
+                e.parent.below += e.below
+                e.parent.inside = max(e.parent.inside, e.inside)
+        total = self.elements[0].below if self.elements else 0
+        # text of the best area that stands in no marked element of a lower one
+        best = whole = 0
+        marked: dict[int, int] = {}                                  # smallest area of the marked elements around, by element
+        in_whole: set[int] = set()                                   # elements in a marked article or main
+        for e in self.elements:
+            over = marked.get(id(e.parent), 3)
+            marked[id(e)] = min(over, e.area) if e.weak else over
+            if id(e.parent) in in_whole or (e.weak and e.tag in WHOLE):
+                in_whole.add(id(e))
+        for _, e, _, full in left:
+            if e.area and marked[id(e)] >= e.area:
+                best = max(best, e.area)
+            if id(e) in in_whole:
+                whole += len(full)
+        for e in self.elements:
+            if e.weak:
+                small = 2 * (whole if e.tag in WHOLE else e.below) <= total
+                e.drop = small or (e.area < best and e.inside < best)
+            else:
+                e.drop = False
+            e.drop = e.drop or (e.parent is not None and e.parent.drop)
+        kept = [full if 2 * (len(full) - len(text)) > total else text for text, e, _, full in left if not e.drop]
+        out = "\n".join(filter(None, kept)) or "\n".join(b[3] for b in left)
+        gone["name"] = max(0, sum(len(b[3]) for b in left) - len(out))
+        self.removed = gone
+        return out
 
 
 def _hash(parts: list[str]) -> int:
@@ -148,7 +189,9 @@ def parse(source: str | None) -> Page:
     """One pass over the markup with a stack of open elements; closes what the standard closes implicitly."""
     page = Page()
     top = Element("html", False, 0)
+    page.elements.append(top)
     stack, words = [top], []
+    opened: Counter[str] = Counter()                      # open elements by tag, the top not counted
     muted, weak = [], []      # open inline boilerplate: tag, where its words start, whether surely; the weak ones' words, from and to
 
     def flush() -> None:
@@ -162,9 +205,11 @@ def parse(source: str | None) -> Page:
             weak.clear()
         words.clear()
         if full:
-            page.blocks.append((text, stack.copy(), None if stack[-1].area or stack[-1].gone else _hash(["", text or full]), full))
-            stack[-1].parts.append(text or full)
-            stack[-1].text = True
+            here, n = stack[-1], full.count(" ") + 1
+            page.blocks.append((text, here, None if here.area or here.gone else _hash(["", text or full]), full))
+            here.parts.append(text or full)
+            here.words += n
+            here.longest = max(here.longest, n)
 
     def unmute(k: int) -> None:
         """Close the open inline boilerplate from the k-th on."""
@@ -178,13 +223,13 @@ def parse(source: str | None) -> Page:
 
     def close() -> None:
         e = stack.pop()
+        opened[e.tag] -= 1
         if e.tag in BLOCK:
             e.digest = _hash([e.tag, *e.parts])
-            if e.text:
-                page.elements.append(e)
-                if stack:
-                    stack[-1].parts.append(str(e.digest))
-                    stack[-1].text = True
+            if e.words and stack:
+                stack[-1].parts.append(str(e.digest))
+                stack[-1].words += e.words
+                stack[-1].longest = max(stack[-1].longest, e.longest)
 
     source = source or ""
     at, n = 0, len(source)
@@ -219,9 +264,9 @@ def parse(source: str | None) -> Page:
             if tag == "br":
                 words.append(" ")
             elif closing:
-                opened = next((k for k in range(len(muted) - 1, -1, -1) if muted[k][0] == tag), None)
-                if opened is not None:
-                    unmute(opened)
+                last = next((k for k in range(len(muted) - 1, -1, -1) if muted[k][0] == tag), None)
+                if last is not None:
+                    unmute(last)
             elif tag in BOILERPLATE:
                 muted.append((tag, len(words), True))
             elif tag not in VOID and attributes and (mark := boilerplate_attributes(attributes)):
@@ -229,7 +274,7 @@ def parse(source: str | None) -> Page:
             continue
         flush()
         if closing:
-            if tag not in ("html", "body") and any(e.tag == tag for e in stack[1:]):
+            if tag not in ("html", "body") and opened[tag] > 0:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -239,7 +284,7 @@ def parse(source: str | None) -> Page:
         ends = CLOSES.get(tag, frozenset())
         while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in ends):
             close()
-        if ends:
+        if any(opened[x] > 0 for x in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
                     while len(stack) > k:
@@ -253,11 +298,12 @@ def parse(source: str | None) -> Page:
         area = 2 if tag == "article" or here.area == 2 else 1 if tag == "main" or here.area == 1 else 0
         mark = boilerplate_attributes(attributes) if attributes and tag not in ("body", "head") else 0
         gone = here.gone or tag in BOILERPLATE or (tag == "header" and area < 2) or mark == HIDDEN
-        stack.append(Element(tag, gone, area, mark or int(tag in WEAK)))
+        stack.append(Element(tag, gone, area, mark or int(tag in WEAK), here))
+        page.elements.append(stack[-1])
+        opened[tag] += 1
     flush()
     while stack:
         close()
-    page.root = top.digest
     return page
 
 
@@ -267,36 +313,41 @@ def host(url: str | None) -> str:
 
 
 def subtree_hashes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Per page: host, root hash, and the distinct hashes of the subtrees that could be templates."""
-    kind = pa.schema([("host", pa.string()), ("root", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    """Per page: host, hash of its main text, and the subtrees that could be templates: those without and those with a passage."""
+    kind = pa.schema([("host", pa.string()), ("main", pa.int64()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = parse(source)
-                rows.append({"host": host(url), "root": page.root, "hashes": sorted(page.hashes())})
+                found = page.hashes()
+                rows.append({"host": host(url), "main": page.main(), "short": [h for h, p in found.items() if not p], "long": [h for h, p in found.items() if p]})
             yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return pages.select(url_col, html_col).mapInArrow(run, "host string, root long, hashes array<long>")
+    return pages.select(url_col, html_col).mapInArrow(run, "host string, main long, short array<long>, long array<long>")
 
 
 def site_templates(hashes: DataFrame, min_pages: int, min_share: float, many_pages: int) -> DataFrame:
-    """(host, h) of the subtrees that recur on many different pages of the host.
+    """(host, h) of the subtrees that recur beside many different main texts of the host.
 
     Everything is grouped by a hash within the host, with partial counts, so a host with a third of all pages is spread
-    over all tasks; only subtrees that pass ``min_pages`` meet the host totals.
+    over all tasks.  The host's own number of main texts is the count of a subtree without a hash, so the pages are read once; what passes
+    ``min_pages`` is stored and meets these numbers.
     """
-    pages = hashes.groupBy("host", "root").agg(F.first("hashes").alias("hashes"))
-    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = (pages.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") >= min_pages))
-    return counts.join(total, "host").filter(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(many_pages))).select("host", "h")
+    said = F.explode(F.concat(F.transform("short", lambda h: F.struct(h.alias("h"), F.lit(False).alias("passage"))),
+                              F.transform("long", lambda h: F.struct(h.alias("h"), F.lit(True).alias("passage"))),
+                              F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(False).alias("passage")))))
+    each = hashes.select("host", "main", said.alias("s")).select("host", "main", "s.h", "s.passage").distinct()
+    counts = reliable(each.groupBy("host", "h", "passage").agg(F.count(F.lit(1)).alias("n")).filter(F.col("h").isNull() | (F.col("n") >= min_pages)))
+    total = counts.filter(F.col("h").isNull()).select("host", F.col("n").alias("pages"))
+    enough = F.when(F.col("passage"), F.least(F.col("pages") * min_share, F.lit(many_pages))).otherwise(F.least(F.col("pages") * min_share, F.lit(min_pages)))
+    return counts.filter(F.col("h").isNotNull()).join(total, "host").filter(F.col("n") >= enough).select("host", "h").distinct()
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5,
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4,
               min_share: float = 0.5, broadcast_rows: int = 500_000, many_pages: int = 10) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+    """Per page: page_id, url, text, n_chars, and the characters that tags, templates and names removed."""
     spark = pages.sparkSession
     bound_batches(spark)
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -320,11 +371,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 drop = [frozenset(x or ()) for x in batch.column(3).to_pylist()]
             else:
                 drop = [shared.value.get(host(u), frozenset()) for u in urls]
-            texts = [parse(s).text(d) for s, d in zip(sources, drop, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                                              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return source.mapInArrow(run, slim.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
+            parsed = [parse(s) for s in sources]
+            texts = [p.text(d) for p, d in zip(parsed, drop, strict=True)]
+            by = [pa.array([p.removed[k] for p in parsed], pa.int64()) for k in ("tag", "template", "name")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *by],
+                                             ["page_id", "url", "text", "n_chars", "by_tags", "by_templates", "by_names"])
+
+    schema = slim.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
+    return source.mapInArrow(run, schema.add("by_tags", "long").add("by_templates", "long").add("by_names", "long"))
 
 
 def _with_page_templates(slim: DataFrame, templates: DataFrame) -> DataFrame:

@@ -97,3 +97,46 @@ def test_hosts():
 def test_query_on_an_empty_table(spark, write_tables):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert op10_site_template_text(spark, write_tables(pages=df)).count() == 0
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<div class=cookie-notice><p>" + "we use cookies " * 30 + "</p></div><article><p>short story</p></article>", "short story"),
+    ("<article><p>short story</p></article><ul id=sidebar>" + "<li>other story" * 40 + "</ul>", "short story"),
+    ("<main><article><p>short story</p></article><ol id=comments>" + "<li>what a story" * 40 + "</ol></main>", "short story"),
+    ("<main><p>short story</p></main><section class=comments>" + "<p>what a story" * 40 + "</section>", "short story"),
+    ("<form action=x><article><p>short story</p></article><p>" + "the rest " * 30 + "</p></form>", "short story\n" + ("the rest " * 30).strip())])
+def test_marked_blocks_beside_an_article_go_whatever_their_size(source, want):
+    assert _text(source) == want
+
+
+def test_markup_that_is_never_closed_takes_linear_time():
+    import time
+    seconds = []
+    for n in (4_000, 40_000):
+        source = "".join(f"<div class=c><span>word {i}" for i in range(n)) + "</section>" * n + "<li>x" * n
+        began = time.time()
+        page = ht.parse(source)
+        text = page.text(page.hashes().keys() - {0} if n < 0 else frozenset())
+        seconds.append(time.time() - began)
+        assert text.startswith("word 0\nword 1\n") and len(text.split("\n")) == 2 * n
+    assert seconds[1] < max(30 * seconds[0], 5)
+
+
+def test_templates_equal_a_count_over_all_pages(spark):
+    import random
+    rng = random.Random(3)
+    blocks = [f"<div><b>menu {k}</b><p>item</div>" for k in range(6)] + [f"<p>passage {k}" for k in range(4)] + [f"<div><p>{'long words ' * 15}{k}</div>" for k in range(3)]
+    rows = [(i, f"https://{rng.choice(['a.x', 'b.x', 'c.x'])}/{i}", "<body>" + "".join(rng.sample(blocks, 4)) + f"<p>w{rng.randrange(25)}</p>") for i in range(90)]
+    rows += rows[:20]
+    beside, mains = {}, {}
+    for _, url, source in rows:
+        page = ht.parse(source)
+        mains.setdefault(ht.host(url), set()).add(page.main())
+        for h, passage in page.hashes().items():
+            beside.setdefault((ht.host(url), h, passage), set()).add(page.main())
+    want = {(a, h) for (a, h, passage), texts in beside.items() if len(texts) >= 4 and len(texts) >= min(0.5 * len(mains[a]), 10 if passage else 4)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = ht.site_templates(ht.subtree_hashes(df, "url", "html"), 4, 0.5, 10).collect()
+    assert {(r["host"], r.h) for r in got} == want and len(got) == len(want) > 5
+    out = {r.page_id: r for r in ht.main_text(df).collect()}
+    assert sum(r.by_templates for r in out.values()) > 0 and all(r.by_tags == 0 for r in out.values())
