@@ -8,9 +8,10 @@ m - 1 words ahead.  Only where the shift is zero, the *suffix-hash bucket* of th
 and each is compared word by word.  Shorter items form searches of their own, one per length, so that one short
 item does not take away the jumps of the others.
 
-Memory: the pattern tables are built per group of items whose texts sum to at most ``group_bytes``.  The
-benchmark's size is measured before anything is collected; a larger benchmark is searched in several passes, each
-with one broadcast group, and the rows carry their hits from pass to pass (checkpointed in between).
+Memory: the pattern tables are built per group of items whose distinct texts sum to at most ``group_bytes`` (about 80 bytes of
+tables per byte of text, so 160 MB in each Python worker for the default).  The benchmark's size is measured before anything is collected.
+A larger benchmark is searched in several passes, each with one broadcast group.  A pass writes the hits it finds, keyed by two hashes of
+the text, and no text; the hits of all passes meet the documents once, at the end.
 
 Defined results: null text has no words and no hits; a text without words gives n_words 0; null or word-less items
 are not searched; a null item_id is reported as the string ``null``; repeated item ids count once per id; repeated
@@ -122,7 +123,7 @@ def merge_ranges(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def item_groups(benchmark: DataFrame, id_col: str, text_col: str, group_bytes: int) -> list[DataFrame]:
     """The benchmark as groups of (item, text) whose texts sum to about ``group_bytes`` at most."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"),
-                            F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+                            F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = 1 if total <= group_bytes else 2 * -(-total // group_bytes)
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
@@ -130,53 +131,71 @@ def item_groups(benchmark: DataFrame, id_col: str, text_col: str, group_bytes: i
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", window: int = 10, group_bytes: int = 4 << 20) -> tuple[DataFrame, str]:
+                  item_text: str = "text", window: int = 10, group_bytes: int = 2 << 20) -> tuple[DataFrame, str]:
     """``docs`` with one more struct column, whose name is returned: n_words, ranges (hit word ranges), items.
 
-    No shuffle: the documents are scanned in place, once per benchmark group (one, unless the benchmark is
-    larger than ``group_bytes``).
+    No shuffle if the benchmark is at most ``group_bytes``: the documents are scanned in place.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     out = fresh(docs, "contamination")
-    kind = T.StructType([T.StructField("n_words", T.LongType()),
-                         T.StructField("ranges", T.ArrayType(T.ArrayType(T.IntegerType()))),
-                         T.StructField("items", T.ArrayType(T.StringType()))])
-    plain = docs.schema
     groups = item_groups(benchmark, item_id, item_text, group_bytes)
-    df = docs
-    for k, group in enumerate(groups):
-        rows = [(r["item"], r["text"].encode()) for r in group.collect()]
-        tables = spark.sparkContext.broadcast(build_searches(rows, window))
-        df = df.mapInArrow(_scanner(tables, text_col, out, k > 0), with_fields(plain, (out, kind)))
-        if k + 1 < len(groups):
-            df = reliable(df)
-    return df, out
-
-
-def _scanner(tables, text_col: str, out: str, carried: bool):
-    kind = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
-
+    if len(groups) == 1:
+        return docs.mapInArrow(_scanner(_tables(groups[0], window), text_col, out), with_fields(docs.schema, (out, _KIND))), out
+    k1, k2, hits = fresh(docs, "text_k1"), fresh(docs, "text_k2"), fresh(docs, "contamination_hits")
+    text = F.col(text_col)
+    keyed = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit("#"), text))
+    found = None
+    for group in groups:
+        tables = _tables(group, window)
+        slim = keyed.filter(text.isNotNull()).select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text"))
+        scanned = slim.mapInArrow(_scanner(tables, "text", "hit"), with_fields(slim.schema, ("hit", _KIND)))
+        # copies of a text have the same hits
+        own = reliable(scanned.filter(F.size("hit.ranges") > 0).select("k1", "k2", "hit").groupBy("k1", "k2").agg(F.first("hit").alias("hit")))
+        found = own if found is None else found.unionByName(own)
+        tables.unpersist()
+    merged = found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_list("hit").alias(hits))       # one per group at most
+    plain = docs.columns
+    df = keyed.join(merged, [k1, k2], "left").select(*plain, hits)
+    return df.mapInArrow(_merger(text_col, out), with_fields(docs.schema, (out, _KIND))), out
+
+
+_KIND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.ArrayType(T.IntegerType()))),
+                      T.StructField("items", T.ArrayType(T.StringType()))])
+_ARROW = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
+
+
+def _tables(group: DataFrame, window: int):
+    rows = [(r["item"], r["text"].encode()) for r in group.collect()]
+    return group.sparkSession.sparkContext.broadcast(build_searches(rows, window))
+
+
+def _scanner(tables, text_col: str, out: str):
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, searches = tables.value
         found = []
-        texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-        before = batch.column(batch.num_columns - 1).to_pylist() if carried else None
-        for i, text in enumerate(texts):
+        for text in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()):
             w = words(text.as_py() or b"")
             ranges, items = find_hits(w, searches)
-            names = {ids[k] for k in items}
-            if before is not None:
-                ranges = merge_ranges([*ranges, *map(tuple, before[i]["ranges"])])
-                names |= set(before[i]["items"])
-            found.append({"n_words": len(w), "ranges": ranges, "items": sorted(names)})
-        cols = batch.columns[:-1] if carried else batch.columns
-        names = batch.schema.names[:-1] if carried else batch.schema.names
-        return pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], [*names, out])
+            found.append({"n_words": len(w), "ranges": ranges, "items": sorted(ids[k] for k in items)})
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], [*batch.schema.names, out])
 
     return per_batch(scan)
 
 
+def _merger(text_col: str, out: str):
+    """The last column, hits by group, becomes one struct."""
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+        for text, hits in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            ranges = merge_ranges([tuple(r) for h in hits or () for r in h["ranges"]])
+            found.append({"n_words": len(words(text.as_py() or b"")), "ranges": ranges, "items": sorted({i for h in hits or () for i in h["items"]})})
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _ARROW)], [*batch.schema.names[:-1], out])
+
+    return per_batch(merge)
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text_col: str = "text",
                          **options) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, hit_ranges, items."""

@@ -51,3 +51,17 @@ def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contamination_report(make_docs([]), none).count() == 0
     assert [r.contaminated for r in dc.contamination_report(make_docs([(1, "a b", "en")]), none).collect()] == [False]
+
+
+def test_passes_write_hits_and_no_text_and_repeated_items_count_once(spark, make_docs, monkeypatch):
+    docs, items = _case(random.Random(4))
+    seen, reliable = [], dc.reliable
+    monkeypatch.setattr(dc, "reliable", lambda df: seen.append((df.columns, (out := reliable(df)).count())) or out)
+    rows = [(i % 7 if i % 3 else None, t, "en") for i, t in enumerate(docs * 4)]
+    bench = spark.createDataFrame(items * 50, "item_id string, text string")
+    got = sorted((r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in dc.contamination_report(make_docs(rows), bench, group_bytes=400).collect())
+    assert got == sorted(dc.brute_force(t, items) for _, t, _ in rows)
+    assert len(seen) > 1 and all(cols == ["k1", "k2", "hit"] for cols, _ in seen)
+    assert all(n <= len(set(docs)) for _, n in seen)
+    groups = dc.item_groups(bench, "item_id", "text", 1 << 20)
+    assert len(groups) == 1 and groups[0].count() == len({(i, t) for i, t in items if t is not None})
