@@ -9,9 +9,9 @@ Index: the classifier puts EVERY row into its most probable part.  Search: a que
 until their predicted shares sum to ``mass`` and they hold more than 4 k rows; as the classifier predicts where neighbours are, ``mass`` steers recall on
 data with and without clusters alike.  All candidates there are compared exactly, in double precision.
 
-Blocks: a part is cut into slices of about ``slice_rows`` rows by a hash of the id, and the queries into
-blocks of about ``query_rows``, so that a part (or one vector's copies) holding most rows is spread over many tasks; each
-(part, slice, query block) is one task's group, of bounded size, and returns its k best per query.
+Slices: a part is cut into slices of about ``slice_rows`` rows by a hash of the id, so that a part (or one vector's copies)
+holding most rows is spread over many tasks.  Every row lies in one slice and stays there; the queries, which are few, go to the slices of
+their parts and pass them as a stream.  A task holds one slice and ``query_rows`` queries, and gives the k best per query and slice.
 
 Defined results: rows with a null id, a null, zero, or differently long vector, or null or non-finite components
 take no part; a repeated id is one query (its smallest vector) and its rows are not its own candidates; fewer than k
@@ -20,6 +20,7 @@ candidates give all of them; empty tables give empty results; ties go to the sma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,7 +135,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           mass: float = 0.95, sample_rows: int = 8_000, parts: int | None = None, slice_rows: int = 4_096,
+           mass: float = 0.95, sample_rows: int = 8_000, parts: int | None = None, slice_rows: int = 8_192,
            query_rows: int = 1_024) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest found; ``is_query`` is a condition
     on the column ``vec_id``."""
@@ -168,18 +169,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}            # one row per part
     rows_in = np.array([sizes.get(p, 0) for p in range(parts)])
     queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
-    blocks = max(1, -(-queries.count() // query_rows))
     slices = F.create_map(*[c for p in range(parts) for c in (F.lit(p), F.lit(max(1, -(-sizes.get(p, 0) // slice_rows))))])
-    cut = lambda col, salt, count: F.pmod(F.xxhash64(F.lit(salt), col), count).cast("int")
     routed = (queries.mapInArrow(per_batch(route), "query_id long, q array<double>, parts array<int>")
-              .select("query_id", "q", F.explode("parts").alias("part"))
-              .select("query_id", "q", "part", F.explode(F.sequence(F.lit(0), slices[F.col("part")] - 1)).alias("slice"),
-                      cut(F.col("query_id"), "q", F.lit(blocks)).alias("block")))
-    indexed = placed.select("vec_id", "v", "part", cut(F.col("vec_id"), "v", slices[F.col("part")]).alias("slice"),
-                            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    key = ["part", "slice", "block"]
-    found = indexed.groupBy(*key).cogroup(routed.groupBy(*key)).applyInArrow(
-        lambda v, q: nearest(v, q, k, d), "query_id long, vec_id long, score double")
+              .select(F.col("query_id").alias("id"), F.col("q").alias("v"), F.explode("parts").alias("part"))
+              .select("part", F.explode(F.sequence(F.lit(0), slices[F.col("part")] - 1)).alias("slice"), F.lit(1).alias("kind"), "id", "v"))
+    indexed = placed.select("part", F.pmod(F.xxhash64("vec_id", "v"), slices[F.col("part")]).cast("int").alias("slice"), F.lit(0).alias("kind"),
+                            F.col("vec_id").alias("id"), "v")
+    met = indexed.unionByName(routed).repartition("part", "slice").sortWithinPartitions("part", "slice", "kind")
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a slice come first, then the queries that visit it."""
+        now, rows_here = None, []
+        for batch in batches:
+            column = (np.asarray(batch.column(0)).astype(np.int64) << 32 | np.asarray(batch.column(1))) * 2 + np.asarray(batch.column(2))
+            edges = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), len(column)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                where, kind = divmod(int(column[a]), 2)
+                if where != now:
+                    now, rows_here = where, []
+                part = pa.Table.from_batches([batch.slice(a, b - a).select([3, 4])])
+                if kind == 0:
+                    rows_here.append(part.rename_columns(["vec_id", "v"]))
+                elif rows_here:
+                    rows_here = [pa.concat_tables(rows_here).combine_chunks()]
+                    for at in range(0, part.num_rows, query_rows):
+                        yield from nearest(rows_here[0], part.slice(at, query_rows).rename_columns(["query_id", "q"]), k, d).to_batches()
+
+    found = met.mapInArrow(pass_by, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

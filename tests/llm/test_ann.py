@@ -70,3 +70,25 @@ def test_rows_that_take_no_part_and_few_rows(spark, write_tables):
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in got) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 6.403124)]
     assert op1_learned_partitions(spark, write_tables(embeddings=_frame(spark, odd))).count() == 0
     assert op1_learned_partitions(spark, write_tables(embeddings=_frame(spark, []))).count() == 0
+
+
+def test_rows_are_shuffled_once_whatever_the_number_of_queries(spark):
+    """Index rows stay in their slice: what is dealt out is the rows once and each query once per slice that it visits."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6_000, 6))
+    df = _frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    found = {}
+    for every in (600, 20):
+        out = ann.search(df, F.col("vec_id") % every == 0, slice_rows=500, query_rows=16, parts=4)
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        found[every] = got
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sequence(0") == 1                          # only queries are repeated
+    hits = 0
+    for q, rows in found[20].items():
+        near = {i for i, _ in ann.brute_force(np.arange(len(x)), x, q)}
+        hits += len(near & {v for _, v in rows})
+    assert hits >= 0.9 * 10 * len(found[20])
+    assert all(found[20][q] == rows for q, rows in found[600].items())
