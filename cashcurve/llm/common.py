@@ -15,6 +15,7 @@ from cashcurve.session import checkpoint_dir
 
 #: Rows of one Arrow batch handed to a Python task, and the text bytes after which a batch is cut earlier.
 ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
+_DEFAULTS: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +32,12 @@ def bound_batches(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in (root, *paths) if p)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    for name, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if key not in _DEFAULTS:
+            _DEFAULTS[key] = str(spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(key))
+        if spark.conf.get(key) == _DEFAULTS[key]:             # a caller's own setting stays
+            spark.conf.set(key, str(value))
 
 
 def reliable(df: DataFrame) -> DataFrame:
