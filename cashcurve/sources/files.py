@@ -26,6 +26,10 @@ class SharedFiles:
     def exists(self, path: str) -> bool:
         return self._fs(path).exists(self._path(path))
 
+    def remove(self, path: str) -> None:
+        """Remove a folder that this job has written and nobody reads any more."""
+        self._fs(path).delete(self._path(path), True)
+
     def names(self, path: str) -> list[str]:
         """Names in a directory; empty only if the directory does not exist, any other failure is raised."""
         try:

@@ -1,7 +1,13 @@
 """Corpus pipeline: filter, deduplicate, decontaminate, redact and tokenise the documents.
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept.  All but the last return the columns of
-documents; each is written and read again before the next one.  An empty table passes through all stages.
+documents; each is written and read again before the next one, and its folder goes once the next one is written, so a run leaves
+the last stage's folder only (and, unless ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, the operators' checkpoints).
+
+Defined results: texts without words (null and empty ones too) are one group of near duplicates, of which one document stays, and pass
+the other filters; a null text gets null ids, an empty one empty ids; rows with null or repeated ids are judged one by one, and of
+a near-duplicate group the smallest id stays, null last; very long texts are read whole; ties go to the smaller id; further columns, also with
+names that operators use, are kept as they are; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from pyspark.sql import functions as F
 from cashcurve.llm import decontaminate, pieces, pii, simhash, toxicity
 from cashcurve.llm.common import fold_is, read_table
 from cashcurve.session import checkpoint_dir
+from cashcurve.sources.files import SharedFiles
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            SharedFiles(spark).remove(f"{base}/{k - 1}")
     return docs
