@@ -95,4 +95,16 @@ DESCRIPTIONS: dict[str, tuple[str, str]] = {
     "pl_matrix_flat": ("I9", "P&L matrix, one row per cell"),
     "project_cashflow_lists": ("C11", "nested cash flow of all projects, one row per list entry"),
     "working_capital_filled": ("X5", "working capital, turnover and ROA over filled balance-sheet lines"),
+    "full_sync": ("L6 L7 D15 G1", "landed, accepted and rejected documents, lines and their sum, from one parse"),
+    "raw_ledger_lines": ("A2 A3 A4 A5", "ledger lines from the providers' raw response files"),
+    "page_gaps": ("A2 A3 A4 A5", "missing pages of a fetch"),
+    "stream_rejects": ("N1 L7", "dead letters of the stream after a replayed batch"),
+    "store_schema_change": ("A9 M6 J5", "a table of change sets whose columns come and go"),
+    "stored_requests": ("A7 A8 J7 J8", "inserts and deletes stored over own tables and read back"),
+    "onboarding_cascade": ("J8 J9", "foreign-key actions over sessions, profiles and calibration runs"),
+    "conversion_range": ("X2", "conversion over any period from monthly bitmaps"),
+    "retention_range": ("X3", "retention by cohort and age over any period from monthly bitmaps"),
+    "constraint_report": ("M1 M2 M3 M4", "all declared constraints, one scan per table"),
+    "profile_lookup": ("K5 K9 H8", "nested profiles by path"),
+    "tenant_list_forecast": ("B1", "forecast of a list of tenants from a company-clustered store"),
 }
