@@ -45,3 +45,9 @@ def running_count(df: DataFrame, group: str, order: list[str], predicate: Column
     offsets = totals.select("_p", group, F.coalesce(F.sum("_t").over(off_w), F.lit(0)).alias("_off"))
     return (r.join(offsets, ["_p", group]).withColumn(out, (F.col("_local") + F.col("_off")).cast("long"))
             .drop("_p", "_f", "_local", "_off"))
+
+
+def listed(df: DataFrame, *order, whole: bool) -> DataFrame:
+    """The rows of a list endpoint in their order: ``whole`` for one tenant's answer; for all tenants at once each partition is sorted for
+    itself, as nobody reads an order across tenants, and no row is shuffled for it."""
+    return df.orderBy(*order) if whole else df.sortWithinPartitions(*order)

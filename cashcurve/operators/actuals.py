@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import clamp, dbl
+from cashcurve.functions.grouped import listed
 
 BASES = ("accrual", "cash")
 
@@ -48,12 +49,11 @@ def actuals_snapshot(lines: DataFrame, as_of: str) -> DataFrame:
         F.max(F.when(F.col("basis") == "cash", F.col("total_amount"))).alias("cash_total"))
 
 
-def lead_links_list(links: DataFrame, leads: DataFrame) -> DataFrame:
+def lead_links_list(links: DataFrame, leads: DataFrame, whole: bool = True) -> DataFrame:
     """Contact links with the lead's client name (inner join), newest link first."""
     ld = leads.select(F.col("id").alias("lead_id"), "client_name")
-    return (links.join(ld, "lead_id", "inner")
-            .select("company_id", "id", "lead_id", "provider", "external_contact_id", "client_name")
-            .orderBy("company_id", F.col("id").desc()))
+    rows = links.join(ld, "lead_id", "inner").select("company_id", "id", "lead_id", "provider", "external_contact_id", "client_name")
+    return listed(rows, "company_id", F.col("id").desc(), whole=whole)
 
 
 def recent_actuals(summary: DataFrame, months: int = 6) -> DataFrame:

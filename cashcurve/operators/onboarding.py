@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashcurve.functions.grouped import running_count
+from cashcurve.functions.grouped import listed, running_count
 
 # The scripted assistant turns and the hand-off text.  The
 # product name is a parameter (``app_name``), not part of the fixed text.
@@ -54,11 +54,11 @@ def open_session(companies: DataFrame, sessions: DataFrame) -> DataFrame:
     return j.select("company_id", "session_id", "status")
 
 
-def transcript(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+def transcript(sessions: DataFrame, messages: DataFrame, whole: bool = True) -> DataFrame:
     """K3: messages of every session, scoped to the session's company (semi-join), in id order."""
     s = sessions.select(F.col("id").alias("session_id"), "company_id")
     m = messages.join(s, "session_id", "inner")
-    return m.select("company_id", "session_id", "id", "role", "content").orderBy("company_id", "session_id", "id")
+    return listed(m.select("company_id", "session_id", "id", "role", "content"), "company_id", "session_id", "id", whole=whole)
 
 
 def script_table(spark, app_name: str = "the app") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import dbl, month_from_text, round_dp
+from cashcurve.functions.grouped import listed, running_count
 
 
 def project_variance(projects: DataFrame, budgets: DataFrame, one_off_expenses: DataFrame) -> DataFrame:
@@ -36,19 +37,17 @@ def project_variance(projects: DataFrame, budgets: DataFrame, one_off_expenses:
         F.when(budget > 0, F.least(actual / budget * 100, F.lit(100.0))).otherwise(F.lit(0.0)).alias("burn_percent"))
 
 
-def project_cashflow(budgets: DataFrame, installments: DataFrame) -> DataFrame:
+def project_cashflow(budgets: DataFrame, installments: DataFrame, whole: bool = True) -> DataFrame:
     """C11 (flat): budget items with their installments, by start date then payment date.
 
     Items without installments keep one row with NULL installment columns
-    (the reference's empty list).  The order is a global sort on the full key,
-    so one huge project is range-split across tasks rather than collected.
+    (the reference's empty list).
     """
     i = installments.select("budget_item_id", "payment_amount", "expected_payment_date")
     j = budgets.join(i, budgets.id == i.budget_item_id, "left")
-    return (j.select("project_id", F.col("id").alias("budget_item_id"), "item_name", "grouping_category",
-                     dbl("total_amount").alias("total_amount"), "start_date",
-                     dbl("payment_amount").alias("payment_amount"), "expected_payment_date")
-            .orderBy("project_id", "start_date", "budget_item_id", "expected_payment_date", "payment_amount"))
+    rows = j.select("project_id", F.col("id").alias("budget_item_id"), "item_name", "grouping_category", dbl("total_amount").alias("total_amount"),
+                    "start_date", dbl("payment_amount").alias("payment_amount"), "expected_payment_date")
+    return listed(rows, "project_id", "start_date", "budget_item_id", "expected_payment_date", "payment_amount", whole=whole)
 
 
 def project_cashflow_nested(budgets: DataFrame, installments: DataFrame) -> DataFrame:
@@ -65,6 +64,24 @@ def project_cashflow_nested(budgets: DataFrame, installments: DataFrame) -> Data
                     dbl("total_amount").alias("total_amount"), "start_date", F.coalesce("installments", empty).alias("installments"))
 
 
+def project_cashflow_chunks(budgets: DataFrame, installments: DataFrame, size: int = 500) -> DataFrame:
+    """C11 for all projects: the nested form with lists of at most ``size`` installments, numbered per item.
+
+    The installments of an item are numbered in date order by a distributed running count, so an item with a third of all of them is no
+    single list and no single task; an item without any keeps one row with an empty list.
+    """
+    rows = installments.select("budget_item_id", "expected_payment_date", dbl("payment_amount").alias("payment_amount"))
+    numbered = running_count(rows, "budget_item_id", ["expected_payment_date", "payment_amount"], F.lit(True), "n")
+    chunk = F.floor((F.col("n") - 1) / size).cast("int")
+    lists = numbered.groupBy("budget_item_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(
+        "n", "expected_payment_date", "payment_amount"))).alias("numbered"))
+    entries = F.transform("numbered", lambda x: F.struct(x["expected_payment_date"].alias("expected_payment_date"), x["payment_amount"].alias("payment_amount")))
+    empty = F.array().cast("array<struct<expected_payment_date:date,payment_amount:double>>")
+    j = budgets.join(lists, budgets.id == lists.budget_item_id, "left")
+    return j.select(F.col("id").alias("budget_item_id"), "project_id", "item_name", "grouping_category", dbl("total_amount").alias("total_amount"),
+                    "start_date", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce(entries, empty).alias("installments"))
+
+
 def item_month_sums(budgets: DataFrame, installments: DataFrame) -> DataFrame:
     """Installments summed per item x 'YYYY-MM' (exact), keyed by project."""
     i = installments.select("budget_item_id", F.date_format("expected_payment_date", "yyyy-MM").alias("month"),

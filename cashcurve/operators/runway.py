@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import dbl, one_decimal
+from cashcurve.functions.grouped import listed
 
 INFINITE_MESSAGE = "Infinite runway - no expenses logged"
 
@@ -102,30 +103,24 @@ def weighted_leads(leads: DataFrame) -> DataFrame:
                         (dbl("contract_value") * (F.col("probability") / F.lit(100.0))).alias("weighted_value"))
 
 
-def lead_list(leads: DataFrame) -> DataFrame:
-    """Leads by company, probability desc (NULLs first as in PostgreSQL, id as tie-break).
+def lead_list(leads: DataFrame, whole: bool = True) -> DataFrame:
+    """Leads by company, probability desc (NULLs first as in PostgreSQL, id as tie-break)."""
+    rows = leads.select("company_id", "id", "client_name", dbl("contract_value").alias("contract_value"), "probability", "expected_close_date")
+    return listed(rows, F.col("company_id"), F.col("probability").desc_nulls_first(), F.col("id"), whole=whole)
 
-    A global sort on the full compound key: the range partitioner splits a hot
-    company across tasks (a per-company window would sort it in one task).
-    """
-    return (leads.select("company_id", "id", "client_name", dbl("contract_value").alias("contract_value"),
-                         "probability", "expected_close_date")
-            .orderBy(F.col("company_id"), F.col("probability").desc_nulls_first(), F.col("id")))
 
-
-def cash_history(cash_balances: DataFrame) -> DataFrame:
+def cash_history(cash_balances: DataFrame, whole: bool = True) -> DataFrame:
     """Balances per company, newest first (id desc breaks same-day ties)."""
-    return (cash_balances.select("company_id", "id", "balance_date", dbl("total_cash").alias("total_cash"))
-            .orderBy("company_id", F.col("balance_date").desc(), F.col("id").desc()))
+    rows = cash_balances.select("company_id", "id", "balance_date", dbl("total_cash").alias("total_cash"))
+    return listed(rows, "company_id", F.col("balance_date").desc(), F.col("id").desc(), whole=whole)
 
 
-def one_off_history(one_off_expenses: DataFrame) -> DataFrame:
+def one_off_history(one_off_expenses: DataFrame, whole: bool = True) -> DataFrame:
     """One-off expenses per company, oldest first (name breaks same-day ties)."""
-    return (one_off_expenses.select("company_id", "project_id", "name", dbl("amount").alias("amount"),
-                                    "expense_date")
-            .orderBy("company_id", "expense_date", "name"))
+    rows = one_off_expenses.select("company_id", "project_id", "name", dbl("amount").alias("amount"), "expense_date")
+    return listed(rows, "company_id", "expense_date", "name", whole=whole)
 
 
-def project_list(projects: DataFrame) -> DataFrame:
+def project_list(projects: DataFrame, whole: bool = True) -> DataFrame:
     """Projects per company, id desc."""
-    return projects.select("company_id", "id", "project_name", "status").orderBy("company_id", F.col("id").desc())
+    return listed(projects.select("company_id", "id", "project_name", "status"), "company_id", F.col("id").desc(), whole=whole)

@@ -49,7 +49,7 @@ def q_open_session(spark, sf_dir):
     FROM messages m JOIN sessions s ON s.id = m.session_id ORDER BY 1, 2, 3"""))
 def q_transcript(spark, sf_dir):
     m = ModelTables(spark, sf_dir)
-    return ob.transcript(m.onboarding_sessions, m.onboarding_messages)
+    return ob.transcript(m.onboarding_sessions, m.onboarding_messages, whole=False)
 
 
 @register("scripted_reply", oracle=with_tables(["messages"], f"""

@@ -40,14 +40,14 @@ def q_project_variance(spark, sf_dir):
     ORDER BY b.project_id, b.start_date, b.id, i.expected_payment_date"""))
 def q_project_cashflow(spark, sf_dir):
     m = ModelTables(spark, sf_dir)
-    return pj.project_cashflow(m.project_budgets, m.installments)
+    return pj.project_cashflow(m.project_budgets, m.installments, whole=False)
 
 
 @register("project_cashflow_lists", oracle=ORACLE["project_cashflow"].replace("ORDER BY b.project_id, b.start_date, b.id, i.expected_payment_date", ""))
 def q_project_cashflow_lists(spark, sf_dir):
     """C11: the nested cash flow of all projects, its lists taken apart again for the comparison."""
     m = ModelTables(spark, sf_dir)
-    nested = pj.project_cashflow_nested(m.project_budgets, m.installments)
+    nested = pj.project_cashflow_chunks(m.project_budgets, m.installments)
     return nested.select("*", F.explode_outer("installments").alias("i")).select(
         "project_id", "budget_item_id", "item_name", "grouping_category", "total_amount", "start_date", "i.payment_amount", "i.expected_payment_date")
 

@@ -78,24 +78,24 @@ def q_weighted_leads(spark, sf_dir):
            expected_close_date
     FROM leads ORDER BY company_id, probability DESC NULLS FIRST, id"""))
 def q_lead_list(spark, sf_dir):
-    return rw.lead_list(ModelTables(spark, sf_dir).leads)
+    return rw.lead_list(ModelTables(spark, sf_dir).leads, whole=False)
 
 
 @register("cash_history", oracle=with_tables(["cash_balances"], """
     SELECT company_id, id, balance_date, CAST(total_cash AS DOUBLE) AS total_cash
     FROM cash_balances ORDER BY company_id, balance_date DESC, id DESC"""))
 def q_cash_history(spark, sf_dir):
-    return rw.cash_history(ModelTables(spark, sf_dir).cash_balances)
+    return rw.cash_history(ModelTables(spark, sf_dir).cash_balances, whole=False)
 
 
 @register("one_off_history", oracle=with_tables(["one_off_expenses"], """
     SELECT company_id, project_id, name, CAST(amount AS DOUBLE) AS amount, expense_date
     FROM one_off_expenses ORDER BY company_id, expense_date, name"""))
 def q_one_off_history(spark, sf_dir):
-    return rw.one_off_history(ModelTables(spark, sf_dir).one_off_expenses)
+    return rw.one_off_history(ModelTables(spark, sf_dir).one_off_expenses, whole=False)
 
 
 @register("project_list", oracle=with_tables(["projects"], """
     SELECT company_id, id, project_name, status FROM projects ORDER BY company_id, id DESC"""))
 def q_project_list(spark, sf_dir):
-    return rw.project_list(ModelTables(spark, sf_dir).projects)
+    return rw.project_list(ModelTables(spark, sf_dir).projects, whole=False)

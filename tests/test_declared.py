@@ -110,3 +110,23 @@ def test_a_list_of_tenants_prunes_the_clustered_store(spark):
     df = q_tenant_list_forecast(spark, SF_SMALL)
     assert df.count() > 0
     assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_lists_of_all_tenants_are_not_shuffled_for_their_order(spark):
+    from cashcurve.plans.catalog import QUERIES
+    from tests.conftest import SF_SMALL
+    for key in ("lead_list", "cash_history", "one_off_history", "project_list", "lead_links", "transcript", "project_cashflow"):
+        plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan, key
+
+
+def test_one_hot_item_is_cut_into_numbered_lists(spark):
+    from cashcurve.operators import projects as pj
+    budgets = spark.createDataFrame([(1, 7, "hot", "g", 1, None), (2, 7, "none", "g", 1, None)],
+                                    "id long, project_id long, item_name string, grouping_category string, total_amount long, start_date date")
+    parts = spark.range(1234).selectExpr("1L AS budget_item_id", "date_add(date'2025-01-01', CAST(1234 - id AS INT)) AS expected_payment_date",
+                                         "CAST(id AS DECIMAL(19,4)) AS payment_amount")
+    got = {(r.budget_item_id, r.chunk): r.installments for r in pj.project_cashflow_chunks(budgets, parts, 500).collect()}
+    assert {k: len(v) for k, v in got.items()} == {(1, 0): 500, (1, 1): 500, (1, 2): 234, (2, 0): 0}
+    dates = [x.expected_payment_date for c in range(3) for x in got[1, c]]
+    assert dates == sorted(dates)
