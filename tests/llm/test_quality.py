@@ -81,3 +81,31 @@ def test_an_id_on_a_third_of_the_rows_does_not_break_the_bound(spark, make_docs,
     assert seen[0].count() <= 30
     again = ql.train(make_docs(rows[::-1]).repartition(5), labels, F.lit(True), max_docs=30)
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(first.layers, again.layers, strict=True))
+
+
+def test_scores_equal_a_loop_over_the_texts(spark, make_docs):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(3, 40)) + (" !!" if i % 2 else ""), None) for i in range(120)] + [(500 + i, t, None) for i, t in enumerate(ODD_TEXTS)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(120)], "doc_id long, quality int")
+    docs = make_docs(rows)
+    space = ql.Space(buckets=256, dimensions=8, block=64)
+    model = ql.train(docs, labels, F.lit(True), space=space)
+    where, sign = space.index_vectors()
+    table = np.zeros((256, 8))
+    ids = {i: [__import__("zlib").crc32(w.encode()) % 256 for w in ql.TOKEN.findall(t or "")] for i, t, _ in rows}
+    for words in ids.values():
+        for a, w in enumerate(words):
+            for b in range(max(0, a - space.window), min(len(words), a + space.window + 1)):
+                if a != b:
+                    table[w, where[words[b]]] += sign[words[b]]
+    table = np.sign(table) * np.sqrt(np.abs(table))
+    norm = np.linalg.norm(table, axis=1, keepdims=True)
+    table = table / np.where(norm > 0, norm, 1)
+    assert np.allclose(table, model.vectors, atol=1e-4)
+    w1, b1, w2, b2 = model.layers
+    got = {r.doc_id: r for r in ql.score(docs.select("doc_id", "text"), model).collect()}
+    for i, words in ids.items():
+        v = table[words] if words else np.zeros((1, 8))
+        x = np.concatenate([v.mean(0), v.std(0), [np.linalg.norm(v.mean(0)), np.log1p(len(words)) / 10]]) if words else np.zeros(18)
+        p = 1 / (1 + np.exp(-(np.tanh((x - model.center) / model.scale @ w1 + b1) @ w2 + b2)[0] / model.temperature))
+        assert abs(got[i].score - p) < 2e-3 and got[i].predicted == int(got[i].score >= 0.3)

@@ -79,3 +79,24 @@ def test_one_id_on_a_third_of_the_rows_leaves_shards_even(spark, make_docs):
     assert len(got) == 3000 and max(load) - min(load) <= 0.1 * sum(load) / 40
     for s in range(40):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_shards_equal_a_loop_over_the_rows(spark, make_docs):
+    import xxhash
+    rows = [(i, t, l) for i, t, l in _docs(make_docs, 400) if i != 7]              # repeated ids: dealt out where a slot is overfull
+    got = {(r.doc_id, r.text_crc32): r for r in sd.shard_documents(make_docs(rows).repartition(3), shards=6, slots=64).collect()}
+    size, count, slot = [0] * 64, [0] * 64, {}
+    for i, t, _ in rows:
+        name = str(i) if i is not None else "#" if t is None else "#" + t
+        s = xxhash.xxh64(name.encode(), seed=42).intdigest()
+        s = (s - (1 << 64) if s >> 63 else s) % 64
+        slot[i, zlib.crc32((t or "").encode())] = s
+        size[s] += len((t or "").encode()) + 16
+        count[s] += 1
+    large = sum(size) / 6 / 8
+    hot = {s for s in range(64) if count[s] > 1 and size[s] > large}
+    assert all(r.virtual_slot == slot[k] for k, r in got.items() if slot[k] not in hot) and hot != set(range(64))
+    shard = {}
+    assert all(shard.setdefault(r.virtual_slot, r.shard) == r.shard for r in got.values())
+    load = [sum(r["size"] for r in got.values() if r.shard == s) for s in range(6)]
+    assert sum(load) == sum(size)
