@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashcurve.functions.exprs import clamp
+from cashcurve.functions.exprs import clamp, first_of_month
 from cashcurve.operators import actuals as ac
 from cashcurve.operators import forecast as fc
 from cashcurve.operators import kpis
@@ -165,14 +165,15 @@ class FinanceApi:
         return self.m.insert_budgets(requests, order, request)
 
     def save_forecast(self, entries: DataFrame, request: int | None = None) -> int:
-        """POST /api/forecast: sets the units of (company, product, month), overrides stay."""
-        named = entries.withColumn("id", F.concat_ws("-", "company_id", "product_id", F.date_format("forecast_month", "yyyy-MM")))
+        """POST /api/forecast: sets the units of (company, product, month), overrides stay; any day of a month names it (M5)."""
+        monthly = entries.withColumn("forecast_month", first_of_month("forecast_month"))
+        named = monthly.withColumn("id", F.concat_ws("-", "company_id", "product_id", F.date_format("forecast_month", "yyyy-MM")))
         return self.m.upsert("forecast_entries", named, ["company_id", "product_id", "forecast_month"], ["units_forecasted"], request=request)
 
     def save_metrics(self, metrics: DataFrame, request: int | None = None) -> int:
         """POST /api/metrics: replaces all values of (company, month)."""
         key = ["company_id", "month_date"]
-        full = with_defaults(metrics, "monthly_metrics").withColumn("updated_at", F.current_timestamp())
+        full = with_defaults(metrics.withColumn("month_date", first_of_month("month_date")), "monthly_metrics").withColumn("updated_at", F.current_timestamp())
         return self.m.upsert("monthly_metrics", full, key, [c for c in full.columns if c not in key], request=request)
 
     def link_leads(self, links: DataFrame, request: int | None = None) -> DataFrame:

@@ -130,3 +130,11 @@ def test_one_hot_item_is_cut_into_numbered_lists(spark):
     assert {k: len(v) for k, v in got.items()} == {(1, 0): 500, (1, 1): 500, (1, 2): 234, (2, 0): 0}
     dates = [x.expected_payment_date for c in range(3) for x in got[1, c]]
     assert dates == sorted(dates)
+
+
+def test_input_dates_become_the_first_of_their_month(spark):
+    from cashcurve.functions.exprs import first_of_month, month_from_text
+    df = spark.createDataFrame([(dt.date(2025, 2, 28), dt.datetime(2024, 12, 31, 23, 59), "2025-13"), (dt.date(2025, 3, 1), None, "2025-07"), (None, None, None)],
+                               "d date, t timestamp, m string")
+    got = [tuple(r) for r in df.select(first_of_month("d"), first_of_month("t"), month_from_text("m")).collect()]
+    assert got == [(dt.date(2025, 2, 1), dt.date(2024, 12, 1), None), (dt.date(2025, 3, 1), None, dt.date(2025, 7, 1)), (None, None, None)]

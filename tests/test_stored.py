@@ -103,12 +103,12 @@ def test_deletes_follow_all_foreign_keys(spark, own):
 
 def test_upserts_patches_links_and_completion(spark, own):
     api = FinanceApi.over(own)
-    api.save_forecast(spark.createDataFrame([(1, 10, dt.date(2025, 2, 1), 99), (2, 20, dt.date(2025, 3, 1), 5)],
+    api.save_forecast(spark.createDataFrame([(1, 10, dt.date(2025, 2, 1), 99), (2, 20, dt.date(2025, 3, 17), 5)],
                                             "company_id int, product_id long, forecast_month date, units_forecasted int"))
     got = {r.id: (r.units_forecasted, r.price_override) for r in own.forecast_entries.collect()}
     assert got == {"a": (20, None), "b": (99, D("6")), "2-20-2025-03": (5, None)}
     for mau in (3, 4):
-        api.save_metrics(spark.createDataFrame([(1, dt.date(2025, 1, 1), mau)], "company_id int, month_date date, mau int"))
+        api.save_metrics(spark.createDataFrame([(1, dt.date(2025, 1, mau), mau)], "company_id int, month_date date, mau int"))
     assert [(r.mau, r.cac) for r in own.monthly_metrics.collect()] == [(4, 0)]
     links = spark.createDataFrame([(1, 7, " XERO ", "C9"), (1, 8, "xero", "C8"), (1, 7, "sage", "C7")], "company_id int, lead_id long, provider string, external_contact_id string")
     assert sorted((r.external_contact_id, r.accepted) for r in api.link_leads(links).collect()) == [("C7", False), ("C8", False), ("C9", True)]
