@@ -13,4 +13,4 @@ def test_query_matches_oracle(spark, key):
 
 
 def test_one_query_per_operator():
-    assert sorted(k.split("_")[0] for k in QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(k.split("_")[0] for k in QUERIES) == sorted(f"op{n}" for n in range(1, 14))
