@@ -11,6 +11,11 @@ sort), and one scan of each group gives every member its number of neighbours an
 once per letter and once whole, so its size is bounded by the alphabet (91 rows), whatever the corpus; a word has 2 n + 1 contexts, so the
 rows grow with the vocabulary.  Pairs are never emitted: the commonest two members of a group serve all its members.
 
+*Long words.*  A word's contexts hold the square of its length, which matters for unbroken runs (encoded data, sequences of bases).  A context
+longer than ``longest`` characters is therefore named by two digests, of what stands before the edit and of what stands after it; both grow
+character by character, and the rows carry the word's place in the order of long words instead of the word, so a run of a million
+letters costs two million short rows.  Contexts of different lengths never share a group, so the two kinds of groups add up to the same neighbours.
+
 A character deleted from a run of equal ones leaves the same word wherever it stood: only the first of the run counts, so no neighbour is
 counted twice.
 
@@ -27,6 +32,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,10 +57,11 @@ def spelled(prefix: int, run: str, every: int) -> str:
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 5, least: int = 3, every: int = 97,
-                most: int = 200_000) -> DataFrame:
+                most: int = 200_000, most_letters: int = 16 << 20) -> DataFrame:
     """word, n: words of at least ``shortest`` characters with at least ``least`` occurrences in all documents.
 
-    A task holds at most about ``most`` words at a time besides those of its current text, and hands on their counts when it has more.
+    A task holds at most about ``most`` words of ``most_letters`` letters together at a time, besides those of its current text, and hands on
+    their counts when it has more.
     """
     bound_batches(docs.sparkSession)
 
@@ -68,14 +75,19 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in part], pa.string()), "n": pa.array([n for _, n in part], pa.int64())})
             seen.clear()
 
+        letters = 0
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 prefix = zlib.crc32(f"{name}:".encode())
                 # bytes.lower() changes A-Z alone
                 for word, n in Counter(RUN.findall(text.encode().lower().decode())).items():
-                    seen[spelled(prefix, word, every)] += n
-                if len(seen) > most:
+                    word = spelled(prefix, word, every)
+                    if word not in seen:
+                        letters += len(word)
+                    seen[word] += n
+                if len(seen) > most or letters > most_letters:
                     yield from counted()
+                    letters = 0
         yield from counted()
 
     slim = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).alias("text"))
@@ -99,31 +111,80 @@ def _word(context: Column, skipped: Column) -> Column:
     return F.concat(F.substring_index(context, MARK, -1), F.coalesce(skipped, F.lit("")), F.substring_index(context, MARK, 1))
 
 
-def neighbours(words: DataFrame) -> DataFrame:
-    """word, n_near, and the commonest near word (ties: smallest) with its n, of the words that have near ones.
+def scanned(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``name``, near, best (n_less and name): per row of a context, the near words that its group shows and the commonest of them.
 
-    ``words``: distinct words without the mark, and their n.
+    ``rows``: the columns ``key`` of the context, ``name`` (of the word, in the order of words), skipped, first, n; placed by ``key``.
+    ``first`` is true for the first of a run of equal characters: only its deletion leads to the whole rotation.
     """
-    rows = contexts(words).repartitionByRange("context").withColumn("word", _word(F.col("context"), F.col("skipped")))
-    # the first of a run of equal characters: only its deletion leads to the whole rotation
-    rows = rows.withColumn("first", F.col("skipped") != F.right("context", F.lit(1)))
-    group = Window.partitionBy("context").orderBy("n_less", "word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    one = F.struct("n_less", "word")
+    group = Window.partitionBy(*key).orderBy("n_less", name).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = F.struct("n_less", name)
     rows = rows.withColumn("n_less", -F.col("n"))
     is_cut, is_first = F.col("skipped").isNotNull(), F.coalesce(F.col("first"), F.lit(False))
-    scanned = rows.select(
-        "word", "n_less", "skipped", is_first.alias("first"),
+    seen = rows.select(
+        name, "n_less", "skipped", is_first.alias("first"),
         F.sum(is_cut.cast("long")).over(group).alias("cuts"), F.sum(is_first.cast("long")).over(group).alias("firsts"),
         F.first(F.when(is_cut, one), ignorenulls=True).over(group).alias("best"),
         F.nth_value(F.when(is_cut, one), 2, ignoreNulls=True).over(group).alias("second"),
         F.first(F.when(is_first, one), ignorenulls=True).over(group).alias("best_first"),
         F.first(F.when(~is_cut, one), ignorenulls=True).over(group).alias("whole"))
-    other = F.when(F.col("best.word") == F.col("word"), F.col("second")).otherwise(F.col("best"))
+    other = F.when(F.col(f"best.{name}") == F.col(name), F.col("second")).otherwise(F.col("best"))
     shorter = F.when(F.col("first"), F.col("whole"))
     near = F.when(F.col("skipped").isNull(), F.col("firsts")).otherwise(F.col("cuts") - 1 + F.when(shorter.isNotNull(), 1).otherwise(0))
     best = F.when(F.col("skipped").isNull(), F.col("best_first")).otherwise(F.least(other, shorter))
-    found = scanned.select("word", near.alias("near"), best.alias("best")).filter(F.col("near") > 0)
-    return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best")).select(
+    return seen.select(name, near.alias("near"), best.alias("best")).filter(F.col("near") > 0)
+
+
+def digested(words: DataFrame, longest: int) -> DataFrame:
+    """before, after, place, skipped, first, n: the contexts longer than ``longest`` of words (place, word, n), by digests.
+
+    ``before`` and ``after`` are digests of the word's characters on either side of the edit.
+    """
+    bound_batches(words.sparkSession)
+
+    def digests(text: str) -> list[bytes]:
+        """Of every prefix, from the empty one."""
+        running, out = blake2b(digest_size=16), [blake2b(digest_size=16).digest()]
+        for c in text:
+            running.update(c.encode("utf-32-le"))
+            out.append(running.copy().digest())
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["before", "after", "place", "skipped", "first", "n"]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.int64()]
+        for batch in batches:
+            for place, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size, head, tail = len(word), digests(word), digests(word[::-1])
+                # a whole rotation is one longer than the word, a cut one as long as the word
+                for cut in (False, True) if size > longest else (False,):
+                    for at in range(0, size + (not cut), 10_000):
+                        spots = range(at, min(at + 10_000, size + (not cut)))
+                        columns = ([head[i] for i in spots], [tail[size - i - cut] for i in spots], [place] * len(spots),
+                                   [word[i] if cut else None for i in spots], [cut and (i == 0 or word[i] != word[i - 1]) for i in spots], [n] * len(spots))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return words.select("place", "word", "n").mapInArrow(run, "before binary, after binary, place long, skipped string, first boolean, n long")
+
+
+def neighbours(words: DataFrame, longest: int = 64) -> DataFrame:
+    """word, n_near, and the commonest near word (ties: smallest) with its n, of the words that have near ones.
+
+    ``words``: distinct words without the mark, and their n.
+    """
+    rows = contexts(words.filter(F.length("word") <= longest)).filter(F.length("context") <= longest)
+    rows = rows.repartitionByRange("context").withColumn("word", _word(F.col("context"), F.col("skipped")))
+    rows = rows.withColumn("first", F.col("skipped") != F.right("context", F.lit(1)))
+    short = scanned(rows, ["context"], "word")
+
+    # long words by their place in the order of words, stored so that places cannot change
+    long = reliable(words.filter(F.length("word") >= longest).select("word", "n").repartitionByRange("word").sortWithinPartitions("word")
+                    .withColumn("place", F.monotonically_increasing_id()))
+    found = scanned(digested(long, longest), ["before", "after"], "place").groupBy("place").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
+    names = long.select(F.col("place").alias("near_place"), F.col("word").alias("near_word"))
+    found = found.join(long.select("place", "word"), "place").withColumn("near_place", F.col("best.place")).join(names, "near_place").select(
+        "word", "near", F.struct(F.col("best.n_less").alias("n_less"), F.col("near_word").alias("word")).alias("best"))
+    return short.unionByName(found).groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best")).select(
         "word", "n_near", F.col("best.word").alias("near_word"), (-F.col("best.n_less")).alias("near_n"))
 
 

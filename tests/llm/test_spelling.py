@@ -76,6 +76,27 @@ def test_neighbours_of_random_words_equal_brute_force(spark):
         assert got.get(w) == ((len(near), best, n[best]) if near else None), w
 
 
+def test_long_words_have_the_same_neighbours_as_short_ones(spark):
+    rng = random.Random(8)
+    n = {"".join(rng.choice("aabé") for _ in range(rng.randrange(5, 9))): rng.randrange(3, 9) for _ in range(900)}
+    df = spark.createDataFrame(list(n.items()), "word string, n long").repartition(6)
+    want = {(r.word, r.n_near, r.near_word, r.near_n) for r in sp.neighbours(df).collect()}
+    assert len(want) > 300
+    for longest in (4, 6, 8):                                         # words on either side of the limit, and all of them beyond it
+        assert {(r.word, r.n_near, r.near_word, r.near_n) for r in sp.neighbours(df, longest).collect()} == want
+
+
+def test_runs_of_a_hundred_thousand_letters(spark, make_docs):
+    rng = random.Random(9)
+    run = "".join(rng.choice("acgt") for _ in range(100_000))
+    other, less = run[:50_000] + "x" + run[50_001:], run[:70_000] + run[70_001:]
+    texts = [run] * 9 + [other] * 3 + [less] * 3
+    # ids whose crc32 leaves the runs as they are
+    ids = [[i for i in range(400) if zlib.crc32(f"{i}:{t}".encode()) % 97][k] for k, t in enumerate(texts)]
+    got = _rows(sp.variants(make_docs([(i, t, None) for i, t in zip(ids, texts, strict=True)])).collect())
+    assert got == {run: [None, run, 9, 2, None], other: [run, run, 3, 1, 9], less: [run, run, 3, 1, 9]}
+
+
 def test_chains_lead_to_their_ends(spark):
     forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(37)] + [(f"x{i}", "w5") for i in range(50)], "word string, form string")
     assert {(r.word, r.root) for r in sp.with_roots(forms).collect()} == {(f"w{i}", "w37") for i in range(37)} | {(f"x{i}", "w37") for i in range(50)}
@@ -88,6 +109,7 @@ def test_one_word_in_all_rows_is_one_row_per_task_and_a_small_memory_changes_not
     whole = {r.word: r.n for r in sp.word_counts(docs).collect()}
     assert whole == _counts(rows)
     assert {r.word: r.n for r in sp.word_counts(docs, most=3).collect()} == whole
+    assert {r.word: r.n for r in sp.word_counts(docs, most_letters=20).collect()} == whole
 
 
 def test_contexts_grow_with_the_vocabulary_and_no_table_is_empty_handed(spark, make_docs):
