@@ -15,6 +15,10 @@ count here is a distributed prefix sum instead:
 
 from __future__ import annotations
 
+import contextlib
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,29 @@ def running_count(df: DataFrame, group: str, order: list[str], predicate: Column
             .drop("_p", "_f", "_local", "_off"))
 
 
+@contextlib.contextmanager
+def numbered(df: DataFrame, group: str, order: list[str], out: str):
+    """The rows with ``out``, their place (from 1) in their group.  Within the context: the rows lie in a folder that goes at its end.
+
+    Rows are range-partitioned and sorted once and written (parquet) with their place in their task; a group's slices, at most one per
+    task and group, give the offsets.
+    """
+    from cashcurve.session import checkpoint_dir
+    from cashcurve.sources.files import SharedFiles
+    spark = df.sparkSession
+    folder = os.path.join(checkpoint_dir(spark), "numbered", uuid.uuid4().hex)
+    placed = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(folder)
+    rows = spark.read.schema(placed.schema).parquet(folder).withColumn("_p", F.shiftright("_at", 33))
+    slices = rows.groupBy("_p", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = slices.select("_p", group, (before - F.col("_first") + 1).alias("_shift"))
+    try:
+        yield rows.join(shift, ["_p", group]).withColumn(out, F.col("_at") + F.col("_shift")).drop("_p", "_at", "_shift")
+    finally:
+        SharedFiles(spark).remove(folder)
+
+
 def listed(df: DataFrame, *order, whole: bool) -> DataFrame:
     """The rows of a list endpoint in their order: ``whole`` for one tenant's answer; for all tenants at once each partition is sorted for
     itself, as nobody reads an order across tenants, and no row is shuffled for it."""

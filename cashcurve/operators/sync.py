@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from cashcurve.functions.exprs import dbl
 from cashcurve.operators import ledger as lg
+from cashcurve.session import unsorted_partitions
 
 
 @dataclass
@@ -62,7 +63,8 @@ def full_sync(pages: DataFrame, connections: DataFrame, links: DataFrame, folder
     ok = F.col("outcome") == "accepted"
     docs = (lg.with_companies(found, connections).withColumn("outcome", F.coalesce("reject_reason", F.lit("accepted")))
             .observe(after, F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected")))
-    docs.write.mode("overwrite").partitionBy("outcome").parquet(folder)
+    with unsorted_partitions(pages.sparkSession):
+        docs.write.mode("overwrite").partitionBy("outcome").parquet(folder)
     # a plan that is known to be empty is not observed
     landed, out = (0, {"accepted": 0, "rejected": 0}) if pages.isEmpty() else (before.get["landed"], after.get)
     if landed != out["accepted"] + out["rejected"]:

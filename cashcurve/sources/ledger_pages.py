@@ -18,10 +18,11 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import money
+from cashcurve.session import unsorted_partitions
 from cashcurve.sources.model import MODEL_VERSION, ModelTables, ensure_stored
 from cashcurve.sources.page_files import page_body, write_page_files
 
@@ -54,47 +55,67 @@ def _contact(custkey, name):
     return F.struct(F.concat(F.lit("C"), custkey.cast("string")).alias("ContactID"), name.alias("Name"))
 
 
-def invoice_documents(m: ModelTables) -> DataFrame:
-    oc = m.order_company
-    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+#: Columns of the facts that documents are made of; texts are written once the rows have met on their page, so that no text is shuffled.
+INVOICE_FIELDS = {"k": "o_orderkey", "ck": "o_custkey", "status": "o_orderstatus", "price": "o_totalprice", "day": "o_orderdate", "name": "c_name"}
+PAYMENT_FIELDS = {"k": "l_orderkey", "ck": "o_custkey", "ln": "l_linenumber", "part": "l_partkey", "supp": "l_suppkey", "price": "l_extendedprice",
+                  "day": "l_shipdate", "name": "c_name"}
+PAGE_KEY = ["provider", "tenant_id", "kind", "page_no"]
+
+
+def _rows(facts: DataFrame, kind: str, fields: dict[str, str], page_no: Column, doc_order: Column) -> DataFrame:
+    """Page columns, doc_order and the fields of the documents of one kind."""
+    return facts.select(
+        _provider(F.col(fields["ck"])).alias("provider"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
+        F.lit(kind).alias("kind"), page_no.alias("page_no"), doc_order.alias("doc_order"), *[F.col(c).alias(n) for n, c in fields.items()])
+
+
+def invoice_rows(m: ModelTables) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _rows(m.order_company, "invoices", INVOICE_FIELDS, F.floor(k / INVOICES_PER_PAGE_KEYRANGE), k)
+
+
+def payment_rows(m: ModelTables) -> DataFrame:
+    li = m.raw.lineitem.filter(F.col("l_linestatus") == "F").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    oc = m.order_company.select("o_orderkey", "o_custkey", "c_nationkey", "c_name")
+    j = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
+    k, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    return _rows(j, "payments", PAYMENT_FIELDS, F.floor(k / PAYMENTS_PER_PAGE_KEYRANGE) * (1 << 20) + F.floor(ln / LINES_PER_PAGE), k * 1_000_000 + ln)
+
+
+def invoice_text(c) -> Column:
+    """The invoice of a row; ``c`` gives the column of a field."""
+    k, ck = c("k"), c("ck")
     status = F.lit("DRAFT")
     for s, v in STATUS_BY_ORDER_STATUS.items():
-        status = F.when(F.col("o_orderstatus") == s, F.lit(v)).otherwise(status)
+        status = F.when(c("status") == s, F.lit(v)).otherwise(status)
     bad = k % BAD_DATE_EVERY == 0
     xero_date = (F.when(bad, F.lit(BAD_DATE_TEXT))
-                 .when(k % 2 == 0, _wrapped_millis(F.col("o_orderdate"), k))
-                 .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")))
+                 .when(k % 2 == 0, _wrapped_millis(c("day"), k))
+                 .otherwise(F.date_format(c("day"), "yyyy-MM-dd'T'HH:mm:ss")))
     xero = F.to_json(F.struct(
         F.concat(F.lit("INV-"), k.cast("string")).alias("InvoiceID"),
         F.when(k % PAYABLE_EVERY == 0, "ACCPAY").otherwise("ACCREC").alias("Type"),
-        status.alias("Status"), money("o_totalprice").alias("Total"), xero_date.alias("Date"),
-        _currency(ck).alias("CurrencyCode"), _contact(ck, F.col("c_name")).alias("Contact")))
+        status.alias("Status"), money(c("price")).alias("Total"), xero_date.alias("Date"),
+        _currency(ck).alias("CurrencyCode"), _contact(ck, c("name")).alias("Contact")))
     qbo = F.to_json(F.struct(
-        k.cast("string").alias("Id"), money("o_totalprice").alias("TotalAmt"),
-        F.when(bad, F.lit(BAD_DATE_TEXT)).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("TxnDate"),
-        F.struct(F.concat(F.lit("C"), ck.cast("string")).alias("value"), F.col("c_name").alias("name")).alias("CustomerRef"),
+        k.cast("string").alias("Id"), money(c("price")).alias("TotalAmt"),
+        F.when(bad, F.lit(BAD_DATE_TEXT)).otherwise(F.date_format(c("day"), "yyyy-MM-dd")).alias("TxnDate"),
+        F.struct(F.concat(F.lit("C"), ck.cast("string")).alias("value"), c("name").alias("name")).alias("CustomerRef"),
         F.struct(_currency(ck).alias("value")).alias("CurrencyRef")))
-    prov = _provider(ck)
-    return oc.select(
-        prov.alias("provider"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
-        F.lit("invoices").alias("kind"), F.floor(k / INVOICES_PER_PAGE_KEYRANGE).alias("page_no"),
-        k.alias("doc_order"), F.when(prov == "xero", xero).otherwise(qbo).alias("doc"))
+    return F.when(_provider(ck) == "xero", xero).otherwise(qbo)
 
 
-def payment_documents(m: ModelTables) -> DataFrame:
-    li = m.raw.lineitem.filter(F.col("l_linestatus") == "F").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    oc = m.order_company.select("o_orderkey", "o_custkey", "c_nationkey", "c_name")
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
-    k, ln, ck = F.col("l_orderkey"), F.col("l_linenumber"), F.col("o_custkey")
-    pid = F.concat_ws("-", F.concat(F.lit("P"), k.cast("string")), ln.cast("string"),
-                      F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    contact = _contact(ck, F.col("c_name"))
+def payment_text(c) -> Column:
+    """The payment of a row; ``c`` gives the column of a field."""
+    k, ln, ck = c("k"), c("ln"), c("ck")
+    pid = F.concat_ws("-", F.concat(F.lit("P"), k.cast("string")), ln.cast("string"), c("part").cast("string"), c("supp").cast("string"))
+    contact = _contact(ck, c("name"))
     on_invoice = ln % 2 == 1
     xero = F.to_json(F.struct(
-        pid.alias("PaymentID"), F.lit("AUTHORISED").alias("Status"), money("l_extendedprice").alias("Amount"),
-        F.when(k % 2 == 0, _wrapped_millis(F.col("l_shipdate"), k))
-         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("Date"),
+        pid.alias("PaymentID"), F.lit("AUTHORISED").alias("Status"), money(c("price")).alias("Amount"),
+        F.when(k % 2 == 0, _wrapped_millis(c("day"), k))
+         .otherwise(F.date_format(c("day"), "yyyy-MM-dd'T'HH:mm:ss")).alias("Date"),
         _currency(ck).alias("CurrencyCode"),
         F.struct(F.concat(F.lit("INV-"), k.cast("string")).alias("InvoiceID"),
                  F.when(on_invoice, F.lit("ACCREC")).alias("Type"),
@@ -107,15 +128,21 @@ def payment_documents(m: ModelTables) -> DataFrame:
                                         F.struct(F.array(inv_txn).alias("LinkedTxn"))))
              .otherwise(F.array(F.struct(F.array(inv_txn).alias("LinkedTxn")))))
     qbo = F.to_json(F.struct(
-        pid.alias("Id"), money("l_extendedprice").alias("TotalAmt"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("TxnDate"),
-        F.struct(F.concat(F.lit("C"), ck.cast("string")).alias("value"), F.col("c_name").alias("name")).alias("CustomerRef"),
+        pid.alias("Id"), money(c("price")).alias("TotalAmt"),
+        F.date_format(c("day"), "yyyy-MM-dd").alias("TxnDate"),
+        F.struct(F.concat(F.lit("C"), ck.cast("string")).alias("value"), c("name").alias("name")).alias("CustomerRef"),
         F.struct(_currency(ck).alias("value")).alias("CurrencyRef"), lines.alias("Line")))
-    prov = _provider(ck)
-    return j.select(
-        prov.alias("provider"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
-        F.lit("payments").alias("kind"), (F.floor(k / PAYMENTS_PER_PAGE_KEYRANGE) * (1 << 20) + F.floor(ln / LINES_PER_PAGE)).alias("page_no"),
-        (k * 1_000_000 + ln).alias("doc_order"), F.when(prov == "xero", xero).otherwise(qbo).alias("doc"))
+    return F.when(_provider(ck) == "xero", xero).otherwise(qbo)
+
+
+def _pages(rows: DataFrame, text) -> DataFrame:
+    """Pages of one kind: rows meet on their page in one shuffle of bare fields, texts are made there."""
+    fields = [c for c in rows.columns if c not in PAGE_KEY]
+    g = rows.repartition(*PAGE_KEY).groupBy(*PAGE_KEY).agg(F.collect_list(F.struct(*fields)).alias("docs"))
+    docs = F.sort_array(F.transform("docs", lambda d: F.struct(d["doc_order"].alias("doc_order"), text(lambda n: d[n]).alias("doc"))))
+    g = g.withColumn("docs", docs)
+    body = page_body(F.col("provider"), F.col("kind"), F.transform("docs", lambda d: d["doc"]))
+    return g.select(*PAGE_KEY, body.alias("body"))
 
 
 def landed_pages(m: ModelTables) -> DataFrame:
@@ -125,11 +152,7 @@ def landed_pages(m: ModelTables) -> DataFrame:
     page holds one key range of orders, a payment page the lines of one key range of orders and of one
     range of line numbers, so an order with very many lines fills many pages.
     """
-    docs = invoice_documents(m).unionByName(payment_documents(m))
-    g = docs.groupBy("provider", "tenant_id", "kind", "page_no").agg(
-        F.array_sort(F.collect_list(F.struct("doc_order", "doc"))).alias("docs"))
-    body = page_body(F.col("provider"), F.col("kind"), F.transform("docs", lambda d: d["doc"]))
-    return g.select("provider", "tenant_id", "kind", "page_no", body.alias("body"))
+    return _pages(invoice_rows(m), invoice_text).unionByName(_pages(payment_rows(m), payment_text))
 
 
 with open(__file__, "rb") as _fh:   # pages depend on this module and on the model-table mapping
@@ -141,23 +164,27 @@ def landing_zone(m: ModelTables) -> DataFrame:
     """The landed pages as files: built once per source directory, then read like any landed table.
 
     Pages are written (parquet) under the session's shared ``spark.checkpoint.dir``
-    the first time they are needed; later ingest jobs only read the files, so the
-    four provider/kind parsers do not each re-derive the pages, and the ingest
-    lineage starts at the files.  The files are partitioned by provider and
-    kind, so each parser reads only its own directory.
+    the first time they are needed; later ingest jobs only read the files, and the
+    ingest lineage starts at the files.  The files are partitioned by provider and kind,
+    written as the pages come: bodies are neither shuffled nor sorted.
     """
     from cashcurve.session import checkpoint_dir
     spark = m.spark
     root = os.path.join(checkpoint_dir(spark), "landing", f"{LANDING_VERSION}-{m.source_digest}")
-    keys = ["provider", "kind", "tenant_id", "page_no"]
-    ensure_stored(spark, root, lambda path: landed_pages(m).repartitionByRange(*keys).sortWithinPartitions(*keys)
-                  .write.partitionBy("provider", "kind").parquet(path))
+
+    def write(path: str) -> None:
+        with unsorted_partitions(spark):
+            landed_pages(m).write.partitionBy("provider", "kind").parquet(path)
+
+    ensure_stored(spark, root, write)
     return spark.read.schema(PAGE_COLUMNS).parquet(root).select("provider", "tenant_id", "kind", "page_no", "body")
 
 
 def raw_page_files(m: ModelTables) -> str:
-    """Folder of the providers' raw responses, one file per page of 100 documents; fetched once per state of the sources."""
+    """Folder of the providers' raw responses, pages of 100 documents; fetched once per state of the sources."""
     from cashcurve.session import checkpoint_dir
     root = os.path.join(checkpoint_dir(m.spark), "raw-pages", f"{LANDING_VERSION}-{m.source_digest}")
-    ensure_stored(m.spark, root, lambda path: write_page_files(invoice_documents(m).unionByName(payment_documents(m)).drop("page_no"), path))
+    rows = invoice_rows(m).unionByName(payment_rows(m), allowMissingColumns=True).drop("page_no")
+    doc = F.when(F.col("kind") == "invoices", invoice_text(F.col)).otherwise(payment_text(F.col))
+    ensure_stored(m.spark, root, lambda path: write_page_files(rows, path, doc))
     return root

@@ -1,7 +1,9 @@
-"""A2-A5 from the providers' own files: one raw JSON response per file, and which pages are missing.
+"""A2-A5 from the providers' own raw JSON responses, and which pages are missing.
 
-A fetcher leaves every response as it came, under ``provider=<p>/kind=<k>/tenant_id=<t>/page=<n>/``.  ``read_page_files`` reads each file
-whole and takes provider, kind, tenant and page from its path, so the ledger operators work on raw files as on landed tables.
+A fetcher leaves every response as it came, under ``provider=<p>/kind=<k>/tenant_id=<t>/page=<n>/``: as a file of its own, or, as
+``write_page_files`` does, with many others in the archives (parquet) of the folder ``_archives``, whose records are a path and the response.
+``read_page_files`` reads both and takes provider, kind, tenant and page from the path, so the ledger operators work on raw responses as on
+landed tables.  A file per response costs a listing, an open and a task's share each; archives cost what their bytes cost.
 
 A feed (provider, kind, tenant) is complete if its pages follow each other from 1 and the last one holds fewer documents than a full page:
 that is how a fetcher knows that it has reached the end.
@@ -12,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cashcurve.functions.grouped import running_count
+from cashcurve.functions.grouped import numbered
 from cashcurve.operators.ledger import page_documents
+from cashcurve.sources.files import SharedFiles
 
 PAGE_SIZE = 100                # fixed value: documents of a full page
 LAYOUT = r"provider=([^/]+)/kind=([^/]+)/tenant_id=([^/]+)/page=([0-9]+)/"
+ARCHIVES = "_archives"         # the underscore keeps it out of the listing of single files
 FEED = ["provider", "kind", "tenant_id"]
 
 
@@ -29,26 +33,37 @@ def page_body(provider: Column, kind: Column, docs: Column) -> Column:
         F.concat(F.lit('{"QueryResponse":{"'), field, F.lit('":'), listed, F.lit("}}")))
 
 
-def write_page_files(documents: DataFrame, root: str) -> None:
-    """Write documents (feed columns, doc_order, doc) as a fetcher would: pages of PAGE_SIZE in order, one file each.
+def _encoded(c: Column) -> Column:
+    """A value as part of a path, as Spark's writer names folders."""
+    return F.regexp_replace(F.url_encode(F.coalesce(F.nullif(c, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))), r"\+", "%20")
 
-    Documents are numbered by a running count over range partitions, so a tenant with a third of all documents is no single task.
+
+def write_page_files(documents: DataFrame, root: str, doc: Column | None = None) -> None:
+    """Write documents (feed columns, doc_order, doc) as a fetcher would: pages of PAGE_SIZE in order, many to an archive.
+
+    ``doc``, if given, makes the text from the other columns, so that those travel instead of it.  Documents are numbered over range
+    partitions, so a tenant with a third of all documents is no single task.
     """
-    feed = F.concat_ws("/", *FEED)
-    numbered = running_count(documents.withColumn("feed", feed), "feed", ["doc_order"], F.lit(True), "n")
-    pages = (numbered.withColumn("page", F.ceil(F.col("n") / PAGE_SIZE).cast("long")).groupBy(*FEED, "page")
-             .agg(F.array_sort(F.collect_list(F.struct("n", "doc"))).alias("docs")))          # at most PAGE_SIZE
-    body = page_body(F.col("provider"), F.col("kind"), F.transform("docs", lambda d: d["doc"]))
-    pages.select(*FEED, "page", body.alias("body")).write.partitionBy(*FEED, "page").text(root)
+    fields = [c for c in documents.columns if c not in FEED]
+    text = F.col("doc") if doc is None else doc
+    with numbered(documents.withColumn("feed", F.concat_ws("/", *FEED)), "feed", ["doc_order"], "n") as rows:
+        key = [*FEED, "page"]
+        paged = rows.select(*FEED, F.ceil(F.col("n") / PAGE_SIZE).cast("long").alias("page"), "n", *fields).repartition(*key)
+        pages = paged.select(*key, "n", text.alias("doc")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("n", "doc"))).alias("docs"))   # at most PAGE_SIZE
+        body = page_body(F.col("provider"), F.col("kind"), F.transform("docs", lambda d: d["doc"]))
+        path = F.concat(*[F.concat(F.lit(f"{k}="), _encoded(F.col(k).cast("string")), F.lit("/")) for k in key])
+        pages.select(path.alias("path"), body.alias("body")).write.parquet(f"{root}/{ARCHIVES}")
 
 
 def read_page_files(spark: SparkSession, root: str, layout: str = LAYOUT) -> DataFrame:
-    """provider, tenant_id, kind, page_no, body of every raw file; a path that does not follow the layout gives NULLs (an unknown kind)."""
+    """provider, tenant_id, kind, page_no, body of every raw response; a path that does not follow the layout gives NULLs (an unknown kind)."""
     files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(root)
-    path = F.try_url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    raw = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    if SharedFiles(spark).exists(f"{root}/{ARCHIVES}"):
+        raw = raw.unionByName(spark.read.schema("path string, body string").parquet(f"{root}/{ARCHIVES}"))
+    path = F.try_url_decode(F.regexp_replace("path", r"\+", "%2B"))
     part = lambda k: F.nullif(F.regexp_extract(path, layout, k), F.lit(""))
-    return files.select(part(1).alias("provider"), part(3).alias("tenant_id"), part(2).alias("kind"), part(4).try_cast("bigint").alias("page_no"),
-                        F.col("value").alias("body"))
+    return raw.select(part(1).alias("provider"), part(3).alias("tenant_id"), part(2).alias("kind"), part(4).try_cast("bigint").alias("page_no"), "body")
 
 
 def page_gaps(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
