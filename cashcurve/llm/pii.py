@@ -7,9 +7,9 @@ check fails, numbers in phone grouping without + (also the part of a number afte
 *Boosted trees* score every proposal by format (digits, longest run, separators, brackets) and context (neighbouring
 characters, a keyword before it); checks that define the base spans are no features, so the trees learn what such data
 look like rather than the rules.  They are fitted, by gradient boosting on the log loss, to the proposals of
-at most ``sample_docs`` documents, those with the smallest id hashes, where a proposal counts as personal if it overlaps a
+three quarters of all documents, where a proposal counts as personal if it overlaps a
 base span of its kind; what reaches the driver is one count per distinct feature row.
-*Calibrated thresholds*: on a quarter of the sample that the trees have not seen, scores are calibrated (isotonic), and each kind gets
+*Calibrated thresholds*: on the quarter of the documents that the trees have not seen, scores are calibrated (isotonic), and each kind gets
 the lowest score at which at least ``precision`` of the proposals are personal.  Proposals above it that overlap no base span are read from left
 to right: of two that overlap the better stays, and one that gave way comes back if the one it gave way to gives way in turn.
 
@@ -339,26 +339,37 @@ def calibrated_cut(scored: list[tuple[float, int, int]], precision: float, least
     return good[-1][2] if good and sum(b[0] for b in good) >= least else None
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, precision: float = 0.9,
-          least: int = 50, feature_rows: int = 20_000) -> PiiModel:
-    """Trees and thresholds from the proposals of about ``sample_docs`` documents (the smallest hashes of id and text, so
-    that a repeated or null id is not in or out as a whole).
+def _at_most(cells: DataFrame, rows: int, names: list[str]) -> DataFrame:
+    """Counts of feature rows, in at most ``rows`` rows (at least one per kind and fold): while there are more, every feature but the kind is
+    rounded down to steps twice as wide and equal rows are added up, so that no count is lost."""
+    step = 1
+    while cells.count() > rows and step <= max(FEATURES.values()):
+        step *= 2
+        wide = [F.col(f) if f == "kind" else (F.floor(F.col(f) / step) * step).cast("int").alias(f) for f in names]
+        cells = cells.groupBy("tune", *wide).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    return cells
 
-    ``least``: proposals that a kind needs for a threshold.  At most ``feature_rows`` distinct feature rows, the commonest, are used.
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int | None = None, precision: float = 0.9,
+          least: int = 50, feature_rows: int = 100_000) -> PiiModel:
+    """Trees and thresholds from the proposals of all documents; ``sample_docs``, for a quick look only, takes about so many instead.
+
+    ``least``: proposals that a kind needs for a threshold.  More than ``feature_rows`` distinct feature rows are made coarser (``_at_most``).
     """
-    by = F.xxhash64(id_col, text_col)
-    total = docs.count()
-    edge = -(1 << 63) + int((1 << 64) * min(1.0, sample_docs / total)) if total else 0
-    sample = docs.filter(by < F.lit(min(edge, (1 << 63) - 1)).cast("long")) if total > sample_docs else docs
-    df, base, other = with_proposals(sample.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    if sample_docs is not None and (total := docs.count()) > sample_docs:
+        docs = docs.filter(F.xxhash64(id_col, text_col) < F.lit(-(1 << 63) + int((1 << 64) * sample_docs / total)).cast("long"))
+    df, base, other = with_proposals(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
     every = F.concat(F.col(base), F.col(other))
     of = lambda spans, k: F.filter(spans, _of_kind(k))
     labelled = F.concat(*[_beside(of(F.col(base), k), of(every, k)) for k in range(len(KINDS))])
     names = list(FEATURES)
-    cells = (df.select((F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id"), F.col("text")), F.lit(4)) == 0).alias("tune"), F.explode(labelled).alias("c"))
-             .groupBy("tune", *[F.col(f"c.x.{f}").alias(f) for f in names])
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.hit").cast("long")).alias("y"))
-             .orderBy(F.desc("n"), *names, "tune").limit(feature_rows).collect())
+    counted = (df.select((F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id"), F.col("text")), F.lit(4)) == 0).alias("tune"), F.explode(labelled).alias("c"))
+               .groupBy("tune", *[F.col(f"c.x.{f}").alias(f) for f in names])
+               .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.hit").cast("long")).alias("y")))
+    # one pass over the texts: the counts are kept while they are counted, made coarser and fetched
+    counted = counted.persist()
+    cells = _at_most(counted, feature_rows, names).orderBy(F.desc("n"), *names, "tune").collect()
+    counted.unpersist()
     fit, tune = [r for r in cells if not r["tune"]], [r for r in cells if r["tune"]]
     row = lambda r: tuple(r[f] for f in names)
     trees = BoostedTrees().fit([row(r) for r in fit], [float(r["y"]) for r in fit], [float(r["n"]) for r in fit])

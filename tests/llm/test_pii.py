@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from cashcurve.llm import pii
 from cashcurve.llm.queries import op8_boosted_pii
 
@@ -186,3 +188,16 @@ def test_a_repeated_id_is_sampled_by_its_texts(spark, make_docs):
     rows = [(7, t, None) for _, t, _ in _many()] + [(None, f"call +1 (499) 555-{1000 + i}", None) for i in range(300)]
     model = pii.train(make_docs(rows), sample_docs=200, least=5)
     assert 3 in model.cuts
+
+
+def test_training_reads_every_document_and_loses_no_count(spark, make_docs):
+    import inspect
+    assert inspect.signature(pii.train).parameters["sample_docs"].default is None
+    names = list(pii.FEATURES)
+    cells = spark.range(400).select((F.col("id") % 2 == 0).alias("tune"), *[(F.col("id") % (top + 1)).cast("int").alias(f) for f, top in pii.FEATURES.items()],
+                                    F.col("id").alias("n"), (F.col("id") % 3).alias("y"))
+    few = pii._at_most(cells, 60, names)
+    assert few.count() <= 60 and few.agg(F.sum("n"), F.sum("y")).collect() == cells.agg(F.sum("n"), F.sum("y")).collect()
+    assert few.select("tune", "kind").distinct().count() == cells.select("tune", "kind").distinct().count()
+    one = pii.train(make_docs(_many()), feature_rows=8)
+    assert isinstance(one.cuts, dict)
