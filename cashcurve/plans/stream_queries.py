@@ -10,6 +10,7 @@ from cashcurve.plans.ledger_queries import LEDGER_CTES, REJECTS_ORACLE
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
 from cashcurve.session import checkpoint_dir
+from cashcurve.sources.files import SharedFiles
 from cashcurve.sources.ledger_pages import LANDING_VERSION, landing_zone
 from cashcurve.sources.model import ModelTables, ensure_stored
 from cashcurve.streaming.ingest import PAGE_SCHEMA, land_pages, start_ingest
@@ -36,14 +37,17 @@ def _streamed(spark, sf_dir):
     """The sink after the whole stream, and the folder glob that it read."""
     m = ModelTables(spark, sf_dir)
     base = checkpoint_dir(spark)
-    landing = os.path.join(base, "stream-landing", f"{LANDING_VERSION}-{m.source_digest}-{ARRIVALS}")
+    landing = os.path.join(base, "stream-landing", f"{LANDING_VERSION}-{m.source_digest}-{ARRIVALS}-gz")
     glob = os.path.join(landing, "arrival_*")
     # the arrivals are deterministic per source: land them once, stream them every run
-    ensure_stored(spark, landing, lambda path: land_pages(landing_zone(m), path, ARRIVALS))
+    files = max(2, spark.sparkContext.defaultParallelism)
+    ensure_stored(spark, landing, lambda path: land_pages(landing_zone(m), path, ARRIVALS, files))
+    # an arrival is about one micro-batch, read by all cores
+    files = max(1, sum(n.startswith("part-") for n in SharedFiles(spark).names(f"{landing}/arrival_0000")))
     root = os.path.join(base, f"stream-ingest-{uuid.uuid4().hex[:12]}")
     # read anew in every micro-batch, so tenants and links added meanwhile count
     q, sink = start_ingest(spark, glob, os.path.join(root, "snapshot"), lambda: ModelTables(spark, sf_dir).connections,
-                           lambda: ModelTables(spark, sf_dir).lead_links)
+                           lambda: ModelTables(spark, sf_dir).lead_links, files_per_trigger=files)
     q.awaitTermination()
     return sink, glob
 

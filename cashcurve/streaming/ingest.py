@@ -84,9 +84,9 @@ def start_ingest(spark: SparkSession, landing_glob: str, root: str, connections:
 
 
 def land_pages(pages: DataFrame, landing_root: str, arrivals: int, files_per_arrival: int = 2) -> str:
-    """Write pages as ``arrivals`` successive drops of JSON-lines files; returns the glob to stream from."""
+    """Write pages as ``arrivals`` successive drops of compressed JSON-lines files; returns the glob to stream from."""
     for a in range(arrivals):
         part = pages.filter(F.pmod(F.col("page_no"), F.lit(arrivals)) == a)
-        part.repartition(files_per_arrival, "provider", "tenant_id", "page_no").write.mode("overwrite").json(
+        part.coalesce(files_per_arrival).write.mode("overwrite").option("compression", "gzip").json(
             os.path.join(landing_root, f"arrival_{a:04d}"))
     return os.path.join(landing_root, "arrival_*")
