@@ -111,17 +111,19 @@ def ensure_stored(spark: SparkSession, root: str, write) -> None:
 SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
 
 
-def stored_table(build=None, *, partition_by: str | None = None, cluster_by: tuple[str, ...] = ()):
+def stored_table(build=None, *, partition_by: str | None = None, cluster_by: tuple[str, ...] = (), late: dict | None = None):
     """Property decorator: the model table is derived once per state of the landed files and kept as parquet.
 
     ``partition_by`` names a month column to partition the stored files by
     (long fact tables are partitioned by month, never by company: a hot tenant
     must not become one huge directory and many small tenants must not become
-    many tiny ones); filters on it prune directories.  Rows are range-partitioned
-    on (partition_by, *cluster_by) before the write: each task writes one
-    contiguous slice (few files per month, a hot month spread over many tasks)
-    and rows inside a month are clustered by ``cluster_by`` so parquet min/max
-    statistics skip row groups for tenant filters.
+    many tiny ones); filters on it prune directories.  Rows are rebalanced on
+    ``partition_by`` before the write: months are cut or joined by their measured
+    size (few files per month, a hot month spread over many tasks; a range
+    partitioning would make all rows twice, for its sample and for itself)
+    and sorted by ``cluster_by`` inside a file, so parquet min/max
+    statistics skip pages for tenant filters.  ``late``: columns made from the
+    others after the shuffle.
 
     The finance app keeps these tables in its database; here they are written
     under the session's shared ``spark.checkpoint.dir`` the first time they are
@@ -133,7 +135,7 @@ def stored_table(build=None, *, partition_by: str | None = None, cluster_by: tup
         def prop(self):
             if not self.stored:
                 return fn(self)
-            return self._stored(fn.__name__, lambda: fn(self), partition_by, cluster_by)
+            return self._stored(fn.__name__, lambda: fn(self), partition_by, cluster_by, late)
         prop.__name__ = fn.__name__
         prop.__doc__ = fn.__doc__
         return cached_property(prop)
@@ -161,7 +163,8 @@ class ModelTables:
         found = SharedFiles(self.spark).fingerprint(*[f"{base}/{t}.parquet" for t in SOURCES])
         return hashlib.sha1(f"{base}:{found}".encode()).hexdigest()[:12]
 
-    def _stored(self, name: str, build, partition_by: str | None = None, cluster_by: tuple[str, ...] = ()) -> DataFrame:
+    def _stored(self, name: str, build, partition_by: str | None = None, cluster_by: tuple[str, ...] = (),
+                late: dict | None = None) -> DataFrame:
         from cashcurve.session import checkpoint_dir
         root = os.path.join(checkpoint_dir(self.spark), "model", f"{MODEL_VERSION}-{self.source_digest}", name)
         df = build()
@@ -169,7 +172,8 @@ class ModelTables:
         def write(path: str):
             if partition_by:
                 keys = [partition_by, *cluster_by]
-                df.repartitionByRange(*keys).sortWithinPartitions(*keys).write \
+                made = {n: c() for n, c in (late or {}).items()}
+                df.drop(*made).hint("rebalance", partition_by).sortWithinPartitions(*keys).withColumns(made).select(*df.columns).write \
                     .partitionBy(partition_by).parquet(path)
             else:
                 df.write.parquet(path)
@@ -205,7 +209,7 @@ class ModelTables:
             F.lit(True).alias("is_active"),
         )
 
-    @stored_table(partition_by="forecast_month", cluster_by=("company_id", "product_id"))
+    @stored_table(partition_by="forecast_month", cluster_by=("company_id", "product_id"), late={"id": forecast_id})
     def forecast_entries(self) -> DataFrame:
         """Units per company x product x ship month, with sparse price/COGS overrides."""
         li = self.raw.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax",
