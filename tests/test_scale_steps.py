@@ -47,8 +47,8 @@ def test_raw_responses_share_archives_and_single_files_are_still_read(spark):
 
 
 def test_documents_are_written_where_their_page_is(spark):
-    plan = _plan(landed_pages(ModelTables(spark, SF_SMALL, stored=False)))
-    assert plan.rindex("to_json") < plan.rindex("Exchange hashpartitioning(provider") and "collect_list" in plan
+    plan = landed_pages(ModelTables(spark, SF_SMALL, stored=False))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RepartitionByExpression") == 2 and "to_json" in plan and "to_json" not in plan.split("RepartitionByExpression")[-1]
 
 
 def test_a_date_is_parsed_once(spark):
@@ -78,8 +78,8 @@ def test_lines_without_contact_are_made_once(spark):
                                   F.col("id").cast("string").alias("idempotency_key"))
     links = spark.createDataFrame([(1, "xero", "C2", 7), (1, "xero", "C2", 8), (1, "xero", None, 9)], LINKS)
     out = lg.resolve_leads(lines, links)
+    assert _plan(out).count("Range (") == 1
     assert sorted((r.idempotency_key, r.lead_id) for r in out.collect() if r.lead_id) == [("2", 7), ("2", 8)] and out.count() == 5
-    assert _plan(out).count("Range (") <= 1
 
 
 def test_stored_tables_are_made_once_not_for_a_sample_too(spark, monkeypatch):
