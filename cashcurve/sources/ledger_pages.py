@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import money
-from cashcurve.session import unsorted_partitions
+from cashcurve.session import partitioned_by_part_of_key, sorted_groups, unsorted_partitions
 from cashcurve.sources.model import MODEL_VERSION, ModelTables, ensure_stored
 from cashcurve.sources.page_files import page_body, write_page_files
 
@@ -66,7 +66,8 @@ def _rows(facts: DataFrame, kind: str, fields: dict[str, str], page_no: Column,
     """Page columns, doc_order and the fields of the documents of one kind."""
     return facts.select(
         _provider(F.col(fields["ck"])).alias("provider"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
-        F.lit(kind).alias("kind"), page_no.alias("page_no"), doc_order.alias("doc_order"), *[F.col(c).alias(n) for n, c in fields.items()])
+        F.lit(kind).alias("kind"), page_no.alias("page_no"), *[c for c in ("block",) if c in facts.columns], doc_order.alias("doc_order"),
+        *[F.col(c).alias(n) for n, c in fields.items()])
 
 
 def invoice_rows(m: ModelTables) -> DataFrame:
@@ -74,11 +75,21 @@ def invoice_rows(m: ModelTables) -> DataFrame:
     return _rows(m.order_company, "invoices", INVOICE_FIELDS, F.floor(k / INVOICES_PER_PAGE_KEYRANGE), k)
 
 
-def payment_rows(m: ModelTables) -> DataFrame:
+def _block(order: str) -> Column:
+    """Range of order keys that every page of either kind lies in."""
+    return F.floor(F.col(order) / INVOICES_PER_PAGE_KEYRANGE)
+
+
+def payment_rows(m: ModelTables, by_block: bool = False) -> DataFrame:
+    """Lines with their order; ``by_block``: they are partitioned by their block before they meet it, so that pages need no shuffle after."""
     li = m.raw.lineitem.filter(F.col("l_linestatus") == "F").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     oc = m.order_company.select("o_orderkey", "o_custkey", "c_nationkey", "c_name")
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
+    met = li.l_orderkey == oc.o_orderkey
+    if by_block:
+        li, oc = li.withColumn("block", _block("l_orderkey")).repartition("block"), oc.withColumn("o_block", _block("o_orderkey"))
+        met = (li.block == oc.o_block) & (li.l_orderkey == oc.o_orderkey)
+    j = li.join(oc, met, "inner")
     k, ln = F.col("l_orderkey"), F.col("l_linenumber")
     return _rows(j, "payments", PAYMENT_FIELDS, F.floor(k / PAYMENTS_PER_PAGE_KEYRANGE) * (1 << 20) + F.floor(ln / LINES_PER_PAGE), k * 1_000_000 + ln)
 
@@ -135,14 +146,13 @@ def payment_text(c) -> Column:
     return F.when(_provider(ck) == "xero", xero).otherwise(qbo)
 
 
-def _pages(rows: DataFrame, text) -> DataFrame:
-    """Pages of one kind: rows meet on their page in one shuffle of bare fields, texts are made there."""
-    fields = [c for c in rows.columns if c not in PAGE_KEY]
-    g = rows.repartition(*PAGE_KEY).groupBy(*PAGE_KEY).agg(F.collect_list(F.struct(*fields)).alias("docs"))
-    docs = F.sort_array(F.transform("docs", lambda d: F.struct(d["doc_order"].alias("doc_order"), text(lambda n: d[n]).alias("doc"))))
-    g = g.withColumn("docs", docs)
+def _pages(rows: DataFrame, kind: str, text) -> DataFrame:
+    """Pages of one kind, of rows that lie together by (a part of) their page's key: texts are made there, from bare fields."""
+    # a constant is no key: rows partitioned with it would be shuffled again to be grouped without it
+    key = [c for c in rows.columns if c in ("provider", "tenant_id", "page_no", "block")]
+    g = rows.select(*key, "doc_order", text(F.col).alias("doc")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("doc_order", "doc"))).alias("docs"))
     body = page_body(F.col("provider"), F.col("kind"), F.transform("docs", lambda d: d["doc"]))
-    return g.select(*PAGE_KEY, body.alias("body"))
+    return g.withColumn("kind", F.lit(kind)).select(*PAGE_KEY, body.alias("body"))
 
 
 def landed_pages(m: ModelTables) -> DataFrame:
@@ -150,9 +160,10 @@ def landed_pages(m: ModelTables) -> DataFrame:
 
     Documents are grouped per page, ordered inside the page.  The page key bounds a page by construction: an invoice
     page holds one key range of orders, a payment page the lines of one key range of orders and of one
-    range of line numbers, so an order with very many lines fills many pages.
+    range of line numbers, so an order with very many lines fills many pages.  Every fact is shuffled once, as bare fields.
     """
-    return _pages(invoice_rows(m), invoice_text).unionByName(_pages(payment_rows(m), payment_text))
+    invoices = invoice_rows(m).repartition("provider", "tenant_id", "page_no")
+    return _pages(invoices, "invoices", invoice_text).unionByName(_pages(payment_rows(m, by_block=True), "payments", payment_text))
 
 
 with open(__file__, "rb") as _fh:   # pages depend on this module and on the model-table mapping
@@ -166,15 +177,15 @@ def landing_zone(m: ModelTables) -> DataFrame:
     Pages are written (parquet) under the session's shared ``spark.checkpoint.dir``
     the first time they are needed; later ingest jobs only read the files, and the
     ingest lineage starts at the files.  The files are partitioned by provider and kind,
-    written as the pages come: bodies are neither shuffled nor sorted.
+    written as the pages come: bodies are neither shuffled nor sorted.  They are compressed with zstd, as texts that are read often.
     """
     from cashcurve.session import checkpoint_dir
     spark = m.spark
     root = os.path.join(checkpoint_dir(spark), "landing", f"{LANDING_VERSION}-{m.source_digest}")
 
     def write(path: str) -> None:
-        with unsorted_partitions(spark):
-            landed_pages(m).write.partitionBy("provider", "kind").parquet(path)
+        with unsorted_partitions(spark), partitioned_by_part_of_key(spark), sorted_groups(spark):
+            landed_pages(m).write.partitionBy("provider", "kind").option("compression", "zstd").parquet(path)
 
     ensure_stored(spark, root, write)
     return spark.read.schema(PAGE_COLUMNS).parquet(root).select("provider", "tenant_id", "kind", "page_no", "body")
