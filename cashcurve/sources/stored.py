@@ -92,12 +92,14 @@ class StoredTables(OwnTables):
         if rows is None and gone is None:
             return base
         none = self.spark.createDataFrame([], schema).withColumn("_step", F.lit(0))
-        rows = none if rows is None else rows
         gone = none.select(*key, "_step") if gone is None else gone
         if table in PARTS:
+            rows = none if rows is None else rows
             last = gone.groupBy(*key).agg(F.max("_step").alias("_gone"))
             kept = base.withColumn("_step", F.lit(-1)).unionByName(rows).join(last, key, "left")
             return kept.filter(F.col("_gone").isNull() | (F.col("_step") > F.col("_gone"))).select(*schema.names)
+        if rows is None:                    # keys only: no rows to be sorted for the newest
+            return base.join(gone.select(*key).distinct(), key, "left_anti").select(*schema.names)
         rest = [c for c in schema.names if c not in key]
         named = rows.select(*key, "_step", F.struct(*rest).alias("_row")).unionByName(gone.select(*key, "_step"), allowMissingColumns=True)
         newest = named.groupBy(*key).agg(F.max_by(F.struct("_row"), "_step").alias("_last"))

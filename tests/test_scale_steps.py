@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from cashcurve.operators import ledger as lg
 from cashcurve.operators import upsert as up
-from cashcurve.session import checkpoint_dir, unsorted_partitions
+from cashcurve.session import checkpoint_dir, partitioned_by_part_of_key, setting, sorted_groups, unsorted_partitions
 from cashcurve.sources.ledger_pages import landed_pages
 from cashcurve.sources.model import ModelTables
 from cashcurve.sources.page_files import read_page_files, write_page_files
+from cashcurve.sources.stored import StoredTables
 
 SF_SMALL = "/root/testdata/sf0.001"
 PAGES = "provider string, tenant_id string, kind string, page_no bigint, body string"
@@ -99,3 +100,33 @@ def test_the_writer_setting_comes_back(spark):
         assert spark.conf.get(key) == "32"
         raise KeyError
     assert spark.conf.get(key, None) == before
+
+
+def test_facts_of_pages_are_shuffled_once(spark):
+    m = ModelTables(spark, SF_SMALL)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), partitioned_by_part_of_key(spark), sorted_groups(spark):
+        plan = _plan(landed_pages(m))
+    assert plan.count("Exchange hashpartitioning(") == 3 and "ObjectHashAggregate" not in plan          # invoices, lines and the lines' orders
+
+
+def test_lines_come_out_partitioned_by_their_key(spark):
+    page = '{"Invoices":[%s]}' % ",".join('{"InvoiceID":"%s","Type":"ACCREC","Status":"PAID","Total":"1","Date":"2024-01-01","Contact":{"ContactID":"%s"}}' % d
+                                          for d in [("A", "C1"), ("B", "C2"), ("D", ""), ("E", "C4"), ("A", "C3")])
+    docs = lg.normalised_documents(spark.createDataFrame([("xero", "T1", "invoices", 1, page)], PAGES), spark.createDataFrame([(5, 1, "xero", "T1", None)], CONNECTIONS))
+    links = spark.createDataFrame([(1, "xero", "C1", 6), (1, "xero", "C2", 7), (1, "xero", "C2", 8), (1, "xero", "C2", None), (1, "xero", "C3", 9), (1, "xero", None, 10)], LINKS)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        lines = lg.accepted_lines(docs, links)
+        plan = _plan(lines)
+        assert plan[plan.index("Exchange hashpartitioning("):].startswith("Exchange hashpartitioning(company_id") and "idempotency_key" in plan[plan.index("Exchange hashpartitioning("):].split(")")[0]
+        got = sorted((r.idempotency_key[-1], r.lead_id or 0) for r in lines.collect())
+        again = up.upsert(lines, lines, ["company_id", "idempotency_key"], replace=["amount"])
+        assert _plan(again).count("Exchange hashpartitioning(company_id") == 2 * plan.count("Exchange hashpartitioning(company_id")
+    assert got == [("A", 9), ("B", 0), ("B", 7), ("B", 8), ("D", 0), ("E", 0)]
+
+
+def test_a_table_that_only_lost_keys_is_read_without_sorting_rows(spark):
+    root = _folder(spark)
+    spark.range(6).selectExpr("id", "cast(1 as int) company_id", "'n' name").write.parquet(f"{root}/products.parquet")
+    t = StoredTables(spark, root)
+    t.delete("products", spark.range(2))
+    assert "SortAggregate" not in _plan(t.products) and sorted(r.id for r in t.products.collect()) == [2, 3, 4, 5]
