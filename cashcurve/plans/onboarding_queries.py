@@ -91,6 +91,13 @@ def q_apply_plan(spark, sf_dir):
     return ob.apply_plan(m.onboarding_sessions, ob.profile_merge(m.profile_patches), m.connections)
 
 
+def calibration_runs_of(m: ModelTables):
+    """K6 for every session, with what it asked for and what the landed pages gave."""
+    s = m.onboarding_sessions
+    requests = s.select(F.col("id").alias("session_id"), (F.col("id") % 3 != 0).alias("request_xero"), (F.col("id") % 4 != 1).alias("request_qbo"))
+    return ob.calibration_runs(s, ob.profile_merge(m.profile_patches), m.connections, lg.sync_counts(documents_of(m)), requests)
+
+
 @register("calibration_status", oracle=with_tables(["sessions", "profile_patches", "connections"], f"""
     SELECT s.id AS session_id, s.company_id,
            CASE WHEN EXISTS (SELECT 1 FROM profile_patches p WHERE p.company_id = s.company_id)
@@ -112,10 +119,7 @@ def q_apply_plan(spark, sf_dir):
       ON rq.company_id = s.company_id""", LEDGER_CTES))
 def q_calibration_status(spark, sf_dir):
     """Each session asks for a calibration, some without one of the syncs."""
-    m = ModelTables(spark, sf_dir)
-    s = m.onboarding_sessions
-    requests = s.select(F.col("id").alias("session_id"), (F.col("id") % 3 != 0).alias("request_xero"), (F.col("id") % 4 != 1).alias("request_qbo"))
-    return ob.calibration_runs(s, ob.profile_merge(m.profile_patches), m.connections, lg.sync_counts(documents_of(m)), requests)
+    return calibration_runs_of(ModelTables(spark, sf_dir))
 
 
 COMPLETED_AT = "2026-01-15T09:30:00"
