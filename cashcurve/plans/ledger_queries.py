@@ -14,6 +14,7 @@ from cashcurve.operators.sync import full_sync
 from cashcurve.plans.oracle_tables import with_tables
 from cashcurve.plans.registry import register
 from cashcurve.session import checkpoint_dir
+from cashcurve.sources.files import SharedFiles
 from cashcurve.sources.ledger_pages import LANDING_VERSION, landing_zone, raw_page_files
 from cashcurve.sources.model import ModelTables, ensure_stored
 from cashcurve.sources.page_files import page_gaps, read_page_files
@@ -64,6 +65,20 @@ with open(lg.__file__, "rb") as _fh:
     LEDGER_VERSION = hashlib.sha1(_fh.read() + LANDING_VERSION.encode()).hexdigest()[:12]
 
 
+def write_by_month(lines, path: str) -> None:
+    """Write ledger lines by posting month.
+
+    They are written as they come first: that holds far less than what was shuffled for them, which goes before they are shuffled by month.
+    """
+    made = f"{path}.lines"
+    lines.write.option("compression", "zstd").parquet(made)
+    rows = lines.sparkSession.read.schema(lines.schema).parquet(made).withColumn("posted_month", F.trunc("posted_date", "MM"))
+    # large months are cut, small ones joined by measured size; a range partitioning would read the lines twice, for its sample and for itself
+    rows.hint("rebalance", "posted_month").sortWithinPartitions("posted_month", "company_id").write.partitionBy("posted_month") \
+        .option("compression", "zstd").parquet(path)
+    SharedFiles(lines.sparkSession).remove(made)
+
+
 def actual_lines_table(m: ModelTables, as_of: str | None = None):
     """The accounting_actual_lines table as the first full sync leaves it, stored once per state of the sources.
 
@@ -78,11 +93,7 @@ def actual_lines_table(m: ModelTables, as_of: str | None = None):
     if not m.stored:
         return lines
     root = os.path.join(checkpoint_dir(m.spark), "model", f"lines-{LEDGER_VERSION}-{m.source_digest}")
-    month = F.trunc("posted_date", "MM")
-    keys = ["posted_month", "company_id"]
-    # large months are cut, small ones joined by measured size; a range partitioning would make the lines twice, for its sample and for itself
-    ensure_stored(m.spark, root, lambda path: lines.withColumn("posted_month", month).hint("rebalance", "posted_month")
-                  .sortWithinPartitions(*keys).write.partitionBy("posted_month").parquet(path))
+    ensure_stored(m.spark, root, lambda path: write_by_month(lines, path))
     stored = m.spark.read.schema(T.StructType([*lines.schema.fields, T.StructField("posted_month", T.DateType())])).parquet(root)
     if as_of is not None:
         stored = stored.filter(F.col("posted_month") == F.trunc(F.lit(as_of).cast("date"), "MM"))

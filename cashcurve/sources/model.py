@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from cashcurve.functions.exprs import MONEY, first_of_month, money
 from cashcurve.operators.distinct_sets import monthly_bitmaps
+from cashcurve.session import shuffles_released
 from cashcurve.sources.files import SharedFiles
 from cashcurve.sources.raw import RawTables
 
@@ -101,7 +102,9 @@ def ensure_stored(spark: SparkSession, root: str, write) -> None:
         files = SharedFiles(spark)
         if root not in _COMPLETE and not files.exists(root):
             part = f"{root}.{uuid.uuid4().hex[:8]}.part"
-            write(part)
+            # what was shuffled for one folder would else lie on the disks while the next ones are built
+            with shuffles_released(spark):
+                write(part)
             with contextlib.suppress(FileExistsError):
                 files.publish_folder(part, root)
         _COMPLETE.add(root)
@@ -174,9 +177,9 @@ class ModelTables:
                 keys = [partition_by, *cluster_by]
                 made = {n: c() for n, c in (late or {}).items()}
                 df.drop(*made).hint("rebalance", partition_by).sortWithinPartitions(*keys).withColumns(made).select(*df.columns).write \
-                    .partitionBy(partition_by).parquet(path)
+                    .partitionBy(partition_by).option("compression", "zstd").parquet(path)
             else:
-                df.write.parquet(path)
+                df.write.option("compression", "zstd").parquet(path)
 
         ensure_stored(self.spark, root, write)
         # explicit schema: partition columns keep their type, columns keep their order
