@@ -1,4 +1,4 @@
-"""What is shuffled for a stored table goes with the job that needed it."""
+"""What is shuffled for a stored table goes with the job that needed it, and no row is shuffled for a table of a row per company."""
 
 import os
 import time
@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from cashcurve.plans import ledger_queries as lq
-from cashcurve.session import checkpoint_dir
+from cashcurve.plans.update_queries import lead_patches
+from cashcurve.session import checkpoint_dir, setting
 from cashcurve.sources.model import ensure_stored
 
 
@@ -51,3 +52,13 @@ def test_lines_are_stored_by_month_and_nothing_else_stays(spark):
     assert os.listdir(folder) == ["lines"] and {n for n in os.listdir(f"{folder}/lines") if "=" in n} == {"posted_month=2024-01-01", "posted_month=2024-02-01"}
     back = spark.read.parquet(f"{folder}/lines").select(lines.columns)
     assert back.exceptAll(lines).count() == 0 and back.count() == 301
+
+
+def test_lines_are_not_shuffled_by_company_for_their_patches(spark):
+    lines = spark.createDataFrame([(1, "a", "cash"), (1, "b", "accrual"), (24, "c", "accrual"), (None, "d", "cash"), (2, "e", "accrual")], "company_id int, idempotency_key string, basis string")
+    leads = spark.createDataFrame([(7, 1), (5, 1), (9, 0), (4, None)], "id long, company_id int")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        patches = lead_patches(lines, leads)
+        plan = patches._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        assert {r.idempotency_key: r.lead_id for r in patches.collect()} == {"a": 5, "b": None, "c": 9, "d": None, "e": None}
